@@ -16,6 +16,7 @@ counts over the root of the number of words.
 from __future__ import annotations
 
 import io
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,6 +33,7 @@ LEXICON = (
     "arschloch", "dummkopf", "abschaum", "trottel", "connard", "salope", "ordure", "imbécile", "idiota", "estúpido", "basura", "imbécil",
 )
 PREFIXES = (4, 5, 6, 7)
+SLICE = 1 << 16
 BITS = 20
 #: Terms mined for each language at most, and languages that have a toxic class of their own.
 MINED = 16
@@ -133,19 +135,33 @@ def _array(x: bytes) -> np.ndarray:
 
 
 def _sum(df: DataFrame, f) -> np.ndarray | None:
-    """The sum of the arrays that f gives for Arrow batches, one array per partition reaching the driver."""
+    """The sum of the arrays that f gives for Arrow batches.
 
-    def run(batches):
+    A partition's sum is cut into slices of its last axis, which are added up in
+    a shuffle, so that the driver gets one array however many partitions there are.
+    """
+
+    def partial(batches):
         total = None
         for batch in batches:
             if batch.num_rows:
                 part = f(batch)
                 total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([_bytes(total)])], names=["m"])
+            for at in range(0, total.shape[-1], SLICE):
+                part = np.ascontiguousarray(total[..., at : at + SLICE])
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([zlib.compress(_bytes(part), 1)])], names=["at", "m"])
 
-    parts = [_array(r.m) for r in df.mapInArrow(run, "m binary").collect()]
-    return sum(parts) if parts else None
+    def added(table: pa.Table) -> pa.Table:
+        total = None
+        for x in table.column("m"):
+            part = _array(zlib.decompress(x.as_py()))
+            total = part if total is None else total + part
+        return pa.table({"at": table.column("at").slice(0, 1), "m": pa.array([zlib.compress(_bytes(total), 1)], pa.binary())})
+
+    summed = df.mapInArrow(partial, "at bigint, m binary").groupBy("at").applyInArrow(added, "at bigint, m binary")
+    parts = [_array(zlib.decompress(bytes(r.m))) for r in sorted(summed.collect(), key=lambda r: r.at)]
+    return np.concatenate(parts, axis=-1) if parts else None
 
 
 def _presence(weight):
