@@ -27,6 +27,10 @@ _k, _n = np.arange(8)[:, None], np.arange(8)[None, :]
 DCT = np.where(_k == 0, np.sqrt(1 / 8), 0.5 * np.cos((2 * _n + 1) * _k * np.pi / 16))
 
 
+#: A frame header that asks for more is taken for damage, before anything is allocated.
+MAX_PIXELS = 1 << 27
+
+
 class Damaged(ValueError):
     """Not a JPEG that can be decoded whole."""
 
@@ -70,6 +74,8 @@ class _Bits:
     def bits(self, n: int) -> int:
         if not n:
             return 0
+        if n > 16:
+            raise Damaged("a value of more than 16 bits")
         at = self.at
         if at > self.end + 32:
             raise Damaged("a scan ends early")
@@ -221,6 +227,8 @@ def coefficients(data: bytes):
             comps = [{"id": body[6 + 3 * i], "h": body[7 + 3 * i] >> 4, "v": body[7 + 3 * i] & 15, "tq": body[8 + 3 * i]} for i in range(body[5])]
             if not (w and h and comps) or any(not (1 <= c["h"] <= 4 and 1 <= c["v"] <= 4) for c in comps):
                 raise Damaged("a frame without size")
+            if w * h > MAX_PIXELS:
+                raise Damaged(f"more than {MAX_PIXELS} pixels")
             hm, vm = max(c["h"] for c in comps), max(c["v"] for c in comps)
             mx, my = -(-w // (8 * hm)), -(-h // (8 * vm))
             for c in comps:
