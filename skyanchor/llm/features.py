@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import zlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U, WORD_BYTE, flat, span_hashes, word_spans
+from .textkit import U, flat, span_hashes, word_spans
+
+SLICE = 1 << 16
 
 STATISTICS = (
     "log_bytes", "log_words", "mean_word", "sd_word", "one_byte_words", "upper", "digit", "symbol", "stop", "comma", "exclaim", "bar",
@@ -76,6 +82,45 @@ def statistics(column) -> np.ndarray:
     return out
 
 
+def _bytes(x: np.ndarray) -> bytes:
+    np.save(f := io.BytesIO(), x, allow_pickle=False)
+    return f.getvalue()
+
+
+def _array(x: bytes) -> np.ndarray:
+    return np.load(io.BytesIO(x), allow_pickle=False)
+
+
+def summed(df: DataFrame, f) -> np.ndarray | None:
+    """The sum of the arrays that f gives for Arrow batches.
+
+    A partition's sum is cut into slices of its last axis, which are added up in
+    a shuffle, so that the driver gets one array however many partitions there are.
+    """
+
+    def partial(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = f(batch)
+                total = part if total is None else total + part
+        if total is not None:
+            for at in range(0, total.shape[-1], SLICE):
+                part = np.ascontiguousarray(total[..., at : at + SLICE])
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([zlib.compress(_bytes(part), 1)])], names=["at", "m"])
+
+    def added(table: pa.Table) -> pa.Table:
+        total = None
+        for x in table.column("m"):
+            part = _array(zlib.decompress(x.as_py()))
+            total = part if total is None else total + part
+        return pa.table({"at": table.column("at").slice(0, 1), "m": pa.array([zlib.compress(_bytes(total), 1)], pa.binary())})
+
+    summed = df.mapInArrow(partial, "at bigint, m binary").groupBy("at").applyInArrow(added, "at bigint, m binary")
+    parts = [_array(zlib.decompress(bytes(r.m))) for r in sorted(summed.collect(), key=lambda r: r.at)]
+    return np.concatenate(parts, axis=-1) if parts else None
+
+
 def labelled(docs: DataFrame, labels: DataFrame, name: str, bound: int) -> DataFrame:
     """(doc_id, text, lang, y) of at most bound labelled documents: those of the least hashes of doc_id.
 
@@ -88,6 +133,3 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str, bound: int) -> DataF
     lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select("doc_id", "text", lang.alias("lang")).filter("text is not null")
     return texts.join(F.broadcast(some), "doc_id")
-
-
-__all__ = ["STATISTICS", "WORD_BYTE", "labelled", "statistics"]

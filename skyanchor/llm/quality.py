@@ -2,14 +2,14 @@
 
 Features cos(w.x + b) of standardised document statistics x approximate a
 Gaussian kernel.  Partitions of the fitting part of a bounded labelled sample
-sum Z'Z and Z'y; the driver solves the ridge system of D + 1 unknowns.  The
+sum Z'Z and Z'y, which add up in a shuffle; the driver solves the ridge system of D +
+1 unknowns.  The
 scores of the held-back part, rounded to a grid, give the isotonic map from
 score to the probability of being good (pool adjacent violators).
 """
 
 from __future__ import annotations
 
-import io
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import STATISTICS, labelled, statistics
+from .features import STATISTICS, labelled, statistics, summed
 from .textkit import chunks, cut, without
 
 FEATURES = 256
@@ -68,30 +68,9 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([e[0] for e in ends]), np.array([e[1] for e in ends])
 
 
-def _pack(x: np.ndarray) -> bytes:
-    np.save(f := io.BytesIO(), x, allow_pickle=False)
-    return f.getvalue()
-
-
-def _unpack(x: bytes) -> np.ndarray:
-    return np.load(io.BytesIO(x), allow_pickle=False)
-
-
-def _summed(rows: DataFrame, f) -> np.ndarray | None:
-    """The sum of f(x, y) over rows of (x array<double>, y), an array per partition reaching the driver."""
-
-    def run(batches):
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                x = np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, -1)
-                part = f(x, np.asarray(batch.column("y")).astype(float))
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([_pack(total)])], names=["m"])
-
-    parts = [_unpack(r.m) for r in rows.mapInArrow(run, "m binary").collect()]
-    return sum(parts) if parts else None
+def _xy(f):
+    """f(x, y) of an Arrow batch of (x array<double>, y)."""
+    return lambda batch: f(np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, -1), np.asarray(batch.column("y")).astype(float))
 
 
 def _described(batches):
@@ -114,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     train, rest = rows.filter(~held), rows.filter(held)
     rng = np.random.default_rng(SEED)
     omega, phase = rng.normal(size=(d, features)) / width, rng.uniform(0, 2 * np.pi, features)
-    first = _summed(train, lambda x, y: np.stack([np.full(d, float(len(x))), x.sum(0), (x * x).sum(0)]))
+    first = summed(train, _xy(lambda x, y: np.stack([np.full(d, float(len(x))), x.sum(0), (x * x).sum(0)])))
     if first is None:
         return Model(np.zeros(d), np.ones(d), omega, phase, np.r_[np.zeros(features), 1.0], np.zeros(0), np.zeros(0))
     mean = first[1] / first[0]
@@ -125,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
         z = lift((x - mean) / scale, omega, phase)
         return np.concatenate([z.T @ z, (z.T @ y)[:, None]], axis=1)
 
-    m = _summed(train, normal)
+    m = summed(train, _xy(normal))
     penalty = ridge * first[0, 0] / features * np.eye(features + 1)
     penalty[-1, -1] = 0
     beta = np.linalg.solve(m[:, :-1] + penalty + 1e-9 * np.eye(features + 1), m[:, -1])
@@ -136,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
         at = np.clip(np.round((model.score(x) + 0.5) / 2 * grid), 0, grid).astype(int)
         return np.stack([np.bincount(at, minlength=grid + 1), np.bincount(at, y, grid + 1)]).astype(float)
 
-    h = _summed(rest, histogram)
+    h = summed(rest, _xy(histogram))
     if h is not None:
         some = h[0] > 0
         model.knots, model.levels = isotonic((np.arange(grid + 1) / grid * 2 - 0.5)[some], h[1][some] / h[0][some], h[0][some])

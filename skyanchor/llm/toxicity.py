@@ -15,8 +15,6 @@ counts over the root of the number of words.
 
 from __future__ import annotations
 
-import io
-import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import labelled
+from .features import labelled, summed
 from .textkit import U, chunks, cut, flat, span_hashes, without, word_spans
 
 LEXICON = (
@@ -33,7 +31,6 @@ LEXICON = (
     "arschloch", "dummkopf", "abschaum", "trottel", "connard", "salope", "ordure", "imbécile", "idiota", "estúpido", "basura", "imbécil",
 )
 PREFIXES = (4, 5, 6, 7)
-SLICE = 1 << 16
 BITS = 20
 #: Terms mined for each language at most, and languages that have a toxic class of their own.
 MINED = 16
@@ -125,45 +122,6 @@ def inputs(column, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.repeat(row, 2), np.stack([col, col + d], axis=1).reshape(-1), both, n_words
 
 
-def _bytes(x: np.ndarray) -> bytes:
-    np.save(f := io.BytesIO(), x, allow_pickle=False)
-    return f.getvalue()
-
-
-def _array(x: bytes) -> np.ndarray:
-    return np.load(io.BytesIO(x), allow_pickle=False)
-
-
-def _sum(df: DataFrame, f) -> np.ndarray | None:
-    """The sum of the arrays that f gives for Arrow batches.
-
-    A partition's sum is cut into slices of its last axis, which are added up in
-    a shuffle, so that the driver gets one array however many partitions there are.
-    """
-
-    def partial(batches):
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                part = f(batch)
-                total = part if total is None else total + part
-        if total is not None:
-            for at in range(0, total.shape[-1], SLICE):
-                part = np.ascontiguousarray(total[..., at : at + SLICE])
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([zlib.compress(_bytes(part), 1)])], names=["at", "m"])
-
-    def added(table: pa.Table) -> pa.Table:
-        total = None
-        for x in table.column("m"):
-            part = _array(zlib.decompress(x.as_py()))
-            total = part if total is None else total + part
-        return pa.table({"at": table.column("at").slice(0, 1), "m": pa.array([zlib.compress(_bytes(total), 1)], pa.binary())})
-
-    summed = df.mapInArrow(partial, "at bigint, m binary").groupBy("at").applyInArrow(added, "at bigint, m binary")
-    parts = [_array(zlib.decompress(bytes(r.m))) for r in sorted(summed.collect(), key=lambda r: r.at)]
-    return np.concatenate(parts, axis=-1) if parts else None
-
-
 def _presence(weight):
     """Documents, and the documents with each bucket, weighted by the columns of weight(batch)."""
 
@@ -249,7 +207,7 @@ def _em(patterns_: DataFrame, start: LabelModel, strength: np.ndarray, steps: in
             mass[:, 0, 0] = w.sum(axis=0)
             return np.concatenate([mass, np.stack([(v * w[:, [c]]).T @ v for c in range(k)])], axis=1)
 
-        total = _sum(patterns_, f)
+        total = summed(patterns_, f)
         if total is None:
             return model
         mass, second = total[:, 0, 0], total[:, 1:, :]
@@ -285,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mined: int = M
     def one_hot(batch):
         return np.eye(2 * len(langs), dtype=np.float32)[class_of(batch)]
 
-    presence = _sum(chosen, _presence(one_hot))
+    presence = summed(chosen, _presence(one_hot))
     if presence is None or not presence[0::2, -1].any() or not presence[1::2, -1].any():
         return none
     found = [mine(presence[[i, i + 1]], mined) for i in range(0, len(presence), 2)]
@@ -301,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mined: int = M
         out[:, m] += np.bincount(cls, minlength=len(out))
         return out
 
-    r = _sum(chosen, rates)
+    r = summed(chosen, rates)
     there = r[:, m] > 0
     r, bad = r[there], (np.arange(len(r)) % 2 == 1)[there]
     n = r[:, m:]
@@ -332,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mined: int = M
         return np.array([((1 - p) * y).sum(), (1 - p).sum(), (p * y).sum(), p.sum()])
 
     # the sample's labels are one more voter, of an accuracy estimated like that of the others
-    g = _sum(chosen, agreement)
+    g = summed(chosen, agreement)
     said0, said1 = np.clip((g[[0, 2]] + 0.5) / (g[[1, 3]] + 1), 0.02, 0.98)
 
     def soft(batch):
@@ -341,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mined: int = M
         p = toxic / np.maximum(clean + toxic, 1e-12)
         return np.stack([1 - p, p], axis=1).astype(np.float32)
 
-    weighed = _sum(chosen, _presence(soft))
+    weighed = summed(chosen, _presence(soft))
     (clean, toxic), (n0, n1) = weighed[:, :-1].astype(float), weighed[:, -1].astype(float)
     share = (clean + toxic) / max(n0 + n1, 1e-9)
     z = np.abs(toxic / max(n1, 1e-9) - clean / max(n0, 1e-9)) / np.sqrt(share * (1 - share) + 1e-3)

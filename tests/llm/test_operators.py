@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skyanchor.llm import bpe, chat, features, fingerprint, jpeg, minhash, mixing, quality, rans, textkit, toxicity, urls
 
-SF = "/root/testdata/sf0.001"
+SF, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 
@@ -148,7 +148,7 @@ def test_decoding_of_odd_ids(spark):
 
 
 def test_quality_held_out(spark):
-    docs, labels = spark.read.parquet(f"{SF[:-6]}/sf0.01/documents.parquet"), spark.read.parquet(f"{SF[:-6]}/sf0.01/labels.parquet")
+    docs, labels = spark.read.parquet(f"{SF01}/documents.parquet"), spark.read.parquet(f"{SF01}/labels.parquet")
     model = quality.fit(docs, labels.filter("doc_id % 3 <> 0"))
     got = quality.score(docs, model).join(labels.filter("doc_id % 3 = 0"), "doc_id").select("quality_score", "quality").toPandas()
     assert ((got.quality_score >= quality.KEEP_AT) == (got.quality == 1)).mean() > 0.95
@@ -175,7 +175,7 @@ def test_normal_equations_solve_ridge(spark):
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(50, 3)), rng.integers(0, 2, 50)
     rows = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y)], "x array<double>, y int").repartition(4)
-    m = quality._summed(rows, lambda a, b: np.concatenate([a.T @ a, (a.T @ b)[:, None]], axis=1))
+    m = features.summed(rows, quality._xy(lambda a, b: np.concatenate([a.T @ a, (a.T @ b)[:, None]], axis=1)))
     assert np.allclose(m[:, :3], x.T @ x) and np.allclose(m[:, 3], x.T @ y)
 
 
@@ -328,7 +328,7 @@ def test_source_sketch_equals_that_of_all_texts(spark):
 
 
 def test_toxicity_held_out(spark):
-    docs, labels = spark.read.parquet(f"{SF[:-6]}/sf0.01/documents.parquet"), spark.read.parquet(f"{SF[:-6]}/sf0.01/labels.parquet")
+    docs, labels = spark.read.parquet(f"{SF01}/documents.parquet"), spark.read.parquet(f"{SF01}/labels.parquet")
     model = toxicity.fit(docs, labels.filter("doc_id % 3 <> 0"))
     got = toxicity.score(docs, model).join(labels.filter("doc_id % 3 = 0"), "doc_id").select("toxicity_score", "toxic").toPandas()
     said = got.toxicity_score >= toxicity.TOXIC_AT
