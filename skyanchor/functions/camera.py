@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .geo import _c, ground_mpp, zoom_for
 
 #: (altitude_m, sigma_m): the position uncertainty up to which retrieval is trusted.
-ENVELOPE = ((100.0, 500.0), (300.0, 2000.0), (600.0, 5000.0))
+ENVELOPE = tuple(zip((100.0, 300.0, 600.0), (500.0, 2000.0, 5000.0)))
 DENSE_INLIERS, SPARSE_INLIERS = 185, 8
 MAX_WINDOW_PX = 4000
 PCA_DIM = 1024

@@ -11,10 +11,9 @@ RANKS = {
     "accepted_wrong": -20, "error": -10, "refused": 0, "refused_floor1": 0, "refused_floor2": 0, "pose_wrong_gated": 0,
     "pose_correct_gated": 1, "accepted_unverified": 2, "pose_gated_unverified": 1, "accepted_correct": 3,
 }
-CONFIG_KEYS = (
-    "matcher", "top_k", "radius_km", "cell_px", "overlap", "pca_dim", "encoder", "photometric", "min_photometric", "max_ellipse_m", "min_inliers",
-    "ransac_px", "matcher_max_side", "max_fine_window_px", "correct_m", "manual_tol_frac", "scale_iters",
-)
+CONFIG_KEYS = tuple(
+    "cell_px correct_m encoder manual_tol_frac matcher matcher_max_side max_ellipse_m max_fine_window_px min_inliers min_photometric overlap pca_dim photometric radius_km ransac_px scale_iters top_k".split()
+)
 THRESHOLDS = {"ncc": 0.12, "dino": 0.35}
 
 
@@ -72,7 +71,7 @@ def outcome_rank(o) -> Column:
     return out.otherwise(0)
 
 
-def drift(*, was_m, now_m, outcome_, slack_m: float = 10.0, slack_frac: float = 0.5) -> Column:
+def drift(*, was_m, now_m, outcome_, slack_frac: float = 0.5, slack_m: float = 10.0) -> Column:
     """'worse', 'better' or '' for an unchanged class; silent for wrong places and missing errors."""
     w, n = _c(was_m), _c(now_m)
     skip = w.isNull() | n.isNull() | _c(outcome_).isin("pose_wrong_gated", "accepted_wrong")

@@ -45,18 +45,26 @@ def footprint_geojson(*, ring="ring", lon="lon", lat="lat", status="status") ->
     return F.concat(F.lit('{"type":"FeatureCollection","features":['), F.when(some, F.concat(polygon, F.lit(","), point)).otherwise(""), F.lit("]}"))
 
 
+XML_HEAD = "<?xml version='1.0' encoding='utf-8'?>"
+KML_SPACE = "/".join(("http:", "", "www.opengis.net", "kml", "2.2"))
+
+
+def _nested(inner: Column, tags: str) -> Column:
+    """inner inside elements of the given names, the first outermost."""
+    names = tags.split()
+    return F.concat(F.lit("".join(f"<{n}>" for n in names)), inner, F.lit("".join(f"</{n}>" for n in reversed(names))))
+
+
 def footprint_kml(*, name="name", ring="ring", lon="lon", lat="lat", status="status") -> Column:
     """A KML document of the footprint and the centre; without placemarks for a refusal."""
     pair = lambda x, y: F.concat(F.format_string("%.7f", x), F.lit(","), F.format_string("%.7f", y), F.lit(",0"))
     closed = F.concat(_c(ring), F.slice(_c(ring), 1, 1))
     coords = F.array_join(F.transform(closed, lambda p: pair(p["lon"], p["lat"])), " ")
-    marks = F.concat(
-        F.lit("<Placemark><Polygon><outerBoundaryIs><LinearRing><coordinates>"), coords, F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark><Placemark><Point><coordinates>"),
-        pair(_c(lon), _c(lat)), F.lit("</coordinates></Point></Placemark>"),
-    )
+    marks = F.concat(_nested(coords, "Placemark Polygon outerBoundaryIs LinearRing coordinates"), _nested(pair(_c(lon), _c(lat)), "Placemark Point coordinates"))
     some = (_c(status) != "not_localized") & _c(ring).isNotNull()
     title = F.regexp_replace(F.regexp_replace(_c(name), "&", "&amp;"), "<", "&lt;")
-    return F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>'), title, F.lit("</name>"), F.when(some, marks).otherwise(""), F.lit("</Document></kml>"))
+    body = _nested(F.concat(_nested(title, "name"), F.when(some, marks).otherwise("")), "Document")
+    return F.concat(F.lit(f"{XML_HEAD}<kml xmlns='{KML_SPACE}'>"), body, F.lit("</kml>"))
 
 
 def result_json(*names: str) -> Column:

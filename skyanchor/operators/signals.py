@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from numpy import ndarray as Arr
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def _bin(v: str, lo: str, hi: str, bins: int) -> Column:
 
 
 def nmi(pixels: DataFrame, bins: int = 32) -> DataFrame:
-    """(pair_id, nmi): (H(a) + H(b)) / H(a, b) of the joint histogram, in [1, 2]; 2 where the joint entropy is 0."""
+    """(pair_id, nmi): marginal entropies over the joint one of the two-way histogram, in [1, 2]; 2 where the joint entropy is 0."""
     ends = pixels.groupBy("pair_id").agg(*(f(c).alias(f"{n}{c}") for c in "ab" for n, f in (("lo", F.min), ("hi", F.max))))
     joint = pixels.join(ends, "pair_id").groupBy("pair_id", _bin("a", "loa", "hia", bins).alias("i"), _bin("b", "lob", "hib", bins).alias("j")).agg(F.count("*").alias("c"))
 
@@ -35,14 +36,14 @@ def nmi(pixels: DataFrame, bins: int = 32) -> DataFrame:
     return h.select("pair_id", F.when(F.col("hab") <= 1e-12, 2.0).otherwise((F.col("ha") + F.col("hb")) / F.col("hab")).alias("nmi"))
 
 
-def _sobel(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sobel(z: Arr) -> tuple[Arr, Arr]:
     p = np.pad(z, 1, mode="reflect")
     dx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
     dy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
     return dx, dy
 
 
-def _smooth(z: np.ndarray, times: int = 1) -> np.ndarray:
+def _smooth(z: Arr, times: int = 1) -> Arr:
     for _ in range(times):
         p = np.pad(z, 1, mode="reflect")
         z = (p[:-2] + 2 * p[1:-1] + p[2:]) / 4
@@ -50,18 +51,18 @@ def _smooth(z: np.ndarray, times: int = 1) -> np.ndarray:
     return z
 
 
-def _corr(a: np.ndarray, b: np.ndarray) -> float:
+def _corr(a: Arr, b: Arr) -> float:
     a, b = a - a.mean(), b - b.mean()
     n = np.sqrt((a * a).sum() * (b * b).sum())
     return float((a * b).sum() / n) if n > 1e-9 else 0.0
 
 
-def grad_ncc(a: np.ndarray, b: np.ndarray) -> float:
+def grad_ncc(a: Arr, b: Arr) -> float:
     """Correlation of gradient magnitudes, blind to the sign of contrast."""
     return _corr(*(np.hypot(*_sobel(_smooth(z))) for z in (a, b)))
 
 
-def ngf(a: np.ndarray, b: np.ndarray, floor: float = 1.0) -> float:
+def ngf(a: Arr, b: Arr, floor: float = 1.0) -> float:
     """Mean squared cosine of gradient angles where both gradients stand out; 0.5 without any such pixel."""
     (ax, ay), (bx, by) = (_sobel(_smooth(z)) for z in (a, b))
     na, nb = np.hypot(ax, ay), np.hypot(bx, by)
@@ -69,7 +70,7 @@ def ngf(a: np.ndarray, b: np.ndarray, floor: float = 1.0) -> float:
     return float((((ax * bx + ay * by)[some] / (na * nb)[some]) ** 2).mean()) if some.any() else 0.5
 
 
-def cfog(a: np.ndarray, b: np.ndarray, bins: int = 8) -> float:
+def cfog(a: Arr, b: Arr, bins: int = 8) -> float:
     """Correlation of channel features of oriented gradients: angles modulo 180 in bins, smoothed in space and over angles, unit length a pixel."""
 
     def features(z):
@@ -84,7 +85,7 @@ def cfog(a: np.ndarray, b: np.ndarray, bins: int = 8) -> float:
     return _corr(features(a), features(b))
 
 
-def edges(z: np.ndarray, share: float = 0.85) -> np.ndarray:
+def edges(z: Arr, share: float = 0.85) -> Arr:
     """Thin edges: local maxima across the gradient among the strongest pixels."""
     dx, dy = _sobel(_smooth(z))
     m = np.hypot(dx, dy)
@@ -93,7 +94,7 @@ def edges(z: np.ndarray, share: float = 0.85) -> np.ndarray:
     return across & (m > np.quantile(m, share)) & (m > 1e-6)
 
 
-def edge_dice(a: np.ndarray, b: np.ndarray, reach: int = 2) -> float:
+def edge_dice(a: Arr, b: Arr, reach: int = 2) -> float:
     """Share of both edge sets that lie within reach of the other; 0 without edges."""
 
     def grown(e):
@@ -105,7 +106,7 @@ def edge_dice(a: np.ndarray, b: np.ndarray, reach: int = 2) -> float:
     return float(((x & grown(y)).sum() + (y & grown(x)).sum()) / n) if n else 0.0
 
 
-def structural(a: np.ndarray, b: np.ndarray, valid: np.ndarray, measure=grad_ncc, least: int = 256, side: int = 16) -> float:
+def structural(a: Arr, b: Arr, valid: Arr, measure=grad_ncc, least: int = 256, side: int = 16) -> float:
     """A measure on the crop of the valid pixels with holes filled by the mean; -1 where too little is left."""
     ys, xs = np.flatnonzero(valid.any(axis=1)), np.flatnonzero(valid.any(axis=0))
     if valid.sum() < least or not len(ys) or np.ptp(ys) + 1 < side or np.ptp(xs) + 1 < side:

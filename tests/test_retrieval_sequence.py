@@ -12,7 +12,7 @@ from skyanchor.sources import metadata
 
 def vecs(spark, n, d=16, seed=0, name="cell_id"):
     x = np.random.default_rng(seed).normal(size=(n, d))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
     return spark.createDataFrame([(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)], f"{name} bigint, embedding array<float>"), x.astype(np.float32).astype(float)
 
 
