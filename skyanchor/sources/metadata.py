@@ -26,13 +26,13 @@ def pitch_roll(packet) -> tuple[Column, Column]:
 
 
 def scan(spark: SparkSession, path: str, glob: str = "*.jpg") -> DataFrame:
-    """(path, length, packet, taken, problems) of image files: their XMP packet and time, with what is missing listed."""
+    """(path, length, packet, taken, problems) of image files: their XMP packet and time, with what is missing listed; empty files have no row."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     text = F.decode("content", "ISO-8859-1")
     packet = F.nullif(F.regexp_extract(text, r"(?s)(<x:xmpmeta.*?</x:xmpmeta>)", 1), F.lit(""))
     stamp = F.regexp_extract(text, r"(\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2})", 1)
     rows = raw.select("path", "length", packet.alias("packet"), F.try_to_timestamp(stamp, F.lit("yyyy:MM:dd HH:mm:ss")).alias("taken"))
-    problems = F.array_compact(F.array(F.when(F.col("length") == 0, "empty file"), F.when(F.col("packet").isNull(), "no XMP"), F.when(F.col("taken").isNull(), "no time")))
+    problems = F.array_compact(F.array(F.when(F.col("packet").isNull(), "no XMP"), F.when(F.col("taken").isNull(), "no time")))
     return rows.withColumn("problems", problems)
 
 
