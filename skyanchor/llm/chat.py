@@ -120,6 +120,6 @@ WITH t AS (SELECT conv_id, turn, role, text, COALESCE(role, '') AS r, COALESCE(t
 s AS (SELECT conv_id, i, r, '{OPEN}' || r || chr(10) AS head, x, '{OPEN}' || r || chr(10) || x || '{CLOSE.strip()}' || chr(10) AS seg FROM t),
 p AS (SELECT *, strlen(head) AS h, strlen(x) AS c, SUM(strlen(seg)) OVER (PARTITION BY conv_id ORDER BY i) - strlen(seg) AS before FROM s)
 SELECT conv_id, COUNT(*) AS n_turns, SUM(strlen(seg))::BIGINT AS n_bytes, string_agg(seg, '' ORDER BY i) AS text,
-  COALESCE(list({{'start': (before + h)::BIGINT, 'stop': (before + h + c)::BIGINT}} ORDER BY i) FILTER (r = 'assistant'), []) AS answers
+  COALESCE(string_agg((before + h)::BIGINT || '-' || (before + h + c)::BIGINT, ',' ORDER BY i) FILTER (r = 'assistant'), '') AS answers
 FROM p GROUP BY conv_id
 """

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy import ndarray as Arr
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,28 +35,28 @@ SEED = 7
 
 @dataclass
 class Model:
-    mean: np.ndarray
-    scale: np.ndarray
-    omega: np.ndarray
-    phase: np.ndarray
-    beta: np.ndarray
-    knots: np.ndarray
-    levels: np.ndarray
-
-    def score(self, x: np.ndarray) -> np.ndarray:
+    mean: Arr
+    scale: Arr
+    omega: Arr
+    phase: Arr
+    beta: Arr
+    knots: Arr
+    levels: Arr
+
+    def score(self, x: Arr) -> Arr:
         return lift((x - self.mean) / self.scale, self.omega, self.phase) @ self.beta
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
+    def probability(self, x: Arr) -> Arr:
         s = self.score(x)
         return np.interp(s, self.knots, self.levels) if len(self.knots) else np.clip(s, 0, 1)
 
 
-def lift(x: np.ndarray, omega: np.ndarray, phase: np.ndarray) -> np.ndarray:
+def lift(x: Arr, omega: Arr, phase: Arr) -> Arr:
     z = np.cos(x @ omega + phase) * np.sqrt(2 / omega.shape[1])
     return np.concatenate([z, np.ones((len(x), 1))], axis=1)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: Arr, y: Arr, w: Arr) -> tuple[Arr, Arr]:
     """Knots and non-decreasing levels of the weighted least-squares fit, for x in ascending order."""
     blocks: list[list[float]] = []
     for a, b, c in zip(x, y, w):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, chat, fingerprint, jpeg, minhash, mixing, quality, rans, toxicity, urls
 
@@ -62,8 +63,10 @@ def op9_media_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as one formatted text with the spans of its answers."""
-    return chat.format_chats(_read(spark, sf_dir, "conversations"))
+    """Every conversation as one formatted text with the byte spans of its answers as 'start-stop,…'."""
+    done = chat.format_chats(_read(spark, sf_dir, "conversations"))
+    span = F.transform("answers", lambda a: F.concat_ws("-", a["start"].cast("string"), a["stop"].cast("string")))
+    return done.withColumn("answers", F.array_join(span, ","))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -13,6 +13,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy import ndarray as Arr
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -25,14 +26,14 @@ for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
     WORD_BYTE[_lo:_hi] = True
 
 
-def mix(x: np.ndarray) -> np.ndarray:
+def mix(x: Arr) -> Arr:
     """The splitmix64 finaliser; a bijection of 64-bit words."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
     return x ^ (x >> U(31))
 
 
-def flat(column) -> tuple[np.ndarray, np.ndarray]:
+def flat(column) -> tuple[Arr, Arr]:
     """Bytes and int64 offsets (one more than rows) of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
@@ -60,7 +61,7 @@ def chunks(column, limit: int = CHUNK_BYTES):
         start = stop
 
 
-def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(raw: Arr, off: Arr) -> tuple[Arr, Arr, Arr]:
     """Starts, ends and row numbers of the words."""
     inside = WORD_BYTE[raw]
     edge = np.empty(len(raw) + 1, bool)
@@ -78,10 +79,10 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, rows
 
 
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_tables: dict[int, tuple[Arr, Arr]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int) -> tuple[Arr, Arr]:
     """Powers of BASE and of its inverse modulo 2**64, at least n of each."""
     size = 1 << max(10, int(n - 1).bit_length())
     if size not in _tables:
@@ -94,7 +95,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[size]
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(raw: Arr, starts: Arr, ends: Arr) -> Arr:
     """64-bit hashes of ascending byte spans: polynomials from prefix sums, then mixed."""
     out = np.zeros(len(starts), U)
     i = 0
@@ -120,14 +121,14 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
-def words(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(column) -> tuple[Arr, Arr, Arr]:
     """Word hashes, their rows, and the number of words of each row."""
     raw, off = flat(pc.utf8_lower(column))
     starts, ends, rows = word_spans(raw, off)
     return span_hashes(raw, starts, ends), rows, np.bincount(rows, minlength=len(off) - 1)
 
 
-def shingles(column, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(column, k: int) -> tuple[Arr, Arr]:
     """Hashes of all runs of k words, in order, and the bounds of each row's run of them.
 
     A row of fewer words, but at least one, has the single shingle of all its

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from numpy import ndarray as Arr
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def _lower(column):
     return flat(pc.utf8_lower(column))
 
 
-def terms(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+def terms(column) -> tuple[Arr, Arr, Arr, tuple[Arr, Arr]]:
     """Buckets of words and word beginnings, their rows, the words of each row, and the lower-case bytes."""
     raw, off = _lower(column)
     starts, ends, rows = word_spans(raw, off)
@@ -69,12 +70,12 @@ def terms(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray,
     return np.concatenate(buckets).astype(np.int64), np.concatenate(of), np.bincount(rows, minlength=len(off) - 1), (raw, off)
 
 
-def lexicon_buckets() -> np.ndarray:
+def lexicon_buckets() -> Arr:
     raw, off = flat(pa.array(LEXICON, pa.large_string()))
     return (span_hashes(raw, off[:-1], off[1:]) >> U(64 - BITS)).astype(np.int64)
 
 
-def patterns(column, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+def patterns(column, raw: Arr, off: Arr) -> Arr:
     """Marks for shouting, exclaiming and masked words."""
     original, ooff = flat(column)
     n = len(off) - 1
@@ -95,7 +96,7 @@ def patterns(column, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def votes(column, voters: np.ndarray) -> np.ndarray:
+def votes(column, voters: Arr) -> Arr:
     """A row of votes (bool) for each text: presence, density of each voter's term, then the patterns."""
     b, rows, n_words, (raw, off) = terms(column)
     n = len(n_words)
@@ -108,7 +109,7 @@ def votes(column, voters: np.ndarray) -> np.ndarray:
     return np.concatenate([count > 0, dense, patterns(column, raw, off)], axis=1)
 
 
-def inputs(column, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def inputs(column, buckets: Arr) -> tuple[Arr, Arr, Arr, Arr]:
     """The classifier's inputs as (row, column, value), by row, and the words of each row."""
     b, rows, n_words, _ = terms(column)
     d = len(buckets)
@@ -140,7 +141,7 @@ def _presence(weight):
     return f
 
 
-def mine(presence: np.ndarray, most: int) -> np.ndarray:
+def mine(presence: Arr, most: int) -> Arr:
     """The buckets that tell toxic from clean documents best, one of those with equal counts."""
     (clean, toxic), (n0, n1) = presence[:, :-1].astype(float), presence[:, -1].astype(float)
     p1, p0 = (toxic + 0.5) / (n1 + 1), (clean + 0.5) / (n0 + 1)
@@ -163,39 +164,39 @@ def mine(presence: np.ndarray, most: int) -> np.ndarray:
 class LabelModel:
     """prior of each class, rates[class, voter], the weight of each voter's evidence, and which classes are toxic."""
 
-    prior: np.ndarray
-    rates: np.ndarray
-    weight: np.ndarray
-    bad: np.ndarray
+    prior: Arr
+    rates: Arr
+    weight: Arr
+    bad: Arr
 
-    def posterior(self, v: np.ndarray) -> np.ndarray:
+    def posterior(self, v: Arr) -> Arr:
         one, none = np.log(self.rates) * self.weight, np.log1p(-self.rates) * self.weight
         v = v.astype(float)
         z = v @ one.T + np.maximum((1 - v) @ none.T, -ABSTAIN) + np.log(self.prior)
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def toxic(self, v: np.ndarray) -> np.ndarray:
+    def toxic(self, v: Arr) -> Arr:
         return self.posterior(v)[:, self.bad].sum(axis=1)
 
 
 @dataclass
 class Model:
     labels: LabelModel | None
-    voters: np.ndarray
-    buckets: np.ndarray
-    beta: np.ndarray
+    voters: Arr
+    buckets: Arr
+    beta: Arr
     bias: float
     notes: dict = field(default_factory=dict)
 
-    def probability(self, column) -> np.ndarray:
+    def probability(self, column) -> Arr:
         row, col, x, n_words = inputs(column, self.buckets)
         s = np.bincount(row, self.beta[col] * x, len(n_words)) + self.bias
         p = 1 / (1 + np.exp(-np.clip(s, -50, 50)))
         return np.where(n_words > 0, p, 0.0)
 
 
-def _em(patterns_: DataFrame, start: LabelModel, strength: np.ndarray, steps: int, m: int) -> LabelModel:
+def _em(patterns_: DataFrame, start: LabelModel, strength: Arr, steps: int, m: int) -> LabelModel:
     model = start
     k = len(start.prior)
     for _ in range(steps):
@@ -325,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mined: int = M
     return Model(model, voters, buckets, beta, bias)
 
 
-def _logistic(row, col, x, p, d: int, penalty: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+def _logistic(row, col, x, p, d: int, penalty: float = 1e-4, steps: int = 400) -> tuple[Arr, float]:
     """Weights and bias by accelerated gradient steps on scaled features; classes weigh evenly up to a factor of 2."""
     n = len(p)
     scale = np.sqrt(np.bincount(col, x * x, d) / max(n, 1)) + 1e-3

@@ -288,8 +288,7 @@ def test_components(spark):
 
 
 def test_bottom_k(spark):
-    rng = np.random.default_rng(0)
-    x = rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    x = np.random.default_rng(0).integers(0, 1 << 64, 20_000, dtype=np.uint64)
     a, b = x[:12_000], x[6_000:]
     sa, sb = fingerprint.merge(a), fingerprint.merge(b)
     assert (fingerprint.merge(sa, sb) == fingerprint.merge(x)).all()
