@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import more_queries, pose_queries, retrieval_queries, sequence_queries  # noqa: F401  (they register themselves)
+from .plans import more_queries, pose_queries, retrieval_queries, sequence_queries, source_queries  # noqa: F401  (they register themselves)
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
