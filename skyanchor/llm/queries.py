@@ -38,7 +38,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token ids as coded blocks, and the shared table."""
-    return rans.encode(rans.tokenised(_read(spark, sf_dir, "documents")))
+    return rans.encode_documents(_read(spark, sf_dir, "documents"))
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ EVERY = 256
 SCHEMA = (
     "kind string, doc_ids array<bigint>, lengths array<int>, n_tokens bigint, payload binary, checkpoints binary, payload_crc bigint, tokens_crc bigint, table_crc bigint"
 )
+PACKED = "doc_ids array<bigint>, lengths array<int>, n bigint, width int, data binary"
 
 
 class Table:
@@ -145,9 +146,7 @@ def _coder(path: str):
     return encoding(path)
 
 
-def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, ids) by byte-level BPE of each whole text; null for null."""
-
+def _tokens(vocabulary: str):
     def run(batches):
         code = _coder(vocabulary).encode_ordinary
         for batch in batches:
@@ -155,7 +154,16 @@ def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 got = [None if s is None else np.array(code(s), np.int32) for s in batch.column("text").slice(a, z - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, z - a), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return run
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, ids) by byte-level BPE of each whole text; null for null."""
+    return _texts(docs).mapInArrow(_tokens(vocabulary), "doc_id bigint, ids array<int>")
 
 
 def _packed(batches):
@@ -236,9 +244,16 @@ def encode(tokens: DataFrame) -> DataFrame:
     empty frequency table alone.
     """
     ids = F.filter(F.col("ids").cast("array<int>"), lambda x: x.isNotNull())
-    packed = tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), ids.alias("ids")).mapInArrow(
-        _packed, "doc_ids array<bigint>, lengths array<int>, n bigint, width int, data binary"
-    )
+    return _encode(tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), ids.alias("ids")).mapInArrow(_packed, PACKED))
+
+
+def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """encode(tokenised(docs)), but tokens are packed where they are made instead of passing through the JVM."""
+    make = _tokens(vocabulary)
+    return _encode(_texts(docs).mapInArrow(lambda batches: _packed(make(batches)), PACKED))
+
+
+def _encode(packed: DataFrame) -> DataFrame:
     packed = cut(packed)
     counts = packed.select("width", "data").mapInArrow(_counts, "token int, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     token, n = np.asarray(counts.column("token")), np.asarray(counts.column("n"))
@@ -246,7 +261,7 @@ def encode(tokens: DataFrame) -> DataFrame:
     full[token] = n
     t = Table.of(full)
     freq = t.freq.astype(np.int64)
-    head = tokens.sparkSession.createDataFrame([("table", None, None, int(n.sum()), bytearray(t.pack()), None, None, None, t.crc)], SCHEMA)
+    head = packed.sparkSession.createDataFrame([("table", None, None, int(n.sum()), bytearray(t.pack()), None, None, None, t.crc)], SCHEMA)
     return head.unionByName(packed.mapInArrow(_coded(freq), SCHEMA))
 
 

@@ -204,7 +204,7 @@ def test_rans_operator(spark):
     tokens = rans.tokenised(d)
     coded = rans.encode(tokens).cache()
     key = lambda df: sorted(((r.doc_id, r.ids) for r in df.collect()), key=repr)
-    assert key(rans.decode(coded)) == key(tokens)
+    assert key(rans.decode(coded)) == key(tokens) == key(rans.decode(rans.encode_documents(d)))
     bad = coded.withColumn("payload", F.when(F.col("kind") == "block", F.concat("payload", F.lit(b"\0\0\0\0"))).otherwise(F.col("payload")))
     with pytest.raises(Exception, match="damaged"):
         rans.decode(bad).collect()
