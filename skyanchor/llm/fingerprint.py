@@ -32,11 +32,12 @@ def distinct(s: np.ndarray, k: int = K) -> float:
     return float(len(s)) if len(s) < k else (k - 1) / ((float(s[k - 1]) + 1) / SPACE)
 
 
-def compare(a: np.ndarray, b: np.ndarray, k: int = K) -> tuple[float, float]:
+def compare(a: np.ndarray, b: np.ndarray, k: int = K) -> tuple[float, float | None]:
     """Estimated resemblance of two sets and containment of the first in the second; 0 where a set is empty.
 
     Both come from the sample below the lesser of the two sketches' last hashes,
-    in which both sets are known in full.
+    in which both sets are known in full; where that holds nothing of the first
+    set its containment is unknown (None).
     """
     if not len(a) or not len(b):
         return 0.0, 0.0
@@ -45,7 +46,7 @@ def compare(a: np.ndarray, b: np.ndarray, k: int = K) -> tuple[float, float]:
         a, b = a[a <= min(last)], b[b <= min(last)]
     same = len(np.intersect1d(a, b, assume_unique=True))
     either = len(a) + len(b) - same
-    return same / either if either else 0.0, same / len(a) if len(a) else 0.0
+    return same / either if either else 0.0, same / len(a) if len(a) else None
 
 
 def _least(h: np.ndarray, k: int) -> np.ndarray:
@@ -121,9 +122,9 @@ def _against(k: int):
                 s, u = (x if x is not None else none for x in (s, u))
                 s, u = np.ascontiguousarray(s).view(U), np.ascontiguousarray(u).view(U)
                 out.append((distinct(s, k), distinct(u, k), *compare(s, u, k)))
-            cols = np.array(out, float).reshape(-1, 4)
+            cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("source"), batch.column("sketch"), *(pa.array(cols[:, i].copy()) for i in range(4))],
+                [batch.column("doc_id"), batch.column("source"), batch.column("sketch"), *(pa.array(c, pa.float64()) for c in cols)],
                 names=["doc_id", "source", "sketch", "n_distinct", "source_distinct", "resemblance", "containment"],
             )
 
@@ -135,7 +136,9 @@ def fingerprints(docs: DataFrame, k: int = K, shingle_words: int = SHINGLE_WORDS
 
     The last two compare the document's shingle set with that of its source.
     Repeated rows each have their row; columns other than doc_id, text and source
-    are left out; an empty table gives one.  n_distinct is 0.0 for wordless texts.
+    are left out; an empty table gives one.  A wordless text has 0.0 for its
+    n_distinct, resemblance and containment; containment is null where none of the
+    document's hashes is as low as its source's sketch reaches.
     """
     mine = document_sketches(docs, k, shingle_words)
     unions = cut(source_sketches(docs, k, shingle_words).withColumnRenamed("source", "of"))
