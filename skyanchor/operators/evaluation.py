@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import _c
+from .ordered import running_sums
 
 RANKS = {
     "accepted_wrong": -20, "error": -10, "refused": 0, "refused_floor1": 0, "refused_floor2": 0, "pose_wrong_gated": 0,
@@ -109,17 +110,21 @@ def exclusive_quantile(df: DataFrame, value: str, q: float, by: list[str] | None
     It differs from `percentile`, which is the inclusive one.
     """
     by = by or []
-    part = f"partition by {', '.join(by)} " if by else ""
-    r = df.filter(F.col(value).isNotNull()).selectExpr(*by, f"cast({value} as double) v", f"row_number() over ({part}order by {value}) rn", f"count(*) over ({part or 'partition by 1'}) n")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    run = running_sums(counts, "v", ["c"], by)
+    n = counts.groupBy(*by).agg(F.sum("c").alias("n"))
+    j = run.join(n, by) if by else run.crossJoin(n)
     at = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(q * (F.col("n") + 1))))
-    near = r.withColumn("j", at).withColumn("frac", q * (F.col("n") + 1) - F.col("j")).filter("n = 1 or rn in (j, j + 1)")
-    weight = F.when(F.col("n") == 1, 1.0).when(F.col("rn") == F.col("j"), 1 - F.col("frac")).otherwise(F.col("frac"))
-    return near.groupBy(*by).agg(F.sum(F.col("v") * weight).alias("q"))
+    j = j.withColumn("j", at).withColumn("frac", q * (F.col("n") + 1) - F.col("j"))
+    g = j.groupBy(*by).agg(F.first("n").alias("n"), F.first("frac").alias("frac"), F.min(F.when(F.col("run_c") >= F.col("j"), F.col("v"))).alias("lo"), F.min(F.when(F.col("run_c") >= F.col("j") + 1, F.col("v"))).alias("hi"))
+    return g.select(*by, F.when(F.col("n") == 1, F.col("lo")).otherwise(F.col("lo") * (1 - F.col("frac")) + F.col("hi") * F.col("frac")).alias("q"))
 
 
 def auc(df: DataFrame, score: str, label: str, by: str) -> DataFrame:
-    """(by, auc): chance that a positive beats a negative, ties a half, from average ranks; null without both."""
-    w = f"partition by {by} order by {score}"
-    ranked = df.selectExpr(by, f"{label} as y", f"rank() over ({w}) + (count(*) over (partition by {by}, {score}) - 1) / 2D as r")
-    g = ranked.groupBy(by).agg(F.sum(F.when(F.col("y") == 1, F.col("r"))).alias("rs"), F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
-    return g.select(by, F.when((F.col("p") > 0) & (F.col("n") > 0), (F.col("rs") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n"))).alias("auc"))
+    """(by, auc): chance that a positive beats a negative, ties a half, from counts by score; null without both."""
+    counts = df.groupBy(by, F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    run = running_sums(counts, "s", ["n"], [by])
+    # a positive beats the negatives below it and half of those at its value
+    wins = F.sum(F.col("p") * (F.col("run_n") - F.col("n") + F.col("n") / 2))
+    g = run.groupBy(by).agg(wins.alias("w"), F.sum("p").alias("pp"), F.sum("n").alias("nn"))
+    return g.select(by, F.when((F.col("pp") > 0) & (F.col("nn") > 0), F.col("w") / (F.col("pp") * F.col("nn"))).alias("auc"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
+from .ordered import running_sums
 
 FRAME_BLOCK, CELL_BLOCK = 256, 4096
 
@@ -95,11 +96,11 @@ def radius_join(left: DataFrame, right: DataFrame, radius_m: float, max_lat: flo
 def youden(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """One row (threshold, j): the least score of greatest TPR - FPR for 'score >= threshold'; (0, 0) where a class is empty.
 
-    Scores are first counted by value, so the ordered pass is over distinct values.
+    Scores are first counted by value, and the ordered pass over distinct values runs by buckets of them.
     """
     by = scores.groupBy(F.col(score).alias("t")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("n"))
     total = by.agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"))
-    run = by.selectExpr("t", "sum(p) over (order by t desc) tp", "sum(n) over (order by t desc) fp").crossJoin(total)
+    run = running_sums(by, "t", ["p", "n"], descending=True).withColumnsRenamed({"run_p": "tp", "run_n": "fp"}).crossJoin(total)
     best = run.filter("pp > 0 and nn > 0").withColumn("j", F.col("tp") / F.col("pp") - F.col("fp") / F.col("nn")).agg(F.max(F.struct(F.round("j", 12).alias("j"), (-F.col("t")).alias("m"))).alias("b"))
     return best.select(F.coalesce(-F.col("b.m"), F.lit(0.0)).alias("threshold"), F.coalesce("b.j", F.lit(0.0)).alias("j"))
 
