@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -102,31 +103,32 @@ def _blocks(batches):
             yield int(mix(h + void).sum(dtype=U).view(np.int64)), part
 
 
-def _numbered(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct words, the number of each occurrence's word, and the occurrences of each text."""
-    find, number = _pattern().findall, {}
+def _distinct(texts: list[str | None]) -> list[str]:
+    """The distinct words in the order of their first occurrence; common ones tend to come early."""
+    find, seen = _pattern().findall, {}
+    for t in texts:
+        if t:
+            seen.update(dict.fromkeys(find(t)))
+    return list(seen)
+
+
+def _numbered(texts: list[str | None]) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many distinct words there are, the number of each occurrence's word as in _distinct, and the occurrences of each text."""
+    find, number = _pattern().findall, defaultdict()
+    number.default_factory = number.__len__
     each, stream = np.zeros(len(texts), np.int64), []
     for i, t in enumerate(texts):
         if t:
             found = find(t)
             each[i] = len(found)
-            stream.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found)))
-    return list(number), np.concatenate(stream) if stream else np.zeros(0, np.int64), each
-
-
-def _by_frequency(words: list[str], stream: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Renumbered from the commonest word on, so that most numbers are small."""
-    order = np.argsort(-np.bincount(stream, minlength=len(words)), kind="stable")
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    return [words[i] for i in order], rank[stream]
+            stream.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
+    return len(number), np.concatenate(stream) if stream else np.zeros(0, np.int64), each
 
 
 def _word_rows(buckets: int):
     def run(batches):
         for block, part in _blocks(batches):
-            words, stream, _ = _numbered(part.column("text").to_pylist())
-            words, _ = _by_frequency(words, stream)
+            words = _distinct(part.column("text").to_pylist())
             if not words:
                 continue
             raw, off = flat(pa.array(words, pa.large_string()))
@@ -150,14 +152,13 @@ def _word_rows(buckets: int):
 
 def _stream_rows(batches):
     for block, part in _blocks(batches):
-        words, stream, each = _numbered(part.column("text").to_pylist())
-        words, stream = _by_frequency(words, stream)
+        n_words, stream, each = _numbered(part.column("text").to_pylist())
         sink = pa.BufferOutputStream()
         rest = part.drop_columns(["text"]).append_column("__void", pc.is_null(part.column("text")))
         with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_batch(rest)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.array([len(words)], pa.int64()), pa.array([_pack(stream, each)], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+            [pa.array([block], pa.int64()), pa.array([n_words], pa.int64()), pa.array([_pack(stream, each)], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
             names=["block", "n_words", "stream", "rows"],
         )
 
