@@ -20,27 +20,43 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier doesn't reject."""
-    return quality.keep_good(docs, _labels(spark, sf_dir)).select(*docs.columns)
+    """The documents that the quality classifier doesn't reject, with all their columns.
+
+    Null and empty texts are rejected; equal rows fare alike; an empty table gives one.
+    """
+    return quality.keep_good(docs, _labels(spark, sf_dir), column=None)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the toxicity classifier doesn't reject."""
-    return toxicity.keep_clean(docs, _labels(spark, sf_dir)).select(*docs.columns)
+    """The documents that the toxicity classifier doesn't reject, with all their columns.
+
+    Null, empty and wordless texts stay; equal rows fare alike; an empty table gives one.
+    """
+    return toxicity.keep_clean(docs, _labels(spark, sf_dir), column=None)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies."""
+    """One document, with all its columns, of each group of exact and near copies: that of the least doc_id, nulls last.
+
+    Null texts stay, each of them; of equal rows one stays; an empty table gives one.
+    """
     return minhash.near_dedup(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as equal shares of the sources ask."""
+    """The documents, with all their columns, as often as equal shares of the sources ask.
+
+    Null is a source of its own; null and empty texts have no tokens but are repeated
+    as their source; a source without any tokens goes; an empty table gives one.
+    """
     return mixing.mix_sources(docs, ordinal=None)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of texts."""
+    """Token ids and their number in place of texts, with the other columns but those of the names ids and n_tokens.
+
+    A null text has null ids, an empty one none; equal rows are each coded; an empty table gives one.
+    """
     return bpe.encode(docs)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import STATISTICS, labelled, statistics, summed
-from .textkit import chunks, cut, without
+from .textkit import chunks, cut, with_column, without
 
 FEATURES = 256
 WIDTH = 4.0
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     return model
 
 
-def _scored(model: Model, least: float | None):
+def _scored(model: Model, least: float | None, column: str | None):
     def run(batches):
         for batch in batches:
             text = batch.column("text")
@@ -132,23 +132,24 @@ def _scored(model: Model, least: float | None):
                 p = np.round(model.probability(statistics(part.column("text"))), 9)
                 void = np.asarray(pc.equal(pc.coalesce(pc.utf8_length(part.column("text")), 0), 0))
                 p[void] = 0
-                out = pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], names=[*part.schema.names, "quality_score"])
+                out = with_column(part, column, pa.array(p)) if column else part
                 yield out if least is None else out.filter(pa.array(p >= least))
 
     return run
 
 
-def score(docs: DataFrame, model: Model, least: float | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, least: float | None = None, column: str | None = "quality_score") -> DataFrame:
     """docs with quality_score, the calibrated probability of being good; with least, those that reach it.
 
-    Null and empty texts score 0.  All columns come through but one named
-    quality_score; equal rows score alike; an empty table gives one.
+    Null and empty texts score 0.  All columns come through but one that clashes
+    with column, the scores' name; with column None there are no scores, and all do.
+    Equal rows score alike; an empty table gives one.
     """
-    base = without(docs, "quality_score")
+    base = without(docs, column or "")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(_scored(model, least), f"{schema}, quality_score double")
+    return base.mapInArrow(_scored(model, least, column), schema + (f", `{column}` double" if column else ""))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, least: float = KEEP_AT, **how) -> DataFrame:
-    """The documents that the classifier fitted to labels doesn't reject, with their scores."""
-    return score(docs, fit(docs, labels, **how), least)
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = KEEP_AT, column: str | None = "quality_score", **how) -> DataFrame:
+    """The documents that the classifier fitted to labels doesn't reject, with their scores, as score gives them; null and empty texts go."""
+    return score(docs, fit(docs, labels, **how), least, column)

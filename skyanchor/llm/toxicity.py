@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import labelled, summed
-from .textkit import U, chunks, cut, flat, span_hashes, without, word_spans
+from .textkit import U, chunks, cut, flat, span_hashes, with_column, without, word_spans
 
 LEXICON = (
     "idiot", "idiots", "moron", "morons", "loser", "losers", "scum", "clown", "clowns", "stupid", "disgusting", "worthless", "pathetic", "trash",
@@ -347,13 +347,14 @@ def _logistic(row, col, x, p, d: int, penalty: float = 1e-4, steps: int = 400) -
     return beta / scale, float(bias)
 
 
-def score(docs: DataFrame, model: Model, below: float | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, below: float | None = None, column: str | None = "toxicity_score") -> DataFrame:
     """docs with toxicity_score; with below, those of a lower score only.
 
-    Null, empty and wordless texts score 0.  All columns come through but one
-    named toxicity_score; equal rows score alike; an empty table gives one.
+    Null, empty and wordless texts score 0.  All columns come through but one that
+    clashes with column, the scores' name; with column None there are no scores, and
+    all do.  Equal rows score alike; an empty table gives one.
     """
-    base = without(docs, "toxicity_score")
+    base = without(docs, column or "")
 
     def run(batches):
         for batch in batches:
@@ -361,13 +362,13 @@ def score(docs: DataFrame, model: Model, below: float | None = None) -> DataFram
             for a, z in chunks(text):
                 part = batch.slice(a, z - a)
                 p = np.round(model.probability(part.column("text")), 9)
-                out = pa.RecordBatch.from_arrays([*part.columns, pa.array(p)], names=[*part.schema.names, "toxicity_score"])
+                out = with_column(part, column, pa.array(p)) if column else part
                 yield out if below is None else out.filter(pa.array(p < below))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInArrow(run, f"{schema}, toxicity_score double")
+    return base.mapInArrow(run, schema + (f", `{column}` double" if column else ""))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, at: float = TOXIC_AT, **how) -> DataFrame:
-    """The documents whose probability of being toxic is below at, with their scores."""
-    return score(docs, fit(docs, labels, **how), at)
+def keep_clean(docs: DataFrame, labels: DataFrame, at: float = TOXIC_AT, column: str | None = "toxicity_score", **how) -> DataFrame:
+    """The documents whose probability of being toxic is below at, with their scores, as score gives them; null and empty texts stay."""
+    return score(docs, fit(docs, labels, **how), at, column)

@@ -5,12 +5,13 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skyanchor.llm import bpe, mixing, quality, queries, toxicity
 
 from ..oracle import compare, connect
-from .test_operators import brute_groups
+from .test_operators import brute_groups, odd_docs
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,6 +65,21 @@ def test_stages(spark):
     assert len(coded) == len(mixed) and all(list(a) == e.encode_ordinary(text[i]) for i, a in zip(coded.doc_id, coded.ids))
 
 
+def test_stages_take_odd_inputs(spark):
+    odd = odd_docs(spark)
+    for name in ("Quality_score", "toxicity_score", "COPY", "key", "Ids", "__copies2"):
+        odd = odd.withColumn(name, F.lit("mine"))
+    n = {}
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, odd, SF)
+        assert name == "byte_bpe" or (out.columns == odd.columns and out.dtypes == odd.dtypes)
+        got = out.collect()
+        n[name] = len(got)
+        assert name == "byte_bpe" or all(r.toxicity_score == "mine" and r.COPY == "mine" for r in got)
+        assert f(spark, odd.limit(0), SF).count() == 0
+    assert n["toxicity"] == 13 and n["near_dedup"] == 11 and n["byte_bpe"] == 13 and 0 < n["quality"] < 13
+
+
 def test_run_equals_the_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, f in corpus_pipeline.STAGES:
