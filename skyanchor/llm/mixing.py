@@ -33,18 +33,18 @@ def uniform(doc_id, text, seed: str):
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None) -> DataFrame:
     """(source, tokens, rate) for each source, null being one of them.
 
-    weights need not add up to 1; a source that they don't name gets none.
+    weights need not add up to 1; a source that they don't name gets none, and the
+    share of one that isn't there or has no tokens goes to the others.
     Without weights all sources that have tokens weigh the same.  total is by
     default the number of tokens there are.  A source without tokens has rate 0.
     """
     tokens = cut(docs.select("source", token_count().alias("tokens")).groupBy("source").agg(F.sum("tokens").alias("tokens")))
     if weights is None:
-        weight = F.when(F.col("tokens") > 0, 1.0).otherwise(0.0)
+        weighed = tokens.withColumn("weight", F.when(F.col("tokens") > 0, 1.0).otherwise(0.0))
     else:
-        weight = F.lit(0.0)
-        for name, w in weights.items():
-            weight = F.when(F.col("source").eqNullSafe(F.lit(name).cast("string")), float(w)).otherwise(weight)
-    weighed = tokens.withColumn("weight", weight)
+        given = docs.sparkSession.createDataFrame([(k, float(w)) for k, w in weights.items()], "of string, weight double")
+        joined = tokens.join(given, F.col("source").eqNullSafe(F.col("of")), "left")
+        weighed = joined.select("source", "tokens", F.when(F.col("tokens") > 0, F.coalesce("weight", F.lit(0.0))).otherwise(0.0).alias("weight"))
     sums = weighed.agg(F.sum("weight").alias("all_weight"), F.sum("tokens").alias("all_tokens"))
     goal = F.col("all_tokens") if total is None else F.lit(int(total))
     rate = F.when((F.col("tokens") > 0) & (F.col("all_weight") > 0), F.col("weight") / F.col("all_weight") * goal / F.col("tokens"))
