@@ -8,18 +8,25 @@ is the whole set, and every estimate is exact.
 
 from __future__ import annotations
 
+import os
+import uuid
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U, chunks, cut, shingles
+from .textkit import U, chunks, cut, local_path, makedirs, shared_dir, shingles
 
 K = 256
 SHINGLE_WORDS = 3
 SPACE = 2.0**64
 #: The sources' sketches are broadcast up to this size, and joined by a shuffle beyond.
 BROADCAST_BYTES = 32 << 20
+#: Rows of a segment of the hash index at most, rows compared with it at a time, and meetings on a hash counted at a time.
+SEGMENT_ROWS, SLICE_ROWS, MEETINGS = 1 << 14, 256, 1 << 22
+VOID = np.iinfo(np.int64).min
 
 
 def merge(*sketches: np.ndarray, k: int = K) -> np.ndarray:
@@ -131,10 +138,153 @@ def _against(k: int):
     return run
 
 
+def _index(base: DataFrame) -> list[tuple[int, int, int, str]]:
+    """Write base with its hashes in ascending order; (least doc_id, greatest, rows, path stem) of the segments, null as VOID."""
+    folder = f"{local_path(shared_dir(base.sparkSession))}/sketches-{uuid.uuid4().hex}"
+
+    def write(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SEGMENT_ROWS):
+                part = batch.slice(at, SEGMENT_ROWS)
+                part = part.take(pa.array(np.argsort(_ids(part), kind="stable")))
+                ids, (flat, off) = _ids(part), _flat(part)
+                order = np.argsort(flat, kind="stable")
+                stem = f"{makedirs(folder)}/{uuid.uuid4().hex}"
+                with pa.OSFile(f"{stem}.rows", "wb") as f, pa.ipc.new_file(f, part.schema) as w:
+                    w.write_batch(part)
+                flat[order].tofile(f"{stem}.hashes")
+                np.repeat(np.arange(len(ids), dtype=np.uint16), np.diff(off))[order].tofile(f"{stem}.owners")
+                yield pa.RecordBatch.from_pydict({"lo": [int(ids[0])], "hi": [int(ids[-1])], "n": [len(ids)], "stem": [stem]})
+
+    made = base.mapInArrow(write, "lo bigint, hi bigint, n bigint, stem string").collect()
+    return sorted((r.lo, r.hi, r.n, r.stem) for r in made)
+
+
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column("doc_id").fill_null(VOID))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' sketches end to end, and their bounds."""
+    sketch = batch.column("sketch")
+    return np.asarray(sketch.flatten()).view(U), np.concatenate([[0], np.cumsum(np.asarray(sketch.value_lengths()), dtype=np.int64)])
+
+
+@lru_cache(maxsize=64)
+def _segment(stem: str):
+    batch = pa.ipc.open_file(pa.memory_map(f"{stem}.rows")).get_batch(0)
+    flat, off = _flat(batch)
+    some = os.path.getsize(f"{stem}.hashes") > 0
+    hashes, owners = (np.memmap(f"{stem}.{n}", t, "r") if some else np.zeros(0, t) for n, t in (("hashes", U), ("owners", np.uint16)))
+    return batch, _ids(batch), flat, off, hashes, owners
+
+
+def _below(flat: np.ndarray, start: np.ndarray, stop: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many of each ascending run flat[start:stop] are no greater than most."""
+    lo, hi = start.copy(), stop.copy()
+    while (live := lo < hi).any():
+        mid = (lo + hi) >> 1
+        up = flat[np.minimum(mid, len(flat) - 1)] <= most
+        lo, hi = np.where(live & up, mid + 1, lo), np.where(live & ~up, mid, hi)
+    return lo - start
+
+
+def _meet(mine, a: int, z: int, theirs, k: int):
+    """Rows (from a, of theirs) of the pairs that share a hash, with the hashes shared and held by each in their common sample."""
+    _, _, flat, off, _, _ = mine
+    _, ids, flat_b, off_b, hashes, owners = theirs
+    h, row = flat[off[a] : off[z]], np.repeat(np.arange(z - a), np.diff(off[a : z + 1]))
+    order = np.argsort(h, kind="stable")
+    h, row = h[order], row[order]
+    lo = np.searchsorted(hashes, h)
+    hit = lo < len(hashes)
+    hit[hit] = hashes[lo[hit]] == h[hit]
+    h, row, lo = h[hit], row[hit], lo[hit]
+    n = np.searchsorted(hashes, h, side="right") - lo
+    count = np.zeros((z - a) * len(ids), np.int64)
+    ends = np.cumsum(n)
+    i = 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + MEETINGS, side="right")))
+        m = n[i:j]
+        at = np.arange(m.sum()) + np.repeat(lo[i:j] - (np.cumsum(m) - m), m)
+        count += np.bincount(np.repeat(row[i:j] * len(ids), m) + owners[at], minlength=len(count))
+        i = j
+    pair = np.flatnonzero(count)
+    same, (x, y) = count[pair], np.divmod(pair, len(ids) or 1)
+    held = []
+    full = np.iinfo(U).max
+    ends = [(f, o[r], o[r + 1]) for f, o, r in ((flat, off, x + a), (flat_b, off_b, y))]
+    last = [np.where(e - s >= k, f[e - 1], full) if len(e) else np.zeros(0, U) for f, s, e in ends]
+    for (f, s, e), own, other in ((ends[0], *last), (ends[1], *last[::-1])):
+        held.append(e - s)
+        short = np.flatnonzero(own > other)
+        held[-1][short] = _below(f, s[short], e[short], other[short])
+    return x, y, same, *held
+
+
+def _with_pairs(segments: list[tuple[int, int, int, str]], starts: np.ndarray, k: int):
+    """For slice numbers, the rows of each slice with what they share with later documents."""
+
+    def run(batches):
+        for batch in batches:
+            for number in batch.column("id").to_pylist():
+                at = int(np.searchsorted(starts, number, side="right")) - 1
+                mine = _segment(segments[at][3])
+                a = (number - int(starts[at])) * SLICE_ROWS
+                z = min(a + SLICE_ROWS, segments[at][2])
+                found = []
+                for other, (_, hi, _, stem) in enumerate(segments):
+                    if hi < mine[1][a] or (hi == mine[1][a] and other < at):
+                        continue
+                    theirs = _segment(stem)
+                    x, y, same, na, nb = _meet(mine, a, z, theirs, k)
+                    own, its = mine[1][x + a], theirs[1][y]
+                    later = (its > own) | ((its == own) & ((other > at) | ((other == at) & (y > x + a))))
+                    found.append([v[later] for v in (x, its, same, na, nb)])
+                x, its, same, na, nb = (np.concatenate(v) for v in zip(*found))
+                order = np.argsort(x.astype(np.uint16), kind="stable")
+                if ((np.diff(x[order]) == 0) & (np.diff(its[order].astype(object) if VOID in its else its[order]) < 0)).any():
+                    order = np.lexsort((its, x))
+                x, its, same, na, nb = (v[order] for v in (x, its, same, na, nb))
+                off = pa.array(np.concatenate([[0], np.cumsum(np.bincount(x, minlength=z - a))]).astype(np.int32))
+                values = (pa.array(its, mask=its == VOID), *(pa.array(v) for v in (same / (na + nb - same), same / na, same / nb)))
+                lists = [pa.ListArray.from_arrays(off, v) for v in values]
+                part = mine[0].slice(a, z - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, *lists], names=[*part.schema.names, *NEAR])
+
+    return run
+
+
+NEAR = ("near", "near_resemblance", "near_containment", "near_contained")
+
+
+def near_pairs(base: DataFrame, k: int = K) -> DataFrame:
+    """base (doc_id, sketch, ...) with near, near_resemblance, near_containment and near_contained.
+
+    They list the later documents, in order of doc_id, that share a hash of the
+    sketch, so that each pair stands once, with the lesser doc_id; null comes first,
+    and equal doc_ids in any order.  Containment is of this document in the other,
+    contained of the other in this one.  The join is on equal hashes, without a cap:
+    slices of rows look theirs up in segments of an index in the shared folder and
+    count by pair of rows, so a hash held by all costs and gives all pairs, but no
+    pair is shuffled.
+    """
+    spark = base.sparkSession
+    segments = _index(base)
+    slices = [-(-n // SLICE_ROWS) for _, _, n, _ in segments]
+    starts = np.concatenate([[0], np.cumsum(slices)]).astype(np.int64)[: len(slices)]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+    total = sum(slices)
+    tasks = spark.range(0, total, 1, max(1, total // 8, min(total, spark.sparkContext.defaultParallelism)))
+    return tasks.mapInArrow(_with_pairs(segments, starts, k), f"{ddl}, near array<bigint>, near_resemblance array<double>, near_containment array<double>, near_contained array<double>")
+
+
 def fingerprints(docs: DataFrame, k: int = K, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, source, sketch, n_distinct, source_distinct, resemblance, containment) for each row.
+    """(doc_id, source, sketch, n_distinct, source_distinct, resemblance, containment) and near_pairs' columns for each row.
 
-    The last two compare the document's shingle set with that of its source.
+    resemblance and containment compare the document's shingle set with that of its
+    source; the near columns compare it with other documents.
     Repeated rows each have their row; columns other than doc_id, text and source
     are left out; an empty table gives one.  A wordless text has 0.0 for its
     n_distinct, resemblance and containment; containment is null where none of the
@@ -145,10 +295,8 @@ def fingerprints(docs: DataFrame, k: int = K, shingle_words: int = SHINGLE_WORDS
     if unions.count() * k * 8 <= BROADCAST_BYTES:
         unions = F.broadcast(unions)
     joined = mine.join(unions, mine["source"].eqNullSafe(unions["of"]), "left").select("doc_id", "source", "sketch", "union")
-    return joined.mapInArrow(
+    base = joined.mapInArrow(
         _against(k),
         "doc_id bigint, source string, sketch array<bigint>, n_distinct double, source_distinct double, resemblance double, containment double",
     )
-
-
-
+    return near_pairs(base, k)

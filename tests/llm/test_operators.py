@@ -314,6 +314,35 @@ def test_fingerprints_odd_inputs_and_exact_small_sets(spark):
     assert fingerprint.fingerprints(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("k", [16, 256])
+def test_pairs_of_documents_are_compared(spark, k, monkeypatch):
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    long, hot = word(300), "one phrase that all of them hold"
+    texts = [long, long, long + " and one more", " ".join(long.split()[40:160]), *(f"{hot} {word(5)}" for _ in range(60)), word(200), "", None]
+    ids = [*range(len(texts) - 2), None, 2]  # the last is a second row of document 2
+    d = spark.createDataFrame([(i, t, f"s{n % 3}") for n, (i, t) in enumerate(zip(ids, texts))], "doc_id bigint, text string, source string").repartition(3)
+    monkeypatch.setattr(fingerprint, "MEETINGS", 50)
+    got = {}
+    rows = fingerprint.fingerprints(d, k=k).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert list(r.near) == sorted(r.near)
+        for o, *v in zip(r.near, r.near_resemblance, r.near_containment, r.near_contained):
+            assert (r.doc_id, o) not in got
+            got[r.doc_id, o] = tuple(v)
+    s, b = textkit.shingles(pa.array(texts, pa.string()), 3)
+    sketch = [np.unique(s[b[i] : b[i + 1]])[:k] for i in range(len(texts))]
+    want = {}
+    for i in range(len(texts) - 2):
+        for j in range(i + 1, len(texts) - 2):
+            if len(np.intersect1d(sketch[i], sketch[j])):
+                r, c = fingerprint.compare(sketch[i], sketch[j], k)
+                want[i, j] = (r, c, fingerprint.compare(sketch[j], sketch[i], k)[1])
+    assert got == want
+    assert got[0, 1] == (1, 1, 1) and got[0, 2][1] == 1 and got[0, 3][2] == 1 and (k < 256 or (4, 63) in got)
+
+
 def test_source_sketch_equals_that_of_all_texts(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
     got = {r.source: np.array(r.union, np.int64).view(np.uint64) for r in fingerprint.source_sketches(d).collect()}
