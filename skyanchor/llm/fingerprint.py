@@ -24,8 +24,8 @@ SHINGLE_WORDS = 3
 SPACE = 2.0**64
 #: The sources' sketches are broadcast up to this size, and joined by a shuffle beyond.
 BROADCAST_BYTES = 32 << 20
-#: Rows of a segment of the hash index at most, rows compared with it at a time, and meetings on a hash counted at a time.
-SEGMENT_ROWS, SLICE_ROWS, MEETINGS = 1 << 14, 256, 1 << 22
+#: Rows of a segment of the hash index at most, rows compared with it at a time, meetings on a hash counted and pairs given at a time.
+SEGMENT_ROWS, SLICE_ROWS, MEETINGS, GIVEN = 1 << 14, 128, 1 << 21, 1 << 19
 VOID = np.iinfo(np.int64).min
 
 
@@ -241,17 +241,25 @@ def _with_pairs(segments: list[tuple[int, int, int, str]], starts: np.ndarray, k
                     x, y, same, na, nb = _meet(mine, a, z, theirs, k)
                     own, its = mine[1][x + a], theirs[1][y]
                     later = (its > own) | ((its == own) & ((other > at) | ((other == at) & (y > x + a))))
-                    found.append([v[later] for v in (x, its, same, na, nb)])
+                    found.append([v[later].astype(t) for v, t in ((x, np.uint16), (its, np.int64), (same, np.int32), (na, np.int32), (nb, np.int32))])
                 x, its, same, na, nb = (np.concatenate(v) for v in zip(*found))
-                order = np.argsort(x.astype(np.uint16), kind="stable")
-                if ((np.diff(x[order]) == 0) & (np.diff(its[order].astype(object) if VOID in its else its[order]) < 0)).any():
+                del found
+                order = np.argsort(x, kind="stable")
+                if ((x[order][1:] == x[order][:-1]) & (its[order][1:] < its[order][:-1])).any():
                     order = np.lexsort((its, x))
                 x, its, same, na, nb = (v[order] for v in (x, its, same, na, nb))
-                off = pa.array(np.concatenate([[0], np.cumsum(np.bincount(x, minlength=z - a))]).astype(np.int32))
-                values = (pa.array(its, mask=its == VOID), *(pa.array(v) for v in (same / (na + nb - same), same / na, same / nb)))
-                lists = [pa.ListArray.from_arrays(off, v) for v in values]
-                part = mine[0].slice(a, z - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, *lists], names=[*part.schema.names, *NEAR])
+                ends = np.cumsum(np.bincount(x, minlength=z - a))
+                i = 0
+                while i < z - a:
+                    began = int(ends[i - 1]) if i else 0
+                    j = max(i + 1, int(np.searchsorted(ends, began + GIVEN, side="right")))
+                    some = slice(began, int(ends[j - 1]))
+                    off = pa.array(np.concatenate([[0], ends[i:j] - began]).astype(np.int32))
+                    who, n, p, q = its[some], same[some], na[some], nb[some]
+                    values = (pa.array(who, mask=who == VOID), *(pa.array(v) for v in (n / (p + q - n), n / p, n / q)))
+                    part = mine[0].slice(a + i, j - i)
+                    yield pa.RecordBatch.from_arrays([*part.columns, *(pa.ListArray.from_arrays(off, v) for v in values)], names=[*part.schema.names, *NEAR])
+                    i = j
 
     return run
 

@@ -323,6 +323,7 @@ def test_pairs_of_documents_are_compared(spark, k, monkeypatch):
     ids = [*range(len(texts) - 2), None, 2]  # the last is a second row of document 2
     d = spark.createDataFrame([(i, t, f"s{n % 3}") for n, (i, t) in enumerate(zip(ids, texts))], "doc_id bigint, text string, source string").repartition(3)
     monkeypatch.setattr(fingerprint, "MEETINGS", 50)
+    monkeypatch.setattr(fingerprint, "GIVEN", 100)
     got = {}
     rows = fingerprint.fingerprints(d, k=k).collect()
     assert len(rows) == len(texts)
