@@ -143,6 +143,19 @@ def cluster_running_centroid(spark, sf_dir):
     return sequence.running_clusters(p, "g", "id", 0.8)
 
 
+@query(f"""WITH RECURSIVE {CELLS}, p AS (SELECT cell_id // 250 * 5 + cell_id % 5 AS g, cell_id AS id, row_number() OVER (PARTITION BY cell_id // 250 * 5 + cell_id % 5 ORDER BY cell_id) AS i, lat, lon FROM cells),
+r AS (SELECT g, id, i, [lat] AS la, [lon] AS lo, [1::BIGINT] AS n, 0::BIGINT AS c FROM p WHERE i = 1
+UNION ALL SELECT g, id, i, CASE WHEN k < 0 THEN list_append(la, lat) ELSE list_transform(la, lambda v, j: CASE WHEN j = k + 1 THEN (v * n[j] + lat) / (n[j] + 1) ELSE v END) END,
+  CASE WHEN k < 0 THEN list_append(lo, lon) ELSE list_transform(lo, lambda v, j: CASE WHEN j = k + 1 THEN (v * n[j] + lon) / (n[j] + 1) ELSE v END) END,
+  CASE WHEN k < 0 THEN list_append(n, 1) ELSE list_transform(n, lambda v, j: CASE WHEN j = k + 1 THEN v + 1 ELSE v END) END, CASE WHEN k < 0 THEN len(la) ELSE k END
+  FROM (SELECT p.g, p.id, p.i, p.lat, p.lon, r.la, r.lo, r.n, coalesce(list_position(list_transform(la, lambda v, j: {haversine_sql('v', 'lo[j]', 'p.lat', 'p.lon')} < 800), TRUE), 0) - 1 AS k FROM r JOIN p ON p.g = r.g AND p.i = r.i + 1))
+SELECT g, id AS i, c AS cluster FROM r""")
+def cluster_running_centroid_all(spark, sf_dir):
+    """All cells, in groups of at most 50 whose number grows with the table; the first five are those of cluster_running_centroid."""
+    p = cells(spark, sf_dir).select(F.expr("cell_id div 250 * 5 + cell_id % 5").alias("g"), F.col("cell_id").alias("id"), "lat", "lon")
+    return sequence.running_clusters(p, "g", "id", 0.8)
+
+
 def _ring():
     return ", ".join(f"[round({x}, 7), round({y}, 7)]" for x, y in [*_K, _K[0]])
 

@@ -166,3 +166,14 @@ def test_asof_takes_the_last_value_at_or_before(spark):
     right = spark.createDataFrame([(1, 3, 30.0), (1, 5, 50.0), (1, 7, 70.0)], "k int, t int, v double")
     assert sorted(map(tuple, sequence.asof(left, right, "k", "t", "v").collect()), key=str) == [(1, 1, None), (1, 5, 50.0), (2, 9, None)]
     assert math.isclose(left.agg(F.sum("t")).first()[0], 15)
+
+
+def test_clusters_cover_all_cells(spark):
+    from skyanchor.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    got = QUERIES["cluster_running_centroid_all"](spark, sf).toPandas()
+    assert n > 250 and len(got) == got.i.nunique() == n and got.groupby("g").size().max() <= 50
+    first = QUERIES["cluster_running_centroid"](spark, sf).toPandas()
+    assert first.merge(got, on=["g", "i", "cluster"]).shape[0] == len(first)
