@@ -72,7 +72,10 @@ def hypotheses(corr: DataFrame, count: int = 64, least_baseline: float = 50.0) -
     """
     n = corr.groupBy("frame_id").agg(F.count("*").alias("n"))
     h = n.filter("n >= 2").select("frame_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))).alias("h"))
-    h = h.selectExpr("frame_id", "h", "h % n as i1", "(h + 1 + 7 * (h div 8)) % n as i2").filter("i1 <> i2")
+    return _transforms(corr, h.selectExpr("frame_id", "h", "h % n as i1", "(h + 1 + 7 * (h div 8)) % n as i2").filter("i1 <> i2"), least_baseline)
+
+
+def _transforms(corr: DataFrame, h: DataFrame, least_baseline: float) -> DataFrame:
     p, q = (corr.select("frame_id", F.col("i").alias(f"i{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("qx", "qy", "rx", "ry"))) for k in (1, 2))
     j = h.join(p, ["frame_id", "i1"]).join(q, ["frame_id", "i2"])
     dx, dy, ex, ey = (F.col(f"{c}2") - F.col(f"{c}1") for c in ("qx", "qy", "rx", "ry"))
@@ -82,14 +85,34 @@ def hypotheses(corr: DataFrame, count: int = 64, least_baseline: float = 50.0) -
     return j.select("frame_id", "h", "a", "b", (F.col("rx1") - F.col("a") * F.col("qx1") + F.col("b") * F.col("qy1")).alias("tx"), (F.col("ry1") - F.col("b") * F.col("qx1") - F.col("a") * F.col("qy1")).alias("ty"))
 
 
-def ransac(corr: DataFrame, count: int = 64, threshold_px: float = 3.0, min_inliers: int = 10, min_scale: float | None = None, max_scale: float | None = None) -> DataFrame:
+def more_hypotheses(corr: DataFrame, best: DataFrame, count: int = 64, most: int = 5000, confidence: float = 0.999, least_baseline: float = 50.0) -> DataFrame:
+    """Hypotheses count to most - 1 of the frames that the first count of hypotheses() don't settle, from a hash of (frame, h).
+
+    best (frame_id, n_inliers) has the first ones' largest consensus.  It settles
+    a frame where count draws would miss a set of its share with a probability of
+    at most 1 - confidence; in a frame with points that the first can't draw,
+    where it holds more than half the points.
+    """
+    reach = count + 1 + 7 * ((count - 1) // 8)
+    n = corr.groupBy("frame_id").agg(F.count("*").alias("n")).filter("n >= 2").join(best.select("frame_id", "n_inliers"), "frame_id", "left")
+    w = F.coalesce("n_inliers", F.lit(0)) / F.col("n")
+    settled = F.when(F.col("n") > reach, w > 0.5).otherwise(F.pow(1 - w * w, count) <= 1 - confidence)
+    h = n.filter(~settled).select("frame_id", "n", F.explode(F.sequence(F.lit(count).cast("bigint"), F.lit(most - 1).cast("bigint"))).alias("h") if most > count else F.lit(None).cast("bigint").alias("h")).filter("h is not null")
+    h = h.withColumn("i1", F.expr("pmod(xxhash64(frame_id, h, 1), n)")).withColumn("i2", F.expr("(i1 + 1 + pmod(xxhash64(frame_id, h, 2), n - 1)) % n"))
+    return _transforms(corr, h.select("frame_id", "h", "i1", "i2"), least_baseline)
+
+
+def ransac(corr: DataFrame, count: int = 64, threshold_px: float = 3.0, min_inliers: int = 10, min_scale: float | None = None, max_scale: float | None = None, most: int = 5000) -> DataFrame:
     """(frame_id, h, n_inliers, a, b, tx, ty): the refit on the inliers of the best hypothesis.
 
-    Most inliers win, then the least h.  A frame whose best has too few, or a
+    Most inliers win, then the least h; where count hypotheses don't settle a frame it gets most of them.  A frame whose best has too few, or a
     refitted scale out of bounds, has no row: a refusal is a left join away.
     """
+    tally = lambda hyp: corr.join(hyp, "frame_id").filter(residual() <= threshold_px).groupBy("frame_id", "h").agg(F.count("*").alias("n_inliers"))
     hyp = hypotheses(corr, count)
-    votes = corr.join(hyp, "frame_id").filter(residual() <= threshold_px).groupBy("frame_id", "h").agg(F.count("*").alias("n_inliers"))
+    votes = tally(hyp)
+    more = more_hypotheses(corr, votes.groupBy("frame_id").agg(F.max("n_inliers").alias("n_inliers")), count, most)
+    hyp, votes = hyp.union(more), votes.union(tally(more))
     best = votes.groupBy("frame_id").agg(F.max(F.struct("n_inliers", (-F.col("h")).alias("m"))).alias("w")).select("frame_id", (-F.col("w.m")).alias("h"), F.col("w.n_inliers").alias("n_inliers"))
     best = best.filter(F.col("n_inliers") >= min_inliers)
     inliers = corr.join(hyp.join(best, ["frame_id", "h"]), "frame_id").filter(residual() <= threshold_px).select(*corr.columns)
@@ -101,12 +124,15 @@ def ransac(corr: DataFrame, count: int = 64, threshold_px: float = 3.0, min_inli
     return out
 
 
-def msac(corr: DataFrame, count: int = 64, cap_px: float = 12.0) -> DataFrame:
-    """(frame_id, h, loss, n_inliers): the hypothesis of least truncated squared loss, ties to the least h."""
+def msac(corr: DataFrame, count: int = 64, cap_px: float = 12.0, most: int = 5000) -> DataFrame:
+    """(frame_id, h, loss, n_inliers): the hypothesis of least truncated squared loss, ties to the least h; drawn as in ransac()."""
     d2 = F.pow(residual(), 2)
-    scored = corr.join(hypotheses(corr, count), "frame_id").groupBy("frame_id", "h").agg(
+    score = lambda hyp: corr.join(hyp, "frame_id").groupBy("frame_id", "h").agg(
         F.round(F.sum(F.least(d2, F.lit(cap_px**2))), 6).alias("loss"), F.count_if(d2 <= (cap_px / 2) ** 2).alias("n_inliers")
     )
+    first = score(hypotheses(corr, count))
+    more = more_hypotheses(corr, first.groupBy("frame_id").agg(F.max("n_inliers").alias("n_inliers")), count, most)
+    scored = first.union(score(more))
     return scored.groupBy("frame_id").agg(F.min(F.struct("loss", "h", "n_inliers")).alias("w")).select("frame_id", "w.h", "w.loss", "w.n_inliers")
 
 

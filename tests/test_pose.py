@@ -42,6 +42,20 @@ def test_ransac_with_half_outliers(spark):
     assert len(got) == 3 and all((r.a, r.b) == pytest.approx((a, b), abs=1e-6) for r in got)
 
 
+def test_ransac_and_msac_draw_from_all_points(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for f, n, bad in ((0, 300, 130), (1, 90, 78)):  # the first 114 points are outliers; one inlier in eight
+        for i in range(n):
+            x, y = rng.uniform(0, 512, 2)
+            u, v = rng.uniform(0, 512, 2) if i < bad else (0.9 * x - 0.2 * y + 30, 0.2 * x + 0.9 * y - 10)
+            rows.append((f, i, *map(float, (x, y, u, v))))
+    c = spark.createDataFrame(rows, SCHEMA)
+    got = {r.frame_id: r for r in pose.ransac(c).collect()}
+    assert all((got[f].a, got[f].b) == pytest.approx((0.9, 0.2), abs=1e-2) and got[f].n_inliers >= k for f, k in ((0, 170), (1, 12)))
+    assert {r.frame_id for r in pose.msac(c).collect() if r.n_inliers >= (170, 12)[r.frame_id]} == {0, 1}
+
+
 def test_ransac_refuses(spark):
     rng = np.random.default_rng(1)
     rows = [(0, i, *map(float, rng.uniform(0, 512, 4))) for i in range(40)]
