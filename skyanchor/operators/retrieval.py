@@ -60,6 +60,51 @@ def topk_join(frames: DataFrame, cells: DataFrame, k: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def _dots(m: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Each row's dot product with v, the same for equal rows wherever they stand."""
+    return (m * v).sum(axis=1)
+
+
+def true_cell_rank(frames: DataFrame, cells: DataFrame) -> DataFrame:
+    """(frame_id, true_cell_rank, true_cell_m): the cell nearest to the truth among all, and its rank among all by (similarity, -cell_id).
+
+    Cells equally far, to 6 digits, give the best of their ranks.  Cells of null
+    embeddings take no part; a frame of a null embedding has no row.
+    """
+    f = frames.select("frame_id", "true_lat", "true_lon", F.col("embedding").cast("array<float>").alias("fe")).filter("fe is not null")
+    c = cells.select("cell_id", "lat", "lon", F.col("embedding").cast("array<float>").alias("ce")).filter("ce is not null")
+    m = haversine(lat1="true_lat", lon1="true_lon", lat2="lat", lon2="lon")
+    far = f.drop("fe").crossJoin(c.drop("ce")).select("frame_id", "cell_id", m.alias("m")).withColumn("d", F.round("m", 6))
+    least = far.groupBy("frame_id").agg(F.min("d").alias("least"), F.min("m").alias("true_cell_m"))
+    near = far.join(least, "frame_id").filter("d = least").select("frame_id", "cell_id").join(c.select("cell_id", "ce"), "cell_id").join(f.select("frame_id", "fe"), "frame_id")
+
+    def own(batches):
+        for b in batches:
+            s = [float(_dots(np.array([x], float), np.array(y, float))[0]) for x, y in zip(b.column("ce").to_pylist(), b.column("fe").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("frame_id"), b.column("cell_id"), pa.array(s, pa.float64())], names=["frame_id", "cell_id", "s"])
+
+    best = near.select("frame_id", "cell_id", "ce", "fe").mapInArrow(own, "frame_id bigint, cell_id bigint, s double")
+    best = best.groupBy("frame_id").agg(F.max(F.struct("s", (-F.col("cell_id")).alias("m"))).alias("w")).select("frame_id", "w.s", (-F.col("w.m")).alias("cell_id"))
+    aimed = f.select("frame_id", "fe").join(best, "frame_id")
+    groups = max(1, -(-frames.count() // FRAME_BLOCK))
+    blocks = aimed.groupBy(F.pmod(F.xxhash64("frame_id"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("frame_id", "cell_id", "s", "fe")).alias("aims")).select("aims")
+
+    def above(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                ids = np.array(r["c_ids"], np.int64)
+                m = np.frombuffer(r["c_m"], "<f4").reshape(len(ids), -1).astype(float)
+                n = []
+                for x in r["aims"]:
+                    s = _dots(m, np.array(x["fe"], float))
+                    n.append(int(((s > x["s"]) | ((s == x["s"]) & (ids < x["cell_id"]))).sum()))
+                yield pa.RecordBatch.from_arrays([pa.array([x["frame_id"] for x in r["aims"]], pa.int64()), pa.array(n, pa.int64())], names=["frame_id", "n"])
+
+    ahead = _blocks(cells, "cell_id", CELL_BLOCK, "c").crossJoin(blocks).mapInArrow(above, "frame_id bigint, n bigint")
+    ranks = ahead.groupBy("frame_id").agg((F.sum("n") + 1).cast("bigint").alias("true_cell_rank"))
+    return ranks.join(least.select("frame_id", "true_cell_m"), "frame_id")
+
+
 def uniqueness(ranked: DataFrame, cells: DataFrame, radius_m) -> DataFrame:
     """(frame_id, cell_id, similarity, uniqueness): the best cell's lead over the best one farther than radius_m; 1 without any."""
     at = ranked.join(cells.select("cell_id", "lat", "lon"), "cell_id")

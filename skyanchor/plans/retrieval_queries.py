@@ -236,10 +236,8 @@ def retrieval_prior_gate(spark, sf_dir):
 @query(f"""WITH {_SIM}, d AS (SELECT frame_id, rank, {haversine_sql('true_lat', 'true_lon', 'lat', 'lon')} AS m FROM ranked WHERE rank <= 64)
 SELECT frame_id, arg_min(rank, (round(m, 6), rank))::BIGINT AS true_cell_rank, {d6('MIN(m)', 4)} AS true_cell_m FROM d GROUP BY frame_id""")
 def retrieval_true_cell_rank(spark, sf_dir):
-    f, c = frames(spark, sf_dir), cells(spark, sf_dir)
-    j = retrieval.topk_join(f, c, 64).join(c.select("cell_id", "lat", "lon"), "cell_id").join(f.select("frame_id", "true_lat", "true_lon"), "frame_id")
-    j = j.withColumn("m", geo.haversine(lat1="true_lat", lon1="true_lon", lat2="lat", lon2="lon"))
-    return j.groupBy("frame_id").agg(F.min_by("rank", F.struct(F.round("m", 6), "rank")).alias("true_cell_rank"), r6(F.min("m"), 4).alias("true_cell_m"))
+    r = retrieval.true_cell_rank(frames(spark, sf_dir), cells(spark, sf_dir))
+    return r.select("frame_id", "true_cell_rank", r6(F.col("true_cell_m"), 4).alias("true_cell_m"))
 
 
 @query(f"""WITH {_SIM}, h AS (SELECT f.frame_id, k.k, MAX(({haversine_sql('r.true_lat', 'r.true_lon', 'r.lat', 'r.lon')} <= 250)::INT) AS hit FROM frames f CROSS JOIN (VALUES (1), (3), (5), (15)) k(k)

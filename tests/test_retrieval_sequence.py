@@ -177,3 +177,10 @@ def test_clusters_cover_all_cells(spark):
     assert n > 250 and len(got) == got.i.nunique() == n and got.groupby("g").size().max() <= 50
     first = QUERIES["cluster_running_centroid"](spark, sf).toPandas()
     assert first.merge(got, on=["g", "i", "cluster"]).shape[0] == len(first)
+
+
+def test_true_cell_ranks_below_64(spark):
+    cells = spark.createDataFrame([(i, 55.0 + i * 0.01, 37.0, [1.0, 0.0] if i < 100 else [0.5, 0.5]) for i in range(120)], "cell_id bigint, lat double, lon double, embedding array<float>")
+    f = spark.createDataFrame([(7, 56.1, 37.0, [1.0, 0.0]), (8, 55.9, 37.0, [1.0, 0.0])], "frame_id bigint, true_lat double, true_lon double, embedding array<float>")
+    got = {r.frame_id: (r.true_cell_rank, round(r.true_cell_m)) for r in retrieval.true_cell_rank(f, cells).collect()}
+    assert got == {7: (111, 0), 8: (91, 0)}
