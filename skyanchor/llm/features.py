@@ -7,12 +7,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import U, flat, span_hashes, word_spans
 
 SLICE = 1 << 16
+#: Labelled documents to a partition of the sample.
+SAMPLE_PART = 1250
 
 STATISTICS = (
     "log_bytes", "log_words", "mean_word", "sd_word", "one_byte_words", "upper", "digit", "symbol", "stop", "comma", "exclaim", "bar",
@@ -96,9 +99,11 @@ def summed(df: DataFrame, f) -> np.ndarray | None:
 
     A partition's sum is cut into slices of its last axis, which are added up in
     a shuffle, so that the driver gets one array however many partitions there are.
+    They add up in the order of the partitions, so that equal partitions give equal sums.
     """
 
     def partial(batches):
+        part_id = TaskContext.get().partitionId()
         total = None
         for batch in batches:
             if batch.num_rows:
@@ -107,16 +112,16 @@ def summed(df: DataFrame, f) -> np.ndarray | None:
         if total is not None:
             for at in range(0, total.shape[-1], SLICE):
                 part = np.ascontiguousarray(total[..., at : at + SLICE])
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([zlib.compress(_bytes(part), 1)])], names=["at", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part_id]), pa.array([zlib.compress(_bytes(part), 1)])], names=["at", "part", "m"])
 
     def added(table: pa.Table) -> pa.Table:
         total = None
-        for x in table.column("m"):
+        for x in table.sort_by("part").column("m"):
             part = _array(zlib.decompress(x.as_py()))
             total = part if total is None else total + part
         return pa.table({"at": table.column("at").slice(0, 1), "m": pa.array([zlib.compress(_bytes(total), 1)], pa.binary())})
 
-    summed = df.mapInArrow(partial, "at bigint, m binary").groupBy("at").applyInArrow(added, "at bigint, m binary")
+    summed = df.mapInArrow(partial, "at bigint, part bigint, m binary").groupBy("at").applyInArrow(added, "at bigint, m binary")
     parts = [_array(zlib.decompress(bytes(r.m))) for r in sorted(summed.collect(), key=lambda r: r.at)]
     return np.concatenate(parts, axis=-1) if parts else None
 
@@ -124,12 +129,16 @@ def summed(df: DataFrame, f) -> np.ndarray | None:
 def labelled(docs: DataFrame, labels: DataFrame, name: str, bound: int) -> DataFrame:
     """(doc_id, text, lang, y) of at most bound labelled documents: those of the least hashes of doc_id.
 
-    A doc_id labelled both ways is left out, as are nulls.  The bound makes the
-    sample small enough to broadcast, so no text is shuffled.
+    A doc_id labelled both ways is left out, as are nulls; of several texts of one
+    doc_id the least counts, so that bound holds for rows too.  The bound makes the
+    labels small enough to broadcast, so that only the sample's texts are shuffled,
+    to partitions that depend on doc_id alone, each in the order of doc_id.
     """
     clean = labels.select("doc_id", F.col(name).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     one = clean.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").select("doc_id", "y")
     some = one.orderBy(F.xxhash64(F.lit(name), "doc_id"), "doc_id").limit(bound)
     lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select("doc_id", "text", lang.alias("lang")).filter("text is not null")
-    return texts.join(F.broadcast(some), "doc_id")
+    found = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("least"))
+    parts = max(1, -(-bound // SAMPLE_PART))
+    return found.select("doc_id", "least.text", "least.lang", "y").repartition(parts, "doc_id").sortWithinPartitions("doc_id")

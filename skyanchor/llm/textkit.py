@@ -8,6 +8,7 @@ non-ASCII characters, in lower case.  Null texts count as having no words.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 import numpy as np
@@ -154,9 +155,11 @@ def shingles(column, k: int) -> tuple[Arr, Arr]:
 
 
 def shared_dir(spark) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; made where it is unset (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir; made where it is unset and all workers are threads of this process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="skyanchor-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     sc = spark.sparkContext
@@ -166,8 +169,12 @@ def shared_dir(spark) -> str:
 
 
 def local_path(uri: str) -> str:
-    """The mounted path of a file: URI."""
-    return "/" + uri[5:].lstrip("/") if uri.startswith("file:") else uri
+    """The mounted path of a file: URI; a store that isn't mounted is refused."""
+    if uri.startswith("file:"):
+        return "/" + uri[5:].lstrip("/")
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", uri):
+        raise ValueError(f"{uri} is not a mounted folder: this operator needs spark.checkpoint.dir on one")
+    return uri
 
 
 def cut(df):
@@ -182,6 +189,17 @@ def without(df, *names: str):
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in low])
 
 
+def fresh(taken, *names: str) -> list[str]:
+    """Names like those asked for, for an operator's own columns, that differ from all of taken whatever their case."""
+    low, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
 def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
