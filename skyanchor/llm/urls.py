@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import local_path, makedirs, shared_dir, without
+from .textkit import fresh, local_path, makedirs, shared_dir, without
 
 BLOCKED = tuple(f"{a}.example.{b}" for a in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for b in ("com", "net", "org"))
 SEGMENT_ENTRIES = 4_000_000
@@ -117,16 +117,19 @@ def filter_urls(pages: DataFrame, blocklist: DataFrame, folder: str | None = Non
     """pages with blocked and rule, the most special entry that blocks the URL ('d:' host or 'u:' page) or null.
 
     Case of the host, user, port, fragment, outer blanks and trailing dots of
-    the host don't matter.  A null or empty URL is never blocked.  Repeated rows
-    fare alike; other columns come through but those named blocked or rule; an
-    empty table gives one, and an empty blocklist blocks nothing.
+    the host don't matter.  A null or empty URL is never blocked, and a very long
+    one is matched whole.  Equal entries count once, null and empty ones not at all;
+    of several that block a URL the most special is the rule: the page with its
+    query, the page, then the longest host.  Repeated rows fare alike; other columns
+    come through, whatever their names, but those named blocked or rule, which are
+    replaced; an empty table gives one, and an empty blocklist blocks nothing.
     """
     segments = build(blocklist, folder)
     base = without(pages, "blocked", "rule")
 
     def run(batches):
         for batch in batches:
-            tried, digests = batch.column("__tried"), batch.column("__keys")
+            tried, digests = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             count = np.asarray(tried.value_lengths().fill_null(0)).astype(np.int64)
             names, keys = tried.flatten(), np.asarray(digests.flatten())
             ok = probe(keys, lambda i: names[i].as_py(), segments)
@@ -136,10 +139,10 @@ def filter_urls(pages: DataFrame, blocklist: DataFrame, folder: str | None = Non
             rule[first] = np.flatnonzero(ok)[at]
             take = pa.array(np.where(rule < 0, 0, rule), mask=rule < 0)
             found = names.take(take) if len(names) else pa.nulls(len(count), pa.string())
-            kept = batch.drop_columns(["__tried", "__keys"]) if hasattr(batch, "drop_columns") else batch
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(rule >= 0), found], names=[*kept.schema.names, "blocked", "rule"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(rule >= 0), found], names=[*batch.schema.names[:-2], "blocked", "rule"])
 
-    tried = base.withColumn("__tried", candidates(F.col("url"))).withColumn("__keys", F.transform("__tried", lambda x: F.xxhash64(x)))
+    names, keys = fresh(base.columns, "tried", "digests")
+    tried = base.withColumn(names, candidates(F.col("url"))).withColumn(keys, F.transform(names, lambda x: F.xxhash64(x)))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
     return tried.mapInArrow(run, f"{ddl}, blocked boolean, rule string")
 
