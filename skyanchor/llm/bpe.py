@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +33,33 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U, chunks, flat, mix, span_hashes, without
+from .textkit import U, chunks, flat, fresh, mix, span_hashes, without
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BLOCK_BYTES = 16 << 20
+#: Bytes of input to a bucket of words, where Spark knows the input's size.
+BUCKET_BYTES = 64 << 20
+
+
+def ship_vocabulary(spark, path: str) -> str:
+    """Serve the vocabulary's file to the workers, which need not have it; its path, by which they know it."""
+    spark.sparkContext.addFile(path)
+    return path
+
+
+def _local(path: str) -> str:
+    """The file itself on the driver, the copy served on a worker without it."""
+    if os.path.exists(path):
+        return path
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(os.path.basename(path))
 
 
 @functools.lru_cache(maxsize=4)
 def ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
+    with open(_local(path), "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
@@ -51,6 +70,14 @@ def encoding(path: str):
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={})
 
 
+@functools.lru_cache(maxsize=4)
+def word_encoding(path: str):
+    """Encodes a pre-token, whatever is in it, in one piece."""
+    import tiktoken
+
+    return tiktoken.Encoding(path, pat_str=r"[\s\S]+", mergeable_ranks=ranks(path), special_tokens={})
+
+
 @functools.lru_cache(maxsize=4)
 def token_bytes(path: str) -> pa.Array:
     """The bytes of each token id, as large binary; ids that the vocabulary leaves out are null."""
@@ -97,12 +124,23 @@ def _blocks(batches):
             part = batch.slice(a, z - a)
             raw, off = flat(part.column("text"))
             h = span_hashes(raw, off[:-1], off[1:])
-            ids = np.asarray(pc.fill_null(part.column("doc_id"), -(1 << 62) + 1)).view(U)
-            h = mix(h ^ mix(ids)) + np.arange(len(h), dtype=U)
+            h = mix(h ^ mix(_id_hashes(part))) + np.arange(len(h), dtype=U)
             void = np.asarray(pc.is_null(part.column("text"))).astype(U)
             yield int(mix(h + void).sum(dtype=U).view(np.int64)), part
 
 
+def _id_hashes(part: pa.RecordBatch) -> np.ndarray:
+    """A number for each row's doc_id, if there is one that is an integer or has a text form."""
+    at = part.schema.get_field_index("doc_id")
+    if at < 0 or pa.types.is_nested(part.column(at).type):
+        return np.zeros(part.num_rows, U)
+    ids = part.column(at)
+    if pa.types.is_integer(ids.type):
+        return np.asarray(pc.fill_null(ids.cast(pa.int64()), -(1 << 62) + 1)).view(U)
+    raw, off = flat(ids.cast(pa.large_binary()).view(pa.large_string()) if pa.types.is_binary(ids.type) else ids.cast(pa.large_string()))
+    return span_hashes(raw, off[:-1], off[1:])
+
+
 def _distinct(texts: list[str | None]) -> list[str]:
     """The distinct words in the order of their first occurrence; common ones tend to come early."""
     find, seen = _pattern().findall, {}
@@ -154,7 +192,9 @@ def _stream_rows(batches):
     for block, part in _blocks(batches):
         n_words, stream, each = _numbered(part.column("text").to_pylist())
         sink = pa.BufferOutputStream()
-        rest = part.drop_columns(["text"]).append_column("__void", pc.is_null(part.column("text")))
+        void = pc.is_null(part.column("text"))
+        rest = part.drop_columns(["text"])
+        rest = pa.RecordBatch.from_arrays([*rest.columns, void], names=[*(f"c{i}" for i in range(rest.num_columns)), "void"])
         with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             w.write_batch(rest)
         yield pa.RecordBatch.from_arrays(
@@ -164,23 +204,26 @@ def _stream_rows(batches):
 
 
 def _encode_bucket(path: str):
-    def run(table: pa.Table) -> pa.Table:
-        code, known = encoding(path)._encode_single_piece, {}
-        out = []
-        for data in table.column("words"):
-            step, sizes, raw = _unpack(data.as_py())
-            raw, at, ids, count = raw.tobytes(), 0, [], np.zeros(len(sizes), np.int64)
-            for i, n in enumerate(sizes.tolist()):
-                w = raw[at : at + n]
-                at += n
-                got = known.get(w)
-                if got is None:
-                    got = known[w] = code(w)
-                ids += got
-                count[i] = len(got)
-            out.append(_pack(step, count, np.array(ids, np.int64)))
-        return pa.table({"block": table.column("block"), "ids": pa.array(out, pa.binary())})
-
+    def run(batches):
+        code, known = word_encoding(path).encode_ordinary, {}
+        for batch in batches:
+            out = []
+            for data in batch.column(batch.schema.get_field_index("words")):
+                step, sizes, raw = _unpack(data.as_py())
+                raw, at, ids, count = raw.tobytes(), 0, [], np.zeros(len(sizes), np.int64)
+                for i, n in enumerate(sizes.tolist()):
+                    w = raw[at : at + n]
+                    at += n
+                    got = known.get(w)
+                    if got is None:
+                        got = known[w] = code(w.decode())
+                    ids += got
+                    count[i] = len(got)
+                out.append(_pack(step, count, np.array(ids, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("block")), pa.array(out, pa.binary())], names=["block", "ids"])
+
+    # a bucket comes batch by batch, so that only its distinct words are held
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return run
 
 
@@ -207,7 +250,7 @@ def _assemble(path: str, schema: pa.Schema, decode: bool):
         for row in range(left.num_rows):
             stream, each = _unpack(left.column("stream")[row].as_py())
             rest = pa.ipc.open_stream(left.column("rows")[row].as_py()).read_all()
-            void = rest.column("__void").combine_chunks()
+            void = rest.column(rest.num_columns - 1).combine_chunks()
             edges = np.concatenate([[0], np.cumsum(each.astype(np.int64))])
             docs = np.arange(len(each))
             size = sizes[stream]
@@ -224,7 +267,7 @@ def _assemble(path: str, schema: pa.Schema, decode: bool):
                 mask = void.slice(int(cut[0]), len(cut))
                 tokens = pa.ListArray.from_arrays(pa.array(off), pa.array(ids), mask=mask)
                 number = pa.array(np.diff(off).astype(np.int64), mask=np.asarray(mask))
-                cols = [*rest.drop_columns(["__void"]).slice(int(cut[0]), len(cut)).columns, tokens, number]
+                cols = [*rest.slice(int(cut[0]), len(cut)).columns[:-1], tokens, number]
                 if decode:
                     cols.append(decoded(tokens, path))
                 tables.append(pa.Table.from_arrays(cols, schema=schema))
@@ -263,20 +306,20 @@ def decoded(tokens: pa.ListArray, path: str) -> pa.Array:
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, buckets: int | None = None, decode: bool = False) -> DataFrame:
     """docs with ids (array<int>) and n_tokens in place of text; with decode also decoded, the text of the ids.
 
-    A null text has null ids, n_tokens and decoded; an empty one has no ids and 0.
-    Repeated rows each have their row.  Other columns come through, but those
-    named ids, n_tokens or decoded.  buckets, by default the shuffle partitions,
-    only sets how far the encoding of words is spread.
+    A null text has null ids, n_tokens and decoded; an empty one has no ids and 0; a
+    very long one is coded whole.  Of several ways to merge, the lowest rank goes
+    first, then the leftmost.  Repeated rows each have their row.  Other columns come
+    through, whatever their names, but those named ids, n_tokens or decoded, which are
+    replaced; doc_id may be of any type, or missing.  An empty table gives one.
+    buckets, by default four times the shuffle partitions or more by the size of the
+    input, only sets how far the encoding of words is spread.
     """
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = without(docs, "ids", "n_tokens", "decoded")
-    if "doc_id" not in base.columns:
-        base = base.withColumn("doc_id", F.lit(None).cast("bigint"))
-    if dict(base.dtypes)["doc_id"] != "bigint":
-        base = base.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    buckets = buckets or _bucket_count(base)
+    vocabulary = ship_vocabulary(spark, vocabulary)
     rest = [f for f in base.schema if f.name != "text"]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -287,13 +330,27 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, buckets: int | None =
     words = base.mapInArrow(_word_rows(buckets), "bucket bigint, block bigint, words binary")
     coded = words.groupBy("bucket").applyInArrow(_encode_bucket(vocabulary), "block bigint, ids binary")
     streams = base.mapInArrow(_stream_rows, "block bigint, n_words bigint, stream binary, rows binary")
-    out = f"{ddl}, ids array<int>, n_tokens bigint" + ", decoded string" * decode
+    out = f"{ddl}ids array<int>, n_tokens bigint" + ", decoded string" * decode
     return streams.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(vocabulary, schema, decode), out)
 
 
+def _bucket_count(df: DataFrame) -> int:
+    """Buckets for words: four to a shuffle partition, or more where Spark's statistics tell of a larger input."""
+    least = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
+    return max(least, min(size // BUCKET_BYTES, 1 << 20)) if known else least
+
+
 def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """tokens with decoded, the text of its ids; null for null.  Bytes that aren't UTF-8 become U+FFFD."""
+    """tokens with decoded, the text of its ids; null for null, empty for none.
+
+    Bytes that aren't UTF-8 become U+FFFD; an id that is null or not in the
+    vocabulary adds nothing.  Long lists are decoded whole, repeated rows alike;
+    other columns come through but one named decoded; an empty table gives one.
+    """
     base = without(tokens, "decoded")
+    vocabulary = ship_vocabulary(tokens.sparkSession, vocabulary)
 
     def run(batches):
         for batch in batches:
