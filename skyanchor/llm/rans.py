@@ -1,6 +1,7 @@
 """Token ids as blocks of a static range asymmetric numeral system.
 
-One frequency table, of sum 2**20, is shared by all blocks.  A block holds the
+One frequency table, of sum 2**20 (more where there are over 2**19 different
+tokens), is shared by all blocks.  A block holds the
 tokens of whole documents, about 65,536 of them; token i belongs to lane i mod
 64, and every lane has a state of its own, so that numpy codes all lanes of many
 blocks at a time.  States are 64-bit and put out 32-bit words.  Every 256 steps
@@ -20,11 +21,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import VOCABULARY, encoding
+from .bpe import VOCABULARY, encoding, ship_vocabulary
 from .textkit import U, chunks, cut
 
-SCALE = 20
-TOTAL = 1 << SCALE
+SCALE, MOST_SCALE = 20, 31
 LOW = 1 << 31
 LANES = 64
 BLOCK = 1 << 16
@@ -37,9 +37,10 @@ PACKED = "doc_ids array<bigint>, lengths array<int>, n bigint, width int, data b
 
 
 class Table:
-    """Frequencies (sum TOTAL, at least 1 where present) and their running sums."""
+    """Frequencies (sum 2**scale, at least 1 where present) and their running sums."""
 
     def __init__(self, freq: np.ndarray):
+        self.scale = max(SCALE, int(freq.sum()).bit_length() - 1)
         self.freq = freq.astype(U)
         self.cum = np.concatenate([[U(0)], np.cumsum(self.freq)])[:-1].astype(U)
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.int32), freq.astype(np.int64))
@@ -48,15 +49,22 @@ class Table:
 
     @staticmethod
     def of(counts: np.ndarray) -> Table:
-        """The table for token counts; those of tokens that are there are scaled to TOTAL, never to 0."""
+        """The table for token counts; those of tokens that are there are scaled to 2**scale, never to 0.
+
+        The scale leaves each token a frequency of two on average, so that any
+        number of different tokens up to 2**30, half of what an int can say, has one.
+        """
         counts = counts.astype(float)
         some = counts > 0
-        if some.sum() > TOTAL:
-            raise ValueError(f"more than {TOTAL} different tokens")
-        if not some.any():
+        kinds = int(some.sum())
+        if not kinds:
             return Table(np.zeros(0, np.int64))
-        freq = np.where(some, np.maximum(1, np.floor(counts * (TOTAL - some.sum()) / counts.sum())), 0).astype(np.int64)
-        freq[np.argmax(freq)] += TOTAL - freq.sum()
+        scale = max(SCALE, kinds.bit_length() + 1)
+        if scale > MOST_SCALE:
+            raise ValueError("more than 2**30 different tokens don't fit 32-bit words")
+        total = 1 << scale
+        freq = np.where(some, np.maximum(1, np.floor(counts * (total - kinds) / counts.sum())), 0).astype(np.int64)
+        freq[np.argmax(freq)] += total - freq.sum()
         return Table(freq)
 
     def pack(self) -> bytes:
@@ -83,12 +91,12 @@ def _encode_group(parts: list[np.ndarray], t: Table) -> list[tuple[bytes, bytes]
         k = int(np.searchsorted(-steps, -s, side="left"))
         x, now = state[:k], sym[:k, s]
         f, c = t.freq[now], t.cum[now]
-        full = x >= (f << U(63 - SCALE))
+        full = x >= (f << U(63 - t.scale))
         words[:k, s] = x.astype(np.uint32)
         out[:k, s] = full
         x = np.where(full, x >> U(32), x)
         q = x // f
-        state[:k] = (q << U(SCALE)) + (x - q * f) + c
+        state[:k] = (q << U(t.scale)) + (x - q * f) + c
         if s % EVERY == 0:
             for i in range(k):
                 kept[i].append(state[i].copy())
@@ -129,12 +137,12 @@ def decode_block(payload: bytes, checkpoints: bytes, n: int, t: Table, first: in
         return np.zeros(0, np.int32)
     at, x = int(marks[first, 0]), marks[first, 1:].astype(U)
     out = np.zeros((end - begin, LANES), np.int32)
-    mask = U(TOTAL - 1)
+    mask = U((1 << t.scale) - 1)
     for s in range(end - begin):
         slot = x & mask
         now = t.symbol[slot.astype(np.int64)]
         out[s] = now
-        x = t.freq[now] * (x >> U(SCALE)) + slot - t.cum[now]
+        x = t.freq[now] * (x >> U(t.scale)) + slot - t.cum[now]
         need = np.flatnonzero(x < U(LOW))
         x[need] = (x[need] << U(32)) | words[at : at + len(need)]
         at += len(need)
@@ -158,11 +166,12 @@ def _tokens(vocabulary: str):
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), "text")
 
 
 def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, ids) by byte-level BPE of each whole text; null for null."""
+    """(doc_id, ids) by byte-level BPE of each whole text, as bpe.encode; null for null."""
+    vocabulary = ship_vocabulary(docs.sparkSession, vocabulary)
     return _texts(docs).mapInArrow(_tokens(vocabulary), "doc_id bigint, ids array<int>")
 
 
@@ -239,16 +248,19 @@ def encode(tokens: DataFrame) -> DataFrame:
 
     doc_ids and lengths name a block's documents in order; a null ids has length
     -1, an empty one 0.  Null elements count as no token.  Repeated documents
-    each have their entry; other columns are left out.  A document of more than
-    65,536 tokens is a block of its own.  An empty table gives the row of an
-    empty frequency table alone.
+    each have their entry; other columns, whatever their names, are left out.  A
+    doc_id that isn't an integer, nor the text of one, is null.  A document of more
+    than 65,536 tokens, however long, is a block of its own.  Of equally frequent tokens the
+    least id takes what rounding leaves.  An empty table gives the row of an empty
+    frequency table alone.
     """
     ids = F.filter(F.col("ids").cast("array<int>"), lambda x: x.isNotNull())
-    return _encode(tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), ids.alias("ids")).mapInArrow(_packed, PACKED))
+    return _encode(tokens.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), ids.alias("ids")).mapInArrow(_packed, PACKED))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """encode(tokenised(docs)), but tokens are packed where they are made instead of passing through the JVM."""
+    """encode(tokenised(docs)), with the same results for odd rows, but tokens are packed where they are made instead of passing through the JVM."""
+    vocabulary = ship_vocabulary(docs.sparkSession, vocabulary)
     make = _tokens(vocabulary)
     return _encode(_texts(docs).mapInArrow(lambda batches: _packed(make(batches)), PACKED))
 
