@@ -10,11 +10,13 @@ concentrated about their Jaccard similarity.
 Banding: a bucket is the set of documents that agree on all rows of one band.
 Groups are the connected components of the verified pairs of bucket mates.
 Phase 1 verifies each document against the least hub among its buckets, whose
-links form a forest, so that pointer doubling finds its trees; phase 2 verifies
-every pair of bucket mates that are still in different trees.  A pair left
-unverified is thus already in one group: the groups are exactly those that
-verifying all pairs of bucket mates would give, without n^2 work for a group of
-thousands of copies.
+links form a forest, so that pointer doubling finds its trees; phase 2 takes
+every pair of bucket mates that are still in different trees, block by block of a
+bucket, compares their sketches and verifies those whose sketches agree as pairs at
+the threshold do (but for one in a thousand).  Only these pairs are ever shuffled,
+so that a passage shared by many documents costs comparisons of bytes and no texts.
+A pair in one tree needs no verification: the groups are those that verifying all
+pairs of bucket mates would give, without n^2 work for a group of thousands of copies.
 """
 
 from __future__ import annotations
@@ -24,13 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U, chunks, cut, mix, shingles, without
+from .textkit import U, chunks, cut, fresh, mix, shingles, without
 
 SHINGLE_WORDS = 3
 THRESHOLD = 0.5
 BANDS = 36
 ROWS = 4
 FULL = np.iinfo(np.uint64).max
+#: Standard deviations below its expectation at the threshold that a pair's agreement of sketches may lie.
+SLACK = 3.0
+#: Documents of a bucket to a block, and pairs compared at a time.
+BLOCK, PAIRS = 2048, 1 << 18
 
 
 def _salt(i: int) -> np.uint64:
@@ -88,12 +94,17 @@ def _sketches(bands: int, rows: int, k: int):
             text, key = batch.column("text"), batch.column("key")
             for a, z in chunks(text):
                 h, bounds = shingles(text.slice(a, z - a), k)
-                keys = band_keys(sketch(h, bounds, bands * rows), bands, rows)
+                drawn = sketch(h, bounds, bands * rows)
+                keys = band_keys(drawn, bands, rows)
                 some = np.diff(bounds) > 0
                 flat = pa.array(keys[some].reshape(-1))
                 off = pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32))
+                # a byte of each coordinate tells all but one in 256 of different ones apart
+                bytes_ = np.ascontiguousarray((mix(drawn[some]) & U(255)).astype(np.uint8))
+                at = np.arange(0, bytes_.size + 1, bands * rows, dtype=np.int32)
+                marks = pa.BinaryArray.from_buffers(pa.binary(), len(bytes_), [None, pa.py_buffer(at), pa.py_buffer(bytes_)])
                 yield pa.RecordBatch.from_arrays(
-                    [key.slice(a, z - a).filter(pa.array(some)), pa.ListArray.from_arrays(off, flat)], names=["key", "bands"]
+                    [key.slice(a, z - a).filter(pa.array(some)), pa.ListArray.from_arrays(off, flat), marks], names=["key", "bands", "marks"]
                 )
 
     return run
@@ -110,6 +121,80 @@ def _verify(k: int, threshold: float):
     return run
 
 
+def least_agreement(t: int, threshold: float) -> int:
+    """Equal coordinates of t that a pair at the threshold has, less SLACK standard deviations."""
+    return max(0, int(np.floor(t * threshold - SLACK * np.sqrt(t * threshold * (1 - threshold)))))
+
+
+def agreeing(group: np.ndarray, side: np.ndarray, cross: np.ndarray, root: np.ndarray, marks: np.ndarray, least: int):
+    """Row numbers (i, j), i < j, of the pairs of one group that differ in root (and in side, where cross) and agree in least marks.
+
+    Rows come group by group.
+    """
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([start, [len(group)]]))
+    first = np.repeat(start, size)
+    before = np.arange(len(group)) - first
+    ends = np.cumsum(before)
+    i = 0
+    while i < len(before):
+        done = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+        n = before[i:j]
+        b = np.repeat(np.arange(i, j), n)
+        a = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[i:j], n)
+        open_ = (root[a] != root[b]) & (~cross[b] | (side[a] != side[b]))
+        a, b = a[open_], b[open_]
+        for at in range(0, len(a), PAIRS):
+            x, y = a[at : at + PAIRS], b[at : at + PAIRS]
+            ok = (marks[x] == marks[y]).sum(axis=1) >= least
+            yield x[ok], y[ok]
+        i = j
+
+
+def _candidates(least: int):
+    """Pairs of rows (band, p, q, side, key, root, marks), which come sorted by (band, p, q)."""
+
+    def emit(table: pa.Table):
+        table = table.combine_chunks()
+        cols = [np.asarray(table.column(c)) for c in ("band", "p", "q", "side")]
+        new = np.zeros(table.num_rows, bool)
+        for c in cols[:3]:
+            new[1:] |= c[1:] != c[:-1]
+        keys, roots = table.column("key").combine_chunks(), table.column("root").combine_chunks()
+        number = np.asarray(roots.dictionary_encode().indices)
+        marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        for x, y in agreeing(np.cumsum(new), cols[3], cols[1] != cols[2], number, marks, least):
+            if len(x):
+                x, y = pa.array(x), pa.array(y)
+                yield pa.RecordBatch.from_arrays([keys.take(x), keys.take(y), roots.take(x), roots.take(y)], names=["a", "b", "root_a", "root_b"])
+
+    def run(batches):
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            same = np.ones(table.num_rows, bool)
+            for c in ("band", "p", "q"):
+                v = np.asarray(table.column(c))
+                same &= v == v[-1]
+            n = int(np.argmax(same))  # the last group may go on in the next batch
+            if n or held:
+                head = [*held, table.slice(0, n)]
+                if n:
+                    yield from emit(pa.concat_tables(head))
+                    held = []
+                elif tuple(held[-1].column(c)[-1].as_py() for c in ("band", "p", "q")) != tuple(table.column(c)[0].as_py() for c in ("band", "p", "q")):
+                    yield from emit(pa.concat_tables(held))
+                    held = []
+            held.append(table.slice(n))
+        if held:
+            yield from emit(pa.concat_tables(held))
+
+    return run
+
+
 def _links(pairs: DataFrame, texts, k: int, threshold: float) -> DataFrame:
     """pairs (a, b) with ok: whether the texts' exact similarity reaches the threshold."""
     t = texts(pairs)
@@ -153,11 +238,12 @@ def copy_groups(
     key is the MD5 of the text as binary, n the number of its equal rows, keep
     true for one (doc_id, key) of each group: the least doc_id, nulls last, then
     the least key.  Equal texts, empty ones too, are copies; a text without any
-    word has no near copies but its equals; null texts are left out.
+    word has no near copies but its equals; null texts are left out; very long ones
+    are compared whole.  A pair exactly at the threshold is one of copies.
     """
     keyed = docs.select("doc_id", "text").filter("text is not null").withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     ids = keyed.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
-    sketched = keyed.select("key", "text").mapInArrow(_sketches(bands, rows, shingle_words), "key binary, bands array<bigint>").dropDuplicates(["key"])
+    sketched = cut(keyed.select("key", "text").mapInArrow(_sketches(bands, rows, shingle_words), "key binary, bands array<bigint>, marks binary").dropDuplicates(["key"]))
     hashed = sketched.select("key", F.explode("bands").alias("band"))
     hubs = hashed.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("last")).filter("hub <> last").select("band", "hub")
     mates = cut(hashed.join(hubs, "band").select("band", "hub", "key"))
@@ -173,10 +259,15 @@ def copy_groups(
     tried = cut(_links(first, texts, shingle_words, threshold))
     trees = _roots(tried.filter("ok").select(F.col("b").alias("node"), F.col("a").alias("up")))
     labelled = mates.join(trees, F.expr("key = node"), "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-    open_ = cut(labelled.join(mixed, "band", "left_semi"))
-    x, y = (open_.select("band", F.col("key").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
-    rest = x.join(y, "band").filter("a < b and root_a <> root_b").select("a", "b", "root_a", "root_b").distinct()
+    blocks = F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)")
+    mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), blocks.alias("blocks")).filter("lo <> hi").select("band", "blocks")
+    open_ = labelled.join(mixed, "band").join(sketched.select("key", "marks"), "key").withColumn("side", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
+    met = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "key", "root", "marks")
+    met = met.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    agree = met.mapInArrow(_candidates(least_agreement(bands * rows, threshold)), "a binary, b binary, root_a binary, root_b binary")
+    swap = F.col("a") > F.col("b")
+    either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    rest = agree.select(either("a", "b").alias("a"), either("b", "a").alias("b"), either("root_a", "root_b").alias("root_a"), either("root_b", "root_a").alias("root_b")).distinct()
     rest = cut(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     more = _links(rest.select("a", "b"), texts, shingle_words, threshold).filter("ok")
     joined = cut(more.join(rest, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
@@ -192,31 +283,37 @@ def copy_groups(
 
 
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
-    """docs less all but one document of each group of exact and near copies.
+    """docs less all but one document of each group of exact and near copies: the least doc_id stays, nulls last, then the least MD5 of the text.
 
-    Null texts are kept, as they are no copies of anything; of equal rows of the
-    document that stays, one stays.  All columns come through; documents of the
-    same doc_id but different texts are told apart.  An empty table gives one.
+    Null texts are kept, as they are no copies of anything; empty ones are copies of
+    each other; very long ones are compared whole; of equal rows of the document that
+    stays, one stays.  All columns come through, whatever their names; documents of
+    the same doc_id but different texts are told apart.  An empty table gives one.
     """
     groups = copy_groups(docs, **how)
-    mark = groups.filter("not keep or n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("keep").alias("__keep"))
-    key = F.unhex(F.md5(docs["text"].cast("binary")))
-    marked = docs.withColumn("__of", key)
-    marked = marked.join(mark, F.expr("__of = __key and doc_id <=> __id"), "left")
+    own_id, own_key, own_keep, of = fresh(docs.columns, "group_id", "group_key", "group_keep", "text_key")
+    mark = groups.filter("not keep or n > 1").select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key), F.col("keep").alias(own_keep))
+    marked = docs.withColumn(of, F.unhex(F.md5(docs["text"].cast("binary"))))
+    marked = marked.join(mark, (F.col(of) == F.col(own_key)) & marked["doc_id"].eqNullSafe(F.col(own_id)), "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = marked.filter("__keep is null").select(*columns)
-    several = marked.filter("__keep").dropDuplicates(["__id", "__key"]).select(*columns)
+    single = marked.filter(F.col(own_keep).isNull()).select(*columns)
+    several = marked.filter(F.col(own_keep)).dropDuplicates([own_id, own_key]).select(*columns)
     return single.unionByName(several)
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, copies): a row for each document that stays, with the sorted doc_ids of the copies that go.
 
-    Null texts have rows without copies, as many as there are.
+    Null texts have rows without copies, as many as there are; empty texts are
+    copies of each other; very long ones are compared whole.  Which document of a group
+    stays is settled as in near_dedup, and repeated rows of it count once.  Columns
+    other than doc_id and text, whatever their names, are left out; an empty table
+    gives one.
     """
+    ids = f"array<{dict(docs.dtypes)['doc_id']}>"
     groups = copy_groups(docs, **how)
     gone = F.array_sort(F.collect_list(F.when(~F.col("keep"), F.col("doc_id"))))
     kept = F.max(F.when(F.col("keep"), F.struct("doc_id")))["doc_id"]
     of = groups.groupBy("grp").agg(kept.alias("doc_id"), gone.alias("copies")).select("doc_id", "copies")
-    void = without(docs, "copies").filter("text is null").select("doc_id", F.array().cast("array<bigint>").alias("copies"))
-    return of.select("doc_id", F.col("copies").cast("array<bigint>").alias("copies")).unionByName(void)
+    void = without(docs, "copies").filter("text is null").select("doc_id", F.array().cast(ids).alias("copies"))
+    return of.select("doc_id", F.col("copies").cast(ids).alias("copies")).unionByName(void)
