@@ -9,6 +9,7 @@ Sequential Huffman files, which are a single approximation, decode as well.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +28,10 @@ _k, _n = np.arange(8)[:, None], np.arange(8)[None, :]
 DCT = np.where(_k == 0, np.sqrt(1 / 8), 0.5 * np.cos((2 * _n + 1) * _k * np.pi / 16))
 
 
-#: A frame header that asks for more is taken for damage, before anything is allocated.
-MAX_PIXELS = 1 << 27
+#: Bytes of tensors to an Arrow batch, and pixels transformed at a time.
+FLUSH_BYTES, BAND_PIXELS = 64 << 20, 1 << 21
+#: A value of a binary column, a JVM array, holds no more.
+MOST_BYTES = (1 << 31) - 64
 
 
 class Damaged(ValueError):
@@ -52,124 +55,155 @@ def _lookup(spec: bytes) -> list[int]:
     return out.tolist()
 
 
-class _Bits:
-    """Bits of one entropy-coded segment; zeros follow its end, and reading far past it is an error."""
-
-    def __init__(self, data: bytes):
-        data = data.replace(b"\xff\x00", b"\xff")
-        raw = np.frombuffer(data + bytes(16), np.uint8).astype(np.int64)
-        self.window = ((raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]).tolist()
-        self.at, self.end = 0, 8 * len(data)
-
-    def symbol(self, table: list[int]) -> int:
-        at = self.at
-        if at > self.end + 32:
-            raise Damaged("a scan ends early")
-        got = table[(self.window[at >> 3] >> (8 - (at & 7))) & 0xFFFF]
-        if not got:
-            raise Damaged("a code is not in the Huffman table")
-        self.at = at + (got & 31)
-        return got >> 5
-
-    def bits(self, n: int) -> int:
-        if not n:
-            return 0
-        if n > 16:
-            raise Damaged("a value of more than 16 bits")
-        at = self.at
-        if at > self.end + 32:
-            raise Damaged("a scan ends early")
-        self.at = at + n
-        return ((self.window[at >> 3] >> (8 - (at & 7))) & 0xFFFF) >> (16 - n)
-
-    def value(self, n: int) -> int:
-        v = self.bits(n)
-        return v if not n or v >> (n - 1) else v - (1 << n) + 1
-
-
-def _scan(segments: list[bytes], units, comps, dc, ac, ss, se, ah, al, restart: int, progressive: bool) -> None:
-    """Decode one scan: units lists, for each MCU, the (component index in the scan, block) to decode."""
-    per = restart or len(units)
-    for part, data in enumerate(segments):
-        bits, pred, eob = _Bits(data), [0] * len(comps), 0
-        plus, minus = 1 << al, -1 << al
-        for mcu in units[part * per : (part + 1) * per]:
-            for c, block in mcu:
-                if not progressive or ss == 0:
-                    if ah == 0:
-                        pred[c] += bits.value(bits.symbol(dc[c]))
-                        block[0] = pred[c] * plus if progressive else pred[c]
-                    elif bits.bits(1):
-                        block[0] |= plus
-                    if progressive:
-                        continue
-                if not progressive:
-                    k = 1
-                    while k < 64:
-                        rs = bits.symbol(ac[c])
-                        r, s = rs >> 4, rs & 15
-                        if not s:
-                            if r != 15:
-                                break
-                            k += 16
-                            continue
-                        k += r
-                        if k > 63:
-                            raise Damaged("a run passes the block's end")
-                        block[k] = bits.value(s)
-                        k += 1
-                    continue
-                if ah == 0:
-                    if eob:
-                        eob -= 1
-                        continue
-                    k = ss
-                    while k <= se:
-                        rs = bits.symbol(ac[c])
-                        r, s = rs >> 4, rs & 15
-                        if s:
-                            k += r
-                            if k > se:
-                                raise Damaged("a run passes the band's end")
-                            block[k] = bits.value(s) * plus
-                            k += 1
-                        elif r == 15:
-                            k += 16
-                        else:
-                            eob = (1 << r) - 1 + bits.bits(r)
-                            break
-                    continue
-                k = ss
-                if not eob:
-                    while k <= se:
-                        rs = bits.symbol(ac[c])
-                        r, s = rs >> 4, rs & 15
-                        new = 0
-                        if s:
-                            new = plus if bits.bits(1) else minus
-                        elif r != 15:
-                            eob = (1 << r) + bits.bits(r)
-                            break
-                        while k <= se:
-                            v = block[k]
-                            if v:
-                                if bits.bits(1) and not (abs(v) & plus):
-                                    block[k] = v + (plus if v > 0 else minus)
-                            else:
-                                if not r:
-                                    if new:
-                                        block[k] = new
-                                    k += 1
-                                    break
-                                r -= 1
-                            k += 1
-                if eob:
-                    while k <= se:
-                        v = block[k]
-                        if v and bits.bits(1) and not (abs(v) & plus):
-                            block[k] = v + (plus if v > 0 else minus)
+def _window(data: bytes) -> array:
+    """The 24 bits from each byte of an entropy-coded segment on; zeros follow its end, and reading past them is an IndexError."""
+    raw = np.frombuffer(data.replace(b"\xff\x00", b"\xff") + bytes(8), np.uint8).astype(np.uint32)
+    return array("I", ((raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]).tobytes())
+
+
+def _first(window, tables, coef, units, al: int, progressive: bool) -> None:
+    """A first DC scan, or a sequential one; units are (component of the scan, block's place) pairs."""
+    at, pred = 0, [0] * len(tables)
+    for c, base in units:
+        dc, ac = tables[c]
+        got = dc[(window[at >> 3] >> (8 - (at & 7))) & 0xFFFF]
+        s = got >> 5
+        if not got or s > 16:
+            raise Damaged("a code is not in the Huffman table" if not got else "a value of more than 16 bits")
+        at += got & 31
+        if s:
+            v = ((window[at >> 3] >> (8 - (at & 7))) & 0xFFFF) >> (16 - s)
+            at += s
+            pred[c] += v if v >> (s - 1) else v - (1 << s) + 1
+        coef[c][base] = pred[c] << al
+        if progressive:
+            continue
+        k, stop, of = base + 1, base + 63, coef[c]
+        while k <= stop:
+            got = ac[(window[at >> 3] >> (8 - (at & 7))) & 0xFFFF]
+            if not got:
+                raise Damaged("a code is not in the Huffman table")
+            at += got & 31
+            s, r = got >> 5 & 15, got >> 9
+            if not s:
+                if r != 15:
+                    break
+                k += 16
+                continue
+            k += r
+            if k > stop:
+                raise Damaged("a run passes the block's end")
+            v = ((window[at >> 3] >> (8 - (at & 7))) & 0xFFFF) >> (16 - s)
+            at += s
+            of[k] = v if v >> (s - 1) else v - (1 << s) + 1
+            k += 1
+
+
+def _ac_first_scan(window, table, coef, bases, ss: int, se: int, al: int) -> None:
+    at, i, n = 0, 0, len(bases)
+    while i < n:
+        k, stop = bases[i] + ss, bases[i] + se
+        i += 1
+        while k <= stop:
+            got = table[(window[at >> 3] >> (8 - (at & 7))) & 0xFFFF]
+            if not got:
+                raise Damaged("a code is not in the Huffman table")
+            at += got & 31
+            s, r = got >> 5 & 15, got >> 9
+            if s:
+                k += r
+                if k > stop:
+                    raise Damaged("a run passes the band's end")
+                v = ((window[at >> 3] >> (8 - (at & 7))) & 0xFFFF) >> (16 - s)
+                at += s
+                coef[k] = (v if v >> (s - 1) else v - (1 << s) + 1) << al
+                k += 1
+            elif r == 15:
+                k += 16
+            else:
+                if r:
+                    i += (1 << r) - 1 + (((window[at >> 3] >> (8 - (at & 7))) & 0xFFFF) >> (16 - r))
+                    at += r
+                break
+
+
+def _ac_refine_scan(window, table, coef, bases, ss: int, se: int, al: int) -> None:
+    at, eob, plus = 0, 0, 1 << al
+    for base in bases:
+        k, stop = base + ss, base + se
+        if not eob:
+            while k <= stop:
+                got = table[(window[at >> 3] >> (8 - (at & 7))) & 0xFFFF]
+                if not got:
+                    raise Damaged("a code is not in the Huffman table")
+                at += got & 31
+                s, r = got >> 5 & 15, got >> 9
+                new = 0
+                if s:
+                    new = plus if window[at >> 3] >> (23 - (at & 7)) & 1 else -plus
+                    at += 1
+                elif r != 15:
+                    eob = 1 << r
+                    if r:
+                        eob += ((window[at >> 3] >> (8 - (at & 7))) & 0xFFFF) >> (16 - r)
+                        at += r
+                    break
+                while k <= stop:
+                    v = coef[k]
+                    if v:
+                        if window[at >> 3] >> (23 - (at & 7)) & 1 and not abs(v) & plus:
+                            coef[k] = v + plus if v > 0 else v - plus
+                        at += 1
+                    elif r:
+                        r -= 1
+                    else:
+                        if new:
+                            coef[k] = new
                         k += 1
-                    eob -= 1
+                        break
+                    k += 1
+        if eob:
+            while k <= stop:
+                v = coef[k]
+                if v:
+                    if window[at >> 3] >> (23 - (at & 7)) & 1 and not abs(v) & plus:
+                        coef[k] = v + plus if v > 0 else v - plus
+                    at += 1
+                k += 1
+            eob -= 1
+
+
+def _scan(segments: list[bytes], comps: list[dict], mx: int, my: int, tables, ss, se, ah, al, restart: int, progressive: bool) -> None:
+    """Decode one scan into the components' coefficients, segment by segment."""
+    coef = [c["coef"] for c in comps]
+    if len(comps) == 1:
+        c = comps[0]
+        bases = (np.add.outer(np.arange(c["bh"]) * c["cols"], np.arange(c["bw"])) * 64).reshape(-1)
+        which, mcu = np.zeros(len(bases), np.int64), 1
+    else:
+        mcu, at, of = sum(c["h"] * c["v"] for c in comps), [], []
+        for i, c in enumerate(comps):
+            inner = np.add.outer(np.arange(c["v"]) * c["cols"], np.arange(c["h"])).reshape(-1)
+            outer = np.add.outer(np.arange(my) * c["v"] * c["cols"], np.arange(mx) * c["h"]).reshape(-1, 1)
+            at.append((outer + inner) * 64)
+            of.append(np.full(len(inner), i))
+        bases, which = np.concatenate(at, axis=1).reshape(-1), np.tile(np.concatenate(of), mx * my)
+    per = (restart or len(bases)) * mcu
+    for part, data in enumerate(segments):
+        here, own = bases[part * per : (part + 1) * per], which[part * per : (part + 1) * per]
+        if not len(here):
+            break
+        if progressive and ss == 0 and ah:
+            bits = np.unpackbits(np.frombuffer(data.replace(b"\xff\x00", b"\xff"), np.uint8))
+            if len(bits) < len(here):
+                raise Damaged("a scan ends early")
+            for i, x in enumerate(coef):
+                x = np.frombuffer(x, np.int16)
+                x[here[own == i]] |= (bits[: len(here)][own == i].astype(np.int16) << al)
+        elif not progressive or ss == 0:
+            _first(_window(data), tables, coef, zip(own.tolist(), here.tolist()), al if progressive else 0, progressive)
+        else:
+            (_ac_refine_scan if ah else _ac_first_scan)(_window(data), tables[0][1], coef[0], array("q", here.astype(np.int64).tobytes()), ss, se, al)
 
 
 def coefficients(data: bytes):
@@ -227,14 +261,18 @@ def coefficients(data: bytes):
             comps = [{"id": body[6 + 3 * i], "h": body[7 + 3 * i] >> 4, "v": body[7 + 3 * i] & 15, "tq": body[8 + 3 * i]} for i in range(body[5])]
             if not (w and h and comps) or any(not (1 <= c["h"] <= 4 and 1 <= c["v"] <= 4) for c in comps):
                 raise Damaged("a frame without size")
-            if w * h > MAX_PIXELS:
-                raise Damaged(f"more than {MAX_PIXELS} pixels")
+            if 3 * w * h > MOST_BYTES:
+                raise Damaged(f"{w} x {h} pixels are more than a binary value holds")
             hm, vm = max(c["h"] for c in comps), max(c["v"] for c in comps)
             mx, my = -(-w // (8 * hm)), -(-h // (8 * vm))
             for c in comps:
                 c["cols"], c["rows"] = mx * c["h"], my * c["v"]
-                c["blocks"] = [[0] * 64 for _ in range(c["cols"] * c["rows"])]
                 c["bw"], c["bh"] = -(-(-(-w * c["h"] // hm)) // 8), -(-(-(-h * c["v"] // vm)) // 8)
+            # each block takes a bit at least, so a header can't ask for more than the file can fill
+            if sum(c["bw"] * c["bh"] for c in comps) > 8 * n:
+                raise Damaged("the file is too short for its size")
+            for c in comps:
+                c["coef"] = array("h", bytes(128 * c["cols"] * c["rows"]))
             frame = (w, h, comps, hm, vm, mx, my, marker == 0xC2)
         elif 0xC3 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise Damaged("a kind of JPEG that isn't decoded")
@@ -269,20 +307,14 @@ def coefficients(data: bytes):
                     segments.append(data[begin:end])
                     break
             at = end
-            if ns == 1:
-                c = chosen[0]
-                units = [[(0, c["blocks"][y * c["cols"] + x])] for y in range(c["bh"]) for x in range(c["bw"])]
-            else:
-                units = [
-                    [(i, c["blocks"][(y * c["v"] + v) * c["cols"] + x * c["h"] + u]) for i, c in enumerate(chosen) for v in range(c["v"]) for u in range(c["h"])]
-                    for y in range(my)
-                    for x in range(mx)
-                ]
             need_dc, need_ac = (not progressive or (ss == 0 and a >> 4 == 0)), (not progressive or ss > 0)
             dcs, acs = [dct.get(t >> 4) for t in tables], [act.get(t & 15) for t in tables]
-            if (need_dc and None in dcs) or (need_ac and None in acs) or se > 63 or ss > se or (progressive and ss and ns > 1):
+            if (need_dc and None in dcs) or (need_ac and None in acs) or se > 63 or ss > se or (progressive and ss and ns > 1) or a & 15 > 13:
                 raise Damaged("a scan without its tables")
-            _scan(segments, units, chosen, dcs, acs, ss, se, a >> 4, a & 15, restart, progressive)
+            try:
+                _scan(segments, chosen, mx, my, list(zip(dcs, acs)), ss, se, a >> 4, a & 15, restart, progressive)
+            except OverflowError as e:
+                raise Damaged("a value of more than 16 bits") from e
             scans += 1
     if frame is None or not scans:
         raise Damaged("no image")
@@ -291,83 +323,127 @@ def coefficients(data: bytes):
         if c["tq"] not in quant:
             raise Damaged("no quantisation table")
         c["quantiser"] = quant[c["tq"]]
-        c["blocks"] = np.array(c["blocks"], np.int64).reshape(c["rows"], c["cols"], 64)
+        c["blocks"] = np.frombuffer(c.pop("coef"), np.int16).reshape(c["rows"], c["cols"], 64)
     return w, h, comps, hm, vm, adobe
 
 
 def _inverse(c: dict) -> np.ndarray:
-    """Samples of a component as float rows x columns, of whole blocks."""
-    natural = np.zeros(c["blocks"].shape)
-    natural[..., ZIGZAG] = c["blocks"] * c["quantiser"]
-    x = natural.reshape(*natural.shape[:2], 8, 8)
-    y = DCT.T @ x @ DCT + 128
-    return np.clip(np.round(y), 0, 255).transpose(0, 2, 1, 3).reshape(8 * c["rows"], 8 * c["cols"])
-
-
-def _double(x: np.ndarray, axis: int) -> np.ndarray:
-    """Twice the samples along an axis, each 3/4 of its own and 1/4 of the nearer neighbour."""
-    x = np.moveaxis(x, axis, 0)
-    before, after = np.concatenate([x[:1], x[:-1]]), np.concatenate([x[1:], x[-1:]])
-    out = np.empty((2 * len(x), *x.shape[1:]))
-    out[0::2], out[1::2] = (3 * x + before) / 4, (3 * x + after) / 4
-    return np.moveaxis(out, 0, axis)
-
-
-def _full(x: np.ndarray, c: dict, hm: int, vm: int, w: int, h: int) -> np.ndarray:
+    """Samples of a component as bytes, rows x columns, of whole blocks."""
+    out = np.empty((8 * c["rows"], 8 * c["cols"]), np.uint8)
+    step = max(1, BAND_PIXELS // (64 * c["cols"]))
+    for at in range(0, c["rows"], step):
+        blocks = c["blocks"][at : at + step]
+        natural = np.zeros(blocks.shape)
+        natural[..., ZIGZAG] = blocks * c["quantiser"]
+        x = natural.reshape(*natural.shape[:2], 8, 8)
+        y = DCT.T @ x @ DCT + 128
+        out[8 * at : 8 * (at + len(blocks))] = np.clip(np.round(y), 0, 255).transpose(0, 2, 1, 3).reshape(8 * len(blocks), -1)
+    return out
+
+
+def _double(x: np.ndarray) -> np.ndarray:
+    """Twice the columns, each 3/4 of its own and 1/4 of the nearer neighbour."""
+    before, after = np.concatenate([x[:, :1], x[:, :-1]], axis=1), np.concatenate([x[:, 1:], x[:, -1:]], axis=1)
+    out = np.empty((len(x), 2 * x.shape[1]))
+    out[:, 0::2], out[:, 1::2] = (3 * x + before) / 4, (3 * x + after) / 4
+    return out
+
+
+def _band(x: np.ndarray, c: dict, hm: int, vm: int, w: int, h: int, lo: int, hi: int) -> np.ndarray:
+    """Rows lo to hi of a component at the image's size."""
     x = x[: -(-h * c["v"] // vm), : -(-w * c["h"] // hm)]
-    for axis, (m, own, n) in enumerate(((vm, c["v"], h), (hm, c["h"], w))):
-        if m == 2 * own:
-            x = _double(x, axis)
-        elif m != own:
-            x = np.take(x, np.minimum(np.arange(n) * own // m, x.shape[axis] - 1), axis)
-    return x[:h, :w]
+    rows = np.arange(lo, hi)
+    if vm == 2 * c["v"]:
+        own = rows >> 1
+        x = (3.0 * x[own] + x[np.clip(own + np.where(rows & 1, 1, -1), 0, len(x) - 1)]) / 4
+    else:
+        x = x[np.minimum(rows * c["v"] // vm, len(x) - 1)].astype(float)
+    if hm == 2 * c["h"]:
+        x = _double(x)
+    elif hm != c["h"]:
+        x = x[:, np.minimum(np.arange(w) * c["h"] // hm, x.shape[1] - 1)]
+    return x[:, :w]
 
 
 def decode(data: bytes) -> np.ndarray:
-    """The image as height x width x 3 bytes of RGB; Damaged where it can't be had whole."""
+    """The image as height x width x 3 bytes of RGB; Damaged where it can't be had whole.
+
+    Of four components the last is black; Adobe's files hold them inverted.
+    """
     w, h, comps, hm, vm, adobe = coefficients(data)
-    planes = [_full(_inverse(c), c, hm, vm, w, h) for c in comps]
-    if len(planes) == 1:
-        rgb = np.stack(planes * 3, axis=-1)
-    elif len(planes) == 3:
-        if adobe == 0:
-            rgb = np.stack(planes, axis=-1)
+    if len(comps) not in (1, 3, 4):
+        raise Damaged(f"{len(comps)} components")
+    planes = []
+    for c in comps:
+        planes.append(_inverse(c))
+        del c["blocks"]
+    out = np.empty((h, w, 3), np.uint8)
+    step = max(1, BAND_PIXELS // w)
+    for lo in range(0, h, step):
+        hi = min(h, lo + step)
+        band = [_band(x, c, hm, vm, w, h, lo, hi) for x, c in zip(planes, comps)]
+        if len(band) == 1:
+            rgb = np.stack(band * 3, axis=-1)
         else:
-            y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-            rgb = np.stack([y + 1.402 * cr, y - 0.344136286 * cb - 0.714136286 * cr, y + 1.772 * cb], axis=-1)
-    else:
-        raise Damaged("neither grey nor three components")
-    return np.clip(np.round(rgb), 0, 255).astype(np.uint8)
+            rgb = np.stack(band[:3], axis=-1)
+            if adobe != 0 and not (len(band) == 4 and adobe is None):
+                y, cb, cr = band[0], band[1] - 128, band[2] - 128
+                rgb = np.stack([y + 1.402 * cr, y - 0.344136286 * cb - 0.714136286 * cr, y + 1.772 * cb], axis=-1)
+                if len(band) == 4:
+                    rgb = 255 - np.clip(rgb, 0, 255)
+            if len(band) == 4:
+                black = band[3][..., None]
+                rgb = (255 - rgb) * (255 - black) / 255 if adobe is None else rgb * black / 255
+        out[lo:hi] = np.clip(np.round(rgb), 0, 255)
+    return out
 
 
 def decode_media(media: DataFrame, column: str = "jpeg") -> DataFrame:
     """media with width, height, tensor (height x width x 3 bytes of RGB) and error in place of the column of files.
 
     A null file has nulls in all four.  A file that is empty, damaged or of a
-    kind not decoded has its error and nulls.  Other columns come through but
-    those of the four names; repeated rows are decoded alike; an empty table gives one.
+    kind not decoded (lossless, arithmetic, 12 bits) has its error and nulls, and so
+    has one whose tensor is more than a binary value holds, 2 GB or 715 megapixels.
+    Any other is decoded whole, however large; batches are cut by their bytes.  Other
+    columns come through, whatever their names, but those of the four names, which
+    are replaced; repeated rows are decoded alike; an empty table gives one.
     """
     base = without(media, "width", "height", "tensor", "error")
+    if column not in base.columns:
+        raise ValueError(f"the column of files must not be named {column}")
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out: list = []
-                for x in part.column(column).to_pylist():
-                    if x is None:
-                        out.append((None, None, None, None))
-                        continue
-                    try:
-                        rgb = decode(bytes(x))
-                        out.append((rgb.shape[1], rgb.shape[0], rgb.tobytes(), None))
-                    except (Damaged, IndexError) as e:
-                        out.append((None, None, None, f"{e}" if isinstance(e, Damaged) else "the file ends early"))
-                w, h, t, e = zip(*out) if out else ((), (), (), ())
-                rest = [c for c, name in zip(part.columns, part.schema.names) if name != column]
-                names = [name for name in part.schema.names if name != column]
+            files = batch.column(batch.schema.get_field_index(column))
+            out: list = []
+            held = began = 0
+
+            def flush(stop, batch=batch):
+                part = batch.slice(began, stop - began)
+                w, h, t, e = zip(*out)
+                rest = [(c, name) for c, name in zip(part.columns, part.schema.names) if name != column]
                 cols = [pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array(t, pa.binary()), pa.array(e, pa.string())]
-                yield pa.RecordBatch.from_arrays([*rest, *cols], names=[*names, "width", "height", "tensor", "error"])
+                return pa.RecordBatch.from_arrays([*(c for c, _ in rest), *cols], names=[*(name for _, name in rest), "width", "height", "tensor", "error"])
+
+            for i in range(batch.num_rows):
+                x = files[i].as_py()
+                try:
+                    row = (None, None, None, None)
+                    if x is not None:
+                        rgb = decode(x)
+                        row = (rgb.shape[1], rgb.shape[0], rgb.tobytes(), None)
+                except Damaged as e:
+                    row = (None, None, None, f"{e}")
+                except IndexError:
+                    row = (None, None, None, "the file ends early")
+                more = len(row[2] or b"")
+                if out and held + more > FLUSH_BYTES:
+                    yield flush(i)
+                    out, held, began = [], 0, i
+                out.append(row)
+                held += more
+            if out:
+                yield flush(batch.num_rows)
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != column)
     return base.mapInArrow(run, f"{ddl}{', ' if ddl else ''}width int, height int, tensor binary, error string")
