@@ -2,7 +2,6 @@
 
 import hashlib
 import math
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ import corpus_pipeline
 from skyanchor.llm import bpe, mixing, quality, queries, toxicity
 
 from ..oracle import compare, connect
-from .test_operators import brute_groups, odd_docs
+from .test_operators import brute_groups, brute_tokens, odd_docs
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,7 +50,7 @@ def test_stages(spark):
     assert sorted(single.doc_id) == sorted(clean.doc_id[sorted(set(groups))])
     df = spark.createDataFrame(single)
     mixed = stage(3, df)
-    words = single.text.map(lambda s: len([w for w in re.split("[ \t\n\r\f]+", s) if w]))
+    words = single.text.map(brute_tokens)
     per = words.groupby(single.source).sum()
     want = []
     for i, s in zip(single.doc_id, single.source):
