@@ -6,8 +6,12 @@ A correspondence row is (frame_id, i, qx, qy, rx, ry); a transform maps
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.geo import _c, wrap_deg
 
@@ -64,59 +68,119 @@ def rmse_inliers(corr: DataFrame, transforms: DataFrame, threshold_px: float = 3
     )
 
 
-def hypotheses(corr: DataFrame, count: int = 64, least_baseline: float = 50.0) -> DataFrame:
-    """Deterministic two-point transforms (frame_id, h, a, b, tx, ty).
+MODEL = "n_points bigint, n_inliers bigint, a double, b double, tx double, ty double, rmse_px double, loss double"
 
-    Hypothesis h takes points h mod n and (h + 1 + 7 (h div 8)) mod n, with i
-    numbering a frame's points from 0; pairs too close are left out.
-    """
-    n = corr.groupBy("frame_id").agg(F.count("*").alias("n"))
-    h = n.filter("n >= 2").select("frame_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))).alias("h"))
-    return _transforms(corr, h.selectExpr("frame_id", "h", "h % n as i1", "(h + 1 + 7 * (h div 8)) % n as i2").filter("i1 <> i2"), least_baseline)
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that scatters neighbours."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def _transforms(corr: DataFrame, h: DataFrame, least_baseline: float) -> DataFrame:
-    p, q = (corr.select("frame_id", F.col("i").alias(f"i{k}"), *(F.col(c).alias(f"{c}{k}") for c in ("qx", "qy", "rx", "ry"))) for k in (1, 2))
-    j = h.join(p, ["frame_id", "i1"]).join(q, ["frame_id", "i2"])
-    dx, dy, ex, ey = (F.col(f"{c}2") - F.col(f"{c}1") for c in ("qx", "qy", "rx", "ry"))
-    n2 = dx * dx + dy * dy
-    j = j.withColumn("n2", n2).filter(F.col("n2") > least_baseline**2)
-    j = j.withColumn("a", (dx * ex + dy * ey) / F.col("n2")).withColumn("b", (dx * ey - dy * ex) / F.col("n2"))
-    return j.select("frame_id", "h", "a", "b", (F.col("rx1") - F.col("a") * F.col("qx1") + F.col("b") * F.col("qy1")).alias("tx"), (F.col("ry1") - F.col("b") * F.col("qx1") - F.col("a") * F.col("qy1")).alias("ty"))
 
+def draw_pairs(n: int, first: int, last: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two different points of n for each of the draws first to last - 1, from a hash of the draw's number: any pair as likely as any other."""
+    h = np.arange(first, last, dtype=np.uint64) * np.uint64(2) + np.uint64(2 * seed << 32)
+    i = _mix(h + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)
+    j = (i + np.uint64(1) + _mix(h + np.uint64(0x9E3779B97F4A7C16)) % np.uint64(n - 1)) % np.uint64(n)
+    return i.astype(np.int64), j.astype(np.int64)
 
-def more_hypotheses(corr: DataFrame, best: DataFrame, count: int = 64, most: int = 5000, confidence: float = 0.999, least_baseline: float = 50.0) -> DataFrame:
-    """Hypotheses count to most - 1 of the frames that the first count of hypotheses() don't settle, from a hash of (frame, h).
 
-    best (frame_id, n_inliers) has the first ones' largest consensus.  It settles
-    a frame where count draws would miss a set of its share with a probability of
-    at most 1 - confidence; in a frame with points that the first can't draw,
-    where it holds more than half the points.
-    """
-    reach = count + 1 + 7 * ((count - 1) // 8)
-    n = corr.groupBy("frame_id").agg(F.count("*").alias("n")).filter("n >= 2").join(best.select("frame_id", "n_inliers"), "frame_id", "left")
-    w = F.coalesce("n_inliers", F.lit(0)) / F.col("n")
-    settled = F.when(F.col("n") > reach, w > 0.5).otherwise(F.pow(1 - w * w, count) <= 1 - confidence)
-    h = n.filter(~settled).select("frame_id", "n", F.explode(F.sequence(F.lit(count).cast("bigint"), F.lit(most - 1).cast("bigint"))).alias("h") if most > count else F.lit(None).cast("bigint").alias("h")).filter("h is not null")
-    h = h.withColumn("i1", F.expr("pmod(xxhash64(frame_id, h, 1), n)")).withColumn("i2", F.expr("(i1 + 1 + pmod(xxhash64(frame_id, h, 2), n - 1)) % n"))
-    return _transforms(corr, h.select("frame_id", "h", "i1", "i2"), least_baseline)
+def _least_squares(z: np.ndarray, w: np.ndarray) -> tuple[complex, complex] | None:
+    """c, t of w = c z + t by least squares, points as complex numbers; None where they don't spread."""
+    mz, mw = z.mean(), w.mean()
+    ss = float((np.abs(z - mz) ** 2).sum())
+    if len(z) < 2 or ss <= 1e-12:
+        return None
+    c = complex((np.conj(z - mz) * (w - mw)).sum() / ss)
+    return (c, complex(mw - c * mz)) if abs(c) > 0 else None
 
 
-def ransac(corr: DataFrame, count: int = 64, threshold_px: float = 3.0, min_inliers: int = 10, min_scale: float | None = None, max_scale: float | None = None, most: int = 5000) -> DataFrame:
-    """(frame_id, h, n_inliers, a, b, tx, ty): the refit on the inliers of the best hypothesis.
+def search(z: np.ndarray, w: np.ndarray, threshold_px: float, cap_px: float | None, most: int, confidence: float, least_baseline: float, refits: int = 10):
+    """The transform (c, t) with the largest consensus, or with cap_px the least truncated squared loss, and the mask of its inliers; None without any.
 
-    Most inliers win, then the least h; where count hypotheses don't settle a frame it gets most of them.  A frame whose best has too few, or a
-    refitted scale out of bounds, has no row: a refusal is a left join away.
+    Pairs are drawn from all points until, by the share of the best so far, a draw
+    of two inliers has been missed with a probability of at most 1 - confidence, or
+    there were most of them.  The first best wins; it is refitted on its inliers
+    until they don't change.
     """
-    tally = lambda hyp: corr.join(hyp, "frame_id").filter(residual() <= threshold_px).groupBy("frame_id", "h").agg(F.count("*").alias("n_inliers"))
-    hyp = hypotheses(corr, count)
-    votes = tally(hyp)
-    more = more_hypotheses(corr, votes.groupBy("frame_id").agg(F.max("n_inliers").alias("n_inliers")), count, most)
-    hyp, votes = hyp.union(more), votes.union(tally(more))
-    best = votes.groupBy("frame_id").agg(F.max(F.struct("n_inliers", (-F.col("h")).alias("m"))).alias("w")).select("frame_id", (-F.col("w.m")).alias("h"), F.col("w.n_inliers").alias("n_inliers"))
-    best = best.filter(F.col("n_inliers") >= min_inliers)
-    inliers = corr.join(hyp.join(best, ["frame_id", "h"]), "frame_id").filter(residual() <= threshold_px).select(*corr.columns)
-    out = best.join(fit_similarity(inliers).drop("n"), "frame_id")
+    n = len(z)
+    if n < 2:
+        return None
+    span = np.hypot(np.ptp(z.real), np.ptp(z.imag))
+    shortest = min(least_baseline, span / 10)
+    best, best_key, need, h = None, None, most, 0
+    while h < min(need, most):
+        to = min(most, h + max(1, min(64, (1 << 22) // n)))
+        i, j = draw_pairs(n, h, to)
+        h = to
+        dz, dw = z[j] - z[i], w[j] - w[i]
+        ok = (np.abs(dz) > shortest) & (np.abs(dw) > 0)
+        if not ok.any():
+            continue
+        c = dw[ok] / dz[ok]
+        t = w[i][ok] - c * z[i][ok]
+        d2 = np.abs(c[:, None] * z[None, :] + t[:, None] - w[None, :]) ** 2
+        inside = (d2 <= threshold_px**2).sum(axis=1)
+        key = inside if cap_px is None else -np.minimum(d2, cap_px**2).sum(axis=1)
+        k = int(np.argmax(key))
+        if best is None or key[k] > best_key:
+            best, best_key = (complex(c[k]), complex(t[k])), key[k]
+            share = inside[k] / n
+            need = h if share >= 1 else most if share <= 0 else int(np.ceil(np.log(1 - confidence) / np.log1p(-share * share)))
+    if best is None:
+        return None
+    within = lambda m: np.abs(m[0] * z + m[1] - w) <= threshold_px
+    mask = within(best)
+    for _ in range(refits):
+        again = _least_squares(z[mask], w[mask]) if mask.sum() >= 2 else None
+        if again is None:
+            break
+        new = within(again)
+        if new.sum() < 2:
+            break
+        best, same, mask = again, bool((new == mask).all()), new
+        if same:
+            break
+    return best, mask
+
+
+def _by_frame(corr: DataFrame, f, out: str) -> DataFrame:
+    """f(z, w) -> tuple of values or None for the points of each frame_id, whatever its type, in the order of their values; one row a frame."""
+    kind = corr.schema["frame_id"].dataType.simpleString()
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def run(table: pa.Table) -> pa.Table:
+        q = np.stack([np.asarray(table.column(c)).astype(float) for c in ("qx", "qy", "rx", "ry")])
+        q = q[:, np.isfinite(q).all(axis=0)]
+        q = q[:, np.lexsort(q[::-1])]
+        got = f(q[0] + 1j * q[1], q[2] + 1j * q[3])
+        keys = pa.array(table.column("frame_id").slice(0, 0 if got is None else 1).to_pylist(), types[0])
+        return pa.table([keys, *(pa.array([] if got is None else [v], t) for v, t in zip(got or names, types[1:]))], names=["frame_id", *names])
+
+    types = to_arrow_schema(StructType.fromDDL(f"frame_id {kind}, {out}")).types
+    return corr.select("frame_id", "qx", "qy", "rx", "ry").groupBy("frame_id").applyInArrow(run, f"frame_id {kind}, {out}")
+
+
+def ransac(
+    corr: DataFrame, threshold_px: float = 3.0, min_inliers: int = 10, min_scale: float | None = None, max_scale: float | None = None, *, most: int = 5000, confidence: float = 0.999, least_baseline: float = 50.0
+) -> DataFrame:
+    """(frame_id, n_points, n_inliers, a, b, tx, ty, rmse_px, loss): search()'s transform of each frame.
+
+    A frame is searched in one task, over all its points with finite values, in
+    whatever order they come.  A frame whose best has too few inliers, or whose
+    scale is out of bounds, has no row: a refusal is a left join away.
+    """
+
+    def one(z, w):
+        found = search(z, w, threshold_px, None, most, confidence, least_baseline)
+        if found is None or found[1].sum() < max(2, min_inliers):
+            return None
+        (c, t), mask = found
+        d2 = np.abs(c * z + t - w)[mask] ** 2
+        return len(z), int(mask.sum()), c.real, c.imag, t.real, t.imag, float(np.sqrt(d2.mean())), float(d2.sum())
+
+    out = _by_frame(corr, one, MODEL)
     if min_scale is not None:
         out = out.filter(scale() >= min_scale)
     if max_scale is not None:
@@ -124,16 +188,29 @@ def ransac(corr: DataFrame, count: int = 64, threshold_px: float = 3.0, min_inli
     return out
 
 
-def msac(corr: DataFrame, count: int = 64, cap_px: float = 12.0, most: int = 5000) -> DataFrame:
-    """(frame_id, h, loss, n_inliers): the hypothesis of least truncated squared loss, ties to the least h; drawn as in ransac()."""
-    d2 = F.pow(residual(), 2)
-    score = lambda hyp: corr.join(hyp, "frame_id").groupBy("frame_id", "h").agg(
-        F.round(F.sum(F.least(d2, F.lit(cap_px**2))), 6).alias("loss"), F.count_if(d2 <= (cap_px / 2) ** 2).alias("n_inliers")
-    )
-    first = score(hypotheses(corr, count))
-    more = more_hypotheses(corr, first.groupBy("frame_id").agg(F.max("n_inliers").alias("n_inliers")), count, most)
-    scored = first.union(score(more))
-    return scored.groupBy("frame_id").agg(F.min(F.struct("loss", "h", "n_inliers")).alias("w")).select("frame_id", "w.h", "w.loss", "w.n_inliers")
+def msac(corr: DataFrame, cap_px: float = 12.0, *, most: int = 5000, confidence: float = 0.999, least_baseline: float = 50.0) -> DataFrame:
+    """ransac()'s columns for the transform of least truncated squared loss, refitted; inliers lie within cap_px / 2, loss counts all points."""
+
+    def one(z, w):
+        found = search(z, w, cap_px / 2, cap_px, most, confidence, least_baseline)
+        if found is None:
+            return None
+        (c, t), mask = found
+        d2 = np.abs(c * z + t - w) ** 2
+        rmse = float(np.sqrt(d2[mask].mean())) if mask.any() else float("inf")
+        return len(z), int(mask.sum()), c.real, c.imag, t.real, t.imag, rmse, float(np.minimum(d2, cap_px**2).sum())
+
+    return _by_frame(corr, one, MODEL)
+
+
+def within_rotation(expected_deg, tolerance_deg: float = 15.0) -> Column:
+    """Whether a transform turns as expected; true where nothing is expected."""
+    return F.coalesce(F.abs(wrap_deg(rotation_deg() - _c(expected_deg))) <= tolerance_deg, F.lit(True))
+
+
+def inliers_of(corr: DataFrame, transforms: DataFrame, threshold_px: float = 3.0) -> DataFrame:
+    """The correspondences within threshold_px of where their frame's transform puts them."""
+    return corr.join(transforms.select("frame_id", *T), "frame_id").filter(residual() <= threshold_px).select(*corr.columns)
 
 
 def weighted_refit(corr: DataFrame, transforms: DataFrame, sigma_px: float = 1.0) -> DataFrame:
@@ -171,29 +248,41 @@ def error_ellipse(xx, xy, yy) -> tuple[Column, Column, Column]:
 
 
 def inlier_spread(corr: DataFrame, width: float, height: float) -> DataFrame:
-    """(frame_id, spread): mean distance of a frame's pairs of points over the image's diagonal; 0 for one point."""
-    x, y = (corr.select("frame_id", *(F.col(c).alias(f"{c}{k}") for c in ("i", "qx", "qy"))) for k in (1, 2))
-    d = F.hypot(F.col("qx1") - F.col("qx2"), F.col("qy1") - F.col("qy2"))
-    pairs = x.join(y, "frame_id").filter("i1 < i2").groupBy("frame_id").agg((F.avg(d) / (width**2 + height**2) ** 0.5).alias("spread"))
-    return corr.select("frame_id").distinct().join(pairs, "frame_id", "left").select("frame_id", F.coalesce("spread", F.lit(0.0)).alias("spread"))
+    """(frame_id, spread): mean distance of a frame's pairs of points over the image's diagonal; 0 for one point.
+
+    Pairs are counted block by block within the frame's task, so none is ever a row.
+    """
+    diagonal = float(np.hypot(width, height))
 
+    def one(z, w):
+        n, total = len(z), 0.0
+        for at in range(0, n, 1024):
+            for to in range(at, n, 1024):
+                d = np.abs(z[at : at + 1024, None] - z[None, to : to + 1024]).sum()
+                total += float(d) / 2 if to == at else float(d)
+        return (total / (n * (n - 1) / 2) / diagonal if n > 1 and diagonal > 0 else 0.0,)
 
-def bootstrap_scatter(corr: DataFrame, cx: float, cy: float, draws: int = 32, seed: int = 0) -> DataFrame:
-    """(frame_id, scatter_px): median distance of the centres of resampled fits from their median; infinite below 4 points or if under half fit.
+    return _by_frame(corr, one, "spread double")
 
-    Resampling is by Poisson counts of one from a hash of (seed, draw, frame, i), so that no row is gathered anywhere.
+
+def bootstrap_scatter(inliers: DataFrame, cx: float, cy: float, draws: int = 32, seed: int = 0) -> DataFrame:
+    """(frame_id, scatter_px): median distance, from their median, of the centres of fits to draws of as many inliers with replacement.
+
+    Infinite below 4 inliers or if under half of the draws fit.  The draws come from a hash of their number.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", "frame_id", "i"), F.lit(1 << 30)) / float(1 << 30)
-    times = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.996340, 4).otherwise(5)
-    drawn = corr.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("times", times).filter("times > 0")
-    drawn = drawn.withColumn("t", F.explode(F.sequence(F.lit(1), F.col("times")))).withColumn("key", F.struct("frame_id", "draw"))
-    x, y = apply(F.lit(cx), F.lit(cy))
-    at = fit_similarity(drawn, "key").filter("a is not null").select("key.frame_id", x.alias("x"), y.alias("y"))
-    mid = at.groupBy("frame_id").agg(F.median("x").alias("mx"), F.median("y").alias("my"), F.count("*").alias("fits"))
-    far = at.join(mid, "frame_id").groupBy("frame_id", "fits").agg(F.median(F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))).alias("d"))
-    n = corr.groupBy("frame_id").agg(F.count("*").alias("n"))
-    ok = (F.col("n") >= 4) & (F.col("fits") * 2 >= draws)
-    return n.join(far, "frame_id", "left").select("frame_id", F.when(ok, F.col("d")).otherwise(float("inf")).alias("scatter_px"))
+
+    def one(z, w):
+        n = len(z)
+        if n < 4:
+            return (float("inf"),)
+        at = (_mix(np.arange(draws * n, dtype=np.uint64) + np.uint64((seed + 1) << 40)) % np.uint64(n)).astype(np.int64).reshape(draws, n)
+        fits = [m for row in at if (m := _least_squares(z[row], w[row])) is not None]
+        if 2 * len(fits) < draws:
+            return (float("inf"),)
+        x = np.array([c * complex(cx, cy) + t for c, t in fits])
+        return (float(np.median(np.abs(x - complex(np.median(x.real), np.median(x.imag))))),)
+
+    return _by_frame(inliers, one, "scatter_px double")
 
 
 def ecc_projection(a00, a01, a10, a11) -> tuple[Column, Column]:
@@ -204,3 +293,105 @@ def ecc_projection(a00, a01, a10, a11) -> tuple[Column, Column]:
 def ecc_accepted(shift_px, old_scale, new_scale, old_deg, new_deg, max_shift: float = 8.0, max_scale: float = 1.05, max_deg: float = 2.0) -> Column:
     ratio = _c(new_scale) / _c(old_scale)
     return (_c(shift_px) <= max_shift) & (F.greatest(ratio, 1 / ratio) <= max_scale) & (F.abs(wrap_deg(_c(new_deg) - _c(old_deg))) <= max_deg)
+
+
+def _sobel_smooth(z: np.ndarray, size: int) -> np.ndarray:
+    """Gaussian smoothing by a kernel of size taps, borders reflected."""
+    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    k = np.exp(-0.5 * (np.arange(size) - size // 2) ** 2 / sigma**2)
+    k /= k.sum()
+    for axis in (0, 1):
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (size // 2, size // 2)
+        p = np.pad(z, pad, mode="reflect")
+        z = sum(k[i] * np.take(p, np.arange(i, i + z.shape[axis]), axis) for i in range(size))
+    return z
+
+
+def _sample(z: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bilinear values of z at (x, y), and whether the places are inside."""
+    h, w = z.shape
+    inside = (x >= 0) & (y >= 0) & (x <= w - 1) & (y <= h - 1)
+    x, y = np.clip(x, 0, w - 1), np.clip(y, 0, h - 1)
+    x0, y0 = np.minimum(x.astype(int), max(w - 2, 0)), np.minimum(y.astype(int), max(h - 2, 0))
+    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
+    fx, fy = x - x0, y - y0
+    return (z[y0, x0] * (1 - fx) + z[y0, x1] * fx) * (1 - fy) + (z[y1, x0] * (1 - fx) + z[y1, x1] * fx) * fy, inside
+
+
+def ecc_affine(query: np.ndarray, reference: np.ndarray, start: np.ndarray, iterations: int = 100, eps: float = 1e-6, smooth: int = 5) -> np.ndarray | None:
+    """The 2 x 3 affine map from query to reference pixels that maximises their enhanced correlation (Evangelidis and Psarakis), from start on; None where it doesn't converge.
+
+    Each step linearises the warped reference in the six parameters and moves by
+    the closed form of the correlation's maximum.
+    """
+    q, r = _sobel_smooth(query.astype(float), smooth), _sobel_smooth(reference.astype(float), smooth)
+    gy, gx = np.gradient(r)
+    h, w = q.shape
+    yy, xx = (v.reshape(-1) for v in np.mgrid[0:h, 0:w].astype(float))
+    warp, last = start.astype(float).copy(), -2.0
+    for _ in range(iterations):
+        x, y = warp[0, 0] * xx + warp[0, 1] * yy + warp[0, 2], warp[1, 0] * xx + warp[1, 1] * yy + warp[1, 2]
+        v, inside = _sample(r, x, y)
+        if inside.sum() < 64:
+            return None
+        dx, dy = _sample(gx, x, y)[0] * inside, _sample(gy, x, y)[0] * inside
+        jacobian = np.stack([dx * xx, dy * xx, dx * yy, dy * yy, dx, dy], axis=1)
+        t = np.where(inside, q.reshape(-1) - q.reshape(-1)[inside].mean(), 0)
+        i = np.where(inside, v - v[inside].mean(), 0)
+        jacobian -= np.where(inside[:, None], jacobian[inside].mean(axis=0), 0)
+        nt, ni = float(np.linalg.norm(t)), float(np.linalg.norm(i))
+        if nt <= 1e-9 or ni <= 1e-9:
+            return None
+        rho = float(t @ i) / (nt * ni)
+        if abs(rho - last) < eps:
+            return warp
+        last = rho
+        hessian = jacobian.T @ jacobian
+        try:
+            gi, gt = np.linalg.solve(hessian, np.stack([jacobian.T @ i, jacobian.T @ t], axis=1)).T
+        except np.linalg.LinAlgError:
+            return None
+        top, bottom = ni**2 - float((jacobian.T @ i) @ gi), float(t @ i) - float((jacobian.T @ t) @ gi)
+        if bottom <= 0:
+            return None
+        step = top / bottom * gt - gi
+        warp += step.reshape(3, 2).T
+        if not np.isfinite(warp).all():
+            return None
+    return warp
+
+
+def refine_ecc(pairs: DataFrame, iterations: int = 100, max_shift: float = 8.0, max_scale: float = 1.05, max_deg: float = 2.0) -> DataFrame:
+    """pairs (frame_id, …, a, b, tx, ty, height, width, query, ref_height, ref_width, reference) with the refined transform and refined, without the rasters.
+
+    Rasters are bytes in rows.  The affine refinement is projected on the nearest
+    similarity and taken only near the transform that it started from; else, and
+    where a raster is missing, that one stays and refined is false.
+    """
+    rasters = {"query", "reference"}
+    kept = [f for f in pairs.schema if f.name not in rasters]
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                r["refined"] = False
+                if r["query"] is None or r["reference"] is None or r["a"] is None:
+                    continue
+                q = np.frombuffer(r["query"], np.uint8).reshape(r["height"], r["width"])
+                z = np.frombuffer(r["reference"], np.uint8).reshape(r["ref_height"], r["ref_width"])
+                m = ecc_affine(q, z, np.array([[r["a"], -r["b"], r["tx"]], [r["b"], r["a"], r["ty"]]]), iterations)
+                if m is None:
+                    continue
+                old, new = complex(r["a"], r["b"]), complex((m[0, 0] + m[1, 1]) / 2, (m[1, 0] - m[0, 1]) / 2)
+                centre = complex((r["width"] - 1) / 2, (r["height"] - 1) / 2)
+                shift = abs(new * centre + complex(m[0, 2], m[1, 2]) - old * centre - complex(r["tx"], r["ty"]))
+                ratio = abs(new) / abs(old) if abs(old) else 0.0
+                turn = abs((np.degrees(np.angle(new / old)) + 180) % 360 - 180) if ratio > 0 else 180.0
+                if 1 / max_scale <= ratio <= max_scale and turn <= max_deg and shift <= max_shift:
+                    r |= {"a": new.real, "b": new.imag, "tx": float(m[0, 2]), "ty": float(m[1, 2]), "refined": True}
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    schema = to_arrow_schema(StructType([*kept, *StructType.fromDDL("refined boolean").fields]))
+    return pairs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", refined boolean")

@@ -15,12 +15,9 @@ _FIT = """m AS (SELECT frame_id, COUNT(*) AS n, AVG(qx) AS mqx, AVG(qy) AS mqy,
 fit AS (SELECT *, ca / vv AS a, cb / vv AS b, mrx - ca / vv * mqx + cb / vv * mqy AS tx, mry - cb / vv * mqx - ca / vv * mqy AS ty FROM m)"""
 _FITTED = f"{corr_sql()}, {_FIT.format(src='corr')}"
 _RES = "sqrt(pow(a * qx - b * qy + tx - rx, 2) + pow(b * qx + a * qy + ty - ry, 2))"
-_HYP = """n AS (SELECT frame_id, COUNT(*) AS n FROM corr GROUP BY frame_id),
-h0 AS (SELECT frame_id, h, h % n AS i1, (h + 1 + 7 * (h // 8)) % n AS i2 FROM n, range(64) t(h) WHERE n >= 2),
-h1 AS (SELECT h0.frame_id, h, p.qx AS px, p.qy AS py, p.rx AS ux, p.ry AS uy, q.qx - p.qx AS dx, q.qy - p.qy AS dy, q.rx - p.rx AS ex, q.ry - p.ry AS ey
-  FROM h0 JOIN corr p ON p.frame_id = h0.frame_id AND p.i = i1 JOIN corr q ON q.frame_id = h0.frame_id AND q.i = i2 WHERE i1 <> i2),
-h2 AS (SELECT *, (dx * ex + dy * ey) / (dx * dx + dy * dy) AS a, (dx * ey - dy * ex) / (dx * dx + dy * dy) AS b FROM h1 WHERE dx * dx + dy * dy > 2500),
-hyp AS (SELECT frame_id, h, a, b, ux - a * px + b * py AS tx, uy - b * px - a * py AS ty FROM h2)"""
+#: The points whose transform was planted without a fault: what a robust fit has to find, by no formula of its own.
+_GOOD = f"""{corr_sql(True)}, p AS (SELECT *, sqrt(pow({1.1 * 0.8660254037844387!r}::DOUBLE * qx - {1.1 * 0.5!r}::DOUBLE * qy + 40 - rx, 2) + pow({1.1 * 0.5!r}::DOUBLE * qx + {1.1 * 0.8660254037844387!r}::DOUBLE * qy - 25 - ry, 2)) < 5 AS good FROM corr),
+good AS (SELECT * FROM p WHERE good), {_FIT.format(src='good')}"""
 
 
 @query(f"WITH {_FITTED} SELECT frame_id, n, {d6('a')} AS a, {d6('b')} AS b, {d6('tx', 4)} AS tx, {d6('ty', 4)} AS ty, {d6('sqrt(a * a + b * b)')} AS scale, {d6('degrees(atan2(b, a))')} AS rotation_deg FROM fit")
@@ -37,19 +34,18 @@ def pose_rmse_inliers(spark, sf_dir):
     return r.select("frame_id", "n_points", "n_inliers", r6(F.col("inlier_ratio")).alias("inlier_ratio"), r6(F.col("rmse_px")).alias("rmse_px"))
 
 
-@query(f"""WITH {corr_sql(True)}, {_HYP}, v AS (SELECT frame_id, h, COUNT(*) AS n_inliers FROM corr JOIN hyp USING (frame_id) WHERE {_RES} <= 3 GROUP BY ALL),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY n_inliers DESC, h) AS k FROM v) WHERE k = 1 AND n_inliers >= 10),
-inl AS (SELECT corr.* FROM corr JOIN hyp USING (frame_id) JOIN best USING (frame_id, h) WHERE {_RES} <= 3), {_FIT.format(src='inl')}
-SELECT frame_id, h, n_inliers, {d6('a')} AS a, {d6('b')} AS b, {d6('tx', 4)} AS tx, {d6('ty', 4)} AS ty FROM best JOIN fit USING (frame_id)""")
+@query(f"""WITH {_GOOD} SELECT frame_id, COUNT(*) AS n_points, COUNT(*) FILTER (good) AS n_inliers, {d6('ANY_VALUE(a)')} AS a, {d6('ANY_VALUE(b)')} AS b, {d6('ANY_VALUE(tx)', 4)} AS tx, {d6('ANY_VALUE(ty)', 4)} AS ty,
+  {d6(f'sqrt(AVG(pow({_RES}, 2)) FILTER (good))')} AS rmse_px FROM p JOIN fit USING (frame_id) GROUP BY frame_id HAVING COUNT(*) FILTER (good) >= 10""")
 def pose_ransac_deterministic(spark, sf_dir):
+    """RANSAC over points of which a quarter are shifted alike: it has to find those that aren't, and the least-squares fit to them."""
     r = pose.ransac(correspondences(spark, sf_dir, outliers=True))
-    return r.select("frame_id", "h", "n_inliers", r6(F.col("a")).alias("a"), r6(F.col("b")).alias("b"), r6(F.col("tx"), 4).alias("tx"), r6(F.col("ty"), 4).alias("ty"))
+    return r.select("frame_id", "n_points", "n_inliers", r6(F.col("a")).alias("a"), r6(F.col("b")).alias("b"), r6(F.col("tx"), 4).alias("tx"), r6(F.col("ty"), 4).alias("ty"), r6(F.col("rmse_px")).alias("rmse_px"))
 
 
-@query(f"""WITH {corr_sql(True)}, {_HYP}, s AS (SELECT frame_id, h, round(SUM(least(pow({_RES}, 2), 144.0e0)), 6) AS loss, COUNT(*) FILTER (pow({_RES}, 2) <= 36) AS n_inliers FROM corr JOIN hyp USING (frame_id) GROUP BY ALL)
-SELECT frame_id, h, {d6('loss', 3)} AS loss, n_inliers FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY loss, h) AS k FROM s) WHERE k = 1""")
+@query(f"""WITH {_GOOD} SELECT frame_id, COUNT(*) FILTER (good) AS n_inliers, {d6(f'SUM(least(pow({_RES}, 2), 144.0e0))', 3)} AS loss, {d6('ANY_VALUE(a)')} AS a, {d6('ANY_VALUE(b)')} AS b FROM p JOIN fit USING (frame_id) GROUP BY frame_id""")
 def pose_msac_score(spark, sf_dir):
-    return pose.msac(correspondences(spark, sf_dir, outliers=True)).select("frame_id", "h", r6(F.col("loss"), 3).alias("loss"), "n_inliers")
+    m = pose.msac(correspondences(spark, sf_dir, outliers=True))
+    return m.select("frame_id", "n_inliers", r6(F.col("loss"), 3).alias("loss"), r6(F.col("a")).alias("a"), r6(F.col("b")).alias("b"))
 
 
 @query(f"""WITH {_FITTED}, j AS (SELECT c.*, a, b, tx, ty, 1 / (1 + pow({_RES}, 2)) AS w FROM corr c JOIN fit USING (frame_id)),

@@ -56,6 +56,97 @@ def test_ransac_and_msac_draw_from_all_points(spark):
     assert {r.frame_id for r in pose.msac(c).collect() if r.n_inliers >= (170, 12)[r.frame_id]} == {0, 1}
 
 
+def test_outliers_that_come_first(spark):
+    """Of 1,000 points the first 120 are bad, numbered with gaps, backwards and not at all."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(1000):
+        x, y = rng.uniform(0, 512, 2)
+        u, v = rng.uniform(0, 512, 2) if i < 120 else (1.2 * x + 0.1 * y + 5, -0.1 * x + 1.2 * y + 9)
+        rows += [(0, i, x, y, u, v), (1, 10**6 - 17 * i, x, y, u, v), (2, None, x, y, u, v)]
+    c = spark.createDataFrame([(f, i, *map(float, r)) for f, i, *r in rows], SCHEMA).repartition(4)
+    for r in [*pose.ransac(c).collect(), *pose.msac(c).collect()]:
+        assert (r.n_points, r.n_inliers) == (1000, 880) and (r.a, r.b, r.tx, r.ty) == pytest.approx((1.2, -0.1, 5, 9), abs=1e-9) and r.rmse_px < 1e-9
+
+
+@pytest.mark.parametrize("share", [0.2, 0.4, 0.6])
+def test_outliers_up_to_three_in_five(spark, share):
+    c, a, b = planted(spark, frames=8, n=300, outliers=share, noise=0.5, seed=int(share * 10))
+    got = pose.ransac(c).collect()
+    assert len(got) == 8 and all((r.a, r.b) == pytest.approx((a, b), abs=5e-3) and r.n_inliers > 300 * (1 - share) * 0.8 for r in got)
+
+
+def test_pairs_are_drawn_from_all_points():
+    i, j = pose.draw_pairs(1000, 0, 5000)
+    assert (i != j).all() and len(np.unique(i)) > 950 and len(np.unique(j)) > 950 and i.max() > 990 and abs(i.mean() - 499.5) < 15
+    assert set(zip(*pose.draw_pairs(2, 0, 50))) == {(0, 1), (1, 0)}
+
+
+def test_rotation_gate(spark):
+    c, a, b = planted(spark, angle=137.0)
+    f = pose.ransac(c)
+    for expected, ok in ((137.0, True), (150.0, True), (153.0, False), (-224.0, True), (100.0, False), (None, True)):
+        e = F.lit(expected).cast("double")
+        assert f.filter(pose.within_rotation(e)).count() == (3 if ok else 0)
+
+
+def test_bad_points_are_left_out(spark):
+    c, a, b = planted(spark, frames=1, n=30)
+    odd = spark.createDataFrame([(0, 99, None, 1.0, 2.0, 3.0), (0, 98, float("nan"), 1.0, 2.0, 3.0), (0, 97, 1.0, 1.0, float("inf"), 3.0), (5, 0, 1.0, 1.0, 1.0, 1.0), (6, 0, None, None, None, None)], SCHEMA)
+    r = pose.ransac(c.union(odd)).collect()
+    assert len(r) == 1 and (r[0].n_points, r[0].n_inliers) == (30, 30)
+    same = spark.createDataFrame([(0, i, 5.0, 5.0, 7.0, 7.0) for i in range(20)], SCHEMA)
+    assert pose.ransac(same).count() == 0 and pose.ransac(c.limit(0)).count() == 0
+    keyed = c.select(F.struct("frame_id", F.lit("x").alias("cell")).alias("frame_id"), "qx", "qy", "rx", "ry")
+    assert pose.ransac(keyed).first().frame_id.cell == "x"
+
+
+def test_ransac_of_small_units(spark):
+    """Points within a few pixels of each other still give a transform."""
+    c, a, b = planted(spark, frames=1, n=60)
+    tiny = c.select("frame_id", "i", *(((F.col(x)) / 100).alias(x) for x in ("qx", "qy", "rx", "ry")))
+    r = pose.ransac(tiny, threshold_px=0.01).first()
+    assert (r.a, r.b) == pytest.approx((a, b), abs=1e-6)
+
+
+def texture(h, w, seed=0):
+    y, x = np.mgrid[0:h, 0:w].astype(float)
+    rng = np.random.default_rng(seed)
+    z = sum(np.sin(x * rng.uniform(-0.25, 0.25) + y * rng.uniform(-0.25, 0.25) + rng.uniform(0, 6)) for _ in range(14))
+    return 128 + 28 * z
+
+
+def warped(z, m, h, w):
+    y, x = np.mgrid[0:h, 0:w].astype(float)
+    return pose._sample(z, m[0, 0] * x + m[0, 1] * y + m[0, 2], m[1, 0] * x + m[1, 1] * y + m[1, 2])[0]
+
+
+def test_ecc_refines_to_a_fraction_of_a_pixel(spark):
+    rng = np.random.default_rng(3)
+    rows, truth = [], {}
+    ref = texture(220, 240)
+    for k in range(6):
+        s, t = rng.uniform(0.97, 1.03), rng.uniform(-0.05, 0.05)
+        a, b, tx, ty = s * np.cos(t), s * np.sin(t), rng.uniform(40, 60), rng.uniform(40, 60)
+        q = warped(ref, np.array([[a, -b, tx], [b, a, ty]]), 120, 130) * 0.8 + 20  # another exposure
+        truth[k] = (a, b, tx, ty)
+        at = (a * 1.004, b + 0.004, tx + 1.3, ty - 1.1)
+        rows.append((k, *map(float, at), 120, 130, bytearray(np.clip(q, 0, 255).astype(np.uint8)), 220, 240, bytearray(np.clip(ref, 0, 255).astype(np.uint8))))
+    rows.append((6, *map(float, truth[0]), 120, 130, None, 220, 240, bytearray(np.clip(ref, 0, 255).astype(np.uint8))))
+    noise = rng.integers(0, 255, 120 * 130, dtype=np.uint8)
+    rows.append((7, 1.0, 0.0, 50.0, 50.0, 120, 130, bytearray(noise), 220, 240, bytearray(np.clip(ref, 0, 255).astype(np.uint8))))
+    rows.append((8, 1.0, 0.0, 50.0, 50.0, 120, 130, bytearray(120 * 130), 220, 240, bytearray(220 * 240)))
+    df = spark.createDataFrame(rows, "frame_id bigint, a double, b double, tx double, ty double, height int, width int, query binary, ref_height int, ref_width int, reference binary")
+    got = {r.frame_id: r for r in pose.refine_ecc(df).collect()}
+    c = complex(64.5, 59.5)
+    for k, (a, b, tx, ty) in truth.items():
+        r = got[k]
+        off = abs(complex(r.a, r.b) * c + complex(r.tx, r.ty) - complex(a, b) * c - complex(tx, ty))
+        assert r.refined and off < 0.1, (k, off)
+    assert not got[6].refined and not got[7].refined and not got[8].refined
+    assert (got[7].a, got[7].tx) == (1.0, 50.0)
+
+
 def test_ransac_refuses(spark):
     rng = np.random.default_rng(1)
     rows = [(0, i, *map(float, rng.uniform(0, 512, 4))) for i in range(40)]
