@@ -80,7 +80,7 @@ def drift(*, was_m, now_m, outcome_, slack_frac: float = 0.5, slack_m: float = 1
 
 
 def compare(run: DataFrame, golden: DataFrame) -> DataFrame:
-    """(case, was, now, severity) of a full outer join of (case, outcome, error_m); an accepted wrong place is always a regression."""
+    """(case, was, now, severity), by case, of a full outer join of (case, outcome, error_m); an accepted wrong place is always a regression."""
     a, b = run.select("case", F.col("outcome").alias("now"), F.col("error_m").alias("now_m")), golden.select("case", F.col("outcome").alias("was"), F.col("error_m").alias("was_m"))
     j = a.join(b, "case", "full_outer")
     d = drift(was_m="was_m", now_m="now_m", outcome_="was")
@@ -89,7 +89,7 @@ def compare(run: DataFrame, golden: DataFrame) -> DataFrame:
         .when(outcome_rank("now") < outcome_rank("was"), "regression").when(outcome_rank("now") > outcome_rank("was"), "improvement")
         .when(d == "better", "improvement").when(d == "worse", "degraded").otherwise("ok")
     )
-    return j.select("case", "was", "now", severity.alias("severity"))
+    return j.select("case", "was", "now", severity.alias("severity")).orderBy("case")
 
 
 def freeze(rows: DataFrame, order: str) -> DataFrame:

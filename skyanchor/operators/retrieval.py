@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine
+from ..functions.geo import R_MEAN, _c, haversine
 from .ordered import running_sums
 
-FRAME_BLOCK, CELL_BLOCK = 256, 4096
+FRAME_BLOCK, CELL_BLOCK, DESCRIPTOR_BLOCK = 256, 4096, 1024
 
 
 def _blocks(df: DataFrame, key: str, rows: int, prefix: str) -> DataFrame:
@@ -105,13 +107,45 @@ def true_cell_rank(frames: DataFrame, cells: DataFrame) -> DataFrame:
     return ranks.join(least.select("frame_id", "true_cell_m"), "frame_id")
 
 
-def uniqueness(ranked: DataFrame, cells: DataFrame, radius_m) -> DataFrame:
-    """(frame_id, cell_id, similarity, uniqueness): the best cell's lead over the best one farther than radius_m; 1 without any."""
-    at = ranked.join(cells.select("cell_id", "lat", "lon"), "cell_id")
-    top = at.filter("rank = 1").select("frame_id", F.col("cell_id").alias("top_id"), F.col("similarity").alias("s1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-    both = at.join(top, "frame_id").withColumn("far", haversine(lat1="lat1", lon1="lon1", lat2="lat", lon2="lon") > radius_m)
-    rival = F.max(F.when(F.col("far"), F.col("similarity")))
-    return both.groupBy("frame_id", F.col("top_id").alias("cell_id"), F.col("s1").alias("similarity")).agg(F.coalesce(F.col("s1") - rival, F.lit(1.0)).alias("uniqueness"))
+def uniqueness(frames: DataFrame, cells: DataFrame, radius_m: float) -> DataFrame:
+    """(frame_id, cell_id, similarity, uniqueness): the best cell's lead over the best of all cells farther than radius_m from it; 1 without any.
+
+    Blocks of frames meet blocks of cells, and each pair of blocks gives one rival a frame.
+    """
+    top = topk_join(frames, cells, 1).select("frame_id", "cell_id", "similarity")
+    at = top.join(cells.select("cell_id", F.col("lat").alias("top_lat"), F.col("lon").alias("top_lon")), "cell_id")
+    aimed = frames.select("frame_id", F.col("embedding").cast("array<float>").alias("fe")).join(at, "frame_id")
+    groups = max(1, -(-frames.count() // FRAME_BLOCK))
+    blocks = aimed.groupBy(F.pmod(F.xxhash64("frame_id"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("frame_id", "top_lat", "top_lon", "fe")).alias("aims")).select("aims")
+    placed = cells.select("cell_id", "embedding", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).filter("embedding is not null")
+
+    def pack(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, CELL_BLOCK):
+                part = batch.slice(start, CELL_BLOCK)
+                m = np.asarray(part.column(1).flatten()).astype("<f4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows]), pa.array([m], pa.binary()), *(pa.array([np.asarray(part.column(i)).astype("<f8").tobytes()], pa.binary()) for i in (2, 3))], names=["n", "m", "lat", "lon"])
+
+    def rival(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                m = np.frombuffer(r["m"], "<f4").reshape(r["n"], -1).astype(float)
+                lat, lon = (np.radians(np.frombuffer(r[c])) for c in ("lat", "lon"))
+                a = np.array([x["fe"] for x in r["aims"]], float)
+                p, q = (np.radians([x[c] for x in r["aims"]])[:, None] for c in ("top_lat", "top_lon"))
+                h = np.sin((lat - p) / 2) ** 2 + np.cos(p) * np.cos(lat) * np.sin((lon - q) / 2) ** 2
+                far = 2 * R_MEAN * np.arcsin(np.sqrt(np.clip(h, 0, 1))) > radius_m
+                best = np.where(far, a @ m.T, -np.inf).max(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([x["frame_id"] for x in r["aims"]], pa.int64()), pa.array(best, mask=~np.isfinite(best))], names=["frame_id", "rival"])
+
+    packed = placed.withColumn("embedding", F.col("embedding").cast("array<float>")).mapInArrow(pack, "n bigint, m binary, lat binary, lon binary")
+    rivals = packed.crossJoin(blocks).mapInArrow(rival, "frame_id bigint, rival double").groupBy("frame_id").agg(F.max("rival").alias("rival"))
+    return top.join(rivals, "frame_id", "left").select("frame_id", "cell_id", "similarity", F.coalesce(F.col("similarity") - F.col("rival"), F.lit(1.0)).alias("uniqueness"))
+
+
+def unique_enough(uniqueness_: Column | str, least: float = 0.0) -> Column:
+    """Whether a frame's best cell leads far enough to go on."""
+    return _c(uniqueness_) >= least
 
 
 def within_prior(candidates: DataFrame, gate_sigma: float = 3.0) -> Column:
@@ -119,47 +153,169 @@ def within_prior(candidates: DataFrame, gate_sigma: float = 3.0) -> Column:
     return haversine(lat1="prior_lat", lon1="prior_lon", lat2="lat", lon2="lon") <= gate_sigma * F.col("sigma_m")
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_m: float, max_lat: float = 85.0) -> DataFrame:
-    """Pairs of left (l_id, l_lat, l_lon) and right (r_id, r_lat, r_lon) within radius_m, by grid buckets.
+def globe_buckets(radius_m):
+    """(band, places, bucket): functions of columns that deal the globe into bands of latitude and each band into buckets of longitude.
 
-    A bucket's edges are no shorter than the radius up to max_lat, so neighbours'
-    buckets hold all partners and the join is an equi-join; longitudes that meet
-    at the date line aren't joined.  Each right row goes to nine buckets.
+    Neither side of a bucket is shorter than radius_m as seen from the band or the
+    ones beside it, so that two points within the radius are in buckets that touch;
+    buckets go round the date line, and a polar band is one bucket.
     """
-    import math
-
-    dlat = math.degrees(radius_m / 6371008.8) * 1.0000001
-    dlon = min(360.0, dlat / math.cos(math.radians(max_lat)))
-    gy, gx = (lambda p: F.floor(F.col(f"{p}_lat") / dlat)), (lambda p: F.floor(F.col(f"{p}_lon") / dlon))
-    near = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    a = left.withColumn("gy", gy("l")).withColumn("gx", gx("l"))
-    b = right.withColumn("oy", F.explode(near)).withColumn("ox", F.explode(near)).withColumn("gy", gy("r") + F.col("oy")).withColumn("gx", gx("r") + F.col("ox")).drop("oy", "ox")
+    r = _c(radius_m) / R_MEAN
+    dlat = F.degrees(r) * 1.0000001
+
+    def band(lat) -> Column:
+        return F.floor(_c(lat) / dlat)
+
+    def places(of: Column) -> Column:
+        most = F.least(F.lit(90.0), F.greatest(F.abs(of * dlat), F.abs((of + 1) * dlat)) + dlat)
+        half = F.sin(F.least(r, F.lit(math.pi)) / 2) / F.greatest(F.cos(F.radians(most)), F.lit(1e-9))
+        dlon = F.degrees(2 * F.asin(F.least(F.lit(1.0), half))) * 1.0000001
+        return F.greatest(F.lit(1), F.floor(360.0 / dlon)).cast("bigint")
+
+    def bucket(lon, of: Column) -> Column:
+        n = places(of)
+        return F.pmod(F.floor((_c(lon) + 180) / 360 * n), n)
+
+    return band, places, bucket
+
+
+def around(df: DataFrame, lat: str, lon: str, radius_m, gy: str = "gy", gx: str = "gx") -> DataFrame:
+    """df with a row for each bucket that may hold points within radius_m of (lat, lon), at most nine."""
+    band, places, bucket = globe_buckets(radius_m)
+    near = df.withColumn(gy, F.explode(F.array(*(band(lat) + i for i in (-1, 0, 1)))))
+    of = F.col(gy)
+    return near.withColumn(gx, F.explode(F.array_distinct(F.array(*(F.pmod(bucket(lon, of) + i, places(of)) for i in (-1, 0, 1))))))
+
+
+def radius_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs of left (l_id, l_lat, l_lon) and right (r_id, r_lat, r_lon) within radius_m, by buckets of the globe, across the date line and at the poles too.
+
+    The join is an equi-join on buckets; each right row goes to at most nine.
+    """
+    band, _, bucket = globe_buckets(float(radius_m))
+    a = left.withColumn("gy", band("l_lat"))
+    a = a.withColumn("gx", bucket("l_lon", F.col("gy")))
+    b = around(right, "r_lat", "r_lon", float(radius_m))
     d = haversine(lat1="l_lat", lon1="l_lon", lat2="r_lat", lon2="r_lon")
     return a.join(b, ["gy", "gx"]).withColumn("distance_m", d).filter(F.col("distance_m") <= radius_m).drop("gy", "gx")
 
 
-def youden(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """One row (threshold, j): the least score of greatest TPR - FPR for 'score >= threshold'; (0, 0) where a class is empty.
+def topk_within(frames: DataFrame, cells: DataFrame, k: int, gate_sigma: float = 3.0) -> DataFrame:
+    """(frame_id, cell_id, similarity, rank): the k best cells of those within gate_sigma sigmas of each frame's prior, exactly.
+
+    frames (frame_id, prior_lat, prior_lon, sigma_m, embedding) go to the buckets of
+    the globe that their disks touch and meet the cells (cell_id, lat, lon, embedding)
+    of each there as one matrix product, so that a frame costs what lies near it and
+    not the whole map.  Ties go to the lesser cell_id; null embeddings take no part.
+    """
+    wide = frames.agg(F.max("sigma_m").alias("sigma")).first()["sigma"]
+    radius = max(1.0, gate_sigma * float(wide or 0.0))
+    band, _, bucket = globe_buckets(radius)
+    f = frames.filter("embedding is not null").select(F.col("frame_id").cast("bigint").alias("frame_id"), F.col("prior_lat").cast("double").alias("lat"), F.col("prior_lon").cast("double").alias("lon"), (F.col("sigma_m") * gate_sigma).cast("double").alias("reach"), F.col("embedding").cast("array<float>").alias("e"))
+    f = around(f, "lat", "lon", radius)
+    c = cells.filter("embedding is not null").select(F.col("cell_id").cast("bigint").alias("cell_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("embedding").cast("array<float>").alias("e")).withColumn("gy", band("lat"))
+    c = c.withColumn("gx", bucket("lon", F.col("gy")))
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        return np.asarray(table.column("e").combine_chunks().flatten()).astype(float).reshape(table.num_rows, -1)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = ([], [], [])
+        if left.num_rows and right.num_rows:
+            ids, b = np.asarray(right.column("cell_id")), matrix(right)
+            order = np.argsort(ids, kind="stable")
+            ids, b = ids[order], b[order]
+            lat, lon = (np.radians(np.asarray(right.column(x))[order]) for x in ("lat", "lon"))
+            a = matrix(left)
+            for at in range(0, left.num_rows, FRAME_BLOCK):
+                part = left.slice(at, FRAME_BLOCK)
+                p, q = (np.radians(np.asarray(part.column(x)))[:, None] for x in ("lat", "lon"))
+                h = np.sin((lat - p) / 2) ** 2 + np.cos(p) * np.cos(lat) * np.sin((lon - q) / 2) ** 2
+                near = 2 * R_MEAN * np.arcsin(np.sqrt(np.clip(h, 0, 1))) <= np.asarray(part.column("reach"))[:, None]
+                s = np.where(near, a[at : at + FRAME_BLOCK] @ b.T, -np.inf)
+                n = min(k, s.shape[1])
+                edge = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
+                i, j = np.nonzero((s >= edge - 1e-12) & near)
+                out[0].append(np.asarray(part.column("frame_id"))[i])
+                out[1].append(ids[j])
+                out[2].append(s[i, j])
+        cols = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, float))]
+        return pa.table([pa.array(x) for x in cols], names=["frame_id", "cell_id", "similarity"])
+
+    scored = f.groupBy("gy", "gx").cogroup(c.groupBy("gy", "gx")).applyInArrow(meet, "frame_id bigint, cell_id bigint, similarity double")
+    ranked = scored.selectExpr("*", "row_number() over (partition by frame_id order by similarity desc, cell_id) as rank")
+    return ranked.filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def youden(scores: DataFrame, score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:
+    """(by…, threshold, j): the least score of greatest TPR - FPR for 'score >= threshold'; (0, 0) where a class is empty.
 
     Scores are first counted by value, and the ordered pass over distinct values runs by buckets of them.
     """
-    by = scores.groupBy(F.col(score).alias("t")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("n"))
-    total = by.agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"))
-    run = running_sums(by, "t", ["p", "n"], descending=True).withColumnsRenamed({"run_p": "tp", "run_n": "fp"}).crossJoin(total)
-    best = run.filter("pp > 0 and nn > 0").withColumn("j", F.col("tp") / F.col("pp") - F.col("fp") / F.col("nn")).agg(F.max(F.struct(F.round("j", 12).alias("j"), (-F.col("t")).alias("m"))).alias("b"))
-    return best.select(F.coalesce(-F.col("b.m"), F.lit(0.0)).alias("threshold"), F.coalesce("b.j", F.lit(0.0)).alias("j"))
+    by = by or []
+    counted = scores.groupBy(*by, F.col(score).alias("t")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.sum(1 - F.col(label).cast("bigint")).alias("n"))
+    total = counted.groupBy(*by).agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"))
+    run = running_sums(counted, "t", ["p", "n"], by, descending=True).withColumnsRenamed({"run_p": "tp", "run_n": "fp"})
+    run = run.join(total, by) if by else run.crossJoin(total)
+    j = F.when((F.col("pp") > 0) & (F.col("nn") > 0), F.col("tp") / F.col("pp") - F.col("fp") / F.col("nn"))
+    best = run.withColumn("j", j).groupBy(*by).agg(F.max(F.when(F.col("j").isNotNull(), F.struct(F.round("j", 12).alias("j"), (-F.col("t")).alias("m")))).alias("b"))
+    return best.select(*by, F.coalesce(-F.col("b.m"), F.lit(0.0)).alias("threshold"), F.coalesce("b.j", F.lit(0.0)).alias("j"))
+
+
+def signals_by_youden(scores: DataFrame, by: str = "signal") -> DataFrame:
+    """(by, threshold, j) of labelled scores (by, score, label), the best signal first."""
+    return youden(scores, by=[by]).orderBy(F.desc("j"), by)
+
+
+def _by_image(df: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Descriptors of one image packed as (image, ids, matrix of float32) blocks of at most DESCRIPTOR_BLOCK rows."""
+
+    def run(batches):
+        for batch in batches:
+            image = np.asarray(batch.column(0))
+            edge = np.concatenate([[0], np.flatnonzero(image[1:] != image[:-1]) + 1, [len(image)]])
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                for at in range(lo, hi, DESCRIPTOR_BLOCK):
+                    part = batch.slice(at, min(DESCRIPTOR_BLOCK, hi - at))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([image[at]]), pa.array([part.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([np.asarray(part.column(2).flatten()).astype("<f4").tobytes()], pa.binary())],
+                        names=["image", f"{prefix}_ids", f"{prefix}_m"],
+                    )
+
+    some = df.filter("image is not null and embedding is not null").select(F.col("image").cast("bigint").alias("image"), F.col(key).cast("bigint").alias(key), F.col("embedding").cast("array<float>").alias("embedding"))
+    return some.repartition("image").sortWithinPartitions("image").mapInArrow(run, f"image bigint, {prefix}_ids array<bigint>, {prefix}_m binary")
 
 
 def ratio_test(queries: DataFrame, references: DataFrame, ratio: float = 0.8, max_matches: int | None = None) -> DataFrame:
     """(image, q_id, r_id, conf) of descriptors' nearest partners in the same image that pass Lowe's ratio test.
 
     queries (image, q_id, embedding), references (image, r_id, embedding).  A query
-    needs two partners, the second not at distance 0; conf = 1 - d1/d2.
+    needs two partners, the second not at distance 0; conf = 1 - d1/d2.  An image's
+    descriptors meet block by block in matrix products, each of which keeps two
+    partners a query; ties go to the lesser r_id, and an id is no partner of itself.
     """
-    d2 = F.aggregate(F.zip_with("qe", "re", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    q = queries.select("image", "q_id", F.transform("embedding", lambda x: x.cast("double")).alias("qe"))
-    r = references.select("image", "r_id", F.transform("embedding", lambda x: x.cast("double")).alias("re"))
-    d = q.join(r, "image").filter("q_id <> r_id").select("image", "q_id", "r_id", F.round(F.sqrt(d2), 9).alias("d"))
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                q_ids, r_ids = np.array(r["q_ids"], np.int64), np.array(r["r_ids"], np.int64)
+                a, b = np.frombuffer(r["q_m"], "<f4").reshape(len(q_ids), -1).astype(float), np.frombuffer(r["r_m"], "<f4").reshape(len(r_ids), -1).astype(float)
+                aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+                d2 = aa[:, None] + bb[None, :] - 2 * (a @ b.T)
+                d2[q_ids[:, None] == r_ids[None, :]] = np.inf
+                n = min(2, len(r_ids))
+                edge = np.partition(d2, n - 1, axis=1)[:, n - 1]
+                # whatever rounding of the product may hide is looked at exactly
+                i, j = np.nonzero((d2 <= (edge + 1e-9 * (aa + bb.max()))[:, None]) & np.isfinite(d2))
+                d = np.round(np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1)), 9)
+                order = np.lexsort((r_ids[j], d, i))
+                i, j, d = i[order], j[order], d[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j, d = i[place < 2], j[place < 2], d[place < 2]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), r["image"])), pa.array(q_ids[i]), pa.array(r_ids[j]), pa.array(d)], names=["image", "q_id", "r_id", "d"])
+
+    pairs = _by_image(queries, "q_id", "q").join(_by_image(references, "r_id", "r"), "image")
+    d = pairs.select("image", "q_ids", "q_m", "r_ids", "r_m").mapInArrow(run, "image bigint, q_id bigint, r_id bigint, d double")
     w = "over (partition by image, q_id order by d, r_id)"
     best = d.selectExpr("image", "q_id", "r_id", "d", f"lead(d) {w} as second", f"row_number() {w} as n").filter("n = 1 and second > 0").filter(F.col("d") < ratio * F.col("second"))
     out = best.select("image", "q_id", "r_id", (1 - F.col("d") / F.col("second")).alias("conf"))

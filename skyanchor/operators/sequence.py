@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..functions.geo import _c, wrap_deg
+from ..functions.geo import R_MEAN, _c, ground_mpp, lonlat, world_px, wrap_deg
 
 
 def vo_step(*, a, b, tx, ty, cx, cy, gsd_m, prev_heading_deg) -> dict[str, Column]:
@@ -27,47 +32,87 @@ def dead_reckoning(steps: DataFrame, seq: str, order: str) -> DataFrame:
     return steps.selectExpr("*", f"sum(delta_east_m) {w} as east_m", f"sum(delta_north_m) {w} as north_m")
 
 
-STEP = "struct('i', 'delta_east_m', 'delta_north_m', 'delta_yaw_deg', 'step_sigma_m', 'missing', 'fix_east_m', 'fix_north_m', 'fix_heading_deg', 'fix_sigma_m', 'fix_heading_sigma_deg')"
 FIELDS = ("i", "delta_east_m", "delta_north_m", "delta_yaw_deg", "step_sigma_m", "missing", "fix_east_m", "fix_north_m", "fix_heading_deg", "fix_sigma_m", "fix_heading_sigma_deg")
+STATE = "i bigint, east_m double, north_m double, heading_deg double, var_m2 double, var_heading double"
+STARTED = (-1, 0.0, 0.0, 0.0, 1.0, 1.0)
+
 
+def _wrap(x: float) -> float:
+    return (x + 180) % 360 - 180
 
-def _next(s: Column, x: Column, drift_m: float, yaw_sigma_deg: float) -> Column:
-    """State after one step: predict, or inflate where the frame is missing, then correct where there is a fix.
 
-    With a diagonal covariance to start from, the filter is three scalar ones.
+def advance(s: tuple, x: tuple, drift_m: float, yaw_sigma_deg: float) -> tuple:
+    """State (i, east, north, heading, position variance, heading variance) after the step x of FIELDS.
+
+    Predict, or inflate where the frame is missing, then correct where there is a
+    fix.  With a diagonal covariance to start from, the filter is three scalar ones.
     """
-    miss = F.coalesce(x["missing"], F.lit(False))
-    e0 = s["east_m"] + F.when(miss, 0.0).otherwise(x["delta_east_m"])
-    n0 = s["north_m"] + F.when(miss, 0.0).otherwise(x["delta_north_m"])
-    h0 = wrap_deg(s["heading_deg"] + F.when(miss, 0.0).otherwise(x["delta_yaw_deg"]))
-    q = F.pow(F.when(miss, F.lit(drift_m)).otherwise(x["step_sigma_m"]), 2)
-    p, ph = s["var_m2"] + q, s["var_heading"] + yaw_sigma_deg**2
-    r, rh = F.pow(x["fix_sigma_m"], 2), F.pow(x["fix_heading_sigma_deg"], 2)
-    fix = x["fix_east_m"].isNotNull()
-    k = F.when(fix, p / (p + r)).otherwise(0.0)
-    kh = F.when(fix & x["fix_heading_deg"].isNotNull(), ph / (ph + rh)).otherwise(0.0)
-    gone = lambda v: F.coalesce(v, F.lit(0.0))
-    return F.struct(
-        x["i"].alias("i"), (e0 + k * gone(x["fix_east_m"] - e0)).alias("east_m"), (n0 + k * gone(x["fix_north_m"] - n0)).alias("north_m"),
-        wrap_deg(h0 + kh * gone(wrap_deg(x["fix_heading_deg"] - h0))).alias("heading_deg"), ((1 - k) * p).alias("var_m2"), ((1 - kh) * ph).alias("var_heading"),
-    )
+    _, e, n, h, p, ph = s
+    i, de, dn, dy, sigma, missing, fe, fn, fh, fs, fhs = x
+    if missing:
+        p += drift_m**2
+    else:
+        e, n, h = e + de, n + dn, h + dy
+        p += sigma**2
+    h, ph = _wrap(h), ph + yaw_sigma_deg**2
+    if fe is not None:
+        k = p / (p + fs**2)
+        e, n, p = e + k * (fe - e), n + k * (fn - n), (1 - k) * p
+        if fh is not None:
+            k = ph / (ph + fhs**2)
+            h, ph = _wrap(h + k * _wrap(fh - h)), (1 - k) * ph
+    return i, e, n, h, p, ph
 
 
 def ekf(steps: DataFrame, seq: str, drift_m: float = 50.0, yaw_sigma_deg: float = 1.0, start_var_m2: float = 1.0, start_var_heading: float = 1.0, every: bool = True) -> DataFrame:
     """(seq, i, east_m, north_m, heading_deg, var_m2, var_heading): the filtered state at each step, or at the last.
 
     steps have seq and FIELDS; each sequence starts at the origin.  A sequence is
-    folded in one piece inside the JVM, sorted by i, as the order of steps matters.
+    folded in one pass of one task, sorted by i, as the order of steps matters.
     """
-    start = F.struct(
-        F.lit(-1).cast("bigint").alias("i"), *(F.lit(0.0).alias(c) for c in ("east_m", "north_m", "heading_deg")), F.lit(start_var_m2).alias("var_m2"), F.lit(start_var_heading).alias("var_heading")
+    start = (-1, 0.0, 0.0, 0.0, float(start_var_m2), float(start_var_heading))
+    kind = steps.schema[seq].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        s, out = start, []
+        for x in zip(*(table.column(c).to_pylist() for c in FIELDS)):
+            s = advance(s, x, drift_m, yaw_sigma_deg)
+            if every:
+                out.append(s)
+        out = out or [s]
+        keys = pa.array(table.column(seq).slice(0, 1).to_pylist() * len(out), types[0])
+        return pa.table([keys, *(pa.array(v, t) for v, t in zip(zip(*out), types[1:]))], names=[seq, *(c.split()[0] for c in STATE.split(", "))])
+
+    types = to_arrow_schema(StructType.fromDDL(f"`{seq}` {kind}, {STATE}")).types
+    numbers = [F.col("i").cast("bigint").alias("i"), *(F.col(c).cast("boolean" if c == "missing" else "double").alias(c) for c in FIELDS[1:])]
+    return steps.select(seq, *numbers).groupBy(seq).applyInArrow(run, f"`{seq}` {kind}, {STATE}")
+
+
+def trajectory(waypoints: DataFrame, *, lat, lon, zoom) -> DataFrame:
+    """waypoints (…, offset_x_px, offset_y_px, yaw_deg) about a scene's centre with east_m, north_m, true_lat, true_lon and heading_deg of the frame at each.
+
+    Offsets are pixels of the map at zoom, y pointing south.
+    """
+    mpp = ground_mpp(lat=lat, zoom=zoom)
+    x, y = world_px(lon=lon, lat=lat, zoom=zoom)
+    true_lon, true_lat = lonlat(x=x + F.col("offset_x_px"), y=y + F.col("offset_y_px"), zoom=zoom)
+    return waypoints.select(
+        "*", (F.col("offset_x_px") * mpp).alias("east_m"), (-F.col("offset_y_px") * mpp).alias("north_m"), true_lat.alias("true_lat"), true_lon.alias("true_lon"), F.pmod(F.col("yaw_deg"), F.lit(360.0)).alias("heading_deg")
     )
-    rows = steps.select(seq, F.struct(F.col("i").cast("bigint").alias("i"), *FIELDS[1:]).alias("x")).groupBy(seq).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    if not every:
-        return rows.select(seq, F.aggregate("xs", start, lambda s, x: _next(s, x, drift_m, yaw_sigma_deg)).alias("s")).select(seq, "s.*")
-    add = lambda done, x: F.concat(done, F.array(_next(F.element_at(done, -1), x, drift_m, yaw_sigma_deg)))
-    out = rows.select(seq, F.explode(F.slice(F.aggregate("xs", F.array(start), add), 2, 1 << 30)).alias("s"))
-    return out.select(seq, "s.*")
+
+
+def first_duplicates(rows: DataFrame, id_: str, content: list[str]) -> DataFrame:
+    """(id, first, duplicate): for each row the least id of the same content, and whether that is another row; null contents are no duplicates."""
+    same = ", ".join(content)
+    void = " or ".join(f"{c} is null" for c in content)
+    first = f"case when {void} then {id_} else min({id_}) over (partition by {same}) end"
+    return rows.selectExpr(id_, f"{first} as first").withColumn("duplicate", F.col(id_) != F.col("first"))
+
+
+def with_poses(frames: DataFrame, poses: DataFrame, key: str = "frame_id") -> DataFrame:
+    """frames with the columns of their poses and placed, whether there is one."""
+    return frames.join(poses.withColumn("placed", F.lit(True)), key, "left").withColumn("placed", F.coalesce("placed", F.lit(False)))
 
 
 def drift(track: DataFrame, seq: str, order: str) -> DataFrame:
@@ -93,26 +138,45 @@ def asof(left: DataFrame, right: DataFrame, key: str, time: str, value: str) ->
 def running_clusters(points: DataFrame, group: str, order: str, max_km: float) -> DataFrame:
     """(group, i, cluster): each point joins the first cluster whose running centroid is nearer than max_km, else opens one.
 
-    The result hangs on the order by definition, so a group is folded in one task.
+    The result hangs on the order by definition, so a group is folded in one task;
+    centroids are kept by bands of latitude no narrower than max_km, and a point
+    looks at those of its own and the two beside it.
     """
-    import numpy as np
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        lat, lon, n, out = [], [], [], []
-        for a, b in zip(pdf["lat"], pdf["lon"]):
-            if lat:
-                p, q = np.radians(np.array(lat)), np.radians(np.array(lon))
-                h = np.sin((np.radians(a) - p) / 2) ** 2 + np.cos(p) * np.cos(np.radians(a)) * np.sin((np.radians(b) - q) / 2) ** 2
-                near = np.flatnonzero(2 * 6371008.8 * np.arcsin(np.sqrt(np.clip(h, 0, 1))) < max_km * 1000)
-            if not lat or not len(near):
+    reach = max_km * 1000.0
+    width = math.degrees(reach / R_MEAN) * 1.0000001
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        lat, lon, n, bands, out = [], [], [], {}, []
+        for a, b in zip(table.column("lat").to_pylist(), table.column("lon").to_pylist()):
+            at = math.floor(a / width)
+            p, cp = math.radians(a), math.cos(math.radians(a))
+            best = None
+            for c in (c for k in (at - 1, at, at + 1) for c in bands.get(k, ())):
+                if best is not None and c > best:
+                    continue
+                q = math.radians(lat[c])
+                h = math.sin((p - q) / 2) ** 2 + math.cos(q) * cp * math.sin(math.radians(b - lon[c]) / 2) ** 2
+                if 2 * R_MEAN * math.asin(math.sqrt(min(1.0, h))) < reach:
+                    best = c
+            if best is None:
+                best = len(lat)
                 lat.append(a), lon.append(b), n.append(1)
-                out.append(len(lat) - 1)
-                continue
-            c = int(near[0])
-            lat[c], lon[c], n[c] = (lat[c] * n[c] + a) / (n[c] + 1), (lon[c] * n[c] + b) / (n[c] + 1), n[c] + 1
-            out.append(c)
-        return pd.DataFrame({group: pdf[group].to_numpy(), "i": pdf[order].to_numpy(), "cluster": np.array(out, np.int64)})
-
-    return points.select(group, order, "lat", "lon").groupBy(group).applyInPandas(fold, f"{group} bigint, i bigint, cluster bigint")
+                bands.setdefault(at, set()).add(best)
+            else:
+                old = math.floor(lat[best] / width)
+                lat[best], lon[best], n[best] = (lat[best] * n[best] + a) / (n[best] + 1), (lon[best] * n[best] + b) / (n[best] + 1), n[best] + 1
+                new = math.floor(lat[best] / width)
+                if new != old:
+                    bands[old].discard(best)
+                    bands.setdefault(new, set()).add(best)
+            out.append(best)
+        return pa.table({group: table.column(group), "i": table.column(order), "cluster": pa.array(out, pa.int64())})
+
+    some = points.filter("lat is not null and lon is not null").select(F.col(group).cast("bigint").alias(group), F.col(order).cast("bigint").alias(order), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    return some.groupBy(group).applyInArrow(fold, f"`{group}` bigint, i bigint, cluster bigint")
+
+
+def centroids(points: DataFrame, by: str) -> DataFrame:
+    """(by, n, lat, lon): the mean position of each group's points."""
+    return points.groupBy(by).agg(F.count("*").alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))

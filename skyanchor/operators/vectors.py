@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of a matrix's rows that add up in one group, and cells that a bucket of the approximate search holds.
+ROW_BYTES, BUCKET_CELLS = 8 << 20, 8
+
 
 def _moments(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, sum and sum of outer products of the embeddings; each partition sends one d x d matrix."""
+    """Count, sum and sum of outer products of the embeddings; partitions' matrices add up by rows in a shuffle, so the driver gets one."""
 
     def run(batches):
         n, total = 0, None
@@ -17,16 +21,26 @@ def _moments(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
             v = batch.column(0)
             if len(v):
                 x = np.asarray(v.flatten()).astype(float).reshape(len(v), -1)
-                part = np.concatenate([x.sum(axis=0)[None], x.T @ x])
+                part = np.concatenate([np.full((1, x.shape[1]), float(len(x))), x.sum(axis=0)[None], x.T @ x])
                 n, total = n + len(x), part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.shape[1]]), pa.array([total.tobytes()])], names=["n", "d", "m"])
-
-    rows = df.filter("embedding is not null").select(F.col("embedding").cast("array<float>").alias("e")).mapInArrow(run, "n bigint, d bigint, m binary").collect()
+            part_id = TaskContext.get().partitionId()
+            step = max(1, ROW_BYTES // (8 * total.shape[1]))
+            for at in range(0, len(total), step):
+                rows = total[at : at + step]
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part_id]), pa.array([rows.shape[1]]), pa.array([rows.tobytes()])], names=["at", "part", "d", "m"])
+
+    def added(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")  # the same order each time, so the same sum
+        total = sum(np.frombuffer(x.as_py()) for x in table.column("m"))
+        return pa.table({"at": table.column("at").slice(0, 1), "d": table.column("d").slice(0, 1), "m": pa.array([total.tobytes()], pa.binary())})
+
+    parts = df.filter("embedding is not null").select(F.col("embedding").cast("array<float>").alias("e")).mapInArrow(run, "at bigint, part bigint, d bigint, m binary")
+    rows = sorted(parts.groupBy("at").applyInArrow(added, "at bigint, d bigint, m binary").collect(), key=lambda r: r["at"])
     if not rows:
         return 0, np.zeros(0), np.zeros((0, 0))
-    m = sum(np.frombuffer(bytes(r.m)).reshape(-1, r.d) for r in rows)
-    return sum(r.n for r in rows), m[0], m[1:]
+    m = np.concatenate([np.frombuffer(bytes(r.m)).reshape(-1, r.d) for r in rows])
+    return int(m[0, 0]), m[1], m[2:]
 
 
 def pca_fit(df: DataFrame, k: int) -> DataFrame:
@@ -71,12 +85,17 @@ def pca_apply(df: DataFrame, model: DataFrame, whiten: bool = False) -> DataFram
     return base.mapInArrow(run, base.schema)
 
 
-def lsh_topk(frames: DataFrame, cells: DataFrame, k: int, tables: int = 16, bits: int = 6, seed: int = 1) -> DataFrame:
+def lsh_topk(frames: DataFrame, cells: DataFrame, k: int, tables: int = 32, bits: int | None = None, seed: int = 1) -> DataFrame:
     """(frame_id, cell_id, similarity, rank): approximate top k by signs of random projections, verified by exact dot products.
 
     Two vectors meet if they agree on all bits of one table; frames also visit the
-    buckets one bit away.
+    buckets one bit away.  bits is by default such that a bucket holds about
+    BUCKET_CELLS cells, however many there are.  A bucket is one matrix product that
+    gives k rows a frame.  Vectors at a cosine of 0.8 are found with a probability of
+    0.99; those hardly nearer than chance are not, and topk_join is for them.
     """
+    if bits is None:
+        bits = int(np.clip(np.ceil(np.log2(max(1, cells.count()) / BUCKET_CELLS)), 6, 24))
 
     def keyed(df: DataFrame, name: str, near: bool) -> DataFrame:
         def run(batches):
@@ -91,13 +110,39 @@ def lsh_topk(frames: DataFrame, cells: DataFrame, k: int, tables: int = 16, bits
                 if near:
                     code = np.concatenate([code] + [code ^ (1 << b) for b in range(bits)], axis=1)
                 off = pa.array(np.arange(len(x) + 1, dtype=np.int32) * code.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0), v, pa.ListArray.from_arrays(off, pa.array(code.reshape(-1).astype(np.int32)))], names=[name, "e", "codes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), v, pa.ListArray.from_arrays(off, pa.array(code.reshape(-1).astype(np.int64)))], names=[name, "e", "codes"])
 
         some = df.filter("embedding is not null").select(F.col(name).cast("bigint").alias(name), F.col("embedding").cast("array<float>").alias("e"))
-        return some.mapInArrow(run, f"{name} bigint, e array<float>, codes array<int>")
+        return some.mapInArrow(run, f"{name} bigint, e array<float>, codes array<bigint>").select(name, "e", F.explode("codes").alias("code"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["frame_id", "cell_id", "similarity"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=names)
+        a, b = (np.asarray(t.column("e").combine_chunks().flatten()).astype(float).reshape(t.num_rows, -1) for t in (left, right))
+        f_ids, c_ids = np.asarray(left.column("frame_id")), np.asarray(right.column("cell_id"))
+        i, j, v = [], [], []
+        for at in range(0, len(a), 1024):
+            s = a[at : at + 1024] @ b.T
+            n = min(k, len(b))
+            edge = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
+            x, y = np.nonzero(s >= edge - 1e-12)
+            i.append(x + at), j.append(y), v.append(s[x, y])
+        return pa.table([pa.array(f_ids[np.concatenate(i)]), pa.array(c_ids[np.concatenate(j)]), pa.array(np.concatenate(v))], names=names)
 
     f, c = keyed(frames, "frame_id", True), keyed(cells, "cell_id", False)
-    meet = f.select("frame_id", F.explode("codes").alias("code")).join(c.select("cell_id", F.explode("codes").alias("code")), "code").select("frame_id", "cell_id").distinct()
-    dot = F.aggregate(F.zip_with("fe", "ce", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = meet.join(f.select("frame_id", F.col("e").alias("fe")), "frame_id").join(c.select("cell_id", F.col("e").alias("ce")), "cell_id").select("frame_id", "cell_id", dot.alias("similarity"))
+    met = f.groupBy("code").cogroup(c.groupBy("code")).applyInArrow(meet, "frame_id bigint, cell_id bigint, similarity double")
+    scored = met.groupBy("frame_id", "cell_id").agg(F.max("similarity").alias("similarity"))
     return scored.selectExpr("*", "cast(row_number() over (partition by frame_id order by similarity desc, cell_id) as bigint) as rank").filter(F.col("rank") <= k)
+
+
+BACKENDS = {"lsh": lsh_topk}
+
+
+def search(frames: DataFrame, cells: DataFrame, k: int, backend: str = "exact", **how) -> DataFrame:
+    """The k nearest cells of each frame by a search backend: 'exact', 'lsh', or one registered as an 'ann' kernel (frames, cells, k) -> rows."""
+    from ..functions import plugins
+    from .retrieval import topk_join
+
+    known = {"exact": topk_join, **BACKENDS}
+    return (known[backend] if backend in known else plugins.get("ann", backend)())(frames, cells, k, **how)

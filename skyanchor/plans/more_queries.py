@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import camera as cam
 from ..functions import geo, request
 from ..operators import pose, retrieval, sequence
 from . import localize as loc
-from .adapters import CELLS, EVAL, cells, correspondences, eval_rows, frames, haversine_sql, read
+from .adapters import CELLS, EVAL, FRAMES, cells, correspondences, eval_rows, frames, haversine_sql, read
 from .pose_queries import _FITTED, _OUT, outcomes
 from .registry import d6, query, r6
 from .retrieval_queries import _SIM, MPP0, mpp_sql
@@ -119,7 +120,7 @@ def calibration_hard_negatives(spark, sf_dir):
 
 @query("WITH p AS (SELECT label, 54.7e0 + 0.002e0 * (vec_id // 25) AS lat, 55.9e0 + 0.003e0 * (vec_id % 25) AS lon FROM embeddings) SELECT label, round(AVG(lat), 6) AS lat, round(AVG(lon), 6) AS lon FROM p GROUP BY label")
 def cluster_centroids(spark, sf_dir):
-    return cells(spark, sf_dir).groupBy("label").agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
+    return sequence.centroids(cells(spark, sf_dir), "label").select("label", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'not_localized  few correspondences' ELSE printf('localized  %.6f %.6f  heading %.0f', 40 + c_custkey % 9 / 8.0e0, 10 + c_custkey % 5 / 4.0e0, (c_custkey % 360)::DOUBLE) || CASE WHEN c_custkey % 2 = 0 THEN ', ellipse 1 x 1 m' ELSE '' END END AS line FROM customer""")
@@ -133,22 +134,67 @@ def report_summary_line(spark, sf_dir):
     return c.select("c_custkey", request.summary_line().alias("line"))
 
 
-@query()
+def _flown(spark, sf_dir):
+    """Frames with what a flight would know and, for the matcher, the truth: half of them fly higher than believed, half know their heading."""
+    k = F.expr("frame_id div 23")
+    f = frames(spark, sf_dir).withColumn("altitude_m", F.lit(600.0)).withColumn("altitude_sigma_m", F.lit(150.0)).withColumn("true_yaw_deg", (F.col("frame_id") * 17 % 360).cast("double"))
+    f = f.withColumn("trust_yaw", k % 2 == 0).withColumn("yaw_deg", F.when(k % 2 == 0, F.col("true_yaw_deg"))).withColumn("true_altitude_m", F.when(k % 4 < 2, 600.0).otherwise(1000.0))
+    return f, f.filter(k % 3 != 0).select("frame_id", "true_lat", "true_lon", "true_altitude_m", "true_yaw_deg")
+
+
+@query(f"""WITH {FRAMES}, k AS (SELECT *, frame_id // 23 AS k, (frame_id // 23) % 3 <> 0 AS found FROM frames)
+SELECT frame_id, CASE WHEN found THEN 'localized' ELSE 'not_localized' END AS status, CASE WHEN NOT found THEN 'no candidate converged: few correspondences' END AS reason, CASE WHEN found THEN frame_id END AS cell_id,
+  CASE WHEN found THEN {d6('true_lat', 5)} END AS lat, CASE WHEN found THEN {d6('true_lon', 5)} END AS lon, CASE WHEN found THEN {d6('frame_id * 17 % 360', 3)} END AS heading_deg,
+  CASE WHEN found THEN CASE WHEN k % 4 < 2 THEN 600.0e0 ELSE 1000.0e0 END END AS altitude_m, CASE WHEN found THEN CASE WHEN k % 4 < 2 THEN 19 ELSE 18 END END AS z_fine FROM k""")
 def localize_pipeline(spark, sf_dir):
-    """Frames through candidates, matches, transform and gates to one result each; every third frame has no matches."""
-    f, c = frames(spark, sf_dir), cells(spark, sf_dir)
-    f = f.withColumn("altitude_m", F.lit(600.0)).withColumn("altitude_sigma_m", F.lit(150.0))
-    near = retrieval.topk_join(f, c, 5).join(c.select("cell_id", "lat", "lon", "zoom"), "cell_id").join(f.select("frame_id", "prior_lat", "prior_lon", "sigma_m"), "frame_id")
-    near = near.filter(retrieval.within_prior(near)).select("frame_id", "cell_id", "rank", "lat", "lon", "zoom")
-    i = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(59).cast("bigint")))
-    p = near.filter("(frame_id div 23) % 3 <> 0").withColumn("i", i).withColumn("qx", F.expr("cast((i * 389 + 17) % 1000 as double)")).withColumn("qy", F.expr("cast((i * 631 + 91) % 800 as double)"))
-    # the right cell's points follow a transform; those of other cells are scattered
-    right, s = F.col("cell_id") == F.col("frame_id"), 0.6
-    corr = p.select(
-        "frame_id", "cell_id", "i", "qx", "qy", F.when(right, s * F.col("qx") + 100).otherwise(F.expr("cast((i * i * 37 + cell_id) % 1280 as double)")).alias("rx"),
-        F.when(right, s * F.col("qy") + 200).otherwise(F.expr("cast((i * i * 101 + frame_id) % 1280 as double)")).alias("ry"),
+    """Frames through retrieval, windows, matches, the scale loop and gates to one result each, held against where they were planted; every third frame has no matches."""
+    f, truth = _flown(spark, sf_dir)
+    camera = {"width": 1000, "height": 800, "focal_px": 3000.0}
+    r = loc.localize(f, cells(spark, sf_dir), loc.exact_matcher(truth, **camera), **camera)
+    ok = F.col("status") != "not_localized"
+    return r.select(
+        "frame_id", "status", "reason", F.when(ok, F.col("cell_id")).alias("cell_id"), r6(F.col("lat"), 5).alias("lat"), r6(F.col("lon"), 5).alias("lon"), r6(F.pmod(F.round("heading_deg", 3), F.lit(360.0)), 3).alias("heading_deg"),
+        r6(F.col("altitude_m"), 1).alias("altitude_m"), F.when(ok, F.col("z_fine")).alias("z_fine"),
     )
-    return loc.localize(f, near, corr, width=1000, height=800, window_px=1280, focal_px=3000.0).drop("ring")
+
+
+@query(f"""WITH {FRAMES} SELECT frame_id, CASE WHEN (frame_id // 23) % 3 <> 0 THEN {d6('true_lat', 5)} END AS lat, CASE WHEN (frame_id // 23) % 3 <> 0 THEN {d6('true_lon', 5)} END AS lon, CASE WHEN (frame_id // 23) % 3 = 0 THEN 'no coarse candidate' END AS reason FROM frames""")
+def localize_coarse(spark, sf_dir):
+    """Where frames are about, by matches with one wide window each; every third frame's matches are scattered."""
+    f, _ = _flown(spark, sf_dir)
+    r = f.select("frame_id", "true_lat", "true_lon", F.col("prior_lat").alias("lat"), F.col("prior_lon").alias("lon"), "sigma_m", "altitude_m", "altitude_sigma_m", F.lit(0.2).alias("gsd_m"), F.lit(200.0).alias("footprint_m"), F.lit(None).cast("double").alias("expected_deg"))
+    r = loc.plan_scales(r)
+    g = geo.Georef(F.col("lon"), F.col("lat"), F.col("z_coarse"), F.col("coarse_size"), F.col("coarse_size"))
+    side = cam.resampled(size=F.lit(1000), gsd_m="gsd_m", target_mpp=geo.ground_mpp(lat="lat", zoom="z_coarse"))
+    tx, ty = g.to_pixel(lon="true_lon", lat="true_lat")
+    p = r.withColumn("cx", tx).withColumn("cy", ty).withColumn("side", side).withColumn("s", 0.2 * 1000 / F.col("side") / g.mpp).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(39).cast("bigint"))))
+    p = p.withColumn("qx", F.expr("cast((i * 389 + 17) % side as double)")).withColumn("qy", F.expr("cast((i * 631 + 91) % side as double)"))
+    good, c = F.expr("(frame_id div 23) % 3 <> 0"), (F.col("side") - 1) / 2
+    rx = F.when(good, F.col("s") * (F.col("qx") - c) + F.col("cx")).otherwise(F.expr("cast((i * i * 3701 + i * 97) % 1999 as double)"))
+    ry = F.when(good, F.col("s") * (F.col("qy") - c) + F.col("cy")).otherwise(F.expr("cast((i * i * 1009 + i * 331) % 1789 as double)"))
+    out = loc.coarse_center(r.drop("true_lat", "true_lon"), p.select("frame_id", "i", "qx", "qy", rx.alias("rx"), ry.alias("ry")), width=1000, height=1000)
+    return out.select("frame_id", r6(F.col("lat"), 5).alias("lat"), r6(F.col("lon"), 5).alias("lon"), "reason")
+
+
+@query(f"""WITH {FRAMES}, a AS (SELECT frame_id, true_lat AS la, true_lon AS lo, d::DOUBLE AS d, b::DOUBLE AS b FROM frames, (VALUES (300), (600), (1200)) x(d), (VALUES (0), (90), (180), (270)) y(b))
+SELECT frame_id AS "case", {d6('true_lat', 7)} AS lat, {d6('true_lon', 7)} AS lon, 0.0e0 AS distance_m, 0.0e0 AS bearing_deg, 1 AS label FROM frames
+UNION ALL SELECT frame_id, {d6('la + d * cos(radians(b)) / 111320.0e0', 7)}, {d6('lo + d * sin(radians(b)) / (111320.0e0 * cos(radians(la)))', 7)}, d, b, 0 FROM a""")
+def negatives_by_distance_and_bearing(spark, sf_dir):
+    c = frames(spark, sf_dir).select(F.col("frame_id").alias("case"), F.col("true_lat").alias("lat"), F.col("true_lon").alias("lon"))
+    return loc.negatives_around(c).withColumn("lat", r6(F.col("lat"), 7)).withColumn("lon", r6(F.col("lon"), 7))
+
+
+@query(f"""WITH {EVAL}, s AS (SELECT row_number() OVER (ORDER BY m.o, k.top_k, b.bar) - 1 AS run, m.kernel, k.top_k, b.bar FROM (VALUES (0, 'sparse'), (1, 'dense')) m(o, kernel), (VALUES (5), (15)) k(top_k), (VALUES (3.0e0), (5.0e0)) b(bar)),
+r AS (SELECT s.*, n_inliers >= CASE WHEN kernel = 'dense' THEN 185 ELSE 8 END AND ellipse_m <= bar AND coalesce(true_cell_rank <= top_k, FALSE) AS localized, error_m FROM s, ev WHERE error_m IS NOT NULL)
+SELECT run, kernel, top_k, bar, COUNT(*) AS n, COUNT(*) FILTER (localized) AS localized, {d6('COUNT(*) FILTER (localized) / COUNT(*)::DOUBLE')} AS share, {d6('quantile_cont(error_m, 0.5) FILTER (localized)')} AS median_error, COUNT(*) FILTER (localized AND error_m <= 50) AS correct
+FROM r GROUP BY ALL""")
+def sweep_of_settings(spark, sf_dir):
+    """All evaluation rows under every combination of kernel, candidates and bar."""
+    s = loc.sweep(spark, kernel=["sparse", "dense"], top_k=[5, 15], bar=[3.0, 5.0])
+    e = eval_rows(spark, sf_dir).filter("error_m is not null").crossJoin(F.broadcast(s))
+    ok = (F.col("n_inliers") >= cam.hard_inliers(F.col("kernel") == "dense")) & (F.col("ellipse_m") <= F.col("bar")) & F.coalesce(F.col("true_cell_rank") <= F.col("top_k"), F.lit(False))
+    out = loc.sweep_summary(e.withColumn("localized", ok), ["run", "kernel", "top_k", "bar"])
+    return out.withColumn("share", r6(F.col("share"))).withColumn("median_error", r6(F.col("median_error")))
 
 
 @query()

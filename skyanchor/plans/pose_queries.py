@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import camera as cam
 from ..functions import geo
 from ..operators import evaluation as ev
 from ..operators import pose, report, signals
@@ -87,7 +88,7 @@ def _geo_sql(x: str, y: str) -> tuple[str, str]:
 
 
 _C = _geo_sql(*_corner("255.5e0", "255.5e0"))
-_K = [_geo_sql(*_corner(x, y)) for x, y in (("-0.5e0", "-0.5e0"), ("511.5e0", "-0.5e0"), ("511.5e0", "511.5e0"), ("-0.5e0", "511.5e0"))]
+_K = [_geo_sql(*_corner(x, y)) for x, y in (("0.0e0", "0.0e0"), ("511.0e0", "0.0e0"), ("511.0e0", "511.0e0"), ("0.0e0", "511.0e0"))]
 
 
 @query(f"""WITH {_FITTED} SELECT frame_id, {d6(_C[0], 5)} AS lon, {d6(_C[1], 5)} AS lat, {d6('degrees(atan2(b, a)) - 360 * floor(degrees(atan2(b, a)) / 360)')} AS heading_deg,
@@ -97,7 +98,7 @@ def pose_readout_footprint(spark, sf_dir):
     f = pose.fit_similarity(correspondences(spark, sf_dir))
     g = geo.Georef(F.lit(37.6), F.lit(55.7), F.lit(18), F.lit(600), F.lit(600))
     lon, lat = g.to_lonlat(*pose.apply(F.lit(255.5), F.lit(255.5)))
-    corners = [g.to_lonlat(*pose.apply(F.lit(x), F.lit(y))) for x, y in ((-0.5, -0.5), (511.5, -0.5), (511.5, 511.5), (-0.5, 511.5))]
+    corners = [g.to_lonlat(*pose.apply(F.lit(x), F.lit(y))) for x, y in ((0.0, 0.0), (511.0, 0.0), (511.0, 511.0), (0.0, 511.0))]
     return f.select(
         "frame_id", r6(lon, 5).alias("lon"), r6(lat, 5).alias("lat"), r6(F.pmod(pose.rotation_deg(), F.lit(360.0))).alias("heading_deg"), r6(pose.scale() * g.mpp * 3000, 3).alias("altitude_m"),
         *(c for i, (x, y) in enumerate(corners) for c in (r6(x, 5).alias(f"lon{i}"), r6(y, 5).alias(f"lat{i}"))),
@@ -128,7 +129,7 @@ _S1, _S2, _S3 = ("ln(greatest(1e-6, least(1.0e0, {})))".format(x) for x in ("lea
 @query(f"""WITH {EVAL} SELECT "case", {d6(f'exp(({_S1} + {_S2} + CASE WHEN photometric IS NULL THEN 0 ELSE {_S3} END) / (2 + (photometric IS NOT NULL)::INT))')} AS confidence,
   CASE WHEN NOT isnan({_EL}) AND {_EL} <= 3 AND n_inliers >= {_BAR} AND (photometric IS NULL OR photometric >= 0.12) THEN 'localized' ELSE 'low_confidence' END AS status FROM ev""")
 def quality_assess(spark, sf_dir):
-    e = eval_rows(spark, sf_dir).withColumn("bar", F.when(F.col("k") % 3 == 0, 185).otherwise(8)).withColumn("el", F.when(F.col("k") % 50 == 0, float("nan")).otherwise(F.col("ellipse_m")))
+    e = eval_rows(spark, sf_dir).withColumn("bar", cam.hard_inliers(F.col("k") % 3 == 0)).withColumn("el", F.when(F.col("k") % 50 == 0, float("nan")).otherwise(F.col("ellipse_m")))
     conf = ev.confidence(F.least(F.col("n_inliers") / 30.0, F.lit(1.0)), (F.col("k") % 101) / 100.0, F.when(F.col("photometric").isNotNull(), F.greatest(F.lit(0.0), F.col("photometric"))))
     ok = ev.passes_gate(ellipse_m="el", n_inliers="n_inliers", bar="bar", measure="photometric", threshold=F.lit(0.12))
     return e.select("case", r6(conf).alias("confidence"), F.when(ok, "localized").otherwise("low_confidence").alias("status"))
@@ -142,18 +143,23 @@ def candidate_winner(spark, sf_dir):
     return best.select("frame_id", "cell_id", "n_inliers", (F.when(F.col("frame_id") % 2 == 0, -30.0).otherwise(-F.col("rot")) + 0.0).alias("prerotation_deg"))
 
 
-_PX = "px AS (SELECT pair_id, y, x, ((x * 7 + y * 13 + (x * y) % 11) % 256)::DOUBLE AS a, CASE WHEN pair_id = 0 THEN 7.0e0 WHEN pair_id % 3 = 0 THEN 255.0e0 - ((x * 7 + y * 13 + (x * y) % 11) % 256) ELSE ((x * (7 + pair_id) + y * 13) % 256)::DOUBLE END AS b FROM range(12) p(pair_id), range(64) r(y), range(64) c(x))"
+_PX = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), px AS (SELECT x.vec_id AS pair_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, x.e[i] AS a,
+  CASE WHEN x.vec_id % 11 = 0 THEN 7.0e0 WHEN x.vec_id % 3 = 0 THEN -x.e[i] ELSE o.e[i] END AS b FROM v x JOIN v o ON o.vec_id = x.vec_id + 1, range(1, 65) t(i))"""
 
 
-def _pixels(spark):
-    px = spark.range(12 * 4096).selectExpr("id div 4096 pair_id", "(id div 64) % 64 y", "id % 64 x")
-    a = "cast((x * 7 + y * 13 + (x * y) % 11) % 256 as double)"
-    return px.selectExpr("pair_id", "y", "x", f"{a} a", f"case when pair_id = 0 then 7D when pair_id % 3 = 0 then 255D - {a} else cast((x * (7 + pair_id) + y * 13) % 256 as double) end b")
+def _pixels(spark, sf_dir):
+    """Each embedding as a raster of 8 x 8 beside the next one's, its own negative, or a flat one."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    o = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    j = e.join(o, "vec_id").select(F.col("vec_id").alias("pair_id"), F.posexplode(F.arrays_zip("embedding", "other")).alias("i", "p"))
+    a, b = F.col("p.embedding").cast("double"), F.col("p.other").cast("double")
+    b = F.when(F.col("pair_id") % 11 == 0, 7.0).when(F.col("pair_id") % 3 == 0, -a).otherwise(b)
+    return j.select("pair_id", F.expr("cast(i div 8 as int)").alias("y"), (F.col("i") % 8).alias("x"), a.alias("a"), b.alias("b"))
 
 
 @query(f"WITH {_PX} SELECT pair_id, COUNT(*) AS n, {d6('CASE WHEN var_pop(b) > 1e-12 THEN covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)) ELSE -1 END')} AS ncc FROM px GROUP BY pair_id")
 def signal_ncc(spark, sf_dir):
-    return signals.ncc(_pixels(spark), empty=-1.0).select("pair_id", "n", r6(F.col("ncc")).alias("ncc"))
+    return signals.ncc(_pixels(spark, sf_dir), empty=-1.0).select("pair_id", "n", r6(F.col("ncc")).alias("ncc"))
 
 
 @query(f"""WITH {_PX}, e AS (SELECT pair_id, MIN(a) AS la, MAX(a) AS ha, MIN(b) AS lb, MAX(b) AS hb FROM px GROUP BY pair_id),
@@ -162,15 +168,18 @@ ja AS (SELECT pair_id, i, SUM(c) AS c FROM j GROUP BY ALL), jb AS (SELECT pair_i
 h AS (SELECT pair_id, ln(SUM(c)) - SUM(c * ln(c)) / SUM(c) AS h FROM j GROUP BY pair_id), a AS (SELECT pair_id, ln(SUM(c)) - SUM(c * ln(c)) / SUM(c) AS h FROM ja GROUP BY pair_id), b AS (SELECT pair_id, ln(SUM(c)) - SUM(c * ln(c)) / SUM(c) AS h FROM jb GROUP BY pair_id)
 SELECT pair_id, {d6('CASE WHEN h.h <= 1e-12 THEN 2 ELSE (a.h + b.h) / h.h END')} AS nmi FROM h JOIN a USING (pair_id) JOIN b USING (pair_id)""")
 def signal_nmi(spark, sf_dir):
-    return signals.nmi(_pixels(spark)).select("pair_id", r6(F.col("nmi")).alias("nmi"))
+    return signals.nmi(_pixels(spark, sf_dir)).select("pair_id", r6(F.col("nmi")).alias("nmi"))
 
 
 @query()
 def signal_gradients(spark, sf_dir):
     """Gradient correlation, gradient fields, oriented features and edge overlap of raster pairs."""
-    rows = _pixels(spark).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct((F.col("y") * 64 + F.col("x")).alias("i"), "a", "b"))).alias("p"))
-    side = F.lit(64)
-    return signals.gradient_signals(rows.select("pair_id", side.alias("height"), side.alias("width"), F.transform("p", lambda q: q["a"]).alias("a"), F.transform("p", lambda q: q["b"]).alias("b")))
+    # four pixels a side for each of the raster's, so that there are gradients to see, and 0 to 255 as a picture has
+    big = F.expr("sequence(0, 1023)")
+    rows = _pixels(spark, sf_dir).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct((F.col("y") * 8 + F.col("x")).alias("i"), "a", "b"))).alias("p"))
+    grey = lambda c: F.transform(big, lambda k: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col("p")[F.expr("0") + (F.floor(k / 128) * 8 + F.floor((k % 32) / 4)).cast("int")][c] * 300 + 128)))
+    side = F.lit(32)
+    return signals.gradient_signals(rows.select("pair_id", side.alias("height"), side.alias("width"), grey("a").alias("a"), grey("b").alias("b")))
 
 
 @query(f"""WITH s AS (SELECT event_type, round(value, 0) AS v, (user_id % 3 = 0)::INT AS y FROM events), r AS (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY v) + (COUNT(*) OVER (PARTITION BY event_type, v) - 1) / 2.0e0 AS r FROM s)

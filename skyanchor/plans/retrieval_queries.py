@@ -212,28 +212,26 @@ def retrieval_topk(spark, sf_dir):
     return retrieval.topk_join(frames(spark, sf_dir), cells(spark, sf_dir), 5).select("frame_id", "cell_id", r6(F.col("similarity")).alias("similarity"), "rank")
 
 
-@query(f"""WITH {_SIM}, pool AS (SELECT * FROM ranked WHERE rank <= 128), top AS (SELECT frame_id, cell_id AS top_id, s AS s1, lat AS lat1, lon AS lon1 FROM pool WHERE rank = 1),
+@query(f"""WITH {_SIM}, pool AS (SELECT * FROM ranked), top AS (SELECT frame_id, cell_id AS top_id, s AS s1, lat AS lat1, lon AS lon1 FROM pool WHERE rank = 1),
 u AS (SELECT p.frame_id, t.top_id, t.s1, MAX(p.s) FILTER ({haversine_sql('t.lat1', 't.lon1', 'p.lat', 'p.lon')} > 500) AS rival FROM pool p JOIN top t USING (frame_id) GROUP BY ALL)
 SELECT frame_id, top_id AS cell_id, {d6('s1')} AS similarity, {d6('coalesce(s1 - rival, 1.0)')} AS uniqueness, coalesce(s1 - rival, 1.0) >= 0.55 AS unique_enough FROM u""")
 def retrieval_uniqueness(spark, sf_dir):
     c = cells(spark, sf_dir)
-    u = retrieval.uniqueness(retrieval.topk_join(frames(spark, sf_dir), c, 128), c, 500.0)
-    return u.select("frame_id", "cell_id", r6(F.col("similarity")).alias("similarity"), r6(F.col("uniqueness")).alias("uniqueness"), (F.col("uniqueness") >= 0.55).alias("unique_enough"))
+    u = retrieval.uniqueness(frames(spark, sf_dir), c, 500.0)
+    return u.select("frame_id", "cell_id", r6(F.col("similarity")).alias("similarity"), r6(F.col("uniqueness")).alias("uniqueness"), retrieval.unique_enough("uniqueness", 0.55).alias("unique_enough"))
 
 
-@query(f"""WITH {_SIM}, k AS (SELECT * FROM ranked WHERE rank <= 15),
-n AS (SELECT frame_id, cell_id, s, row_number() OVER (PARTITION BY frame_id ORDER BY rank) AS place FROM k WHERE {haversine_sql('prior_lat', 'prior_lon', 'lat', 'lon')} <= 3.0e0 * sigma_m)
+@query(f"""WITH {_SIM}, n AS (SELECT frame_id, cell_id, s, row_number() OVER (PARTITION BY frame_id ORDER BY rank) AS place FROM ranked WHERE {haversine_sql('prior_lat', 'prior_lon', 'lat', 'lon')} <= 3.0e0 * sigma_m)
 SELECT f.frame_id, n.cell_id, {d6('n.s')} AS similarity, CASE WHEN n.cell_id IS NULL THEN 'not_localized' ELSE 'candidate' END AS status FROM frames f LEFT JOIN n ON n.frame_id = f.frame_id AND n.place <= 3""")
 def retrieval_prior_gate(spark, sf_dir):
     f, c = frames(spark, sf_dir), cells(spark, sf_dir)
-    j = retrieval.topk_join(f, c, 15).join(c.select("cell_id", "lat", "lon"), "cell_id").join(f.select("frame_id", "prior_lat", "prior_lon", "sigma_m"), "frame_id")
-    kept = j.filter(retrieval.within_prior(j)).selectExpr("frame_id", "cell_id", "similarity", "row_number() over (partition by frame_id order by rank) as place").filter("place <= 3")
+    kept = retrieval.topk_within(f, c, 3)
     return f.select("frame_id").join(kept, "frame_id", "left").select(
         "frame_id", "cell_id", r6(F.col("similarity")).alias("similarity"), F.when(F.col("cell_id").isNull(), "not_localized").otherwise("candidate").alias("status")
     )
 
 
-@query(f"""WITH {_SIM}, d AS (SELECT frame_id, rank, {haversine_sql('true_lat', 'true_lon', 'lat', 'lon')} AS m FROM ranked WHERE rank <= 64)
+@query(f"""WITH {_SIM}, d AS (SELECT frame_id, rank, {haversine_sql('true_lat', 'true_lon', 'lat', 'lon')} AS m FROM ranked)
 SELECT frame_id, arg_min(rank, (round(m, 6), rank))::BIGINT AS true_cell_rank, {d6('MIN(m)', 4)} AS true_cell_m FROM d GROUP BY frame_id""")
 def retrieval_true_cell_rank(spark, sf_dir):
     r = retrieval.true_cell_rank(frames(spark, sf_dir), cells(spark, sf_dir))
@@ -257,7 +255,7 @@ def retrieval_radius_grid_join(spark, sf_dir):
     c = cells(spark, sf_dir)
     a = c.filter("cell_id % 23 = 0").select(F.col("cell_id").alias("l_id"), F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))
     b = c.select(F.col("cell_id").alias("r_id"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    return retrieval.radius_join(a, b, 600.0, max_lat=60.0).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), r6(F.col("distance_m"), 3).alias("metres"))
+    return retrieval.radius_join(a, b, 600.0).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), r6(F.col("distance_m"), 3).alias("metres"))
 
 
 @query(f"""WITH {_SIM}, sc AS (SELECT round(s, 3) AS t, (cell_id % 25 = frame_id % 25)::INT AS y FROM ranked WHERE rank <= 15),
@@ -269,15 +267,38 @@ def retrieval_youden(spark, sf_dir):
     return retrieval.youden(s).select(r6(F.col("threshold")).alias("threshold"), r6(F.col("j")).alias("j"))
 
 
-@query()
-def retrieval_lsh_recall(spark, sf_dir):
-    """Share of the exact top 5 that the approximate search by random projections finds."""
+@query(f"""WITH {CELLS}, q AS (SELECT c.cell_id AS frame_id, list_transform(list_zip(c.e, o.e), lambda z: 0.8e0 * z[1] + 0.6e0 * z[2]) AS e FROM cells c JOIN cells o ON o.cell_id = c.cell_id + 1 WHERE c.cell_id % 7 = 0)
+SELECT frame_id, arg_max(cell_id, (list_inner_product(q.e, c.e), -cell_id)) AS cell_id FROM q, cells c GROUP BY frame_id""")
+def retrieval_lsh_nearest(spark, sf_dir):
+    """The cell nearest to each of a seventh of the cells' embeddings mixed with their neighbours', found by random projections among few candidates."""
     from ..operators.vectors import lsh_topk
 
-    f, c = frames(spark, sf_dir), cells(spark, sf_dir)
-    exact, near = retrieval.topk_join(f, c, 5), lsh_topk(f, c, 5)
-    found = exact.join(near.select("frame_id", "cell_id", F.lit(1).alias("hit")), ["frame_id", "cell_id"], "left")
-    return found.agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"), F.count("*").alias("n"))
+    c = cells(spark, sf_dir)
+    other = c.select((F.col("cell_id") - 1).alias("cell_id"), F.col("embedding").alias("other"))
+    mixed = F.zip_with("embedding", "other", lambda x, y: x.cast("double") * 0.8 + y.cast("double") * 0.6)
+    q = c.filter("cell_id % 7 = 0").join(other, "cell_id").select(F.col("cell_id").alias("frame_id"), mixed.cast("array<float>").alias("embedding"))
+    return lsh_topk(q, c, 1).select("frame_id", "cell_id")
+
+
+@query(f"""WITH {_SIM}, s AS (SELECT 'similarity' AS signal, round(s, 3) AS t, (cell_id % 25 = frame_id % 25)::INT AS y FROM ranked WHERE rank <= 15 UNION ALL SELECT 'lateness', -rank::DOUBLE, (cell_id % 25 = frame_id % 25)::INT FROM ranked WHERE rank <= 15 UNION ALL SELECT 'number', (cell_id % 10)::DOUBLE, (cell_id % 25 = frame_id % 25)::INT FROM ranked WHERE rank <= 15),
+v AS (SELECT signal, t, SUM(y) AS p, SUM(1 - y) AS n FROM s GROUP BY ALL), z AS (SELECT signal, t, SUM(p) OVER w AS tp, SUM(n) OVER w AS fp, SUM(p) OVER (PARTITION BY signal) AS pp, SUM(n) OVER (PARTITION BY signal) AS nn FROM v WINDOW w AS (PARTITION BY signal ORDER BY t DESC)),
+b AS (SELECT *, round(tp / pp::DOUBLE - fp / nn::DOUBLE, 12) AS j, row_number() OVER (PARTITION BY signal ORDER BY round(tp / pp::DOUBLE - fp / nn::DOUBLE, 12) DESC, t) AS k FROM z)
+SELECT signal, {d6('t')} AS threshold, {d6('j')} AS j, row_number() OVER (ORDER BY j DESC, signal) AS place FROM b WHERE k = 1""")
+def signals_ordered_by_youden(spark, sf_dir):
+    """Three signals of the same candidates, the one that tells right from wrong best first."""
+    t = retrieval.topk_join(frames(spark, sf_dir), cells(spark, sf_dir), 15).withColumn("label", (F.col("cell_id") % 25 == F.col("frame_id") % 25).cast("int"))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("signal"), v.cast("double").alias("score")) for n, v in (("similarity", F.round("similarity", 3)), ("lateness", -F.col("rank")), ("number", F.col("cell_id") % 10)))))
+    s = retrieval.signals_by_youden(t.select("label", each.alias("x")).select("x.signal", "x.score", "label"))
+    return s.select("signal", r6(F.col("threshold")).alias("threshold"), r6(F.col("j")).alias("j"), F.expr("cast(row_number() over (order by j desc, signal) as bigint)").alias("place"))
+
+
+@query(f"""WITH {CELLS}, a AS (SELECT cell_id, -80 + (cell_id * 37 % 160)::DOUBLE AS lat, ((cell_id * 7919 % 3600) / 10.0e0 - 180)::DOUBLE AS lon FROM cells)
+SELECT x.cell_id AS a, y.cell_id AS b, {d6(haversine_sql('x.lat', 'x.lon', 'y.lat', 'y.lon'), 3)} AS metres FROM a x JOIN a y ON x.cell_id < y.cell_id AND {haversine_sql('x.lat', 'x.lon', 'y.lat', 'y.lon')} <= 400000""")
+def retrieval_radius_world_join(spark, sf_dir):
+    """Pairs of points within 400 km all over the globe, on both sides of the date line and near the poles."""
+    c = cells(spark, sf_dir).selectExpr("cell_id", "-80 + cast(cell_id * 37 % 160 as double) lat", "(cell_id * 7919 % 3600) / 10D - 180 lon")
+    a, b = (c.select(*(F.col(x).alias(f"{s}_{y}") for x, y in (("cell_id", "id"), ("lat", "lat"), ("lon", "lon")))) for s in "lr")
+    return retrieval.radius_join(a, b, 400_000.0).filter("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), r6(F.col("distance_m"), 3).alias("metres"))
 
 
 @query()
@@ -288,14 +309,15 @@ def pca_explained_variance(spark, sf_dir):
     return pca_fit(cells(spark, sf_dir), 8).select("component", "variance", "share")
 
 
-@query(f"""WITH px AS (SELECT i, y, x, ((x * 7 + y * 13 + i * 31) % 256)::DOUBLE AS v FROM range(20) a(i), range(48) b(y), range(48) c(x)),
-g AS (SELECT i, (y // 8) * 6 + x // 8 AS k, AVG(v) AS v FROM px GROUP BY ALL), m AS (SELECT i, k, v - AVG(v) OVER (PARTITION BY i) AS v FROM g)
+@query(f"""WITH px AS (SELECT vec_id AS i, (k - 1) // 8 AS y, (k - 1) % 8 AS x, (embedding::DOUBLE[])[k] AS v FROM embeddings, range(1, 65) t(k)),
+g AS (SELECT i, (y // 2) * 4 + x // 2 AS k, AVG(v) AS v FROM px GROUP BY ALL), m AS (SELECT i, k, v - AVG(v) OVER (PARTITION BY i) AS v FROM g)
 SELECT i AS image_id, k::BIGINT AS k, {d6('CASE WHEN SUM(v * v) OVER (PARTITION BY i) > 0 THEN v / sqrt(SUM(v * v) OVER (PARTITION BY i)) ELSE 0 END')} AS v FROM m""")
 def encode_average_pool(spark, sf_dir):
+    """Each embedding taken for a raster of 8 x 8, pooled to 4 x 4."""
     from ..operators.signals import average_pool
 
-    px = spark.range(20 * 48 * 48).selectExpr("id div 2304 image_id", "(id div 48) % 48 y", "id % 48 x").withColumn("v", F.expr("cast((x * 7 + y * 13 + image_id * 31) % 256 as double)"))
-    return average_pool(px, 6, 48).select("image_id", "k", r6(F.col("v")).alias("v"))
+    px = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "e")).selectExpr("image_id", "cast(i div 8 as int) y", "i % 8 x", "cast(e as double) v")
+    return average_pool(px, 4, 8).select("image_id", "k", r6(F.col("v")).alias("v"))
 
 
 @query("""WITH q AS (SELECT label, vec_id, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT a.label, a.vec_id AS q_id, b.vec_id AS r_id, round(list_distance(a.e, b.e), 9) AS d FROM q a JOIN q b ON a.label = b.label AND a.vec_id <> b.vec_id),

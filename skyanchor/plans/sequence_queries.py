@@ -127,8 +127,7 @@ def metadata_json_props(spark, sf_dir):
 
 @query("SELECT doc_id, first_value(doc_id) OVER (PARTITION BY n_chars, lang ORDER BY doc_id) AS first_id, first_value(doc_id) OVER (PARTITION BY n_chars, lang ORDER BY doc_id) <> doc_id AS duplicate FROM documents")
 def duplicate_shots(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").selectExpr("doc_id", "first_value(doc_id) over (partition by n_chars, lang order by doc_id) first_id")
-    return d.withColumn("duplicate", F.col("first_id") != F.col("doc_id"))
+    return sequence.first_duplicates(read(spark, sf_dir, "documents"), "doc_id", ["n_chars", "lang"]).withColumnRenamed("first", "first_id")
 
 
 @query(f"""WITH RECURSIVE {CELLS}, p AS (SELECT cell_id % 5 AS g, cell_id AS id, row_number() OVER (PARTITION BY cell_id % 5 ORDER BY cell_id) AS i, lat, lon FROM cells WHERE cell_id < 250),
@@ -167,7 +166,7 @@ def report_geojson(spark, sf_dir):
 
     f = pose.fit_similarity(correspondences(spark, sf_dir))
     g = Georef(F.lit(37.6), F.lit(55.7), F.lit(18), F.lit(600), F.lit(600))
-    corners = [g.to_lonlat(*pose.apply(F.lit(x), F.lit(y))) for x, y in ((-0.5, -0.5), (511.5, -0.5), (511.5, 511.5), (-0.5, 511.5))]
+    corners = [g.to_lonlat(*pose.apply(F.lit(x), F.lit(y))) for x, y in ((0.0, 0.0), (511.0, 0.0), (511.0, 511.0), (0.0, 511.0))]
     lon, lat = g.to_lonlat(*pose.apply(F.lit(255.5), F.lit(255.5)))
     ring = F.array(*(F.struct(x.alias("lon"), y.alias("lat")) for x, y in corners))
     rows = f.select("frame_id", F.when(F.col("frame_id") % 5 == 0, "not_localized").otherwise("localized").alias("status"), lon.alias("lon"), lat.alias("lat"), ring.alias("ring"))

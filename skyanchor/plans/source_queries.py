@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import imagery, pose, report
+from ..operators import imagery, pose, report, sequence
 from ..sources import index, manifest, metadata, shared, tiles
 from .adapters import CELLS, EVAL, cells, correspondences, eval_rows, haversine_sql, read
 from .pose_queries import _C, _FITTED, _K
 from .registry import d6, query, r6
+from .retrieval_queries import lat_sql, lon_sql, wx_sql, wy_sql
 
 _SCENE = "px AS (SELECT y, x, ((x * 7 + y * 13 + (x * y) % 11 + 62) % 256)::DOUBLE AS v FROM range(96) a(y), range(96) b(x))"
 
@@ -116,10 +117,12 @@ def vectors_l2_normalised(spark, sf_dir):
 @query("""WITH n AS (SELECT * FROM (VALUES (0.0e0, 100.0e0, 500.0e0, 500.0e0), (100, 300, 500, 2000), (300, 600, 2000, 5000), (600, 1e9, 5000, 5000)) t(h0, h1, s0, s1)), o AS (SELECT o_orderkey, (o_orderkey % 900)::DOUBLE AS h FROM orders)
 SELECT o_orderkey, round(CASE WHEN s0 = s1 THEN s0 ELSE s0 + (h - h0) / (h1 - h0) * (s1 - s0) END, 6) AS sigma_m FROM o JOIN n ON h >= h0 AND h < h1""")
 def prior_envelope_interval_join(spark, sf_dir):
-    n = F.broadcast(spark.createDataFrame([(0.0, 100.0, 500.0, 500.0), (100.0, 300.0, 500.0, 2000.0), (300.0, 600.0, 2000.0, 5000.0), (600.0, 1e9, 5000.0, 5000.0)], "h0 double, h1 double, s0 double, s1 double"))
+    from ..operators.intervals import envelope_sigma
+
+    n = spark.createDataFrame([(0.0, 100.0, 500.0, 500.0), (100.0, 300.0, 500.0, 2000.0), (300.0, 600.0, 2000.0, 5000.0), (600.0, 1e9, 5000.0, 5000.0)], "h0 double, h1 double, s0 double, s1 double")
     o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 900).cast("double").alias("h"))
-    s = F.when(F.col("s0") == F.col("s1"), F.col("s0")).otherwise(F.col("s0") + (F.col("h") - F.col("h0")) / (F.col("h1") - F.col("h0")) * (F.col("s1") - F.col("s0")))
-    return o.join(n, (F.col("h") >= F.col("h0")) & (F.col("h") < F.col("h1"))).select("o_orderkey", F.round(s, 6).alias("sigma_m"))
+    return envelope_sigma(o, "h", n).select("o_orderkey", F.round("sigma_m", 6).alias("sigma_m"))
+
 
 
 @query("""SELECT time_bucket(INTERVAL 10 MINUTE, ts) - INTERVAL (k * 10) MINUTE AS start, event_type, COUNT(*) AS n, round(AVG(value), 6) AS mean FROM events, range(3) t(k) GROUP BY ALL""")
@@ -138,7 +141,7 @@ def report_html(spark, sf_dir):
 def report_kml(spark, sf_dir):
     f = pose.fit_similarity(correspondences(spark, sf_dir))
     g = geo.Georef(F.lit(37.6), F.lit(55.7), F.lit(18), F.lit(600), F.lit(600))
-    corners = [g.to_lonlat(*pose.apply(F.lit(x), F.lit(y))) for x, y in ((-0.5, -0.5), (511.5, -0.5), (511.5, 511.5), (-0.5, 511.5))]
+    corners = [g.to_lonlat(*pose.apply(F.lit(x), F.lit(y))) for x, y in ((0.0, 0.0), (511.0, 0.0), (511.0, 511.0), (0.0, 511.0))]
     lon, lat = g.to_lonlat(*pose.apply(F.lit(255.5), F.lit(255.5)))
     rows = f.select(
         "frame_id", F.concat(F.lit("frame "), F.col("frame_id").cast("string")).alias("name"), F.when(F.col("frame_id") % 4 == 0, "not_localized").otherwise("localized").alias("status"), lon.alias("lon"), lat.alias("lat"),
@@ -156,10 +159,22 @@ def poses_left_join(spark, sf_dir):
     c = cells(spark, sf_dir).select("cell_id", "lat", "lon")
     text = F.when(F.col("cell_id") % 4 == 0, "n/a").when(F.col("cell_id") % 4 == 1, "").otherwise((F.col("lat") + 0.0005).cast("string"))
     poses = c.select("cell_id", text.try_cast("double").alias("pl")).filter("pl is not null")
-    j = c.join(poses, "cell_id", "left")
-    return j.select("cell_id", F.when(F.col("pl").isNull(), "no pose").otherwise("pose").alias("state"), r6(geo.haversine(lat1="lat", lon1="lon", lat2="pl", lon2="lon"), 3).alias("drift_m"))
+    j = sequence.with_poses(c, poses, "cell_id")
+    return j.select("cell_id", F.when(F.col("placed"), "pose").otherwise("no pose").alias("state"), r6(geo.haversine(lat1="lat", lon1="lon", lat2="pl", lon2="lon"), 3).alias("drift_m"))
+
 
 
-@query("SELECT i::BIGINT AS i, (-330 + 60 * i)::DOUBLE AS east_m, round(40 * sin(i / 2.0e0), 6) + 0.0e0 AS north_m, round(5 * sin(i / 3.0e0), 6) + 0.0e0 AS heading_deg FROM range(12) t(i)")
+_WX, _WY = wx_sql("37.6e0", "18"), wy_sql("55.7e0", "18")
+
+
+@query(f"""WITH w AS (SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, (event_id * 37 % 401 - 200)::DOUBLE AS ox, (event_id * 53 % 301 - 150)::DOUBLE AS oy, (event_id * 7 % 720 - 360)::DOUBLE AS yaw FROM events)
+SELECT track_id, i, {d6(f"ox * (2 * pi() * 6378137.0e0 / 256 * cos(radians(55.7e0)) / 262144)", 4)} AS east_m, {d6(f"-oy * (2 * pi() * 6378137.0e0 / 256 * cos(radians(55.7e0)) / 262144)", 4)} AS north_m,
+  {d6(lat_sql(f"({_WY} + oy)", "18"), 7)} AS true_lat, {d6(lon_sql(f"({_WX} + ox)", "18"), 7)} AS true_lon, yaw - 360 * floor(yaw / 360) AS heading_deg FROM w""")
 def trajectory_waypoints(spark, sf_dir):
-    return spark.range(12).select(F.col("id").alias("i"), (F.col("id") * 60 - 330).cast("double").alias("east_m"), r6(40 * F.sin(F.col("id") / 2.0)).alias("north_m"), r6(5 * F.sin(F.col("id") / 3.0)).alias("heading_deg"))
+    """Every user's events as waypoints of a flight over one scene."""
+    w = read(spark, sf_dir, "events").selectExpr(
+        "user_id track_id", "cast(row_number() over (partition by user_id order by ts, event_id) - 1 as bigint) i", "cast(event_id * 37 % 401 - 200 as double) offset_x_px", "cast(event_id * 53 % 301 - 150 as double) offset_y_px",
+        "cast(event_id * 7 % 720 - 360 as double) yaw_deg",
+    )
+    t = sequence.trajectory(w, lat=F.lit(55.7), lon=F.lit(37.6), zoom=F.lit(18))
+    return t.select("track_id", "i", r6(F.col("east_m"), 4).alias("east_m"), r6(F.col("north_m"), 4).alias("north_m"), r6(F.col("true_lat"), 7).alias("true_lat"), r6(F.col("true_lon"), 7).alias("true_lon"), "heading_deg")

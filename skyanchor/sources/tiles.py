@@ -12,6 +12,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.geo import _c
 from .shared import make_folder
 
+#: Providers up to which the registry is broadcast.
+BROADCAST_PROVIDERS = 10_000
 PROVIDER_SCHEMA = "provider string, template string, max_zoom int"
 TILE_SCHEMA = "provider string, zoom int, tx bigint, ty bigint, length bigint, bytes binary"
 
@@ -23,7 +25,9 @@ def providers(spark: SparkSession, rows: list[tuple[str, str, int]] | None = Non
 
 def with_provider(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """rows (provider, …) with their provider's columns; an unknown provider fails the query, by name."""
-    j = rows.join(F.broadcast(registry), "provider", "left")
+    if registry.count() <= BROADCAST_PROVIDERS:
+        registry = F.broadcast(registry)
+    j = rows.join(registry, "provider", "left")
     return j.withColumn("template", F.when(F.col("template").isNull(), F.raise_error(F.concat(F.lit("unknown provider "), F.coalesce("provider", F.lit("null"))))).otherwise(F.col("template")))
 
 

@@ -2,39 +2,18 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.sequence import FIELDS
+from ..operators.sequence import FIELDS, STARTED, STATE, advance
 from ..sources.shared import make_folder, shared_folder
 
-STATE = "i bigint, east_m double, north_m double, heading_deg double, var_m2 double, var_heading double"
-
-
-def _wrap(x: float) -> float:
-    return (x + 180) % 360 - 180
-
-
-def advance(s: tuple, r, drift_m: float, yaw_sigma_deg: float) -> tuple:
-    """One step of the filter, as operators.sequence folds it."""
-    _, e, n, h, p, ph = s
-    if r.missing is True or r.missing == 1:
-        p += drift_m**2
-    else:
-        e, n, h = e + r.delta_east_m, n + r.delta_north_m, h + r.delta_yaw_deg
-        p += r.step_sigma_m**2
-    h, ph = _wrap(h), ph + yaw_sigma_deg**2
-    if r.fix_east_m is not None and not math.isnan(r.fix_east_m):
-        k = p / (p + r.fix_sigma_m**2)
-        e, n, p = e + k * (r.fix_east_m - e), n + k * (r.fix_north_m - n), (1 - k) * p
-        if r.fix_heading_deg is not None and not math.isnan(r.fix_heading_deg):
-            k = ph / (ph + r.fix_heading_sigma_deg**2)
-            h, ph = _wrap(h + k * _wrap(r.fix_heading_deg - h)), (1 - k) * ph
-    return int(r.i), e, n, h, p, ph
+def _steps(pdf: pd.DataFrame):
+    """The rows of a batch in order, as tuples of FIELDS with None for what is missing."""
+    plain = pdf.sort_values("i")[list(FIELDS)].astype(object)
+    return plain.where(plain.notna(), None).itertuples(index=False, name=None)
 
 
 def filtered(steps: DataFrame, drift_m: float = 50.0, yaw_sigma_deg: float = 1.0) -> DataFrame:
@@ -44,16 +23,55 @@ def filtered(steps: DataFrame, drift_m: float = 50.0, yaw_sigma_deg: float = 1.0
     """
 
     def run(key, pdfs, state):
-        s = tuple(state.get) if state.exists else (-1, 0.0, 0.0, 0.0, 1.0, 1.0)
-        for r in pd.concat(list(pdfs)).sort_values("i").itertuples():
-            if r.i > s[0]:
-                s = advance(s, r, drift_m, yaw_sigma_deg)
+        s = tuple(state.get) if state.exists else STARTED
+        for x in _steps(pd.concat(list(pdfs))):
+            if x[0] > s[0]:
+                s = advance(s, x, drift_m, yaw_sigma_deg)
         state.update(s)
         yield pd.DataFrame([(key[0], *s)], columns=["user_id", *(c.split()[0] for c in STATE.split(", "))])
 
     return steps.groupBy("user_id").applyInPandasWithState(run, f"user_id bigint, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+SEEN = "user_id bigint, last_ts timestamp, n bigint, lost boolean"
+
+
+def presence(events: DataFrame, silence: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """(user_id, last_ts, n, lost) of a stream (user_id, ts): who was heard in a micro-batch, and who is lost.
+
+    A user is lost, and forgotten, once the watermark has passed their last event by
+    silence: the state's timer is set in event time.  Late events neither move it back
+    nor count less.
+    """
+    gap = int(pd.Timedelta(silence).total_seconds() * 1000)
+
+    def run(key, pdfs, state):
+        if state.hasTimedOut:
+            last, n = state.get
+            state.remove()
+            yield pd.DataFrame({"user_id": [key[0]], "last_ts": [pd.Timestamp(last, unit="us", tz="UTC")], "n": [n], "lost": [True]})
+            return
+        last, n = state.get if state.exists else (None, 0)
+        for pdf in pdfs:
+            top = int(pdf["us"].max())
+            last, n = max(top, last) if last is not None else top, n + len(pdf)
+        state.update((last, n))
+        state.setTimeoutTimestamp(max(last // 1000 + gap, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]], "last_ts": [pd.Timestamp(last, unit="us", tz="UTC")], "n": [n], "lost": [False]})
+
+    e = events.select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return e.groupBy("user_id").applyInPandasWithState(run, SEEN, "last bigint, n bigint", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def to_folder(path: str):
+    """A sink for foreachBatch: each micro-batch replaces its own folder of the shared path, so that a repeated batch is written once."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return write
+
+
 def stream_final_states(spark: SparkSession, steps: DataFrame, batches: int = 3) -> DataFrame:
     """Feed steps through the stateful stream in order, a slice of each user at a time, and give the last state of each."""
     base = shared_folder(spark, "stream")
@@ -61,18 +79,18 @@ def stream_final_states(spark: SparkSession, steps: DataFrame, batches: int = 3)
     cols = cols.withColumn("part", F.least(F.lit(batches - 1), F.floor(F.col("i") * batches / F.col("n"))).cast("int")).drop("n")
     cols.write.partitionBy("part").parquet(f"{base}/all")
     schema = spark.read.parquet(f"{base}/all").drop("part").schema
-    name = f"ekf_{base[-32:]}"
     make_folder(spark, f"{base}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{base}/in")
     q = None
     for k in range(batches):
         spark.read.parquet(f"{base}/all/part={k}").write.mode("append").parquet(f"{base}/in")
         if q is None:
-            q = filtered(stream).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", f"{base}/check").start()
+            q = filtered(stream).writeStream.outputMode("update").foreachBatch(to_folder(f"{base}/out")).option("checkpointLocation", f"{base}/check").start()
         q.processAllAvailable()
     q.stop()
-    last = spark.table(name).selectExpr("*", "row_number() over (partition by user_id order by i desc) as last").filter("last = 1").drop("last")
-    return last
+    names = [c.split()[0] for c in STATE.split(", ")]
+    states = spark.read.parquet(f"{base}/out").select("user_id", *names)
+    return states.groupBy("user_id").agg(F.max(F.struct(*names)).alias("s")).select("user_id", "s.*")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -83,6 +101,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def unique_events(events: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:
+    """The first event of each key of a stream, among those that come within late of each other."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
