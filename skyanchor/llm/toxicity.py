@@ -3,7 +3,7 @@
 Voters: lexicon words, terms (words and word beginnings) mined from a bounded
 labelled sample, each by presence and by density, and patterns of characters.
 Label model: a latent class model, a clean and a toxic class for each language
-that has toxic labels and for the others together, starting at the sample's rates and refined by EM
+that has three toxic labels and for the others together, starting at the sample's rates and refined by EM
 over the vote patterns of all documents, summed by partition.  It estimates each
 voter's firing rate in each class (its accuracy) and the correlation of voters
 within classes; a voter's evidence is divided by one plus its correlations with
@@ -33,11 +33,12 @@ LEXICON = (
 )
 PREFIXES = (4, 5, 6, 7)
 BITS = 20
-#: Terms mined for each language at most, and languages that have a toxic class of their own.
+#: The model's size: terms mined for each language that has three toxic labels, and the classifier's terms besides them.
 MINED = 16
-LANGUAGES = 16
-DENSE = 0.1
 SELECTED = 1024
+DENSE = 0.1
+#: Counts of pairs of voters held at a time.
+PAIR_COUNTS = 1 << 23
 #: At most so many labelled documents start the label model and train the classifier.
 SAMPLE = 10_000
 EM_STEPS = 6
@@ -123,15 +124,51 @@ def inputs(column, buckets: Arr) -> tuple[Arr, Arr, Arr, Arr]:
     return np.repeat(row, 2), np.stack([col, col + d], axis=1).reshape(-1), both, n_words
 
 
-def _presence(weight):
-    """Documents, and the documents with each bucket, weighted by the columns of weight(batch)."""
+def _term_counts(langs: dict[str, int]):
+    """(grp, bucket, clean, toxic, docs) of the sample: documents of each class with each term, and the XOR of their hashes."""
+
+    def run(batches):
+        for batch in batches:
+            grp = np.array([langs.get(x, len(langs)) for x in batch.column("lang").to_pylist()], np.int64)
+            y, h = np.asarray(batch.column("y")).astype(np.int64), np.asarray(batch.column("h"))
+            for a, z in chunks(batch.column("text")):
+                b, rows, _, _ = terms(batch.column("text").slice(a, z - a))
+                pair = np.unique(rows << BITS | b)
+                r, b = (pair >> BITS) + a, pair & ((1 << BITS) - 1)
+                key, at = np.unique(grp[r] << BITS | b, return_inverse=True)
+                docs = np.zeros(len(key), np.int64)
+                np.bitwise_xor.at(docs, at, h[r])
+                toxic = np.bincount(at, y[r], len(key)).astype(np.int64)
+                cols = (key >> BITS, key & ((1 << BITS) - 1), np.bincount(at, minlength=len(key)) - toxic, toxic, docs)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["grp", "bucket", "clean", "toxic", "docs"])
+
+    return run
+
+
+def mine(counts: DataFrame, totals: DataFrame, most: int) -> DataFrame:
+    """(grp, bucket): for each grp the terms of counts (grp, bucket, clean, toxic, docs) that tell toxic from clean documents best.
+
+    totals (grp, n0, n1) has the clean and toxic documents.  Of terms that are in the
+    same documents the least bucket counts, equal scores go to the lesser bucket.
+    """
+    c = counts.join(F.broadcast(totals), "grp")
+    p1, p0 = (F.col("toxic") + 0.5) / (F.col("n1") + 1), (F.col("clean") + 0.5) / (F.col("n0") + 1)
+    both = (F.col("toxic") + F.col("clean")) / F.greatest(F.col("n0") + F.col("n1"), F.lit(1))
+    spread = F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / F.greatest("n0", F.lit(1)) + 1 / F.greatest("n1", F.lit(1)))
+    c = c.withColumn("z", (p1 - p0) / F.sqrt(spread)).filter((F.log(p1 / p0) > 1.0) & (F.col("toxic") >= 3) & (F.col("z") > 4))
+    one = c.groupBy("grp", "toxic", "clean", "docs").agg(F.min("bucket").alias("bucket"), F.min("z").alias("z"))
+    return one.selectExpr("grp", "bucket", "row_number() over (partition by grp order by z desc, bucket) as n").filter(F.col("n") <= most).select("grp", "bucket")
+
+
+def _weights(weight):
+    """Weights of the documents with each bucket, and of all, by the columns of weight(batch)."""
 
     def f(batch):
         w = weight(batch)
         total = np.zeros((w.shape[1], (1 << BITS) + 1), np.float32)
         for a, z in chunks(batch.column("text")):
             b, rows, _, _ = terms(batch.column("text").slice(a, z - a))
-            pair = np.unique(rows * (1 << BITS) + b)
+            pair = np.unique(rows << BITS | b)
             r, b = pair >> BITS, pair & ((1 << BITS) - 1)
             for k in range(w.shape[1]):
                 total[k, :-1] += np.bincount(b, w[a:z, k][r], 1 << BITS).astype(np.float32)
@@ -141,25 +178,6 @@ def _presence(weight):
     return f
 
 
-def mine(presence: Arr, most: int) -> Arr:
-    """The buckets that tell toxic from clean documents best, one of those with equal counts."""
-    (clean, toxic), (n0, n1) = presence[:, :-1].astype(float), presence[:, -1].astype(float)
-    p1, p0 = (toxic + 0.5) / (n1 + 1), (clean + 0.5) / (n0 + 1)
-    lift = np.log(p1 / p0)
-    both = (toxic + clean) / max(n0 + n1, 1)
-    z = (p1 - p0) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / max(n0, 1) + 1 / max(n1, 1)))
-    good = np.flatnonzero((lift > 1.0) & (toxic >= 3) & (z > 4))
-    good = good[np.argsort(-z[good], kind="stable")]
-    seen, out = set(), []
-    for b in good.tolist():
-        if (key := (toxic[b], clean[b])) not in seen:
-            seen.add(key)
-            out.append(b)
-        if len(out) == most:
-            break
-    return np.array(out, np.int64)
-
-
 @dataclass
 class LabelModel:
     """prior of each class, rates[class, voter], the weight of each voter's evidence, and which classes are toxic."""
@@ -196,71 +214,87 @@ class Model:
         return np.where(n_words > 0, p, 0.0)
 
 
+def _bits(column, m: int) -> Arr:
+    return np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1), axis=1)[:, :m].astype(float)
+
+
 def _em(patterns_: DataFrame, start: LabelModel, strength: Arr, steps: int, m: int) -> LabelModel:
+    """The model refined over (votes, n); pairs of voters are counted for as many classes at a time as memory takes."""
     model = start
     k = len(start.prior)
+    some = max(1, PAIR_COUNTS // (m * m))
     for _ in range(steps):
-
-        def f(batch, model=model):
-            v = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in batch.column("votes").to_pylist()]), axis=1)[:, :m].astype(float)
-            w = model.posterior(v) * np.asarray(batch.column("n")).astype(float)[:, None]
-            mass = np.zeros((k, 1, m))
-            mass[:, 0, 0] = w.sum(axis=0)
-            return np.concatenate([mass, np.stack([(v * w[:, [c]]).T @ v for c in range(k)])], axis=1)
-
-        total = summed(patterns_, f)
-        if total is None:
-            return model
-        mass, second = total[:, 0, 0], total[:, 1:, :]
-        first = np.diagonal(second, axis1=1, axis2=2)
-        rates = (first + strength[:, None] * start.rates) / (mass + strength)[:, None]
-        rates = np.clip(rates, 1e-5, 1 - 1e-5)
+        mass, mean, fired = np.zeros(k), np.zeros((m, m)), np.zeros(m)
+        rates = np.zeros((k, m))
+        for at in range(0, k, some):
+            own = range(at, min(k, at + some))
+
+            def f(batch, model=model, own=own):
+                v = _bits(batch.column("votes"), m)
+                w = model.posterior(v)[:, list(own)] * np.asarray(batch.column("n")).astype(float)[:, None]
+                total = np.zeros((len(own), 1, m))
+                total[:, 0, 0] = w.sum(axis=0)
+                return np.concatenate([total, np.stack([(v * w[:, [c]]).T @ v for c in range(len(own))])], axis=1)
+
+            total = summed(patterns_, f)
+            if total is None:
+                return model
+            mine_, second, there = total[:, 0, 0], total[:, 1:, :], strength[own.start : own.stop]
+            first = np.diagonal(second, axis1=1, axis2=2)
+            r = np.clip((first + there[:, None] * start.rates[own.start : own.stop]) / (mine_ + there)[:, None], 1e-5, 1 - 1e-5)
+            sd = np.sqrt(r * (1 - r))
+            corr = second / np.maximum(mine_, 1e-9)[:, None, None] - r[:, :, None] * r[:, None, :]
+            corr = np.clip(corr / (sd[:, :, None] * sd[:, None, :]), 0, 1)
+            corr[:, np.arange(m), np.arange(m)] = 0
+            corr[corr < CORRELATED] = 0
+            # averaged over the classes by how often the voter fires in each
+            fires = (mine_ + there)[:, None] * r
+            mean += (corr * fires[:, :, None]).sum(axis=0)
+            fired += fires.sum(axis=0)
+            mass[own.start : own.stop], rates[own.start : own.stop] = mine_, r
         prior = (mass + strength) / (mass.sum() + strength.sum())
-        sd = np.sqrt(rates * (1 - rates))
-        corr = second / np.maximum(mass, 1e-9)[:, None, None] - rates[:, :, None] * rates[:, None, :]
-        corr = np.clip(corr / (sd[:, :, None] * sd[:, None, :]), 0, 1)
-        corr[:, np.arange(m), np.arange(m)] = 0
-        corr[corr < CORRELATED] = 0
-        # averaged over the classes by how often the voter fires in each
-        fires = (mass + strength)[:, None] * rates
-        mean = (corr * fires[:, :, None]).sum(axis=0) / fires.sum(axis=0)[:, None]
-        model = LabelModel(prior, rates, 1 / (1 + mean.sum(axis=1)), start.bad)
+        model = LabelModel(prior, rates, 1 / (1 + (mean / fired[:, None]).sum(axis=1)), start.bad)
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mined: int = MINED, steps: int = EM_STEPS) -> Model:
     """The model of toxicity for docs.  Without toxic and clean labels nothing is toxic."""
-    chosen = cut(labelled(docs, labels, "toxic", sample).select("text", F.coalesce("lang", F.lit("")).alias("lang"), "y"))
+    chosen = cut(labelled(docs, labels, "toxic", sample).select(F.xxhash64("doc_id").alias("h"), "text", F.coalesce("lang", F.lit("")).alias("lang"), "y"))
     lexicon = np.unique(lexicon_buckets())
     none = Model(None, lexicon, np.zeros(0, np.int64), np.zeros(0), -50.0)
-    toxic_by = chosen.filter("y = 1").groupBy("lang").count().filter("count >= 3")
-    langs = [r.lang for r in toxic_by.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()] + [None]
-
-    def class_of(batch):
-        lang = batch.column("lang").to_pylist()
-        at = np.array([langs.index(x) if x in langs else len(langs) - 1 for x in lang], np.int64)
-        return 2 * at + np.asarray(batch.column("y")).astype(np.int64)
-
-    def one_hot(batch):
-        return np.eye(2 * len(langs), dtype=np.float32)[class_of(batch)]
-
-    presence = summed(chosen, _presence(one_hot))
-    if presence is None or not presence[0::2, -1].any() or not presence[1::2, -1].any():
+    sizes = chosen.groupBy("lang").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")).collect()
+    if not any(r.n1 for r in sizes) or not any(r.n0 for r in sizes):
         return none
-    found = [mine(presence[[i, i + 1]], mined) for i in range(0, len(presence), 2)]
-    voters = np.unique(np.concatenate([lexicon, *found]))
+    langs = {r.lang: i for i, r in enumerate(sorted((r for r in sizes if r.n1 >= 3), key=lambda r: (-r.n1, r.lang)))}
+    each = np.zeros((len(langs) + 1, 2), np.int64)
+    for r in sizes:
+        each[langs.get(r.lang, len(langs))] += (r.n0, r.n1)
+    totals = docs.sparkSession.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(each)], "grp bigint, n0 bigint, n1 bigint")
+    counts = chosen.mapInArrow(_term_counts(langs), "grp bigint, bucket bigint, clean bigint, toxic bigint, docs bigint")
+    counts = counts.groupBy("grp", "bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_xor("docs").alias("docs"))
+    found = np.array([r.bucket for r in mine(counts, totals, mined).collect()], np.int64)
+    voters = np.unique(np.concatenate([lexicon, found]))
     m = 2 * len(voters) + 3
 
+    def voted(batches):
+        for batch in batches:
+            at = np.array([langs.get(x, len(langs)) for x in batch.column("lang").to_pylist()], np.int64)
+            for a, z in chunks(batch.column("text")):
+                part = batch.slice(a, z - a)
+                y = np.asarray(part.column("y")).astype(np.int64)
+                rows = [x.tobytes() for x in np.packbits(votes(part.column("text"), voters), axis=1)]
+                yield pa.RecordBatch.from_arrays([pa.array(2 * at[a:z] + y), pa.array(y), part.column("text"), pa.array(rows, pa.binary())], names=["cls", "y", "text", "votes"])
+
+    chosen = cut(chosen.mapInArrow(voted, "cls bigint, y bigint, text string, votes binary"))
+
     def rates(batch):
-        out = np.zeros((2 * len(langs), m + 1))
-        cls = class_of(batch)
-        for a, z in chunks(batch.column("text")):
-            v = votes(batch.column("text").slice(a, z - a), voters)
-            np.add.at(out[:, :m], cls[a:z], v)
+        out = np.zeros((2 * len(each), m + 1))
+        cls = np.asarray(batch.column("cls"))
+        np.add.at(out[:, :m], cls, _bits(batch.column("votes"), m))
         out[:, m] += np.bincount(cls, minlength=len(out))
         return out
 
-    r = summed(chosen, rates)
+    r = summed(chosen.select("cls", "votes"), rates)
     there = r[:, m] > 0
     r, bad = r[there], (np.arange(len(r)) % 2 == 1)[there]
     n = r[:, m:]
@@ -281,17 +315,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mined: int = M
     model = _em(cut(of_all), start, LABEL_WEIGHT * n[:, 0], steps, m)
 
     def judged(batch):
-        p = np.zeros(batch.num_rows)
-        for a, z in chunks(batch.column("text")):
-            p[a:z] = model.toxic(votes(batch.column("text").slice(a, z - a), voters))
-        return p, np.asarray(batch.column("y")).astype(float)
+        return model.toxic(_bits(batch.column("votes"), m)), np.asarray(batch.column("y")).astype(float)
 
     def agreement(batch):
         p, y = judged(batch)
         return np.array([((1 - p) * y).sum(), (1 - p).sum(), (p * y).sum(), p.sum()])
 
     # the sample's labels are one more voter, of an accuracy estimated like that of the others
-    g = summed(chosen, agreement)
+    g = summed(chosen.select("y", "votes"), agreement)
     said0, said1 = np.clip((g[[0, 2]] + 0.5) / (g[[1, 3]] + 1), 0.02, 0.98)
 
     def soft(batch):
@@ -300,11 +331,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, mined: int = M
         p = toxic / np.maximum(clean + toxic, 1e-12)
         return np.stack([1 - p, p], axis=1).astype(np.float32)
 
-    weighed = summed(chosen, _presence(soft))
+    weighed = summed(chosen, _weights(soft))
     (clean, toxic), (n0, n1) = weighed[:, :-1].astype(float), weighed[:, -1].astype(float)
     share = (clean + toxic) / max(n0 + n1, 1e-9)
     z = np.abs(toxic / max(n1, 1e-9) - clean / max(n0, 1e-9)) / np.sqrt(share * (1 - share) + 1e-3)
-    buckets = np.sort(np.argsort(-z, kind="stable")[:SELECTED])
+    # the most telling terms of all languages together, and those mined for each
+    buckets = np.union1d(np.argsort(-z, kind="stable")[:SELECTED], found)
     buckets = buckets[z[buckets] > 0]
 
     def design(batches):
@@ -350,7 +382,8 @@ def _logistic(row, col, x, p, d: int, penalty: float = 1e-4, steps: int = 400) -
 def score(docs: DataFrame, model: Model, below: float | None = None, column: str | None = "toxicity_score") -> DataFrame:
     """docs with toxicity_score; with below, those of a lower score only.
 
-    Null, empty and wordless texts score 0.  All columns come through but one that
+    Null, empty and wordless texts score 0; very long ones are scored whole.  A score
+    equal to below goes.  All columns come through, whatever their names, but one that
     clashes with column, the scores' name; with column None there are no scores, and
     all do.  Equal rows score alike; an empty table gives one.
     """
@@ -370,5 +403,11 @@ def score(docs: DataFrame, model: Model, below: float | None = None, column: str
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, at: float = TOXIC_AT, column: str | None = "toxicity_score", **how) -> DataFrame:
-    """The documents whose probability of being toxic is below at, with their scores, as score gives them; null and empty texts stay."""
+    """The documents whose probability of being toxic is below at, with their scores, as score gives them.
+
+    Null, empty and wordless texts stay, a score of exactly at goes; very long texts,
+    repeated rows, empty tables and other columns fare as in score.  Labels that are
+    null, that contradict each other or whose document isn't there don't count; without
+    labels of both kinds all documents stay.
+    """
     return score(docs, fit(docs, labels, **how), at, column)
