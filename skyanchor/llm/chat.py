@@ -77,6 +77,8 @@ def _emit(table: pa.Table):
     while at < whole.num_rows:
         to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), BATCH_BYTES, side="right")))
         part = whole.slice(at, to - at)
+        if sizes[at] >= 1 << 31:
+            raise ValueError(f"conversation {part.column(0)[0].as_py()} has {sizes[at]} bytes: a string column holds less than 2 GB")
         yield part.set_column(3, "text", part.column("text").cast(pa.string()))
         at = to
 
@@ -104,10 +106,12 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_bytes, text, answers) for each conversation of (conv_id, turn, role, text).
 
     Turns follow by turn, nulls first, ties by role, then text (nulls first); repeated
-    rows each are a turn.  A null role or text is an empty one; a null conv_id is
-    one conversation of its own.  answers are the byte spans of what role
-    'assistant' says.  Text that looks like a marker is copied as it is.  Other
-    columns are left out; an empty table gives one.
+    rows each are a turn.  A null role or text is an empty one; all rows of null
+    conv_id are one conversation, and so are held by one task: filter them out where
+    they are many.  answers are the byte spans of what role 'assistant' says.  Text
+    that looks like a marker is copied as it is; very long texts are copied whole, but
+    a conversation of 2 GB or more, which no string column holds, stops the job with a
+    message.  Other columns, whatever their names, are left out; an empty table gives one.
     """
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")

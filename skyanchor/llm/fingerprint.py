@@ -93,7 +93,7 @@ def _sketches(k: int, words: int, merged: bool):
 
 
 def _input(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    return docs.select(F.col("doc_id").try_cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
 
 
 def document_sketches(docs: DataFrame, k: int = K, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -293,8 +293,10 @@ def fingerprints(docs: DataFrame, k: int = K, shingle_words: int = SHINGLE_WORDS
 
     resemblance and containment compare the document's shingle set with that of its
     source; the near columns compare it with other documents.
-    Repeated rows each have their row; columns other than doc_id, text and source
-    are left out; an empty table gives one.  A wordless text has 0.0 for its
+    Repeated rows each have their row; columns other than doc_id, text and source,
+    whatever their names, are left out; an empty table gives one.  Very long texts are
+    sketched whole; a doc_id that isn't an integer, nor the text of one, is null; equal
+    hashes count once.  A null, empty or wordless text has 0.0 for its
     n_distinct, resemblance and containment; containment is null where none of the
     document's hashes is as low as its source's sketch reaches.
     """

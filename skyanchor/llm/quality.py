@@ -2,10 +2,9 @@
 
 Features cos(w.x + b) of standardised document statistics x approximate a
 Gaussian kernel.  Partitions of the fitting part of a bounded labelled sample
-sum Z'Z and Z'y, which add up in a shuffle; the driver solves the ridge system of D +
-1 unknowns.  The
-scores of the held-back part, rounded to a grid, give the isotonic map from
-score to the probability of being good (pool adjacent violators).
+sum Z'Z and Z'y, which add up in a shuffle; the driver solves the ridge system of
+D + 1 unknowns.  The scores of the held-back part, rounded to a grid, give the
+isotonic map from score to the probability of being good (pool adjacent violators).
 """
 
 from __future__ import annotations
@@ -81,16 +80,16 @@ def _described(batches):
             x = statistics(part.column("text"))
             off = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("y"), pa.ListArray.from_arrays(off, pa.array(x.reshape(-1)))], names=["doc_id", "y", "x"]
+                [part.column("draw"), part.column("y"), pa.ListArray.from_arrays(off, pa.array(x.reshape(-1)))], names=["draw", "y", "x"]
             )
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, width: float = WIDTH, ridge: float = RIDGE) -> Model:
     """The model of labels.quality for docs.  Without labelled documents every probability is 1."""
     d = len(STATISTICS)
-    chosen = labelled(docs, labels, "quality", sample).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "y")
-    rows = cut(chosen.mapInArrow(_described, "doc_id bigint, y int, x array<double>"))
-    held = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(1000)) < int(1000 * CALIBRATION)
+    chosen = labelled(docs, labels, "quality", sample).select(F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(1000)).alias("draw"), "text", "y")
+    rows = cut(chosen.mapInArrow(_described, "draw bigint, y int, x array<double>"))
+    held = F.col("draw") < int(1000 * CALIBRATION)
     train, rest = rows.filter(~held), rows.filter(held)
     rng = np.random.default_rng(SEED)
     omega, phase = rng.normal(size=(d, features)) / width, rng.uniform(0, 2 * np.pi, features)
@@ -141,7 +140,8 @@ def _scored(model: Model, least: float | None, column: str | None):
 def score(docs: DataFrame, model: Model, least: float | None = None, column: str | None = "quality_score") -> DataFrame:
     """docs with quality_score, the calibrated probability of being good; with least, those that reach it.
 
-    Null and empty texts score 0.  All columns come through but one that clashes
+    Null and empty texts score 0; very long ones are scored whole.  A score equal to
+    least stays.  All columns come through, whatever their names, but one that clashes
     with column, the scores' name; with column None there are no scores, and all do.
     Equal rows score alike; an empty table gives one.
     """
@@ -151,5 +151,11 @@ def score(docs: DataFrame, model: Model, least: float | None = None, column: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = KEEP_AT, column: str | None = "quality_score", **how) -> DataFrame:
-    """The documents that the classifier fitted to labels doesn't reject, with their scores, as score gives them; null and empty texts go."""
+    """The documents that the classifier fitted to labels doesn't reject, with their scores, as score gives them.
+
+    Null and empty texts go, a score of exactly least stays; very long texts, repeated
+    rows, empty tables and other columns fare as in score.  Labels that are null, that
+    contradict each other or whose document isn't there don't count; without any, all
+    texts but null and empty ones stay.
+    """
     return score(docs, fit(docs, labels, **how), least, column)
