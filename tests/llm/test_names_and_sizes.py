@@ -197,17 +197,12 @@ def test_shared_frequencies_of_many_kinds_of_tokens():
 
 
 def test_vocabulary_of_a_worker_without_the_file(spark):
-    import os
-    import shutil
-
-    own = "/tmp/skyanchor-vocabulary-of-the-driver.tiktoken"
-    shutil.copy(bpe.VOCABULARY, own)
-    bpe.ship_vocabulary(spark, own)
-    os.remove(own)
+    bpe.ship_vocabulary(spark, bpe.VOCABULARY)
+    elsewhere = "/not/here/" + bpe.VOCABULARY.rsplit("/", 1)[1]
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(bpe.ranks(own))] * b.num_rows)], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe.ranks(elsewhere))] * b.num_rows)], names=["n"])
 
     assert spark.range(1).mapInArrow(run, "n bigint").first().n == len(bpe.ranks(bpe.VOCABULARY))
 
