@@ -30,8 +30,14 @@ def token_pattern(name: str) -> str:
 
 
 def token_count(text="text"):
-    """Tokens of a text, see token_pattern; 0 of a null one."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(token_pattern("\\p{{Is{}}}"))), F.lit(0)).cast("bigint")
+    """Tokens of a text, see token_pattern; 0 of a null one.
+
+    All of SCRIPTS lie from U+0E00 on: a text without such characters is counted by the simpler half of the pattern.
+    """
+    t = F.col(text)
+    mixed = F.regexp_count(t, F.lit(token_pattern("\\p{{Is{}}}")))
+    count = F.when(t.rlike("[\\x{0E00}-\\x{10FFFF}]"), mixed).otherwise(F.regexp_count(t, F.lit("[^ \\t\\n\\r\\f]+")))
+    return F.coalesce(count, F.lit(0)).cast("bigint")
 
 
 def uniform(doc_id, text, seed: str):
