@@ -22,7 +22,9 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier doesn't reject, with all their columns.
 
-    Null and empty texts are rejected; equal rows fare alike; an empty table gives one.
+    Null and empty texts are rejected, very long ones are judged whole; a score
+    exactly at the threshold stays; equal rows fare alike; other columns, whatever
+    their names, come through; an empty table gives one.
     """
     return quality.keep_good(docs, _labels(spark, sf_dir), column=None)
 
@@ -30,7 +32,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the toxicity classifier doesn't reject, with all their columns.
 
-    Null, empty and wordless texts stay; equal rows fare alike; an empty table gives one.
+    Null, empty and wordless texts stay, very long ones are judged whole; a score
+    exactly at the threshold goes; equal rows fare alike; other columns, whatever
+    their names, come through; an empty table gives one.
     """
     return toxicity.keep_clean(docs, _labels(spark, sf_dir), column=None)
 
@@ -38,7 +42,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, with all its columns, of each group of exact and near copies: that of the least doc_id, nulls last.
 
-    Null texts stay, each of them; of equal rows one stays; an empty table gives one.
+    Null texts stay, each of them; empty ones are copies of each other; very long ones
+    are compared whole; a pair exactly at the threshold is one of copies, of equal
+    doc_ids the least MD5 of the text stays, of equal rows one; other columns, whatever
+    their names, come through; an empty table gives one.
     """
     return minhash.near_dedup(docs)
 
@@ -47,7 +54,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The documents, with all their columns, as often as equal shares of the sources ask.
 
     Null is a source of its own; null and empty texts have no tokens but are repeated
-    as their source; a source without any tokens goes; an empty table gives one.
+    as their source, very long ones are counted whole; a source without any tokens
+    goes; a draw equal to the fraction gives no copy; equal rows fare alike; other
+    columns, whatever their names, come through; an empty table gives one.
     """
     return mixing.mix_sources(docs, ordinal=None)
 
@@ -55,7 +64,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and their number in place of texts, with the other columns but those of the names ids and n_tokens.
 
-    A null text has null ids, an empty one none; equal rows are each coded; an empty table gives one.
+    A null text has null ids, an empty one none, a very long one is coded whole; of
+    equal merges the leftmost goes first; equal rows are each coded; an empty table gives one.
     """
     return bpe.encode(docs)
 
