@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -79,21 +81,28 @@ def generate_cells(regions: DataFrame) -> DataFrame:
 def stitch(placed: DataFrame) -> DataFrame:
     """(window_id, height, width, pixels): the mosaic of tiles (window_id, dx, dy, width, height, tile) of 256 x 256 bytes.
 
-    dx, dy place a tile's corner in the window, possibly outside; missing parts stay 0.
+    dx, dy place a tile's corner in the window, possibly outside; missing parts stay
+    0.  A tile of another size is an error, and so is a window without any tile's
+    part: it lies outside the world.
     """
 
     def run(key, table):
         rows = table.to_pylist()
         w, h = rows[0]["width"], rows[0]["height"]
-        out = np.zeros((h, w), np.uint8)
+        out, met = np.zeros((h, w), np.uint8), False
         for r in rows:
-            if r["tile"] is None or len(r["tile"]) != TILE * TILE:
+            x, y = r["dx"], r["dy"]
+            met |= x < w and y < h and x > -TILE and y > -TILE
+            if r["tile"] is None:
                 continue
+            if len(r["tile"]) != TILE * TILE:
+                raise ValueError(f"window {key[0].as_py()}: a tile of {len(r['tile'])} bytes is not {TILE} x {TILE}")
             z = np.frombuffer(r["tile"], np.uint8).reshape(TILE, TILE)
-            x, y = r["dx"], r["dy"]
             x0, y0, x1, y1 = max(0, x), max(0, y), min(w, x + TILE), min(h, y + TILE)
             if x1 > x0 and y1 > y0:
                 out[y0:y1, x0:x1] = z[y0 - y : y1 - y, x0 - x : x1 - x]
+        if not met:
+            raise ValueError(f"window {key[0].as_py()} lies outside the world")
         return pa.table({"window_id": pa.array([key[0].as_py()], pa.int64()), "height": pa.array([h], pa.int32()), "width": pa.array([w], pa.int32()), "pixels": pa.array([out.tobytes()], pa.binary())})
 
     return placed.groupBy("window_id").applyInArrow(run, "window_id bigint, height int, width int, pixels binary")
@@ -108,11 +117,37 @@ def block_mean(pixels: DataFrame, factor: int) -> DataFrame:
     return pixels.groupBy("image_id", F.floor(F.col("y") / factor).alias("y"), F.floor(F.col("x") / factor).alias("x")).agg(F.avg("v").alias("v"))
 
 
-def perturb(v, level: int, strength: float = 1.0) -> Column:
-    """Appearance levels by pixel: 0 none, 1 gamma, 2 contrast, 3 a sine remap that isn't monotonic, clipped to 0..255."""
+def exposed(v, gamma, contrast, brightness) -> Column:
+    """Bytes under another exposure: a power of the light, a contrast about black and a shift, clipped."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(255.0), _c(contrast) * 255 * F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), _c(v) / 255)), _c(gamma)) + _c(brightness)))
+
+
+def remapped(v, strength) -> Column:
+    """Bytes as another season or sensor shows them: a remap of tones that turns some gradients round, clipped."""
     x = _c(v) / 255
-    y = {0: x, 1: F.pow(x, 1 + strength), 2: (x - 0.5) * (1 + strength) + 0.5, 3: 0.5 + 0.5 * F.sin(x * 3.141592653589793 * (1 + 2 * strength) - 1.5707963267948966)}[level]
-    return F.greatest(F.lit(0.0), F.least(F.lit(255.0), 255 * y))
+    return 255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), x + _c(strength) * 0.35 * F.sin(3 * math.pi * x)))
+
+
+def appearance_seed(*, yaw_deg, altitude_ratio, prior_offset_m, level, strength) -> Column:
+    """The seed of a sample's appearance, from what the sample is."""
+    raw = _c(yaw_deg) * 1000.0 + _c(altitude_ratio) * 733.0 + _c(prior_offset_m) * 13.0 + _c(level) * 7919.0 + _c(strength) * 131.0
+    return F.floor(F.abs(raw)).cast("bigint").bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def perturbed(rasters: DataFrame) -> DataFrame:
+    """rasters (image_id, height, width, pixels, level, strength, seed) with pixels as raster.appearance() leaves them."""
+    from ..functions.raster import appearance
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("pixels")
+            out = []
+            for r in batch.to_pylist():
+                z = None if r["pixels"] is None else np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"])
+                out.append(None if z is None else appearance(z, r["level"], r["strength"], r["seed"]).tobytes())
+            yield batch.set_column(at, "pixels", pa.array(out, pa.binary()))
+
+    return rasters.mapInArrow(run, rasters.schema)
 
 
 def rotate(z: np.ndarray, degrees: float) -> np.ndarray:
@@ -140,3 +175,29 @@ def rotate(z: np.ndarray, degrees: float) -> np.ndarray:
 def north_up_side(width, height) -> Column:
     """Side of the square that fits at any turn: the shorter side over root two, even."""
     return (F.floor(F.least(_c(width), _c(height)) / (2**0.5) / 2) * 2).cast("int")
+
+
+def north_up(rasters: DataFrame) -> DataFrame:
+    """rasters (image_id, height, width, pixels, yaw_deg) turned north and cut to the square of north_up_side(), with side and pixels."""
+    from ..functions.raster import north_up_crop
+
+    def run(batches):
+        for batch in batches:
+            rows = [(r["image_id"], north_up_crop(np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"]), r["yaw_deg"])) for r in batch.to_pylist() if r["pixels"] is not None]
+            pixels = [np.clip(np.round(z), 0, 255).astype(np.uint8).tobytes() for _, z in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([len(z) for _, z in rows], pa.int32()), pa.array(pixels, pa.binary())], names=["image_id", "side", "pixels"])
+
+    return rasters.select(F.col("image_id").cast("bigint").alias("image_id"), "height", "width", "pixels", "yaw_deg").mapInArrow(run, "image_id bigint, side int, pixels binary")
+
+
+def equalised(rasters: DataFrame, clip: float = 2.0, tiles: int = 8) -> DataFrame:
+    """rasters (image_id, height, width, pixels) with their light evened out by clipped histograms of tiles."""
+    from ..functions.raster import clahe
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("pixels")
+            out = [None if r["pixels"] is None else clahe(np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"]), clip, tiles).tobytes() for r in batch.to_pylist()]
+            yield batch.set_column(at, "pixels", pa.array(out, pa.binary()))
+
+    return rasters.mapInArrow(run, rasters.schema)

@@ -72,10 +72,60 @@ def result_json(*names: str) -> Column:
     return F.to_json(F.struct(*(F.col(n) for n in names)))
 
 
+def _row(columns: list[str]) -> Column:
+    cell = lambda c: F.concat(F.lit("<td>"), F.coalesce(F.regexp_replace(F.regexp_replace(F.col(f"`{c}`").cast("string"), "&", "&amp;"), "<", "&lt;"), F.lit("")), F.lit("</td>"))
+    return F.concat(F.lit("<tr>"), *(cell(c) for c in columns), F.lit("</tr>"))
+
+
+def _ends(columns: list[str], title: str) -> tuple[str, str]:
+    head = "".join(f"<th>{c}</th>" for c in columns)
+    return f"<html><head><title>{title}</title></head><body><table><tr>{head}</tr>", "</table></body></html>"
+
+
+def html_lines(rows: DataFrame, title: str = "Results") -> DataFrame:
+    """(line) of an HTML table of all rows in order of their first column, in as many ordered parts as there are partitions: written as text they make the page, however long."""
+    first, last = _ends(rows.columns, title)
+    body = rows.select(F.lit(1).alias("part"), F.col(f"`{rows.columns[0]}`").cast("string").alias("k"), _row(rows.columns).alias("line"))
+    ends = rows.sparkSession.createDataFrame([(0, None, first), (2, None, last)], "part int, k string, line string")
+    return body.unionByName(ends).orderBy("part", "k", "line").select("line")
+
+
 def html_report(rows: DataFrame, title: str = "Results") -> DataFrame:
-    """One row (html) of a table of all rows in order of their first column; for batches of a size to read."""
-    cells = F.concat(*(F.concat(F.lit("<td>"), F.coalesce(F.regexp_replace(F.regexp_replace(F.col(f"`{c}`").cast("string"), "&", "&amp;"), "<", "&lt;"), F.lit("")), F.lit("</td>")) for c in rows.columns))
-    lines = rows.select(F.struct(F.col(f"`{rows.columns[0]}`").cast("string").alias("k"), F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("h")).alias("x"))
+    """One row (html) of html_lines() put together: for as many rows as a person reads; html_lines() is for more."""
+    first, last = _ends(rows.columns, title)
+    lines = rows.select(F.struct(F.col(f"`{rows.columns[0]}`").cast("string").alias("k"), _row(rows.columns).alias("h")).alias("x"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]), "\n")
-    head = "".join(f"<th>{c}</th>" for c in rows.columns)
-    return lines.agg(F.concat(F.lit(f"<html><head><title>{title}</title></head><body><table><tr>{head}</tr>\n"), body, F.lit("\n</table></body></html>")).alias("html"))
+    return lines.agg(F.concat(F.lit(first + "\n"), body, F.lit("\n" + last)).alias("html"))
+
+
+def overlays(pairs: DataFrame, matches: DataFrame | None = None, most: int = 200) -> DataFrame:
+    """(frame_id, png) of pairs (frame_id, a, b, tx, ty, height, width, query, ref_height, ref_width, reference): four panels, the frame, its outline on the map, a chessboard of both, and up to most of its matches drawn.
+
+    matches (frame_id, qx, qy, rx, ry).  Without a raster or a transform png is null.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from ..functions.raster import overlay
+
+    if matches is None:
+        drawn = pairs.withColumn("lines", F.lit(None).cast("array<struct<qx:double,qy:double,rx:double,ry:double>>"))
+    else:
+        some = matches.selectExpr("frame_id", "struct(qx, qy, rx, ry) p", "row_number() over (partition by frame_id order by qx, qy, rx, ry) n").filter(F.col("n") <= most)
+        drawn = pairs.join(some.groupBy("frame_id").agg(F.array_sort(F.collect_list("p")).alias("lines")), "frame_id", "left")
+    kind = pairs.schema["frame_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["query"] is None or r["reference"] is None or r["a"] is None:
+                    out.append(None)
+                    continue
+                q = np.frombuffer(r["query"], np.uint8).reshape(r["height"], r["width"])
+                z = np.frombuffer(r["reference"], np.uint8).reshape(r["ref_height"], r["ref_width"])
+                out.append(overlay(q, z, r["a"], r["b"], r["tx"], r["ty"], np.array([(p["qx"], p["qy"], p["rx"], p["ry"]) for p in r["lines"] or []])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["frame_id", "png"])
+
+    cols = ("frame_id", "a", "b", "tx", "ty", "height", "width", "query", "ref_height", "ref_width", "reference", "lines")
+    return drawn.select(*cols).mapInArrow(run, f"frame_id {kind}, png binary")

@@ -8,6 +8,8 @@ from numpy import ndarray as Arr
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.raster import canny, gaussian, sobel, stretched
+
 
 def ncc(pixels: DataFrame, least: int = 16, empty: float = 0.0) -> DataFrame:
     """(pair_id, n, ncc): Pearson correlation; empty where either side is flat or fewer than least pixels are valid."""
@@ -36,19 +38,8 @@ def nmi(pixels: DataFrame, bins: int = 32) -> DataFrame:
     return h.select("pair_id", F.when(F.col("hab") <= 1e-12, 2.0).otherwise((F.col("ha") + F.col("hb")) / F.col("hab")).alias("nmi"))
 
 
-def _sobel(z: Arr) -> tuple[Arr, Arr]:
-    p = np.pad(z, 1, mode="reflect")
-    dx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
-    dy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
-    return dx, dy
-
-
-def _smooth(z: Arr, times: int = 1) -> Arr:
-    for _ in range(times):
-        p = np.pad(z, 1, mode="reflect")
-        z = (p[:-2] + 2 * p[1:-1] + p[2:]) / 4
-        z = (z[:, :-2] + 2 * z[:, 1:-1] + z[:, 2:]) / 4
-    return z
+def _gradients(z: Arr) -> tuple[Arr, Arr]:
+    return sobel(gaussian(z, 1.0))
 
 
 def _corr(a: Arr, b: Arr) -> float:
@@ -57,55 +48,66 @@ def _corr(a: Arr, b: Arr) -> float:
     return float((a * b).sum() / n) if n > 1e-9 else 0.0
 
 
+def plain_ncc(a: Arr, b: Arr) -> float:
+    """Correlation of values; 0 where either side is flat."""
+    return _corr(a, b)
+
+
 def grad_ncc(a: Arr, b: Arr) -> float:
     """Correlation of gradient magnitudes, blind to the sign of contrast."""
-    return _corr(*(np.hypot(*_sobel(_smooth(z))) for z in (a, b)))
+    return _corr(*(np.hypot(*_gradients(z)) for z in (a, b)))
 
 
-def ngf(a: Arr, b: Arr, floor: float = 1.0) -> float:
-    """Mean squared cosine of gradient angles where both gradients stand out; 0.5 without any such pixel."""
-    (ax, ay), (bx, by) = (_sobel(_smooth(z)) for z in (a, b))
+def ngf(a: Arr, b: Arr) -> float:
+    """Mean squared cosine of gradient angles where both gradients exceed a tenth of their mean magnitude; 0.5, as of chance, with fewer than 16 such pixels."""
+    (ax, ay), (bx, by) = _gradients(a), _gradients(b)
     na, nb = np.hypot(ax, ay), np.hypot(bx, by)
-    some = (na > max(floor, na.mean() * 0.5)) & (nb > max(floor, nb.mean() * 0.5))
-    return float((((ax * bx + ay * by)[some] / (na * nb)[some]) ** 2).mean()) if some.any() else 0.5
+    least = max(0.1 * float(na.mean() + nb.mean()) / 2, 1e-6)
+    some = (na > least) & (nb > least)
+    if some.sum() < 16:
+        return 0.5
+    return float(np.mean((ax * bx + ay * by)[some] ** 2 / np.maximum((na[some] * nb[some]) ** 2, 1e-12)))
 
 
-def cfog(a: Arr, b: Arr, bins: int = 8) -> float:
-    """Correlation of channel features of oriented gradients: angles modulo 180 in bins, smoothed in space and over angles, unit length a pixel."""
+def cfog_features(z: Arr, bins: int = 8, sigma: float = 2.0) -> Arr:
+    """Channel features of oriented gradients: projections on bins directions without sign, smoothed in space and over directions, of unit length a pixel."""
+    dx, dy = _gradients(z)
+    t = np.arange(bins) * np.pi / bins
+    f = np.stack([gaussian(np.abs(dx * np.cos(u) + dy * np.sin(u)), sigma) for u in t])
+    f = (np.roll(f, 1, 0) + 2 * f + np.roll(f, -1, 0)) / 4
+    f = f - f.mean(axis=0)
+    n = np.sqrt((f * f).sum(axis=0))
+    return np.where(n > 1e-6, f / np.maximum(n, 1e-6), 0)
 
-    def features(z):
-        dx, dy = _sobel(_smooth(z))
-        t = np.arange(bins) * np.pi / bins
-        f = np.stack([_smooth(np.abs(dx * np.cos(u) + dy * np.sin(u)), 2) for u in t])
-        f = (np.roll(f, 1, 0) + 2 * f + np.roll(f, -1, 0)) / 4
-        f = f - f.mean(axis=0)
-        n = np.sqrt((f * f).sum(axis=0))
-        return np.where(n > 1e-9, f / np.maximum(n, 1e-9), 0)
 
-    return _corr(features(a), features(b))
-
-
-def edges(z: Arr, share: float = 0.85) -> Arr:
-    """Thin edges: local maxima across the gradient among the strongest pixels."""
-    dx, dy = _sobel(_smooth(z))
-    m = np.hypot(dx, dy)
-    p = np.pad(m, 1)
-    across = np.where(np.abs(dx) >= np.abs(dy), (m >= p[1:-1, :-2]) & (m >= p[1:-1, 2:]), (m >= p[:-2, 1:-1]) & (m >= p[2:, 1:-1]))
-    return across & (m > np.quantile(m, share)) & (m > 1e-6)
+def cfog(a: Arr, b: Arr) -> float:
+    """Mean product of features where either side has structure; 0 with fewer than 16 such pixels."""
+    x, y = cfog_features(a), cfog_features(b)
+    some = (np.sqrt((x * x).sum(axis=0)) > 0.5) | (np.sqrt((y * y).sum(axis=0)) > 0.5)
+    return float((x * y).sum(axis=0)[some].mean()) if some.sum() >= 16 else 0.0
 
 
 def edge_dice(a: Arr, b: Arr, reach: int = 2) -> float:
-    """Share of both edge sets that lie within reach of the other; 0 without edges."""
+    """Share of both sets of edges, of rasters stretched to bytes, that lie within reach of the other; 0 without edges."""
 
     def grown(e):
         p = np.pad(e, reach)
         return np.any([p[i : i + e.shape[0], j : j + e.shape[1]] for i in range(2 * reach + 1) for j in range(2 * reach + 1)], axis=0)
 
-    x, y = edges(a), edges(b)
+    x, y = canny(stretched(a)), canny(stretched(b))
     n = x.sum() + y.sum()
     return float(((x & grown(y)).sum() + (y & grown(x)).sum()) / n) if n else 0.0
 
 
+def plain_nmi(a: Arr, b: Arr, bins: int = 32) -> float:
+    """Marginal entropies over the joint one of the two-way histogram; 2 where the joint entropy is 0."""
+    joint = np.histogram2d(a.reshape(-1), b.reshape(-1), bins)[0]
+    joint /= max(joint.sum(), 1.0)
+    h = lambda p: float(-(p[p > 0] * np.log(p[p > 0])).sum())
+    both = h(joint)
+    return 2.0 if both <= 0 else (h(joint.sum(axis=1)) + h(joint.sum(axis=0))) / both
+
+
 def structural(a: Arr, b: Arr, valid: Arr, measure=grad_ncc, least: int = 256, side: int = 16) -> float:
     """A measure on the crop of the valid pixels with holes filled by the mean; -1 where too little is left."""
     ys, xs = np.flatnonzero(valid.any(axis=1)), np.flatnonzero(valid.any(axis=0))
@@ -116,7 +118,53 @@ def structural(a: Arr, b: Arr, valid: Arr, measure=grad_ncc, least: int = 256, s
     return measure(*(np.where(v, z[box], z[box][v].mean()) for z in (a, b)))
 
 
+def token_cosine(a: Arr, b: Arr) -> float:
+    """Mean cosine of the dense tokens of two aligned rasters, by the registered 'dense' kernel 'dino' from a raster to rows of floats."""
+    from ..functions import plugins
+
+    tokens = plugins.get("dense", "dino")()
+    x, y = (np.asarray(tokens(z), float) for z in (a, b))
+    n = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+    return float(np.mean((x * y).sum(axis=1) / np.maximum(n, 1e-12)))
+
+
 MEASURES = {"grad_ncc": grad_ncc, "ngf": ngf, "cfog": cfog, "edge_dice": edge_dice}
+#: How a frame's agreement with the map may be measured once it is placed.
+KINDS = {"ncc": plain_ncc, "nmi": plain_nmi, "dino": token_cosine, **MEASURES}
+
+
+def aligned(pairs: DataFrame) -> DataFrame:
+    """(frame_id, kind, measure) of pairs (frame_id, kind, a, b, tx, ty, height, width, query, ref_height, ref_width, reference): each row's own measure.
+
+    The map is brought to the frame's pixels.  'ncc' takes the pixels that both have,
+    the others the crop that holds them with holes filled by the mean; -1 where too few
+    are left, null where a raster or the transform is missing.  An unknown kind is an error.
+    """
+    from .pose import _sample
+
+    kind_of = pairs.schema["frame_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["kind"] not in KINDS:
+                    raise ValueError(f"no measure '{r['kind']}'; there are {', '.join(sorted(KINDS))}")
+                if r["query"] is None or r["reference"] is None or r["a"] is None:
+                    out.append(None)
+                    continue
+                q = np.frombuffer(r["query"], np.uint8).reshape(r["height"], r["width"]).astype(float)
+                z = np.frombuffer(r["reference"], np.uint8).reshape(r["ref_height"], r["ref_width"]).astype(float)
+                y, x = np.mgrid[0 : r["height"], 0 : r["width"]].astype(float)
+                m, inside = _sample(z, r["a"] * x - r["b"] * y + r["tx"], r["b"] * x + r["a"] * y + r["ty"])
+                if r["kind"] == "ncc":
+                    out.append(plain_ncc(q[inside], m[inside]) if inside.sum() >= 16 else -1.0)
+                else:
+                    out.append(structural(q, m, inside, KINDS[r["kind"]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["frame_id", "kind", "measure"])
+
+    cols = ("frame_id", "kind", "a", "b", "tx", "ty", "height", "width", "query", "ref_height", "ref_width", "reference")
+    return pairs.select(*cols).mapInArrow(run, f"frame_id {kind_of}, kind string, measure double")
 
 
 def gradient_signals(pairs: DataFrame) -> DataFrame:

@@ -27,9 +27,13 @@ def raster_scene_coarser(spark, sf_dir):
 _SIN = "sin(v / 255 * 3.141592653589793e0 * (1 + 2 * 0.5e0) - 1.5707963267948966e0)"
 
 
-@query(f"WITH {_SCENE} SELECT y, x, {d6('v')} AS l0, {d6('255 * pow(v / 255, 1.5e0)')} AS l1, {d6('greatest(0, least(255, 255 * ((v / 255 - 0.5e0) * 1.5e0 + 0.5e0)))')} AS l2, {d6(f'255 * (0.5e0 + 0.5e0 * {_SIN})')} AS l3 FROM px")
+@query(f"""WITH px AS (SELECT vec_id, i - 1 AS i, greatest(0.0e0, least(255.0e0, 128 + 300 * (embedding::DOUBLE[])[i])) AS v, (vec_id % 7) / 6.0e0 AS s FROM embeddings, range(1, 65) t(i))
+SELECT vec_id, i, {d6('greatest(0, least(255, (1 + 0.35e0 * s) * 255 * pow(v / 255, pow(2, 0.7e0 * s)) - 30 * s))')} AS exposed, {d6('255 * greatest(0, least(1, v / 255 + s * 0.35e0 * sin(3 * pi() * v / 255)))')} AS remapped FROM px""")
 def raster_perturb_levels(spark, sf_dir):
-    return _scene(spark).select("y", "x", *(r6(imagery.perturb("v", k, 0.5)).alias(f"l{k}") for k in range(4)))
+    """Each embedding as a raster of bytes under another exposure and as another season shows it, in strengths from 0 to 1."""
+    px = read(spark, sf_dir, "embeddings").select("vec_id", ((F.col("vec_id") % 7) / 6.0).alias("s"), F.posexplode("embedding").alias("i", "e"))
+    v = F.greatest(F.lit(0.0), F.least(F.lit(255.0), 128 + 300 * F.col("e").cast("double")))
+    return px.select("vec_id", F.col("i").cast("bigint").alias("i"), r6(imagery.exposed(v, F.pow(F.lit(2.0), 0.7 * F.col("s")), 1 + 0.35 * F.col("s"), -30 * F.col("s"))).alias("exposed"), r6(imagery.remapped(v, "s")).alias("remapped"))
 
 
 @query(f"WITH {_SCENE}, g AS (SELECT y, x, 0.299e0 * v + 0.587e0 * (255 - v) + 0.114e0 * (v / 2) AS v FROM px) SELECT y, x, {d6('(v - MIN(v) OVER ()) / (MAX(v) OVER () - MIN(v) OVER ()) * 255')} AS v FROM g")
@@ -178,3 +182,41 @@ def trajectory_waypoints(spark, sf_dir):
     )
     t = sequence.trajectory(w, lat=F.lit(55.7), lon=F.lit(37.6), zoom=F.lit(18))
     return t.select("track_id", "i", r6(F.col("east_m"), 4).alias("east_m"), r6(F.col("north_m"), 4).alias("north_m"), r6(F.col("true_lat"), 7).alias("true_lat"), r6(F.col("true_lon"), 7).alias("true_lon"), "heading_deg")
+
+
+@query(f"""WITH h AS (SELECT c_custkey AS k, (c_custkey * 7919 % 1700) / 10.0e0 - 85 AS lat, (c_custkey * 104729 % 3590) / 10.0e0 - 179 AS lon, 20 + c_custkey % 80 AS f, 1000 + c_custkey % 4000 AS w, 50.5e0 + c_custkey % 300 AS up, (c_custkey % 25 - 100)::DOUBLE AS pitch, c_custkey % 5 = 0 AS blank FROM customer),
+s AS (SELECT *, degrees(2 * atan(18.0e0 / f)) AS fov FROM h)
+SELECT k, CASE WHEN NOT blank THEN {d6('lat', 5)} END AS lat, CASE WHEN NOT blank THEN {d6('lon', 5)} END AS lon, {d6('fov')} AS fov_deg, w AS width, CASE WHEN k % 7 <> 0 THEN up END AS relative_m, CASE WHEN k % 7 <> 0 THEN pitch + 90 END AS pitch_deg,
+  CASE WHEN k % 7 <> 0 THEN {d6('2 * up * tan(radians(fov) / 2) / w')} END AS gsd_m, CASE WHEN NOT blank THEN {d6('(k % 500) - 100.25e0', 3)} END AS absolute_m,
+  array_to_string(list_filter([CASE WHEN blank THEN 'no position' END, CASE WHEN k % 7 = 0 THEN 'no XMP' END, CASE WHEN k % 7 = 0 THEN 'no orientation' END, CASE WHEN k % 7 = 0 THEN 'no height above ground' END, CASE WHEN k % 11 = 0 THEN 'no time' END,
+    CASE WHEN k % 7 <> 0 AND abs(pitch + 90) > 10 THEN printf('tilted by %.0f degrees', abs(pitch + 90)) END], lambda x: x IS NOT NULL), '; ') AS problems FROM s""")
+def metadata_exif_read(spark, sf_dir):
+    """Heads of image files, written with each customer's made-up position, lens and packet in either byte order, and read back as shots."""
+    import pyarrow as pa
+
+    from ..sources import exif
+
+    def files(batches):
+        for batch in batches:
+            out = []
+            for k in batch.column(0).to_pylist():
+                packet = f'<x:xmpmeta drone-dji:GimbalYawDegree="{k % 360}.5" drone-dji:GimbalPitchDegree="{k % 25 - 100}.0" drone-dji:GimbalRollDegree="0.0" drone-dji:RelativeAltitude="+{50 + k % 300}.5"></x:xmpmeta>'
+                at = {} if k % 5 == 0 else {"lat": k * 7919 % 1700 / 10 - 85, "lon": k * 104729 % 3590 / 10 - 179, "absolute_m": k % 500 - 100.25}
+                taken = "" if k % 11 == 0 else "2024:05:06 07:08:09"
+                out.append(exif.write(1000 + k % 4000, 900, model="M", taken=taken, focal_35mm=20 + k % 80, packet="" if k % 7 == 0 else packet, order="<>"[k % 2], **at))
+            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in batch.column(0).to_pylist()]), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.binary())], names=["path", "length", "content"])
+
+    heads = read(spark, sf_dir, "customer").select("c_custkey").mapInArrow(files, "path string, length bigint, content binary")
+    s = metadata.shots(metadata.headers(heads))
+    return s.select(
+        F.col("path").cast("bigint").alias("k"), r6(F.col("lat"), 5).alias("lat"), r6(F.col("lon"), 5).alias("lon"), r6(F.col("fov_deg")).alias("fov_deg"), F.col("width").cast("bigint").alias("width"), "relative_m", "pitch_deg",
+        r6(F.col("gsd_m")).alias("gsd_m"), r6(F.col("absolute_m"), 3).alias("absolute_m"), F.array_join("problems", "; ").alias("problems"),
+    )
+
+
+@query(f"""WITH {CELLS}, o AS (SELECT cell_id, lat, lon, 54.75e0 AS la, 55.93e0 AS lo FROM cells)
+SELECT cell_id, {d6(f"{haversine_sql('la', 'lo', 'la', 'lon')} * sign(lon - lo)", 4)} AS east_m, {d6(f"{haversine_sql('la', 'lo', 'lat', 'lo')} * sign(lat - la)", 4)} AS north_m FROM o""")
+def geo_local_metres(spark, sf_dir):
+    """Cells in metres east and north of one of them."""
+    e, n = geo.enu(lat0=F.lit(54.75), lon0=F.lit(55.93), lat="lat", lon="lon")
+    return cells(spark, sf_dir).select("cell_id", r6(e, 4).alias("east_m"), r6(n, 4).alias("north_m"))

@@ -26,13 +26,32 @@ def _pair(v) -> tuple[float | None, float | None]:
     return float(v["lat"]), float(v["lon"])
 
 
-def load_manifest(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
+ENTRY = "name string, path string, regime string, notes string, prior_lat double, prior_lon double, sigma_m double, altitude_sigma_m double"
+
+
+def cases_from_shots(entries: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cases of ENTRY rows whose path is among metadata.full_shots(), and (name, reason) of the others.
+
+    Camera, height, heading and truth are the shot's, so the heading is trusted; the
+    prior stands at the truth unless the entry says otherwise.
+    """
+    s = found.select("path", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.col("altitude_m").alias("s_m"), (2 * F.col("altitude_m") * F.tan(F.radians("fov_deg") / 2) / F.col("width")).alias("s_gsd"))
+    j = entries.join(s, "path", "left")
+    ok = j.filter("s_lat is not null and s_gsd > 0").select(
+        "name", "path", F.col("s_lat").alias("truth_lat"), F.col("s_lon").alias("truth_lon"), F.coalesce("regime", F.lit("in_season")).alias("regime"), F.col("s_gsd").alias("gsd_m"), F.col("s_m").alias("altitude_m"),
+        F.coalesce("prior_lat", "s_lat").alias("prior_lat"), F.coalesce("prior_lon", "s_lon").alias("prior_lon"), "sigma_m", "altitude_sigma_m", F.lit(True).alias("trust_yaw"), F.lit("exif").alias("truth_source"), "notes",
+    )
+    return ok, j.filter("s_lat is null or s_gsd is null or s_gsd <= 0").select("name", F.lit("no usable metadata").alias("reason"))
+
+
+def load_manifest(spark: SparkSession, text: str, shots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Cases and (name, reason) of entries left out, of YAML with a list 'cases'; a bad entry never spoils the others.
 
     Without metadata the scale comes from gsd_m, the heading isn't trusted and a
     truth is hand-set.  Defaults: altitude 500 m, sigma 2000 m, altitude sigma 50 m.
+    An entry without gsd_m is made from its shot, of metadata.full_shots(), where those are given.
     """
-    good, out = [], []
+    good, out, asked = [], [], []
     for i, e in enumerate((yaml.safe_load(text) or {}).get("cases") or []):
         name = e.get("name", f"#{i}") if isinstance(e, dict) else f"#{i}"
         try:
@@ -40,6 +59,10 @@ def load_manifest(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]
                 out.append((name, str(e["exclude"])))
                 continue
             truth, prior = _pair(e.get("truth")), e.get("prior") or {}
+            if e.get("gsd_m") is None and shots is not None:
+                at = _pair(prior) if prior.get("lat") is not None else (None, None)
+                asked.append((name, e["path"], e.get("regime"), e.get("notes"), *at, float(prior.get("sigma_m", 2000.0)), float(prior.get("altitude_sigma_m", 50.0))))
+                continue
             at = _pair(prior) if prior.get("lat") is not None else truth
             if at[0] is None:
                 raise ValueError("neither prior nor truth")
@@ -50,7 +73,11 @@ def load_manifest(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]
             )
         except (AttributeError, KeyError, TypeError, ValueError) as x:
             out.append((str(name), f"{type(x).__name__}: {x}"))
-    return spark.createDataFrame(good, CASE), spark.createDataFrame(out, "name string, reason string")
+    cases, left = spark.createDataFrame(good, CASE), spark.createDataFrame(out, "name string, reason string")
+    if asked:
+        made, missing = cases_from_shots(spark.createDataFrame(asked, ENTRY), shots)
+        cases, left = cases.unionByName(made), left.unionByName(missing)
+    return cases, left
 
 
 def present(cases: DataFrame, files: DataFrame) -> DataFrame:
@@ -106,6 +133,16 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(f"{path}.config.json").select(F.explode(m).alias("key", "value"))
 
 
+def shot_index(found: DataFrame, sigma_m: float = 2000.0) -> DataFrame:
+    """(path, taken, model, usable, problems, command) of metadata.shots(): a text index of a folder with a ready command for each usable shot."""
+    usable = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("gsd_m").isNotNull()
+    c = F.concat(
+        F.format_string("locate %s --lat %.5f --lon %.5f --sigma-m %.0f --gsd %.4f", F.col("path"), F.col("lat"), F.col("lon"), F.lit(float(sigma_m)), F.col("gsd_m")),
+        F.when(F.col("yaw_deg").isNotNull(), F.format_string(" --yaw %.1f", F.col("yaw_deg"))).otherwise(""),
+    )
+    return found.select("path", "taken", "model", usable.alias("usable"), F.array_join("problems", "; ").alias("problems"), F.when(usable, c).alias("command"))
+
+
 def exif_index(cases: DataFrame) -> DataFrame:
     """(name, command): a ready command line for each case."""
     c = F.concat(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import urllib.request
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.geo import _c
-from .shared import make_folder
+from .shared import cut, make_folder
 
 #: Providers up to which the registry is broadcast.
 BROADCAST_PROVIDERS = 10_000
@@ -59,6 +62,65 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TILE_SCHEMA).parquet(path)
 
 
+#: Threads that fetch in a task, further tries of a failed request, and what such requests call themselves.
+FETCHERS, RETRIES, AGENT = 8, 2, "skyanchor"
+
+
+def http_get(url: str, timeout: float = 15.0, retries: int = RETRIES, pause: float = 0.5) -> bytes:
+    """The body of a GET, tried again after growing pauses where the network fails."""
+    for attempt in range(retries + 1):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": AGENT}), timeout=timeout) as answer:
+                return answer.read()
+        except OSError:
+            if attempt == retries:
+                raise
+            time.sleep(pause * (attempt + 1))
+    raise AssertionError
+
+
+def fetch_from(templates: dict[str, str], get: Callable[[str], bytes] = http_get) -> Callable[[str, int, int, int], bytes | None]:
+    """A fetch function for load_tiles() and prefetch() from the providers' URL templates."""
+
+    def fetch(provider: str, zoom: int, x: int, y: int) -> bytes | None:
+        url = templates[provider]
+        for mark, v in (("{z}", zoom), ("{x}", x), ("{y}", y)):
+            url = url.replace(mark, str(v))
+        return get(url)
+
+    return fetch
+
+
+def prefetch(wanted: DataFrame, path: str, fetch: Callable[[str, int, int, int], bytes | None], partitions: int = 8) -> int:
+    """Fetch those of wanted (provider, zoom, tx, ty) that the store at path lacks, FETCHERS at a time in each task, and add them to it; how many came.
+
+    What fails is left out and stays missing; nothing that is there is fetched or written again.
+    """
+    spark, key = wanted.sparkSession, ["provider", "zoom", "tx", "ty"]
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    new = wanted.select(*key).distinct()
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        new = new.join(read_store(spark, path).select(*key), key, "left_anti")
+
+    def one(r: dict) -> bytes | None:
+        try:
+            return fetch(*(r[k] for k in key)) or None
+        except Exception:  # noqa: BLE001  (best effort, tile by tile)
+            return None
+
+    def run(batches):
+        schema = pa.schema([("provider", pa.string()), ("zoom", pa.int32()), ("tx", pa.int64()), ("ty", pa.int64()), ("length", pa.int64()), ("bytes", pa.binary())])
+        with ThreadPoolExecutor(FETCHERS) as pool:
+            for batch in batches:
+                rows = batch.to_pylist()
+                out = [{**r, "length": len(x), "bytes": x} for r, x in zip(rows, pool.map(one, rows)) if x]
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    got = cut(new.repartition(partitions).mapInArrow(run, TILE_SCHEMA))
+    write_store(got, path)
+    return got.count()
+
+
 def load_tiles(wanted: DataFrame, cached: DataFrame, fetch: Callable[[str, int, int, int], bytes | None], decodes: Callable[[bytes], bool], partitions: int = 8) -> DataFrame:
     """TILE_SCHEMA plus state of each wanted (provider, zoom, tx, ty): 'cached', 'fetched', 'refetched' or 'missing'.
 
@@ -89,9 +151,15 @@ def load_tiles(wanted: DataFrame, cached: DataFrame, fetch: Callable[[str, int,
     return j.mapInArrow(run, TILE_SCHEMA + ", state string")
 
 
-def decode_images(spark: SparkSession, root: str) -> DataFrame:
-    """(path, height, width, channels, pixels) of image files by the JVM's decoder; files that it can't read are left out."""
+def decode_images(spark: SparkSession, root: str, side: int | None = None) -> DataFrame:
+    """(path, height, width, channels, pixels) of image files by the JVM's decoder; files that it can't read are left out.
+
+    With side, an image of another size fails the query, by its path: a provider's tiles are all alike.
+    """
     raw = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root)
+    if side is not None:
+        wrong = F.concat(F.lit("not a tile of "), F.lit(f"{side} x {side}: "), F.col("image.origin"))
+        raw = raw.withColumn("image", F.when((F.col("image.height") == side) & (F.col("image.width") == side), F.col("image")).otherwise(F.raise_error(wrong).cast(raw.schema["image"].dataType)))
     return raw.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("pixels"))
 
 
