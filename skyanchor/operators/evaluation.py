@@ -128,3 +128,46 @@ def auc(df: DataFrame, score: str, label: str, by: str) -> DataFrame:
     wins = F.sum(F.col("p") * (F.col("run_n") - F.col("n") + F.col("n") / 2))
     g = run.groupBy(by).agg(wins.alias("w"), F.sum("p").alias("pp"), F.sum("n").alias("nn"))
     return g.select(by, F.when((F.col("pp") > 0) & (F.col("nn") > 0), F.col("w") / (F.col("pp") * F.col("nn"))).alias("auc"))
+
+
+def grid_summary(rows: DataFrame, by, value, success) -> DataFrame:
+    """(grid, median, p90, max, success): quantiles of a value over a grid's successes, and their share."""
+    good = F.when(_c(success), _c(value))
+    return rows.groupBy(_c(by).alias("grid")).agg(F.percentile(good, 0.5).alias("median"), F.percentile(good, 0.9).alias("p90"), F.max(good).alias("max"), F.avg(_c(success).cast("double")).alias("success"))
+
+
+def breakpoint(rows: DataFrame, kind, strength, success, least: float = 0.75) -> DataFrame:
+    """(kind, breaks_at): the least strength of each kind of disturbance at which under least of the rows succeed, null where none is."""
+    r = rows.groupBy(_c(kind).alias("kind"), _c(strength).alias("strength")).agg(F.avg(_c(success).cast("double")).alias("rate"))
+    return r.groupBy("kind").agg(F.min(F.when(F.col("rate") < least, F.col("strength"))).alias("breaks_at"))
+
+
+def rollup(rows: DataFrame, value: str = "accepted", score: str = "photometric", bins: int = 5) -> DataFrame:
+    """(regime, status, bin, n, share): counts and the mean of value by regime and status, by regime, by bins of a score from 0 to 1 (its reliability), and over all."""
+    at = F.least(F.lit(bins - 1), F.floor(F.coalesce(F.col(score), F.lit(0.0)) * bins)).cast("bigint")
+    b = rows.select("regime", "status", at.alias("bin"), value)
+    g = b.groupingSets([[F.col("regime"), F.col("status")], [F.col("regime")], [F.col("bin")], []], "regime", "status", "bin")
+    return g.agg(F.count("*").alias("n"), F.avg(value).alias("share"))
+
+
+def within_case(scores: DataFrame, case: str = "case") -> DataFrame:
+    """One row (wins, total, median_margin) over cases with both: how often, and by how much, the right place's score exceeds the best wrong one's, of (case, right, wrong)."""
+    m = scores.filter("right is not null and wrong is not null").select((F.col("right") - F.col("wrong")).alias("m"))
+    return m.agg(F.count_if(F.col("m") > 0).alias("wins"), F.count("*").alias("total"), F.percentile("m", 0.5).alias("median_margin"))
+
+
+def outcome_histogram(rows: DataFrame) -> DataFrame:
+    """(outcome, n)."""
+    return rows.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def top_wrong(rows: DataFrame, most: int = 12) -> DataFrame:
+    """The wrong poses of (case, outcome, n_inliers, …) with the most inliers, ties by case."""
+    return rows.filter("outcome in ('accepted_wrong', 'pose_wrong_gated')").orderBy(F.desc("n_inliers"), "case").limit(most)
+
+
+def thinned(rows: DataFrame, by: str, order: str, about: int = 50) -> DataFrame:
+    """Every so many-th row of each group in order, so that about so many are left, or a few more."""
+    w = f"over (partition by {by}"
+    t = rows.selectExpr("*", f"row_number() {w} order by {order}) as __n", f"count(*) {w}) as __total")
+    return t.filter(f"pmod(__n - 1, greatest(1, __total div {int(about)})) = 0").drop("__n", "__total")

@@ -5,13 +5,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a matrix's rows that add up in one group, and cells that a bucket of the approximate search holds.
 ROW_BYTES, BUCKET_CELLS = 8 << 20, 8
 
 
+def normalised(vector) -> Column:
+    """A vector of unit length; zero stays zero, null null."""
+    v = F.transform(F.col(vector) if isinstance(vector, str) else vector, lambda x: x.cast("double"))
+    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))
+
+
 def _moments(df: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, sum and sum of outer products of the embeddings; partitions' matrices add up by rows in a shuffle, so the driver gets one."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import camera as cam
 from ..functions import geo, request
-from ..operators import pose, retrieval, sequence
+from ..operators import evaluation, pose, retrieval, sequence
 from . import localize as loc
 from .adapters import CELLS, EVAL, FRAMES, cells, correspondences, eval_rows, frames, haversine_sql, read
 from .pose_queries import _FITTED, _OUT, outcomes
@@ -76,13 +76,12 @@ def match_evidence(spark, sf_dir):
 
 @query(f"WITH {_OUT} SELECT \"case\", n_inliers::BIGINT AS n_inliers, outcome FROM o WHERE outcome IN ('accepted_wrong', 'pose_wrong_gated') ORDER BY n_inliers DESC, \"case\" LIMIT 12")
 def top_wrong_poses(spark, sf_dir):
-    return outcomes(spark, sf_dir).filter("outcome in ('accepted_wrong', 'pose_wrong_gated')").orderBy(F.desc("n_inliers"), "case").limit(12).select("case", F.col("n_inliers").cast("bigint").alias("n_inliers"), "outcome")
+    return evaluation.top_wrong(outcomes(spark, sf_dir)).select("case", F.col("n_inliers").cast("bigint").alias("n_inliers"), "outcome")
 
 
 @query('WITH t AS (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n, COUNT(*) OVER (PARTITION BY c_mktsegment) AS total FROM customer) SELECT c_mktsegment AS dataset, c_custkey FROM t WHERE (n - 1) % greatest(1, total // 50) = 0')
 def thin_samples(spark, sf_dir):
-    t = read(spark, sf_dir, "customer").selectExpr("c_mktsegment dataset", "c_custkey", "row_number() over (partition by c_mktsegment order by c_custkey) n", "count(*) over (partition by c_mktsegment) total")
-    return t.filter("pmod(n - 1, greatest(1, total div 50)) = 0").select("dataset", "c_custkey")
+    return evaluation.thinned(read(spark, sf_dir, "customer").selectExpr("c_mktsegment dataset", "c_custkey"), "dataset", "c_custkey")
 
 
 @query("""WITH a AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 = 0)

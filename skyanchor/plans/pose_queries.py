@@ -138,9 +138,11 @@ def quality_assess(spark, sf_dir):
 @query("""WITH c AS (SELECT vec_id // 15 AS frame_id, vec_id % 15 + 1 AS rank, (vec_id * 37 + label * 11) % 40 AS n_inliers, vec_id AS cell_id, 45.0e0 * (label % 8) AS rot FROM embeddings)
 SELECT frame_id, cell_id, n_inliers, CASE WHEN frame_id % 2 = 0 THEN -30.0e0 ELSE -rot END + 0.0e0 AS prerotation_deg FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY n_inliers DESC, rank) AS k FROM c WHERE n_inliers >= 6) WHERE k = 1""")
 def candidate_winner(spark, sf_dir):
-    c = read(spark, sf_dir, "embeddings").selectExpr("vec_id div 15 frame_id", "vec_id % 15 + 1 rank", "(vec_id * 37 + label * 11) % 40 n_inliers", "vec_id cell_id", "45D * (label % 8) rot")
-    best = c.filter("n_inliers >= 6").selectExpr("*", "row_number() over (partition by frame_id order by n_inliers desc, rank) k").filter("k = 1")
-    return best.select("frame_id", "cell_id", "n_inliers", (F.when(F.col("frame_id") % 2 == 0, -30.0).otherwise(-F.col("rot")) + 0.0).alias("prerotation_deg"))
+    from . import localize as loc
+
+    c = read(spark, sf_dir, "embeddings").selectExpr("vec_id div 15 frame_id", "vec_id % 15 + 1 rank", "(vec_id * 37 + label * 11) % 40 n_inliers", "vec_id cell_id", "45D * (label % 8) rot", "'localized' status")
+    best = loc.winners(c.filter("n_inliers >= 6")).withColumn("known", F.col("frame_id") % 2 == 0)
+    return best.select("frame_id", "cell_id", "n_inliers", loc.prerotation(trust_yaw="known", yaw_deg=30.0, cell_rotation_deg="rot").alias("prerotation_deg"))
 
 
 _PX = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), px AS (SELECT x.vec_id AS pair_id, (i - 1) // 8 AS y, (i - 1) % 8 AS x, x.e[i] AS a,
@@ -194,8 +196,7 @@ SELECT COUNT(*) FILTER (m > 0) AS wins, COUNT(*) AS total, {d6('quantile_cont(m,
 def signal_within_case(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     s = e.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "purchase", F.struct("event_id", "value")))["value"].alias("p"), F.max(F.when(F.col("event_type") == "error", F.col("value"))).alias("n"))
-    m = s.filter("p is not null and n is not null").select((F.col("p") - F.col("n")).alias("m"))
-    return m.agg(F.count_if(F.col("m") > 0).alias("wins"), F.count("*").alias("total"), r6(F.percentile("m", 0.5)).alias("median_margin"))
+    return ev.within_case(s.withColumnsRenamed({"p": "right", "n": "wrong"})).withColumn("median_margin", r6(F.col("median_margin")))
 
 
 _TOL = "CASE WHEN truth_source = 'manual' THEN greatest(50.0e0, 0.25e0 * footprint_m) ELSE 50.0e0 END"
@@ -227,7 +228,7 @@ def eval_outcome_class(spark, sf_dir):
 
 @query(f"WITH {_OUT} SELECT outcome, COUNT(*) AS n FROM o GROUP BY outcome")
 def eval_outcome_histogram(spark, sf_dir):
-    return outcomes(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n"))
+    return ev.outcome_histogram(outcomes(spark, sf_dir))
 
 
 @query(f"""WITH {_OUT}, s AS (SELECT regime, error_m, correct, row_number() OVER (PARTITION BY regime ORDER BY error_m) AS rn, COUNT(*) OVER (PARTITION BY regime) AS n FROM o WHERE correct = 1),
@@ -251,9 +252,7 @@ def eval_report_summary(spark, sf_dir):
 @query(f"""WITH {EVAL}, b AS (SELECT regime, status, least(4, floor(coalesce(photometric, 0) * 5))::BIGINT AS bin, accepted FROM ev)
 SELECT regime, status, bin, COUNT(*) AS n, {d6('AVG(accepted)')} AS accepted_share FROM b GROUP BY GROUPING SETS ((regime, status), (regime), (bin), ())""")
 def eval_rollup_regime(spark, sf_dir):
-    b = eval_rows(spark, sf_dir).select("regime", "status", F.least(F.lit(4), F.floor(F.coalesce("photometric", F.lit(0.0)) * 5)).cast("bigint").alias("bin"), "accepted")
-    g = b.groupingSets([[F.col("regime"), F.col("status")], [F.col("regime")], [F.col("bin")], []], "regime", "status", "bin")
-    return g.agg(F.count("*").alias("n"), r6(F.avg("accepted")).alias("accepted_share"))
+    return ev.rollup(eval_rows(spark, sf_dir)).select("regime", "status", "bin", "n", r6(F.col("share")).alias("accepted_share"))
 
 
 _GOLD = f"""{_OUT}, gold AS (SELECT CASE WHEN k % 11 = 0 THEN 'x' || k ELSE "case" END AS "case", CASE WHEN k % 13 = 0 THEN 'pose_correct_gated' ELSE outcome END AS was, CASE WHEN k % 3 = 0 THEN error_m * 2 + 11 WHEN k % 3 = 1 THEN error_m / 4 ELSE error_m END AS was_m FROM o)"""
@@ -288,17 +287,15 @@ def regression_freeze(spark, sf_dir):
 
 @query(f"""SELECT l_returnflag AS grid, {d6('quantile_cont(l_quantity, 0.5) FILTER (l_discount < 0.08)')} AS median, {d6('quantile_cont(l_quantity, 0.9) FILTER (l_discount < 0.08)')} AS p90, MAX(l_quantity) FILTER (l_discount < 0.08) AS max, {d6('AVG((l_discount < 0.08)::INT)')} AS success FROM lineitem GROUP BY l_returnflag""")
 def grid_summary(spark, sf_dir):
-    good = F.when(F.col("l_discount") < 0.08, F.col("l_quantity"))
-    g = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("grid"))
-    return g.agg(r6(F.percentile(good, 0.5)).alias("median"), r6(F.percentile(good, 0.9)).alias("p90"), F.max(good).alias("max"), r6(F.avg((F.col("l_discount") < 0.08).cast("double"))).alias("success"))
+    g = ev.grid_summary(read(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", F.col("l_discount") < 0.08)
+    return g.select("grid", r6(F.col("median")).alias("median"), r6(F.col("p90")).alias("p90"), "max", r6(F.col("success")).alias("success"))
 
 
 @query("""WITH r AS (SELECT l_returnflag AS kind, l_linenumber AS strength, AVG((l_quantity + 4 * l_linenumber <= 45)::INT) AS rate FROM lineitem GROUP BY ALL)
 SELECT kind, (MIN(strength) FILTER (rate < 0.75))::BIGINT AS breaks_at FROM r GROUP BY kind""")
 def ladder_breakpoint(spark, sf_dir):
-    ok = (F.col("l_quantity") + 4 * F.col("l_linenumber") <= 45).cast("double")
-    r = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("kind"), F.col("l_linenumber").alias("strength")).agg(F.avg(ok).alias("rate"))
-    return r.groupBy("kind").agg(F.min(F.when(F.col("rate") < 0.75, F.col("strength"))).cast("bigint").alias("breaks_at"))
+    b = ev.breakpoint(read(spark, sf_dir, "lineitem"), "l_returnflag", "l_linenumber", F.col("l_quantity") + 4 * F.col("l_linenumber") <= 45)
+    return b.withColumn("breaks_at", F.col("breaks_at").cast("bigint"))
 
 
 _REASON = "CASE k % 7 WHEN 0 THEN 'uniqueness 0.01' WHEN 1 THEN 'outside prior' WHEN 2 THEN 'no fine convergence' WHEN 3 THEN 'no candidates' WHEN 4 THEN 'few correspondences' WHEN 5 THEN 'odd' END"
@@ -313,3 +310,12 @@ SELECT "case", CASE WHEN status = 'localized' THEN '' WHEN len(tips) > 0 THEN ar
 def report_advice(spark, sf_dir):
     e = eval_rows(spark, sf_dir).withColumn("reason", F.expr(_REASON)).withColumn("yaw", F.col("k") % 2 == 0).withColumn("minor", F.col("ellipse_m") + 0.5).withColumn("major", F.col("ellipse_m") + 1)
     return e.select("case", F.array_join(report.advice(trust_yaw="yaw"), "; ").alias("advice"), report.ellipse_words(semi_major_m="major", semi_minor_m="minor").alias("ellipse"))
+
+
+@query(f"""WITH {EVAL}, c AS (SELECT k, 1.0e0 + k % 17 AS xx, 0.5e0 + k % 5 AS yy, ((k % 9) - 4) / 10.0e0 AS xy FROM ev), m AS (SELECT *, (xx + yy) / 2 AS m, sqrt(pow((xx - yy) / 2, 2) + xy * xy) AS h FROM c)
+SELECT k, {d6('sqrt(m + h)')} AS semi_major_m, {d6('sqrt(greatest(0, m - h))')} AS semi_minor_m, {d6('CASE WHEN xy = 0 THEN CASE WHEN xx >= yy THEN 0 ELSE -90 END ELSE degrees(atan((m + h - xx) / xy)) END')} AS angle_deg FROM m""")
+def error_ellipse_axes(spark, sf_dir):
+    """Ellipses of covariances that lean; the oracle takes the angle from the major axis' own direction."""
+    e = eval_rows(spark, sf_dir).select("k", (F.lit(1.0) + F.col("k") % 17).alias("xx"), (F.lit(0.5) + F.col("k") % 5).alias("yy"), ((F.col("k") % 9 - 4) / 10.0).alias("xy"))
+    major, minor, angle = pose.error_ellipse("xx", "xy", "yy")
+    return e.select("k", r6(major).alias("semi_major_m"), r6(minor).alias("semi_minor_m"), r6(angle).alias("angle_deg"))

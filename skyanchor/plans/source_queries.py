@@ -113,9 +113,10 @@ def pose_inverse_round_trip(spark, sf_dir):
 SELECT vec_id, {d6('CASE WHEN n > 0 THEN e[1] / n ELSE 0 END')} AS first, {d6('CASE WHEN n > 0 THEN 1 ELSE 0 END')} AS norm FROM s""")
 def vectors_l2_normalised(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.when(F.col("vec_id") % 10 == 0, 0.0).otherwise(x.cast("double") * 3)).alias("e"))
-    square = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)
-    n = e.withColumn("n", F.sqrt(square("e"))).withColumn("u", F.transform("e", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(0.0)))
-    return n.select("vec_id", r6(F.get("u", F.lit(0))).alias("first"), r6(F.sqrt(square("u"))).alias("norm"))
+    from ..operators.vectors import normalised
+
+    n = e.withColumn("u", normalised("e"))
+    return n.select("vec_id", r6(F.get("u", F.lit(0))).alias("first"), r6(F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x))).alias("norm"))
 
 
 @query("""WITH n AS (SELECT * FROM (VALUES (0.0e0, 100.0e0, 500.0e0, 500.0e0), (100, 300, 500, 2000), (300, 600, 2000, 5000), (600, 1e9, 5000, 5000)) t(h0, h1, s0, s1)), o AS (SELECT o_orderkey, (o_orderkey % 900)::DOUBLE AS h FROM orders)
