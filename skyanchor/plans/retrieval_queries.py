@@ -301,12 +301,19 @@ def retrieval_radius_world_join(spark, sf_dir):
     return retrieval.radius_join(a, b, 400_000.0).filter("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), r6(F.col("distance_m"), 3).alias("metres"))
 
 
-@query()
+@query(f"""WITH x AS (SELECT i, (embedding::DOUBLE[])[i] AS v FROM embeddings, range(1, 65) t(i)), v AS (SELECT i, var_samp(v) AS v FROM x GROUP BY i)
+SELECT 64::BIGINT AS components, {d6('SUM(v)', 5)} AS total_variance, 1.0e0 AS total_share, TRUE AS descending, 0.0e0 AS off_axis FROM v""")
 def pca_explained_variance(spark, sf_dir):
-    """Variance along each of eight principal components of the embeddings."""
+    """All principal components of the embeddings: their variances add up to the dimensions' own, the shares to 1, and the axes are at right angles."""
     from ..operators.vectors import pca_fit
 
-    return pca_fit(cells(spark, sf_dir), 8).select("component", "variance", "share")
+    m = pca_fit(cells(spark, sf_dir), 64)
+    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    axes = m.select(F.col("component").alias("i"), F.col("axis").alias("x")).crossJoin(m.select(F.col("component").alias("j"), F.col("axis").alias("y")))
+    off = axes.agg(F.max(F.abs(dot - (F.col("i") == F.col("j")).cast("double"))).alias("off_axis"))
+    falls = m.selectExpr("variance", "lag(variance) over (order by component) as before")
+    total = m.agg(F.count("*").alias("components"), r6(F.sum("variance"), 5).alias("total_variance"), r6(F.sum("share")).alias("total_share"))
+    return total.crossJoin(falls.agg(F.coalesce(F.bool_and(F.col("before").isNull() | (F.col("variance") <= F.col("before"))), F.lit(True)).alias("descending"))).crossJoin(off.select(r6(F.col("off_axis")).alias("off_axis")))
 
 
 @query(f"""WITH px AS (SELECT vec_id AS i, (k - 1) // 8 AS y, (k - 1) % 8 AS x, (embedding::DOUBLE[])[k] AS v FROM embeddings, range(1, 65) t(k)),

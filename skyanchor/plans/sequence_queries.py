@@ -43,10 +43,13 @@ _E0, _N0, _H0 = "(s.e + CASE WHEN t.missing THEN 0 ELSE t.de END)", "(s.n + CASE
 _FIX = "t.event_type = 'purchase'"
 
 
-@query(f"""WITH RECURSIVE {_TEL}, s AS (SELECT user_id, -1::BIGINT AS i, 0.0e0 AS e, 0.0e0 AS n, 0.0e0 AS h, 1.0e0 AS v, 1.0e0 AS vh FROM (SELECT DISTINCT user_id FROM events)
+_FOLD = f"""WITH RECURSIVE {_TEL}, s AS (SELECT user_id, -1::BIGINT AS i, 0.0e0 AS e, 0.0e0 AS n, 0.0e0 AS h, 1.0e0 AS v, 1.0e0 AS vh FROM (SELECT DISTINCT user_id FROM events)
 UNION ALL SELECT t.user_id, t.i, CASE WHEN {_FIX} THEN {_E0} + {_PV} / ({_PV} + 25) * (t.event_id % 100 - {_E0}) ELSE {_E0} END, CASE WHEN {_FIX} THEN {_N0} + {_PV} / ({_PV} + 25) * (t.event_id % 70 - {_N0}) ELSE {_N0} END,
   CASE WHEN {_FIX} THEN {_w(f"{_H0} + {_PH} / ({_PH} + 9) * {_w(f'(t.event_id % 360 - 180) - {_H0}')}")} ELSE {_H0} END, CASE WHEN {_FIX} THEN (1 - {_PV} / ({_PV} + 25)) * {_PV} ELSE {_PV} END, CASE WHEN {_FIX} THEN (1 - {_PH} / ({_PH} + 9)) * {_PH} ELSE {_PH} END
-  FROM s JOIN tel t ON t.user_id = s.user_id AND t.i = s.i + 1)
+  FROM s JOIN tel t ON t.user_id = s.user_id AND t.i = s.i + 1)"""
+
+
+@query(f"""{_FOLD}
 SELECT user_id, i, {d6('e', 4)} AS east_m, {d6('n', 4)} AS north_m, {d6('h', 4)} AS heading_deg, {d6('v', 4)} AS var_m2, {d6('vh', 4)} AS var_heading FROM s WHERE i >= 0""")
 def sequence_ekf(spark, sf_dir):
     s = sequence.ekf(telemetry(spark, sf_dir), "user_id")
@@ -72,7 +75,7 @@ def sequence_asof_fix(spark, sf_dir):
     return sequence.asof(left, right, "user_id", "ts", "fix")
 
 
-@query()
+@query(f"""{_FOLD} SELECT user_id, MAX(i) AS i, {d6('arg_max(e, i)', 4)} AS east_m, {d6('arg_max(n, i)', 4)} AS north_m, TRUE AS same FROM s WHERE i >= 0 GROUP BY user_id""")
 def sequence_stream_equals_batch(spark, sf_dir):
     """Final filter state of each user from the streamed fold next to that of the batch fold."""
     from ..streaming.ekf import stream_final_states
