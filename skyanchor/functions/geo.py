@@ -46,9 +46,11 @@ def ground_mpp(*, lat, zoom) -> Column:
     return F.lit(2 * math.pi * R_PROJECTION / TILE) * F.cos(F.radians(_c(lat))) / F.pow(F.lit(2.0), _c(zoom))
 
 
-def exact_zoom(*, mpp, lat) -> Column:
-    """The real zoom of so many metres a pixel; null where mpp isn't positive."""
+def exact_zoom(*, mpp, lat, strict: bool = False) -> Column:
+    """The real zoom of so many metres a pixel; null, or with strict an error, where mpp isn't positive."""
     m = _c(mpp)
+    if strict:
+        m = F.when(m > 0, m).otherwise(F.raise_error(F.concat(F.lit("metres a pixel must be positive: "), F.coalesce(m.cast("string"), F.lit("null")))).cast("double"))
     return F.when(m > 0, F.log2(F.lit(2 * math.pi * R_PROJECTION / TILE) * F.cos(F.radians(_c(lat))) / m))
 
 

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.geo import R_MEAN, _c, haversine
 from .ordered import running_sums
@@ -200,53 +202,86 @@ def radius_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame
     return a.join(b, ["gy", "gx"]).withColumn("distance_m", d).filter(F.col("distance_m") <= radius_m).drop("gy", "gx")
 
 
-def topk_within(frames: DataFrame, cells: DataFrame, k: int, gate_sigma: float = 3.0) -> DataFrame:
-    """(frame_id, cell_id, similarity, rank): the k best cells of those within gate_sigma sigmas of each frame's prior, exactly.
+def _distance(p, q, lat, lon) -> np.ndarray:
+    """Great-circle metres from points p, q (a column) to lat, lon (a row), in radians."""
+    h = np.sin((lat - p) / 2) ** 2 + np.cos(p) * np.cos(lat) * np.sin((lon - q) / 2) ** 2
+    return 2 * R_MEAN * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
+
 
-    frames (frame_id, prior_lat, prior_lon, sigma_m, embedding) go to the buckets of
-    the globe that their disks touch and meet the cells (cell_id, lat, lon, embedding)
-    of each there as one matrix product, so that a frame costs what lies near it and
-    not the whole map.  Ties go to the lesser cell_id; null embeddings take no part.
+def _meet_near(frames: DataFrame, cells: DataFrame, gate_sigma: float, extra: tuple[str, ...], pick, out: str) -> DataFrame:
+    """pick(frame table, cell ids, cell lat, cell lon, similarities) of each block of frames with the cells of each bucket of the globe that their disks touch.
+
+    Similarities are -inf for cells farther than gate_sigma sigmas from a frame's
+    prior.  A bucket is one matrix product a block, so that a frame costs what lies
+    near it and not the whole map.  Null embeddings take no part.
     """
     wide = frames.agg(F.max("sigma_m").alias("sigma")).first()["sigma"]
     radius = max(1.0, gate_sigma * float(wide or 0.0))
     band, _, bucket = globe_buckets(radius)
-    f = frames.filter("embedding is not null").select(F.col("frame_id").cast("bigint").alias("frame_id"), F.col("prior_lat").cast("double").alias("lat"), F.col("prior_lon").cast("double").alias("lon"), (F.col("sigma_m") * gate_sigma).cast("double").alias("reach"), F.col("embedding").cast("array<float>").alias("e"))
+    number = lambda c, kind, name: F.col(c).cast(kind).alias(name)
+    f = frames.filter("embedding is not null").select(
+        number("frame_id", "bigint", "frame_id"), number("prior_lat", "double", "lat"), number("prior_lon", "double", "lon"), (F.col("sigma_m") * gate_sigma).cast("double").alias("reach"), number("embedding", "array<float>", "e"),
+        *(number(c, "double", c) for c in extra),
+    )
     f = around(f, "lat", "lon", radius)
-    c = cells.filter("embedding is not null").select(F.col("cell_id").cast("bigint").alias("cell_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("embedding").cast("array<float>").alias("e")).withColumn("gy", band("lat"))
+    c = cells.filter("embedding is not null").select(number("cell_id", "bigint", "cell_id"), number("lat", "double", "lat"), number("lon", "double", "lon"), number("embedding", "array<float>", "e")).withColumn("gy", band("lat"))
     c = c.withColumn("gx", bucket("lon", F.col("gy")))
+    schema = to_arrow_schema(StructType.fromDDL(out))
 
     def matrix(table: pa.Table) -> np.ndarray:
         return np.asarray(table.column("e").combine_chunks().flatten()).astype(float).reshape(table.num_rows, -1)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
+        parts = []
         if left.num_rows and right.num_rows:
-            ids, b = np.asarray(right.column("cell_id")), matrix(right)
+            ids, b, a = np.asarray(right.column("cell_id")), matrix(right), matrix(left)
             order = np.argsort(ids, kind="stable")
             ids, b = ids[order], b[order]
             lat, lon = (np.radians(np.asarray(right.column(x))[order]) for x in ("lat", "lon"))
-            a = matrix(left)
             for at in range(0, left.num_rows, FRAME_BLOCK):
                 part = left.slice(at, FRAME_BLOCK)
                 p, q = (np.radians(np.asarray(part.column(x)))[:, None] for x in ("lat", "lon"))
-                h = np.sin((lat - p) / 2) ** 2 + np.cos(p) * np.cos(lat) * np.sin((lon - q) / 2) ** 2
-                near = 2 * R_MEAN * np.arcsin(np.sqrt(np.clip(h, 0, 1))) <= np.asarray(part.column("reach"))[:, None]
-                s = np.where(near, a[at : at + FRAME_BLOCK] @ b.T, -np.inf)
-                n = min(k, s.shape[1])
-                edge = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-                i, j = np.nonzero((s >= edge - 1e-12) & near)
-                out[0].append(np.asarray(part.column("frame_id"))[i])
-                out[1].append(ids[j])
-                out[2].append(s[i, j])
-        cols = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, float))]
-        return pa.table([pa.array(x) for x in cols], names=["frame_id", "cell_id", "similarity"])
-
-    scored = f.groupBy("gy", "gx").cogroup(c.groupBy("gy", "gx")).applyInArrow(meet, "frame_id bigint, cell_id bigint, similarity double")
+                near = _distance(p, q, lat, lon) <= np.asarray(part.column("reach"))[:, None]
+                parts.append(pick(part, ids, lat, lon, np.where(near, a[at : at + FRAME_BLOCK] @ b.T, -np.inf)))
+        cols = zip(*parts) if parts else [[] for _ in schema.names]
+        return pa.table([pa.array(np.concatenate(x) if len(x) else [], t) for x, t in zip(cols, schema.types)], names=schema.names)
+
+    return f.groupBy("gy", "gx").cogroup(c.groupBy("gy", "gx")).applyInArrow(meet, out)
+
+
+def topk_within(frames: DataFrame, cells: DataFrame, k: int, gate_sigma: float = 3.0) -> DataFrame:
+    """(frame_id, cell_id, similarity, rank): the k best cells of those within gate_sigma sigmas of each frame's prior, exactly.
+
+    frames (frame_id, prior_lat, prior_lon, sigma_m, embedding), cells (cell_id, lat,
+    lon, embedding).  Ties go to the lesser cell_id; null embeddings take no part.
+    """
+
+    def pick(part, ids, lat, lon, s):
+        n = min(k, s.shape[1])
+        edge = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
+        i, j = np.nonzero((s >= edge - 1e-12) & np.isfinite(s))
+        return np.asarray(part.column("frame_id"))[i], ids[j], s[i, j]
+
+    scored = _meet_near(frames, cells, gate_sigma, (), pick, "frame_id bigint, cell_id bigint, similarity double")
     ranked = scored.selectExpr("*", "row_number() over (partition by frame_id order by similarity desc, cell_id) as rank")
     return ranked.filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def uniqueness_within(frames: DataFrame, cells: DataFrame, radius_m: float, gate_sigma: float = 3.0) -> DataFrame:
+    """uniqueness() among the cells within gate_sigma sigmas of each frame's prior; a frame without any has no row."""
+    top = topk_within(frames, cells, 1, gate_sigma).select("frame_id", "cell_id", "similarity")
+    placed = frames.join(top.join(cells.select("cell_id", F.col("lat").alias("top_lat"), F.col("lon").alias("top_lon")), "cell_id").select("frame_id", "top_lat", "top_lon"), "frame_id")
+
+    def pick(part, ids, lat, lon, s):
+        p, q = (np.radians(np.asarray(part.column(c)))[:, None] for c in ("top_lat", "top_lon"))
+        best = np.where(_distance(p, q, lat, lon) > radius_m, s, -np.inf).max(axis=1)
+        some = np.isfinite(best)
+        return np.asarray(part.column("frame_id"))[some], best[some]
+
+    rivals = _meet_near(placed, cells, gate_sigma, ("top_lat", "top_lon"), pick, "frame_id bigint, rival double").groupBy("frame_id").agg(F.max("rival").alias("rival"))
+    return top.join(rivals, "frame_id", "left").select("frame_id", "cell_id", "similarity", F.coalesce(F.col("similarity") - F.col("rival"), F.lit(1.0)).alias("uniqueness"))
+
+
 def youden(scores: DataFrame, score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:
     """(by…, threshold, j): the least score of greatest TPR - FPR for 'score >= threshold'; (0, 0) where a class is empty.
 

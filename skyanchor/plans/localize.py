@@ -190,16 +190,19 @@ def winners(results: DataFrame) -> DataFrame:
 def retrieval_candidates(frames: DataFrame, cells: DataFrame, *, top_k: int = 5, min_uniqueness: float = 0.0, radius_m: float = 500.0, gate_sigma: float = 3.0) -> tuple[DataFrame, DataFrame]:
     """Candidates (frame_id, cell_id, rank, lat, lon, coarse_mpp, cell_rotation_deg) and (frame_id, reason) of the frames without any.
 
-    The best cells within the prior are candidates, unless the best of all is not unique enough to trust the search.
+    The best cells within the prior are candidates, unless, with min_uniqueness, the
+    best of them doesn't lead those farther than radius_m from it by so much.
     """
-    lead = retrieval.uniqueness(frames, cells, radius_m).select("frame_id", "uniqueness")
-    near = retrieval.topk_within(frames, cells, top_k, gate_sigma)
-    clear = lead.filter(retrieval.unique_enough("uniqueness", min_uniqueness)).select("frame_id")
+    near = cut(retrieval.topk_within(frames, cells, top_k, gate_sigma))
+    clear = near
+    if min_uniqueness > 0:
+        lead = retrieval.uniqueness_within(frames, cells, radius_m, gate_sigma)
+        clear = cut(near.join(lead.filter(retrieval.unique_enough("uniqueness", min_uniqueness)).select("frame_id"), "frame_id", "left_semi"))
     turn = F.col("rotation_deg") if "rotation_deg" in cells.columns else F.lit(0.0)
     at = cells.select("cell_id", "lat", "lon", (F.col("size_px") * geo.ground_mpp(lat="lat", zoom="zoom") / 12.0).alias("coarse_mpp"), turn.alias("cell_rotation_deg"))
-    found = cut(near.join(clear, "frame_id", "left_semi").join(at, "cell_id").select("frame_id", "cell_id", "rank", "lat", "lon", "coarse_mpp", "cell_rotation_deg"))
-    none = frames.select("frame_id").join(found, "frame_id", "left_anti").join(lead, "frame_id", "left")
-    reason = F.when(F.col("uniqueness").isNull(), "no candidates").when(~retrieval.unique_enough("uniqueness", min_uniqueness), "not unique").otherwise("all cells outside prior")
+    found = clear.join(at, "cell_id").select("frame_id", "cell_id", "rank", "lat", "lon", "coarse_mpp", "cell_rotation_deg")
+    none = frames.select("frame_id", F.col("embedding").isNull().alias("void")).join(clear.select("frame_id").distinct(), "frame_id", "left_anti").join(near.select("frame_id", F.lit(True).alias("some")).distinct(), "frame_id", "left")
+    reason = F.when(F.col("void"), "no candidates").when(F.col("some"), "not unique").otherwise("all cells outside prior")
     return found, none.select("frame_id", reason.alias("reason"))
 
 

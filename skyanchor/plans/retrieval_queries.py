@@ -76,14 +76,15 @@ _OX, _OY = f"({wx_sql('lon', '18')} - 175)", f"({wy_sql('lat', '18')} - 175)"
 @query(f"""WITH {CELLS}, g AS (SELECT cell_id, {_OX} AS ox, {_OY} AS oy FROM cells),
 k AS (SELECT *, round_even(100.3e0 - (64 - 1) / 2.0e0, 0) AS x0, round_even(200.7e0 - (32 - 1) / 2.0e0, 0) AS y0 FROM g)
 SELECT cell_id, {d6(lon_sql('ox', '18'))} AS west, {d6(lat_sql('(oy + 350)', '18'))} AS south, {d6(lon_sql('(ox + 350)', '18'))} AS east, {d6(lat_sql('oy', '18'))} AS north,
-  {d6(lon_sql('(x0 + 31.5e0 + ox + 0.5e0)', '18'))} AS crop_lon, {d6(lat_sql('(y0 + 15.5e0 + oy + 0.5e0)', '18'))} AS crop_lat, TRUE AS inside FROM k""")
+  {d6(lon_sql('(x0 + 31.5e0 + ox + 0.5e0)', '18'))} AS crop_lon, {d6(lat_sql('(y0 + 15.5e0 + oy + 0.5e0)', '18'))} AS crop_lat,
+  cell_id * 37 % 500 - 75 + 0.5e0 BETWEEN 0 AND 350 AND cell_id * 53 % 450 - 50 + 0.5e0 BETWEEN 0 AND 350 AS inside FROM k""")
 def geo_georef_bounds_crop(spark, sf_dir):
     g = geo.Georef(F.col("lon"), F.col("lat"), F.col("zoom"), F.col("size_px"), F.col("size_px"))
     west, south, east, north = g.bounds()
     k = g.crop_around(100.3, 200.7, F.lit(64), F.lit(32))
     return cells(spark, sf_dir).select(
         "cell_id", r6(west).alias("west"), r6(south).alias("south"), r6(east).alias("east"), r6(north).alias("north"), r6(k.center_lon).alias("crop_lon"), r6(k.center_lat).alias("crop_lat"),
-        g.contains_pixel(100.3, 200.7).alias("inside"),
+        g.contains_pixel(F.col("cell_id") * 37 % 500 - 75, F.col("cell_id") * 53 % 450 - 50).alias("inside"),
     )
 
 

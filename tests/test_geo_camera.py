@@ -82,3 +82,11 @@ def test_human_time(spark):
 def test_null_inputs_give_null(spark):
     n = F.lit(None).cast("double")
     assert one(spark, geo.ground_mpp(lat=n, zoom=F.lit(3)), geo.exact_zoom(mpp=F.lit(-1.0), lat=F.lit(0.0)), camera.recommended_sigma(n))[:] == (None, None, None)
+
+
+def test_zoom_of_no_resolution(spark):
+    df = spark.createDataFrame([(0.5,), (0.0,), (-1.0,), (None,)], "m double")
+    assert [r[0] is None for r in df.select(geo.exact_zoom(mpp="m", lat=F.lit(50.0))).collect()] == [False, True, True, True]
+    assert df.limit(1).select(geo.exact_zoom(mpp="m", lat=F.lit(50.0), strict=True)).first()[0] > 0
+    with pytest.raises(Exception, match="must be positive"):
+        df.select(geo.exact_zoom(mpp="m", lat=F.lit(50.0), strict=True)).collect()

@@ -80,10 +80,12 @@ def test_the_measure_is_part_of_the_gate(spark):
 
 def test_a_map_that_looks_alike_everywhere_is_refused(spark):
     e = [1.0, 0.0]
-    cells = spark.createDataFrame([(i, 55.0 + i * 0.02, 37.0, 18, 350, 0.0, e) for i in range(5)], "cell_id bigint, lat double, lon double, zoom int, size_px int, rotation_deg double, embedding array<float>")
+    cells = spark.createDataFrame([(i, 55.0 + i * 0.005, 37.0, 18, 350, 0.0, e) for i in range(5)], "cell_id bigint, lat double, lon double, zoom int, size_px int, rotation_deg double, embedding array<float>")
     f = spark.createDataFrame([(1, e, 55.0, 37.0, 500.0), (2, e, 10.0, 10.0, 500.0), (3, None, 55.0, 37.0, 500.0)], "frame_id bigint, embedding array<float>, prior_lat double, prior_lon double, sigma_m double")
     found, none = loc.retrieval_candidates(f, cells, min_uniqueness=0.05)
-    assert found.count() == 0 and {r.frame_id: r.reason for r in none.collect()} == {1: "not unique", 2: "not unique", 3: "no candidates"}
+    assert found.count() == 0 and {r.frame_id: r.reason for r in none.collect()} == {1: "not unique", 2: "all cells outside prior", 3: "no candidates"}
+    assert {r.frame_id: r.uniqueness for r in retrieval.uniqueness_within(f, cells, 500.0).collect()} == {1: 0.0}
+    assert {r.frame_id: r.uniqueness for r in retrieval.uniqueness_within(f, cells, 1200.0).collect()} == {1: 1.0}
     found, none = loc.retrieval_candidates(f, cells)
     assert {r.frame_id for r in found.collect()} == {1} and {r.frame_id: r.reason for r in none.collect()} == {2: "all cells outside prior", 3: "no candidates"}
 
