@@ -162,25 +162,38 @@ def _by_frame(corr: DataFrame, f, out: str) -> DataFrame:
     return corr.select("frame_id", "qx", "qy", "rx", "ry").groupBy("frame_id").applyInArrow(run, f"frame_id {kind}, {out}")
 
 
-def ransac(
-    corr: DataFrame, threshold_px: float = 3.0, min_inliers: int = 10, min_scale: float | None = None, max_scale: float | None = None, *, most: int = 5000, confidence: float = 0.999, least_baseline: float = 50.0
-) -> DataFrame:
-    """(frame_id, n_points, n_inliers, a, b, tx, ty, rmse_px, loss): search()'s transform of each frame.
+def consensus(corr: DataFrame, threshold_px: float = 3.0, min_inliers: int = 10, *, most: int = 5000, confidence: float = 0.999, least_baseline: float = 50.0) -> DataFrame:
+    """(frame_id, n_points, n_inliers, a, b, tx, ty, rmse_px, loss, mqx, mqy, spread2): search()'s transform of each frame, null where it has too few inliers.
 
     A frame is searched in one task, over all its points with finite values, in
-    whatever order they come.  A frame whose best has too few inliers, or whose
-    scale is out of bounds, has no row: a refusal is a left join away.
+    whatever order they come.  mqx, mqy are the mean of the inliers and spread2 their
+    sum of squared distances from it, of which read_variance() makes the centre's variance.
     """
 
     def one(z, w):
         found = search(z, w, threshold_px, None, most, confidence, least_baseline)
         if found is None or found[1].sum() < max(2, min_inliers):
-            return None
+            return (len(z), *[None] * 10)
         (c, t), mask = found
-        d2 = np.abs(c * z + t - w)[mask] ** 2
-        return len(z), int(mask.sum()), c.real, c.imag, t.real, t.imag, float(np.sqrt(d2.mean())), float(d2.sum())
+        d2, q = np.abs(c * z + t - w)[mask] ** 2, z[mask]
+        m = complex(q.mean())
+        return len(z), int(mask.sum()), c.real, c.imag, t.real, t.imag, float(np.sqrt(d2.mean())), float(d2.sum()), m.real, m.imag, float((np.abs(q - m) ** 2).sum())
+
+    return _by_frame(corr, one, MODEL + ", mqx double, mqy double, spread2 double")
+
+
+def read_variance(cx: float, cy: float) -> Column:
+    """center_variance(), in square pixels, of a row of consensus()."""
+    n, off = F.col("n_inliers"), F.pow(cx - F.col("mqx"), 2) + F.pow(cy - F.col("mqy"), 2)
+    return F.when((n >= 3) & (F.col("spread2") > 0), F.col("loss") / (2 * n - 4) * (1 / n + off / F.col("spread2")))
 
-    out = _by_frame(corr, one, MODEL)
+
+def ransac(corr: DataFrame, threshold_px: float = 3.0, min_inliers: int = 10, min_scale: float | None = None, max_scale: float | None = None, **how) -> DataFrame:
+    """(frame_id, n_points, n_inliers, a, b, tx, ty, rmse_px, loss): consensus() of the frames that have one.
+
+    A frame whose best has too few inliers, or whose scale is out of bounds, has no row: a refusal is a left join away.
+    """
+    out = consensus(corr, threshold_px, min_inliers, **how).filter("n_inliers is not null").drop("mqx", "mqy", "spread2")
     if min_scale is not None:
         out = out.filter(scale() >= min_scale)
     if max_scale is not None:

@@ -79,11 +79,8 @@ def against_reference(
     for name in ("expected_deg", "measure"):
         if name not in pairs.columns:
             pairs = pairs.withColumn(name, F.lit(None).cast("double"))
-    fitted = pose.ransac(corr, threshold_px, min_inliers)
     cx, cy = (width - 1) / 2, (height - 1) / 2
-    var = pose.center_variance(pose.inliers_of(corr, fitted, threshold_px), fitted, cx, cy).select("frame_id", "variance_m2")
-    n = corr.groupBy("frame_id").agg(F.count("*").alias("n_points"))
-    j = pairs.join(n, "frame_id", "left").join(fitted.drop("n_points"), "frame_id", "left").join(var, "frame_id", "left")
+    j = pairs.join(pose.consensus(corr, threshold_px, min_inliers).withColumn("variance_m2", pose.read_variance(cx, cy)), "frame_id", "left")
     size = F.lit(window_px) if isinstance(window_px, int) else window_px
     g = geo.Georef(F.col("ref_lon"), F.col("ref_lat"), F.col("zoom"), size, size)
     j = j.withColumn("mpp", g.mpp).withColumn("scale", pose.scale()).withColumn("semi_major_m", F.sqrt("variance_m2") * F.col("mpp"))

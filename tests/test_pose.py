@@ -208,3 +208,14 @@ def test_both_quantiles(spark):
     assert df.select(F.percentile("v", 0.9)).first()[0] == pytest.approx(44.8)
     assert evaluation.exclusive_quantile(df.limit(1), "v", 0.9).first().q == 1.0
     assert evaluation.exclusive_quantile(df.limit(0), "v", 0.9).first().q is None
+
+
+def test_variance_read_from_the_search(spark):
+    c, a, b = planted(spark, frames=5, n=60, outliers=0.2, noise=0.6, seed=4)
+    f = pose.consensus(c)
+    want = {r.frame_id: r.variance_m2 for r in pose.center_variance(pose.inliers_of(c, f), f, 255.5, 200.0).collect()}
+    got = {r.frame_id: r.v for r in f.select("frame_id", pose.read_variance(255.5, 200.0).alias("v")).collect()}
+    assert got == pytest.approx(want)
+    few = spark.createDataFrame([(0, 0, 1.0, 1.0, 2.0, 2.0)], SCHEMA)
+    r = pose.consensus(few).first()
+    assert (r.n_points, r.n_inliers, r.a) == (1, None, None)
