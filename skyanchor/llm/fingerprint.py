@@ -25,7 +25,7 @@ SPACE = 2.0**64
 #: The sources' sketches are broadcast up to this size, and joined by a shuffle beyond.
 BROADCAST_BYTES = 32 << 20
 #: Rows of a segment of the hash index at most, rows compared with it at a time, meetings on a hash counted and pairs given at a time.
-SEGMENT_ROWS, SLICE_ROWS, MEETINGS, GIVEN = 1 << 14, 128, 1 << 21, 1 << 19
+SEGMENT_ROWS, SLICE_ROWS, MEETINGS, GIVEN = 1 << 14, 128, 1 << 19, 1 << 17
 VOID = np.iinfo(np.int64).min
 
 
@@ -189,29 +189,46 @@ def _below(flat: np.ndarray, start: np.ndarray, stop: np.ndarray, most: np.ndarr
     return lo - start
 
 
-def _meet(mine, a: int, z: int, theirs, k: int):
-    """Rows (from a, of theirs) of the pairs that share a hash, with the hashes shared and held by each in their common sample."""
+def _slice(mine, a: int, z: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of rows a to z in ascending order, and their rows from a."""
     _, _, flat, off, _, _ = mine
-    _, ids, flat_b, off_b, hashes, owners = theirs
     h, row = flat[off[a] : off[z]], np.repeat(np.arange(z - a), np.diff(off[a : z + 1]))
     order = np.argsort(h, kind="stable")
-    h, row = h[order], row[order]
+    return h[order], row[order]
+
+
+def _meet(mine, a: int, z: int, sliced, theirs, k: int):
+    """Rows (from a, of theirs) of the pairs that share a hash, with the hashes shared and held by each in their common sample."""
+    _, _, flat, off, _, _ = mine
+    _, ids, flat_b, off_b, hashes, owners = theirs
+    h, row = sliced
     lo = np.searchsorted(hashes, h)
     hit = lo < len(hashes)
     hit[hit] = hashes[lo[hit]] == h[hit]
     h, row, lo = h[hit], row[hit], lo[hit]
     n = np.searchsorted(hashes, h, side="right") - lo
-    count = np.zeros((z - a) * len(ids), np.int64)
     ends = np.cumsum(n)
-    i = 0
-    while i < len(n):
-        j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + MEETINGS, side="right")))
+
+    def met(i: int, j: int) -> np.ndarray:
+        """The numbers of the pairs that meet on the hashes i to j."""
         m = n[i:j]
         at = np.arange(m.sum()) + np.repeat(lo[i:j] - (np.cumsum(m) - m), m)
-        count += np.bincount(np.repeat(row[i:j] * len(ids), m) + owners[at], minlength=len(count))
-        i = j
-    pair = np.flatnonzero(count)
-    same, (x, y) = count[pair], np.divmod(pair, len(ids) or 1)
+        return np.repeat(row[i:j] * len(ids), m) + owners[at]
+
+    cells = (z - a) * len(ids)
+    if len(n) and 4 * ends[-1] < min(cells, MEETINGS):  # few meetings: sort them instead of counting in all cells
+        pairs = np.sort(met(0, len(n)))
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else pairs
+        pair, same = pairs[first], np.diff(np.append(first, len(pairs)))
+    else:
+        count, i = np.zeros(cells, np.int64), 0
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + MEETINGS, side="right")))
+            count += np.bincount(met(i, j), minlength=cells)
+            i = j
+        pair = np.flatnonzero(count)
+        same = count[pair]
+    x, y = np.divmod(pair, len(ids) or 1)
     held = []
     full = np.iinfo(U).max
     ends = [(f, o[r], o[r + 1]) for f, o, r in ((flat, off, x + a), (flat_b, off_b, y))]
@@ -233,12 +250,12 @@ def _with_pairs(segments: list[tuple[int, int, int, str]], starts: np.ndarray, k
                 mine = _segment(segments[at][3])
                 a = (number - int(starts[at])) * SLICE_ROWS
                 z = min(a + SLICE_ROWS, segments[at][2])
-                found = []
+                found, sliced = [], _slice(mine, a, z)
                 for other, (_, hi, _, stem) in enumerate(segments):
                     if hi < mine[1][a] or (hi == mine[1][a] and other < at):
                         continue
                     theirs = _segment(stem)
-                    x, y, same, na, nb = _meet(mine, a, z, theirs, k)
+                    x, y, same, na, nb = _meet(mine, a, z, sliced, theirs, k)
                     own, its = mine[1][x + a], theirs[1][y]
                     later = (its > own) | ((its == own) & ((other > at) | ((other == at) & (y > x + a))))
                     found.append([v[later].astype(t) for v, t in ((x, np.uint16), (its, np.int64), (same, np.int32), (na, np.int32), (nb, np.int32))])

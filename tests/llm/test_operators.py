@@ -353,6 +353,26 @@ def test_pairs_of_documents_are_compared(spark, k, monkeypatch):
     assert got[0, 1] == (1, 1, 1) and got[0, 2][1] == 1 and got[0, 3][2] == 1 and (k < 256 or (4, 63) in got)
 
 
+def test_few_and_many_meetings_count_alike(monkeypatch):
+    rng = np.random.default_rng(2)
+
+    def part(n):
+        sketches = [np.unique(rng.integers(0, 400, rng.integers(0, 12), dtype=np.uint64)) for _ in range(n)]
+        flat, off = np.concatenate(sketches), np.concatenate([[0], np.cumsum([len(x) for x in sketches])])
+        order = np.argsort(flat, kind="stable")
+        return (None, np.arange(n), flat, off, flat[order], np.repeat(np.arange(n, dtype=np.uint16), np.diff(off))[order]), sketches
+
+    (mine, p), (theirs, q) = part(40), part(90)
+    want = {(i, j): len(np.intersect1d(p[i + 5], q[j])) for i in range(30) for j in range(90) if len(np.intersect1d(p[i + 5], q[j]))}
+    for most in (0, 7, 1 << 21):  # counting in all cells, in parts of them, and sorting
+        monkeypatch.setattr(fingerprint, "MEETINGS", most)
+        x, y, same, held, other = fingerprint._meet(mine, 5, 35, fingerprint._slice(mine, 5, 35), theirs, 256)
+        assert dict(zip(zip(x.tolist(), y.tolist()), same.tolist())) == want
+        assert held.tolist() == [len(p[i + 5]) for i in x] and other.tolist() == [len(q[j]) for j in y]
+    x, *_ = fingerprint._meet(mine, 0, 0, fingerprint._slice(mine, 0, 0), theirs, 256)
+    assert len(x) == 0
+
+
 def test_source_sketch_equals_that_of_all_texts(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
     got = {r.source: np.array(r.union, np.int64).view(np.uint64) for r in fingerprint.source_sketches(d).collect()}
