@@ -30,6 +30,10 @@ def register(kind: str, name: str, make: Callable) -> None:
     _made[kind, name] = make
 
 
+def registered(kind: str, name: str) -> Callable | None:
+    return _made.get((kind, name))
+
+
 def get(kind: str, name: str) -> Callable:
     known = {"matcher": MATCHERS, "encoder": ENCODERS}.get(kind, ())
     if (kind, name) in _made:

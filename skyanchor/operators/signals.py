@@ -118,11 +118,11 @@ def structural(a: Arr, b: Arr, valid: Arr, measure=grad_ncc, least: int = 256, s
     return measure(*(np.where(v, z[box], z[box][v].mean()) for z in (a, b)))
 
 
-def token_cosine(a: Arr, b: Arr) -> float:
-    """Mean cosine of the dense tokens of two aligned rasters, by the registered 'dense' kernel 'dino' from a raster to rows of floats."""
+def token_cosine(a: Arr, b: Arr, tokens=None) -> float:
+    """Mean cosine of the dense tokens of two aligned rasters; tokens makes them, rows of floats, of a raster, by default the registered 'dense' kernel 'dino'."""
     from ..functions import plugins
 
-    tokens = plugins.get("dense", "dino")()
+    tokens = tokens or plugins.get("dense", "dino")()
     x, y = (np.asarray(tokens(z), float) for z in (a, b))
     n = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     return float(np.mean((x * y).sum(axis=1) / np.maximum(n, 1e-12)))
@@ -142,9 +142,14 @@ def aligned(pairs: DataFrame) -> DataFrame:
     """
     from .pose import _sample
 
+    from ..functions import plugins
+
     kind_of = pairs.schema["frame_id"].dataType.simpleString()
+    make = plugins.registered("dense", "dino")  # registered on the driver, made in the worker
 
     def run(batches):
+        tokens = make() if make else None
+        kinds = {**KINDS, "dino": lambda a, b: token_cosine(a, b, tokens)}
         for batch in batches:
             out = []
             for r in batch.to_pylist():
@@ -160,7 +165,7 @@ def aligned(pairs: DataFrame) -> DataFrame:
                 if r["kind"] == "ncc":
                     out.append(plain_ncc(q[inside], m[inside]) if inside.sum() >= 16 else -1.0)
                 else:
-                    out.append(structural(q, m, inside, KINDS[r["kind"]]))
+                    out.append(structural(q, m, inside, kinds[r["kind"]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["frame_id", "kind", "measure"])
 
     cols = ("frame_id", "kind", "a", "b", "tx", "ty", "height", "width", "query", "ref_height", "ref_width", "reference")
