@@ -14,10 +14,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U, chunks, cut, local_path, makedirs, shared_dir, shingles
+from .textkit import U, chunks, cut, local_path, makedirs, mix, shared_dir, shingles
 
 K = 256
 SHINGLE_WORDS = 3
@@ -26,6 +27,8 @@ SPACE = 2.0**64
 BROADCAST_BYTES = 32 << 20
 #: Rows of a segment of the hash index at most, rows compared with it at a time, meetings on a hash counted and pairs given at a time.
 SEGMENT_ROWS, SLICE_ROWS, MEETINGS, GIVEN = 1 << 14, 128, 1 << 19, 1 << 17
+#: Hashes of a range that is read across the segments; a list is long from HOT_ROWS rows and one in HOT_SHARE of all; bytes of bitmaps and rows united at a time.
+RANGE_HASHES, HOT_ROWS, HOT_SHARE, HOT_BYTES, UNITED_ROWS = 1 << 21, 64, 1024, 48 << 20, 256
 VOID = np.iinfo(np.int64).min
 
 
@@ -305,11 +308,264 @@ def near_pairs(base: DataFrame, k: int = K) -> DataFrame:
     return tasks.mapInArrow(_with_pairs(segments, starts, k), f"{ddl}, near array<bigint>, near_resemblance array<double>, near_containment array<double>, near_contained array<double>")
 
 
+@lru_cache(maxsize=8192)
+def _mapped(path: str, kind) -> np.ndarray:
+    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+
+
+def _segments(base: DataFrame, folder: str) -> tuple[list[tuple[int, str]], np.ndarray]:
+    """Write base in segments: rows without sketches, and hashes in ascending order with their rows; (rows, path stem) of each, and from where ranges of about RANGE_HASHES begin."""
+
+    def write(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SEGMENT_ROWS):
+                part = batch.slice(at, SEGMENT_ROWS)
+                flat, off = _flat(part)
+                order = np.argsort(flat, kind="stable")
+                flat, rest = flat[order], part.drop_columns(["sketch"])
+                stem = f"{makedirs(folder)}/{uuid.uuid4().hex}"
+                with pa.OSFile(f"{stem}.rows", "wb") as f, pa.ipc.new_file(f, rest.schema) as w:
+                    w.write_batch(rest)
+                flat.tofile(f"{stem}.hashes")
+                np.repeat(np.arange(part.num_rows, dtype=np.uint16), np.diff(off))[order].tofile(f"{stem}.owners")
+                some = flat[len(flat) // 512 :: max(1, len(flat) // 256)].view(np.int64)
+                yield pa.RecordBatch.from_pydict({"n": [part.num_rows], "hashes": [len(flat)], "some": pa.array([some], pa.list_(pa.int64())), "stem": [stem]})
+
+    made = base.mapInArrow(write, "n bigint, hashes bigint, some array<bigint>, stem string").collect()
+    sample = np.concatenate([np.array(r.some, np.int64).view(U) for r in made]) if made else np.zeros(0, U)
+    stands_for = np.repeat([r.hashes / max(1, len(r.some)) for r in made], [len(r.some) for r in made])
+    order = np.argsort(sample)
+    ranges = -(-sum(r.hashes for r in made) // RANGE_HASHES)
+    at = np.searchsorted(np.cumsum(stands_for[order]), np.arange(ranges) * RANGE_HASHES)
+    return sorted((r.n, r.stem) for r in made), np.unique(sample[order][np.minimum(at, len(sample) - 1)])
+
+
+def _lists(segments: list[tuple[int, str]], first: np.ndarray, bounds: np.ndarray, folder: str):
+    """For numbers of ranges of hashes: write the hashes that several rows hold, and the numbers of these rows."""
+
+    def run(batches):
+        for batch in batches:
+            for p in batch.column("id").to_pylist():
+                h, rows = [], []
+                for at, (_, stem) in enumerate(segments):
+                    hashes, owners = _mapped(f"{stem}.hashes", U), _mapped(f"{stem}.owners", np.uint16)
+                    a, z = _range(hashes, bounds, p)
+                    h.append(hashes[a:z])
+                    rows.append(owners[a:z].astype(_row_type(first)) + first[at])
+                h, rows = np.concatenate(h), np.concatenate(rows).astype(_row_type(first))
+                order = np.argsort(h, kind="stable")
+                h = h[order]
+                begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+                n = np.diff(np.append(begin, len(h)))
+                several = n > 1
+                stem = f"{makedirs(folder)}/{uuid.uuid4().hex}"
+                h[begin[several]].tofile(f"{stem}.shared")
+                np.concatenate([[0], np.cumsum(n[several])]).astype(np.int64).tofile(f"{stem}.starts")
+                rows[order[np.repeat(several, n)]].tofile(f"{stem}.lists")
+                yield pa.RecordBatch.from_pydict({"p": [p], "stem": [stem]})
+
+    return run
+
+
+def _row_type(first: np.ndarray):
+    return np.int32 if first[-1] < 1 << 31 else np.int64
+
+
+def _range(hashes: np.ndarray, bounds: np.ndarray, p: int) -> tuple[int, int]:
+    a = int(np.searchsorted(hashes, bounds[p])) if p else 0
+    return a, int(np.searchsorted(hashes, bounds[p + 1])) if p + 1 < len(bounds) else len(hashes)
+
+
+def _digests(segments: list[tuple[int, str]]):
+    """For numbers of segments: 128 bits of each row's sketch (a row without hashes has its own), and its doc_id."""
+
+    def run(batches):
+        for batch in batches:
+            for at in batch.column("id").to_pylist():
+                n, stem = segments[at]
+                h, owners = _mapped(f"{stem}.hashes", U), _mapped(f"{stem}.owners", np.uint16)
+                own = mix(np.arange(n, dtype=U) + U(at << 16))
+                held = np.bincount(owners, minlength=n)
+                by = np.argsort(owners, kind="stable")
+                begin = (np.cumsum(held) - held)[held > 0]
+                sums = []
+                for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+                    d = own ^ U(salt)
+                    d[held > 0] = np.add.reduceat(mix(h[by] + U(salt)), begin) if len(begin) else d[:0]
+                    sums.append(pa.array(d.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, at, np.int64)), pa.array(np.arange(n)), *sums, pa.ipc.open_file(f"{stem}.rows").get_batch(0).column("doc_id")],
+                    names=["segment", "place", "d", "e", "doc_id"],
+                )
+
+    return run
+
+
+def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each start, n of each, end to end."""
+    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
+def count_links(stem: str, asked: np.ndarray, lists: list[str], bounds: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many rows of the whole table hold a hash of each of the asked rows of a segment, itself included if any other does.
+
+    A row's links are the union of its hashes' lists.  Long lists are bitmaps, which
+    are united word by word, once for rows of the same long lists; the members of
+    short lists that the bitmaps lack are counted besides.
+    """
+    total, hot_at = int(first[-1]), max(HOT_ROWS, int(first[-1]) // HOT_SHARE)
+    hashes, owners = _mapped(f"{stem}.hashes", U), _mapped(f"{stem}.owners", np.uint16)
+    rank = np.full(1 << 16, -1, np.int64)
+    rank[asked] = np.arange(len(asked))
+    cold, hot, hot_rows, hot_ids, n_hot = [], [], [], [], 0
+    for p, where in enumerate(lists):
+        a, z = _range(hashes, bounds, p)
+        shared, starts = _mapped(f"{where}.shared", U), _mapped(f"{where}.starts", np.int64)
+        who = rank[owners[a:z]]
+        h, who = hashes[a:z][who >= 0], who[who >= 0]
+        k = np.searchsorted(shared, h)
+        hit = k < len(shared)
+        hit[hit] = shared[k[hit]] == h[hit]
+        k, who = k[hit], who[hit]
+        long = starts[k + 1] - starts[k] >= hot_at
+        which, ids = np.unique(k[long], return_inverse=True)
+        hot.append((f"{where}.lists", starts[which], starts[which + 1]))
+        hot_rows.append(who[long])
+        hot_ids.append(ids + n_hot)
+        n_hot += len(which)
+        cold.append((f"{where}.lists", who[~long], starts[k[~long]], starts[k[~long] + 1]))
+    out = np.zeros(len(asked), np.int64)
+    if not len(asked) or not lists:
+        return out
+    # rows in order of their long lists, so that rows of the same ones are neighbours
+    who, ids = np.concatenate(hot_rows), np.concatenate(hot_ids)
+    order = np.lexsort((ids, who))
+    ids, off = ids[order], np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(asked)))])
+    mine = [ids[off[i] : off[i + 1]] for i in range(len(asked))]
+    keys = [x.tobytes() for x in mine]
+    by = np.array(sorted(range(len(asked)), key=keys.__getitem__), np.int64)
+    place = np.empty_like(by)
+    place[by] = np.arange(len(by))
+    sorted_cold = []
+    size = np.zeros(len(asked), np.int64)
+    for path, who, a, z in cold:
+        who = place[who]
+        o = np.argsort(who, kind="stable")
+        sorted_cold.append((path, who[o], a[o], z[o]))
+        size += np.bincount(who, weights=z - a, minlength=len(asked)).astype(np.int64)
+    ends = np.cumsum(size)
+    width = max(64, min(-(-total // 64) * 64, HOT_BYTES * 8 // max(1, n_hot) // 64 * 64))
+    for w in range(0, total, width):
+        bitmaps = _bitmaps(hot, n_hot, w, width, _row_type(first))
+        i = 0
+        while i < len(by):
+            began = int(ends[i - 1]) if i else 0
+            j = min(len(by), i + UNITED_ROWS, max(i + 1, int(np.searchsorted(ends, began + MEETINGS, side="right"))))
+            bits, last = np.zeros((j - i, width // 64), U), None
+            for q in range(i, j):
+                if keys[by[q]] == last:
+                    bits[q - i] = bits[q - i - 1]
+                elif len(some := mine[by[q]]):
+                    np.bitwise_or.reduce(bitmaps[some], axis=0, out=bits[q - i])
+                last = keys[by[q]]
+            found = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+            met = []
+            for path, who, a, z in sorted_cold:
+                x, y = np.searchsorted(who, [i, j])
+                if x == y:
+                    continue
+                rows, a, z, who = _mapped(path, _row_type(first)), a[x:y], z[x:y], who[x:y]
+                if width < total:
+                    a, z = a + _below(rows, a, z, np.full(len(a), w - 1)), a + _below(rows, a, z, np.full(len(a), w + width - 1))
+                met.append(np.repeat((who - i) * width - w, z - a) + rows[_runs(a, z - a)])
+            met = np.concatenate(met) if met else np.zeros(0, np.int64)
+            lacks = (bits.view(np.uint8).reshape(-1)[met >> 3] >> (met & 7).astype(np.uint8)) & 1 == 0
+            met = np.sort(met[lacks])
+            met = met[np.concatenate([[True], met[1:] != met[:-1]])] if len(met) else met
+            out[by[i:j]] += found + np.bincount(met // width, minlength=j - i)
+            i = j
+    return out
+
+
+def _bitmaps(hot, n_hot: int, w: int, width: int, kind) -> np.ndarray:
+    """The members from w, width of them, of the long lists: a bit each."""
+    out, at = np.zeros((n_hot, width // 64), U), 0
+    for path, a, z in hot:
+        rows = _mapped(path, kind)
+        a, z = a + _below(rows, a, z, np.full(len(a), w - 1)), a + _below(rows, a, z, np.full(len(a), w + width - 1))
+        for i in range(len(a)):
+            cells = np.zeros(width, np.uint8)
+            cells[rows[a[i] : z[i]] - w] = 1
+            out[at + i] = np.packbits(cells, bitorder="little").view(U)
+        at += len(a)
+    return out
+
+
+def _with_links(segments: list[tuple[int, str]], lists: list[str], bounds: np.ndarray, first: np.ndarray, names: list[str]):
+    """The rows of each segment, with their sketches, from (segment, place, d, e, class_id, n_copies) of them all."""
+
+    def run(batches):
+        table = pa.Table.from_batches(found) if (found := list(batches)) else None
+        for at in table.column("segment").unique().to_pylist() if table else ():  # one a partition
+            n, stem = segments[at]
+            own = table.filter(pc.equal(table.column("segment"), at)).sort_by("place").combine_chunks()
+            digests = np.stack([np.asarray(own.column(c)) for c in ("d", "e")], 1)
+            _, asked, of = np.unique(digests, axis=0, return_index=True, return_inverse=True)
+            links = np.maximum(count_links(stem, asked, lists, bounds, first) - 1, 0)[of.reshape(-1)]
+            h, owners = _mapped(f"{stem}.hashes", U), _mapped(f"{stem}.owners", np.uint16)
+            off = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=n))]).astype(np.int32)
+            flat = h[np.argsort(owners, kind="stable")].view(np.int64)
+            rest = pa.ipc.open_file(f"{stem}.rows").get_batch(0)
+            columns = {c: rest.column(c) for c in rest.schema.names} | {
+                "sketch": pa.ListArray.from_arrays(pa.array(off), pa.array(flat)),
+                "class_id": own.column("class_id").chunk(0),
+                "n_copies": own.column("n_copies").chunk(0),
+                "n_links": pa.array(links),
+            }
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+    return run
+
+
+def with_links(base: DataFrame) -> DataFrame:
+    """base (doc_id, sketch, ...) with class_id, n_copies and n_links.
+
+    Rows of the same sketch are a class: class_id is its least doc_id that isn't null,
+    n_copies the number of its rows.  n_links is the number of other rows, copies
+    included, that share a hash of the sketch; no hash is capped.  A row without hashes
+    is a class of its own and has no links.
+
+    The sketches are written once to the shared folder, in segments ordered by hash.
+    Ranges of hashes are read across the segments for the list of rows of each hash that
+    several rows hold; then each segment unites the lists of its classes' hashes.
+    """
+    spark = base.sparkSession
+    folder = f"{local_path(shared_dir(spark))}/sketches-{uuid.uuid4().hex}"
+    segments, bounds = _segments(base, folder)
+    first = np.concatenate([[0], np.cumsum([n for n, _ in segments])]).astype(np.int64)
+
+    def each(n: int) -> DataFrame:
+        return spark.range(0, n, 1, max(1, n))
+
+    made = each(len(bounds)).mapInArrow(_lists(segments, first, bounds, folder), "p bigint, stem string").collect()
+    lists = [stem for _, stem in sorted((r.p, r.stem) for r in made)]
+    rows = each(len(segments)).mapInArrow(_digests(segments), "segment bigint, place bigint, d bigint, e bigint, doc_id bigint")
+    same = "over (partition by d, e)"
+    classed = rows.selectExpr("segment", "place", "d", "e", f"min(doc_id) {same} class_id", f"count(*) {same} n_copies")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+    by = classed.repartitionById(max(1, len(segments)), F.col("segment").cast("int"))
+    return by.mapInArrow(_with_links(segments, lists, bounds, first, [*base.columns, *LINKS]), f"{ddl}, class_id bigint, n_copies bigint, n_links bigint")
+
+
+LINKS = ("class_id", "n_copies", "n_links")
+
+
 def fingerprints(docs: DataFrame, k: int = K, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, source, sketch, n_distinct, source_distinct, resemblance, containment) and near_pairs' columns for each row.
+    """(doc_id, source, sketch, n_distinct, source_distinct, resemblance, containment) and with_links' columns for each row.
 
     resemblance and containment compare the document's shingle set with that of its
-    source; the near columns compare it with other documents.
+    source; n_links counts the documents that share a hash of its sketch, and
+    near_pairs of the result lists them with their resemblance and containment.
     Repeated rows each have their row; columns other than doc_id, text and source,
     whatever their names, are left out; an empty table gives one.  Very long texts are
     sketched whole; a doc_id that isn't an integer, nor the text of one, is null; equal
@@ -326,4 +582,4 @@ def fingerprints(docs: DataFrame, k: int = K, shingle_words: int = SHINGLE_WORDS
         _against(k),
         "doc_id bigint, source string, sketch array<bigint>, n_distinct double, source_distinct double, resemblance double, containment double",
     )
-    return near_pairs(base, k)
+    return with_links(base)

@@ -47,7 +47,7 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bottom-k sketch of every document, compared with those of the documents that share its hashes and with that of its source."""
+    """A bottom-k sketch of every document, compared with that of its source; its class of equal sketches and the number of documents that share its hashes."""
     return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
 
 

@@ -334,7 +334,7 @@ def test_pairs_of_documents_are_compared(spark, k, monkeypatch):
     monkeypatch.setattr(fingerprint, "MEETINGS", 50)
     monkeypatch.setattr(fingerprint, "GIVEN", 100)
     got = {}
-    rows = fingerprint.fingerprints(d, k=k).collect()
+    rows = fingerprint.near_pairs(fingerprint.fingerprints(d, k=k), k).collect()
     assert len(rows) == len(texts)
     for r in rows:
         assert list(r.near) == sorted(r.near)
@@ -353,6 +353,52 @@ def test_pairs_of_documents_are_compared(spark, k, monkeypatch):
     assert got[0, 1] == (1, 1, 1) and got[0, 2][1] == 1 and got[0, 3][2] == 1 and (k < 256 or (4, 63) in got)
 
 
+@pytest.mark.parametrize("k", [16, 256])
+def test_every_document_has_its_class_and_the_number_of_its_links(spark, k):
+    rng = np.random.default_rng(5)
+    word = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    long, hot = word(300), "one phrase that all of them hold"
+    texts = [long, long.upper(), long + " and one more", *(f"{hot} {word(5)}" for _ in range(70)), *[f"{hot} and again"] * 9, word(200), word(1), "", "", None]
+    ids = [7, 5, *range(10, 10 + len(texts) - 3), None]
+    d = spark.createDataFrame([(i, t, "s") for i, t in zip(ids, texts)], "doc_id bigint, text string, source string").repartition(3)
+    got = fingerprint.fingerprints(d, k=k).select("doc_id", *fingerprint.LINKS).collect()
+    s, b = textkit.shingles(pa.array(texts, pa.string()), 3)
+    sketch = [np.unique(s[b[i] : b[i + 1]])[:k].tolist() for i in range(len(texts))]
+    want = []
+    for i, x in enumerate(sketch):
+        same = [j for j, y in enumerate(sketch) if x == y] if x else [i]
+        links = sum(j != i and not set(x).isdisjoint(y) for j, y in enumerate(sketch))
+        want.append((ids[i], min((ids[j] for j in same if ids[j] is not None), default=None), len(same), links))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert {r.class_id for r in got if r.doc_id in (7, 5)} == {5} and sum(r.n_copies == 9 for r in got) == 9
+    assert fingerprint.fingerprints(d.limit(0), k=k).count() == 0
+
+
+@pytest.mark.parametrize("hot_rows, hot_bytes, meetings", [(2, 1, 1), (20, 1 << 12, 50), (20, 1 << 20, 1 << 19), (10**6, 1 << 20, 300)])
+def test_links_by_bitmaps_and_by_short_lists_count_alike(tmp_path, monkeypatch, hot_rows, hot_bytes, meetings):
+    for name, value in (("HOT_ROWS", hot_rows), ("HOT_BYTES", hot_bytes), ("MEETINGS", meetings), ("UNITED_ROWS", 7)):
+        monkeypatch.setattr(fingerprint, name, value)
+    rng = np.random.default_rng(4)
+    # some hashes stand in many rows, some rows have the same ones, some none
+    sketches = [np.unique(np.minimum(rng.integers(0, 60, n := rng.integers(0, 12)) ** 3, 60**3 - rng.integers(1, 10**5, n)).astype(np.uint64)) for _ in range(150)]
+    sketches += sketches[:30]
+    segments = []
+    for at, part in enumerate((sketches[:100], sketches[100:101], sketches[101:])):
+        flat, order = np.concatenate(part), np.argsort(np.concatenate(part), kind="stable")
+        flat[order].tofile(f"{tmp_path}/{at}.hashes")
+        np.repeat(np.arange(len(part), dtype=np.uint16), [len(x) for x in part])[order].tofile(f"{tmp_path}/{at}.owners")
+        segments.append((len(part), f"{tmp_path}/{at}"))
+    first, bounds = np.array([0, 100, 101, 180]), np.array([0, 50, 1000, 80_000], np.uint64)
+    made = fingerprint._lists(segments, first, bounds, str(tmp_path / "lists"))([pa.RecordBatch.from_pydict({"id": [0, 1, 2, 3]})])
+    lists = [x for b in made for x in b.column("stem").to_pylist()]
+    sets = [set(x.tolist()) for x in sketches]
+    want = [sum(not a.isdisjoint(b) for b in sets) for a in sets]
+    want = [n if n > 1 else 0 for n in want]
+    for at, (n, stem) in enumerate(segments):
+        asked = np.arange(n)[:: 2 if at == 2 else 1]
+        assert fingerprint.count_links(stem, asked, lists, bounds, first).tolist() == [want[first[at] + i] for i in asked]
+
+
 def test_few_and_many_meetings_count_alike(monkeypatch):
     rng = np.random.default_rng(2)
 
