@@ -66,6 +66,12 @@ def test_op7(spark, docs):
         low = each[i][each[i] <= of[s][: fingerprint.K][-1]]
         assert np.isnan(r.containment) == (len(low) == 0)
         assert (np.isnan(r.containment) or r.containment == 1.0) and abs(r.resemblance - len(each[i]) / len(of[s])) < 0.15
+    sketch = [set(x[: fingerprint.K].tolist()) for x in each]
+    for i, d in enumerate(docs.doc_id):
+        r, same = got.loc[d], [j for j in range(len(docs)) if sketch[j] == sketch[i]]
+        assert (r.class_id, r.n_copies) == (docs.doc_id[same[0]], len(same))
+        assert r.n_links == sum(j != i and not sketch[i].isdisjoint(x) for j, x in enumerate(sketch))
+    assert got.n_copies.max() > 1 and got.n_links.max() > got.n_copies.max()
 
 
 def test_op8(spark, docs):
