@@ -27,8 +27,8 @@ SPACE = 2.0**64
 BROADCAST_BYTES = 32 << 20
 #: Rows of a segment of the hash index at most, rows compared with it at a time, meetings on a hash counted and pairs given at a time.
 SEGMENT_ROWS, SLICE_ROWS, MEETINGS, GIVEN = 1 << 14, 128, 1 << 19, 1 << 17
-#: Hashes of a range that is read across the segments; a list is long from HOT_ROWS rows and one in HOT_SHARE of all; bytes of bitmaps and rows united at a time.
-RANGE_HASHES, HOT_ROWS, HOT_SHARE, HOT_BYTES, UNITED_ROWS = 1 << 21, 64, 1024, 48 << 20, 256
+#: Hashes of a range that is read across the segments; a list is long from HOT_ROWS rows and one in HOT_SHARE of all; bytes of bitmaps, members of short lists and rows united at a time.
+RANGE_HASHES, HOT_ROWS, HOT_SHARE, HOT_BYTES, MET_ROWS, UNITED_ROWS = 1 << 21, 64, 512, 48 << 20, 1 << 21, 256
 VOID = np.iinfo(np.int64).min
 
 
@@ -310,7 +310,7 @@ def near_pairs(base: DataFrame, k: int = K) -> DataFrame:
 
 @lru_cache(maxsize=8192)
 def _mapped(path: str, kind) -> np.ndarray:
-    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+    return np.memmap(path, kind, "r").view(np.ndarray) if os.path.getsize(path) else np.zeros(0, kind)
 
 
 def _segments(base: DataFrame, folder: str) -> tuple[list[tuple[int, str]], np.ndarray]:
@@ -455,34 +455,37 @@ def count_links(stem: str, asked: np.ndarray, lists: list[str], bounds: np.ndarr
         size += np.bincount(who, weights=z - a, minlength=len(asked)).astype(np.int64)
     ends = np.cumsum(size)
     width = max(64, min(-(-total // 64) * 64, HOT_BYTES * 8 // max(1, n_hot) // 64 * 64))
+    blocks = -(-total // width)
     for w in range(0, total, width):
-        bitmaps = _bitmaps(hot, n_hot, w, width, _row_type(first))
+        bitmaps, last, kept = _bitmaps(hot, n_hot, w, width, _row_type(first)), None, None
         i = 0
         while i < len(by):
             began = int(ends[i - 1]) if i else 0
-            j = min(len(by), i + UNITED_ROWS, max(i + 1, int(np.searchsorted(ends, began + MEETINGS, side="right"))))
-            bits, last = np.zeros((j - i, width // 64), U), None
-            for q in range(i, j):
-                if keys[by[q]] == last:
-                    bits[q - i] = bits[q - i - 1]
-                elif len(some := mine[by[q]]):
-                    np.bitwise_or.reduce(bitmaps[some], axis=0, out=bits[q - i])
-                last = keys[by[q]]
-            found = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+            j = max(i + 1, int(np.searchsorted(ends, began + MET_ROWS * blocks, side="right")))
             met = []
             for path, who, a, z in sorted_cold:
                 x, y = np.searchsorted(who, [i, j])
                 if x == y:
                     continue
                 rows, a, z, who = _mapped(path, _row_type(first)), a[x:y], z[x:y], who[x:y]
-                if width < total:
+                if blocks > 1:
                     a, z = a + _below(rows, a, z, np.full(len(a), w - 1)), a + _below(rows, a, z, np.full(len(a), w + width - 1))
                 met.append(np.repeat((who - i) * width - w, z - a) + rows[_runs(a, z - a)])
-            met = np.concatenate(met) if met else np.zeros(0, np.int64)
-            lacks = (bits.view(np.uint8).reshape(-1)[met >> 3] >> (met & 7).astype(np.uint8)) & 1 == 0
-            met = np.sort(met[lacks])
-            met = met[np.concatenate([[True], met[1:] != met[:-1]])] if len(met) else met
-            out[by[i:j]] += found + np.bincount(met // width, minlength=j - i)
+            met = np.sort(np.concatenate(met)) if met else np.zeros(0, np.int64)
+            if len(met):
+                met = met[np.concatenate([[True], met[1:] != met[:-1]])]
+            for u in range(i, j, UNITED_ROWS):
+                v = min(j, u + UNITED_ROWS)
+                bits = np.zeros((v - u, width // 64), U)
+                for q in range(u, v):
+                    if (key := keys[by[q]]) != last:
+                        kept = np.bitwise_or.reduce(bitmaps[mine[by[q]]], axis=0) if key else None
+                        last = key
+                    if key:
+                        bits[q - u] = kept
+                own = met[slice(*np.searchsorted(met, [(u - i) * width, (v - i) * width]))] - (u - i) * width
+                lacks = (bits.view(np.uint8).reshape(-1)[own >> 3] >> (own & 7).astype(np.uint8)) & 1 == 0
+                out[by[u:v]] += np.bitwise_count(bits).sum(axis=1, dtype=np.int64) + np.bincount(own[lacks] // width, minlength=v - u)
             i = j
     return out
 

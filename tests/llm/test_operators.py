@@ -376,7 +376,7 @@ def test_every_document_has_its_class_and_the_number_of_its_links(spark, k):
 
 @pytest.mark.parametrize("hot_rows, hot_bytes, meetings", [(2, 1, 1), (20, 1 << 12, 50), (20, 1 << 20, 1 << 19), (10**6, 1 << 20, 300)])
 def test_links_by_bitmaps_and_by_short_lists_count_alike(tmp_path, monkeypatch, hot_rows, hot_bytes, meetings):
-    for name, value in (("HOT_ROWS", hot_rows), ("HOT_BYTES", hot_bytes), ("MEETINGS", meetings), ("UNITED_ROWS", 7)):
+    for name, value in (("HOT_ROWS", hot_rows), ("HOT_BYTES", hot_bytes), ("MET_ROWS", meetings), ("UNITED_ROWS", 7)):
         monkeypatch.setattr(fingerprint, name, value)
     rng = np.random.default_rng(4)
     # some hashes stand in many rows, some rows have the same ones, some none
