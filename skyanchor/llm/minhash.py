@@ -195,11 +195,10 @@ def _candidates(least: int):
     return run
 
 
-def _links(pairs: DataFrame, texts, k: int, threshold: float) -> DataFrame:
-    """pairs (a, b) with ok: whether the texts' exact similarity reaches the threshold."""
-    t = texts(pairs)
-    both = pairs.join(t.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(
-        t.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a"
+def _links(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """pairs (a, b) of keys of texts (key, text), with ok: whether their exact similarity reaches the threshold."""
+    both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(
+        texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a"
     )
     return both.select("a", "b", "ta", "tb").mapInArrow(_verify(k, threshold), "a binary, b binary, ok boolean").distinct()
 
@@ -248,13 +247,8 @@ def copy_groups(
     hubs = hashed.groupBy("band").agg(F.min("key").alias("hub"), F.max("key").alias("last")).filter("hub <> last").select("band", "hub")
     mates = cut(hashed.join(hubs, "band").select("band", "hub", "key"))
 
-    def texts(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        one = keyed.join(need, "key", "left_semi")
-        least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"]
-        first = one.groupBy(F.col("key").alias("of")).agg(least.alias("first"))
-        return one.join(first, F.expr("key = of and doc_id <=> first")).select("key", "text")
-
+    # the whole table's texts are shuffled this once; both phases read what is left of them
+    texts = cut(keyed.select("key", "text").join(mates.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
     first = cut(mates.filter("hub <> key").groupBy(F.col("key").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"))
     tried = cut(_links(first, texts, shingle_words, threshold))
     trees = _roots(tried.filter("ok").select(F.col("b").alias("node"), F.col("a").alias("up")))

@@ -123,6 +123,44 @@ def test_blocks_of_a_bucket_meet(spark, monkeypatch):
     assert {r.doc_id: r.copies for r in minhash.deduplicated(d).collect()} == {g: [i for i in ids if i != g] for g, ids in want.items()}
 
 
+def shuffled(spark, run):
+    """What run returns, and the bytes that its stages shuffled."""
+    sc = spark.sparkContext
+    gateway, store = sc._gateway, sc._jsc.sc().statusStore()
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    out = run()
+    return out, sum(n for at, n in stages().items() if at not in before)
+
+
+def test_texts_are_shuffled_once(spark):
+    words = np.array([f"{x:x}" for x in np.random.default_rng(3).integers(0, 1 << 40, 160 * 4000)]).reshape(160, 4000)
+    for i in range(0, 40, 4):
+        words[i + 1, 600:], words[i + 2, 1200:] = words[i, 600:], words[i, 1200:]
+    textkit.shared_dir(spark)
+    d = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate(words)], DOCS).repartition(4).checkpoint()
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")  # a table of this size would be joined without a shuffle
+    try:
+        _, once = shuffled(spark, lambda: d.select("text").repartition(4, "text").write.format("noop").mode("overwrite").save())
+        got, n = shuffled(spark, lambda: {r.doc_id: r.copies for r in minhash.deduplicated(d).collect()})
+    finally:
+        spark.conf.set(limit, old)
+    from .test_operators import brute_groups
+
+    want = {}
+    for i, g in enumerate(brute_groups(d.orderBy("doc_id").toPandas().text.tolist())):
+        want.setdefault(g, []).append(i)
+    assert got == {g: [i for i in ids if i != g] for g, ids in want.items()} and sum(map(len, got.values())) == 20
+    assert once > 4e6 and n < 2 * once
+
+
 # media
 
 
