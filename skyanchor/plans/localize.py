@@ -161,7 +161,11 @@ def fine_pass(candidates: DataFrame, match, *, width: int, height: int, focal_px
 
 
 def fine_with_scale_loop(candidates: DataFrame, match, *, focal_px: float, scale_iters: int = MAX_RETRIES, max_zoom: int = 19, **how) -> DataFrame:
-    """The best fine pass of each candidate: while the altitude that was found asks for a zoom not tried yet, and its pass gains inliers, that one counts."""
+    """The best fine pass of each candidate: while the altitude that was found asks for a zoom not tried yet, and its pass has no fewer inliers, that one counts.
+
+    With as many inliers the zoom of the altitude found is the better one: the window of
+    the first zoom may happen to hold all points.
+    """
     named = ["status", "reason", "lat", "lon", "heading_deg", "altitude_m", "scale", "n_inliers", "semi_major_m", "confidence", "ring", "z_fine"]
     best = cut(fine_pass(candidates, match, focal_px=focal_px, **how).withColumn("zooms", F.array("z_fine")).withColumn("open", F.lit(True)))
     key = ["frame_id", "cell_id"]
@@ -172,7 +176,7 @@ def fine_with_scale_loop(candidates: DataFrame, match, *, focal_px: float, scale
         again = again.withColumn("z_fine", zoom).withColumn("altitude_m", F.col("found_m")).filter(~F.array_contains("zooms", F.col("z_fine"))).drop("found_m", "zooms")
         tried = fine_pass(again, match, focal_px=focal_px, **how)
         j = best.join(tried.select(*key, F.struct(*named).alias("new")), key, "left")
-        gain = F.coalesce((F.col("new.status") != "not_localized") & (F.col("new.n_inliers") > F.coalesce("n_inliers", F.lit(0))), F.lit(False))
+        gain = F.coalesce((F.col("new.status") != "not_localized") & (F.col("new.n_inliers") >= F.coalesce("n_inliers", F.lit(0))), F.lit(False))
         zooms = F.when(F.col("new").isNotNull(), F.array_union("zooms", F.array("new.z_fine"))).otherwise(F.col("zooms"))
         best = cut(j.select(*key, *(F.when(gain, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in named), zooms.alias("zooms"), gain.alias("open")))
     return best.drop("open").withColumn("scale_iters_done", F.size("zooms") - 1)
