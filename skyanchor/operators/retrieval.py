@@ -12,29 +12,76 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.geo import R_MEAN, _c, haversine
+from ..sources.shared import cut
 from .ordered import running_sums
 
 FRAME_BLOCK, CELL_BLOCK, DESCRIPTOR_BLOCK = 256, 4096, 1024
 
 
-def _blocks(df: DataFrame, key: str, rows: int, prefix: str) -> DataFrame:
-    """Rows packed as (ids, matrix of float32), so that a pair of blocks is one matrix product."""
+def _blocks(df: DataFrame, key: str, rows: int, prefix: str, numbers: tuple[str, ...] = ()) -> DataFrame:
+    """Rows packed as (ids, matrix of float32, and float64 of each of numbers), all binary, so that a pair of blocks is one matrix product."""
+    names = [f"{prefix}_ids", f"{prefix}_m", *(f"{prefix}_{c}" for c in numbers)]
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                v = part.column(1)
-                width = np.asarray(v.value_lengths())
-                if len(set(width.tolist())) > 1:
-                    raise ValueError("embeddings differ in dimension")
-                flat = np.asarray(v.flatten()).astype("<f4")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([flat.tobytes()], pa.binary())], names=[f"{prefix}_ids", f"{prefix}_m"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in _packed(batch.slice(at, rows))], names=names)
 
-    some = df.filter(F.col("embedding").isNotNull()).select(F.col(key).cast("bigint").alias(key), F.col("embedding").cast("array<float>"))
-    return some.mapInArrow(run, f"{prefix}_ids array<bigint>, {prefix}_m binary")
+    some = df.filter(F.col("embedding").isNotNull()).select(F.col(key).cast("bigint").alias(key), F.col("embedding").cast("array<float>"), *(F.col(c).cast("double").alias(c) for c in numbers))
+    return some.mapInArrow(run, ", ".join(f"{n} binary" for n in names))
+
+
+def _packed(part) -> list[bytes]:
+    """The columns of a batch or table of ids, vectors and numbers, null as NaN, as bytes."""
+    ids, v, *numbers = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns)
+    if len(set(np.asarray(v.value_lengths()).tolist())) > 1:
+        raise ValueError("embeddings differ in dimension")
+    return [np.asarray(ids).astype("<i8").tobytes(), np.asarray(v.flatten()).astype("<f4").tobytes(), *(c.to_numpy(zero_copy_only=False).astype("<f8").tobytes() for c in numbers)]
+
+
+def _each(batches, *names: str):
+    """The named binaries of the rows, one row at a time, as arrays of ids, matrix or numbers."""
+    kinds = {"ids": "<i8", "m": "<f4"}
+    for batch in batches:
+        columns = [(batch.column(n), kinds.get(n.split("_", 1)[1], "<f8")) for n in names]
+        for i in range(batch.num_rows):
+            yield [np.frombuffer(c[i].as_buffer(), t) for c, t in columns]
+
+
+def _aims(df: DataFrame, frames: int, numbers: tuple[str, ...]) -> DataFrame:
+    """df (frame_id, embedding, numbers...) of so many rows in blocks as of _blocks(), with the prefix f, of FRAME_BLOCK rows at most."""
+    names = ["f_ids", "f_m", *(f"f_{c}" for c in numbers)]
+
+    def run(table: pa.Table) -> pa.Table:
+        rest = table.drop_columns(["g"])
+        parts = [_packed(rest.slice(at, FRAME_BLOCK)) for at in range(0, rest.num_rows, FRAME_BLOCK)]
+        return pa.table([pa.array(c, pa.binary()) for c in zip(*parts)], names=names)
+
+    g = F.pmod(F.xxhash64("frame_id"), F.lit(max(1, -(-frames // FRAME_BLOCK)))).alias("g")
+    some = df.filter("embedding is not null").select(g, F.col("frame_id").cast("bigint").alias("frame_id"), F.col("embedding").cast("array<float>").alias("embedding"), *(F.col(c).cast("double").alias(c) for c in numbers))
+    return some.groupBy("g").applyInArrow(run, ", ".join(f"{n} binary" for n in names))
+
+
+def _matrix(m: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return m.reshape(len(ids), -1).astype(float)
+
+
+def _dots(m: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Each row's dot product with v, or v's row, the same for equal rows wherever they stand."""
+    return (m * v).sum(axis=1)
+
+
+def _pair_dots(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """_dots() of the rows i of a with the rows j of b, so many at a time that memory is bounded."""
+    step = max(1, (1 << 20) // max(1, a.shape[1]))
+    return np.concatenate([_dots(b[j[at : at + step]], a[i[at : at + step]]) for at in range(0, len(i), step)] or [np.zeros(0)])
+
+
+def _firsts(i: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k greatest v of each i, ties by the lesser id."""
+    order = np.lexsort((ids, -v, i))
+    n = i[order]
+    return order[np.arange(len(n)) - np.searchsorted(n, n) < k]
 
 
 def topk_join(frames: DataFrame, cells: DataFrame, k: int) -> DataFrame:
@@ -42,21 +89,21 @@ def topk_join(frames: DataFrame, cells: DataFrame, k: int) -> DataFrame:
 
     Ties go to the lesser cell_id.  Each pair of blocks gives no more than k rows
     a frame before the ranking, so what is shuffled is frames x cell blocks x k.
-    Null embeddings take no part.
+    A task holds one batch of pairs of blocks and works on one pair at a time, so its
+    memory doesn't grow with the tables.  Null embeddings take no part.
     """
 
     def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                f_ids, c_ids = np.array(r["f_ids"], np.int64), np.array(r["c_ids"], np.int64)
-                a = np.frombuffer(r["f_m"], "<f4").reshape(len(f_ids), -1).astype(float)
-                b = np.frombuffer(r["c_m"], "<f4").reshape(len(c_ids), -1).astype(float)
-                s = a @ b.T
-                n = min(k, len(c_ids))
-                # all that reach the n-th value, so that ties at the edge are settled by cell_id
-                edge = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-                i, j = np.nonzero(s >= edge - 1e-12)
-                yield pa.RecordBatch.from_arrays([pa.array(f_ids[i]), pa.array(c_ids[j]), pa.array(s[i, j])], names=["frame_id", "cell_id", "similarity"])
+        for f_ids, f_m, c_ids, c_m in _each(batches, "f_ids", "f_m", "c_ids", "c_m"):
+            a, b = _matrix(f_m, f_ids), _matrix(c_m, c_ids)
+            s = a @ b.T
+            n = min(k, len(c_ids))
+            # all that reach the n-th value, so that ties at the edge are settled by cell_id
+            edge = np.partition(s, len(c_ids) - n, axis=1)[:, len(c_ids) - n, None]
+            i, j = np.nonzero(s >= edge - 1e-12)
+            v = _pair_dots(a, b, i, j)
+            some = _firsts(i, v, c_ids[j], n)
+            yield pa.RecordBatch.from_arrays([pa.array(f_ids[i[some]]), pa.array(c_ids[j[some]]), pa.array(v[some])], names=["frame_id", "cell_id", "similarity"])
 
     pairs = _blocks(cells, "cell_id", CELL_BLOCK, "c").crossJoin(_blocks(frames, "frame_id", FRAME_BLOCK, "f"))
     scored = pairs.mapInArrow(run, "frame_id bigint, cell_id bigint, similarity double")
@@ -64,84 +111,118 @@ def topk_join(frames: DataFrame, cells: DataFrame, k: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def _dots(m: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Each row's dot product with v, the same for equal rows wherever they stand."""
-    return (m * v).sum(axis=1)
+def nearest_from(frames: DataFrame, cells: DataFrame, guesses: DataFrame) -> DataFrame:
+    """(frame_id, cell_id, similarity): topk_join()'s first of each frame, given guesses (frame_id, similarity) of some cell's similarity for all or some frames.
+
+    Blocks meet in single precision, and only cells that may reach the guess and the
+    block's best are looked at exactly, so a good guess costs one product a pair of
+    blocks and a poor one gives no wrong result.
+    """
+
+    def run(batches):
+        for f_ids, f_m, guess, c_ids, c_m in _each(batches, "f_ids", "f_m", "f_guess", "c_ids", "c_m"):
+            a, b = f_m.reshape(len(f_ids), -1), c_m.reshape(len(c_ids), -1)
+            s = a @ b.T
+            # what rounding of single precision may hide
+            slack = 2.0**-23 * (a.shape[1] + 8) * np.linalg.norm(a.astype(float), axis=1) * np.linalg.norm(b.astype(float), axis=1).max() + 1e-12
+            best = s.max(axis=1)
+            least = np.fmax(guess, best) - 2 * slack
+            rows = np.flatnonzero(best >= least)
+            i, j = np.nonzero(s[rows] >= least[rows, None])
+            i = rows[i]
+            v = _pair_dots(a.astype(float), b.astype(float), i, j)
+            some = _firsts(i, v, c_ids[j], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(f_ids[i[some]]), pa.array(c_ids[j[some]]), pa.array(v[some])], names=["frame_id", "cell_id", "similarity"])
+
+    guessed = frames.select("frame_id", "embedding").join(guesses.select("frame_id", F.col("similarity").alias("guess")), "frame_id", "left")
+    pairs = _blocks(cells, "cell_id", CELL_BLOCK, "c").crossJoin(_aims(guessed, frames.count(), ("guess",)))
+    best = pairs.mapInArrow(run, "frame_id bigint, cell_id bigint, similarity double").groupBy("frame_id").agg(F.max(F.struct("similarity", (-F.col("cell_id")).alias("m"))).alias("w"))
+    return best.select("frame_id", (-F.col("w.m")).alias("cell_id"), "w.similarity")
+
+
+def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Points on the unit sphere of latitudes and longitudes in degrees."""
+    p, q = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(p) * np.cos(q), np.cos(p) * np.sin(q), np.sin(p)], axis=1)
 
 
 def true_cell_rank(frames: DataFrame, cells: DataFrame) -> DataFrame:
     """(frame_id, true_cell_rank, true_cell_m): the cell nearest to the truth among all, and its rank among all by (similarity, -cell_id).
 
     Cells equally far, to 6 digits, give the best of their ranks.  Cells of null
-    embeddings take no part; a frame of a null embedding has no row.
+    embeddings take no part; a frame of a null embedding has no row.  Blocks of frames
+    meet blocks of cells twice: for those that may be nearest, whose distance is then
+    taken exactly, and for the count of those ahead of it.
     """
-    f = frames.select("frame_id", "true_lat", "true_lon", F.col("embedding").cast("array<float>").alias("fe")).filter("fe is not null")
-    c = cells.select("cell_id", "lat", "lon", F.col("embedding").cast("array<float>").alias("ce")).filter("ce is not null")
-    m = haversine(lat1="true_lat", lon1="true_lon", lat2="lat", lon2="lon")
-    far = f.drop("fe").crossJoin(c.drop("ce")).select("frame_id", "cell_id", m.alias("m")).withColumn("d", F.round("m", 6))
-    least = far.groupBy("frame_id").agg(F.min("d").alias("least"), F.min("m").alias("true_cell_m"))
-    near = far.join(least, "frame_id").filter("d = least").select("frame_id", "cell_id").join(c.select("cell_id", "ce"), "cell_id").join(f.select("frame_id", "fe"), "frame_id")
+    f = frames.select("frame_id", "true_lat", "true_lon", F.col("embedding").cast("array<float>").alias("embedding")).filter("embedding is not null")
+    c = cells.select("cell_id", "lat", "lon", F.col("embedding").cast("array<float>").alias("embedding")).filter("embedding is not null")
+    n_frames = frames.count()
+    spot = F.array().cast("array<float>").alias("embedding")
+
+    def close(batches):
+        for f_ids, f_lat, f_lon, c_ids, c_lat, c_lon in _each(batches, "f_ids", "f_true_lat", "f_true_lon", "c_ids", "c_lat", "c_lon"):
+            cos = _unit(f_lat, f_lon) @ _unit(c_lat, c_lon).T
+            # rounding of the products is some 1e-15, of the square of a chord; 1e-13 are some metres next to a point
+            i, j = np.nonzero(cos >= cos.max(axis=1, keepdims=True) - 1e-13)
+            cols = (f_ids[i], f_lat[i], f_lon[i], c_ids[j], c_lat[j], c_lon[j])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["frame_id", "true_lat", "true_lon", "cell_id", "lat", "lon"])
+
+    placed_f, placed_c = f.filter("true_lat is not null and true_lon is not null"), c.filter("lat is not null and lon is not null")
+    places = _blocks(placed_c.select("cell_id", "lat", "lon", spot), "cell_id", CELL_BLOCK, "c", ("lat", "lon")).crossJoin(_aims(placed_f.select("frame_id", "true_lat", "true_lon", spot), n_frames, ("true_lat", "true_lon")))
+    far = places.mapInArrow(close, "frame_id bigint, true_lat double, true_lon double, cell_id bigint, lat double, lon double")
+    far = far.select("frame_id", "cell_id", haversine(lat1="true_lat", lon1="true_lon", lat2="lat", lon2="lon").alias("m")).withColumn("d", F.round("m", 6))
+    near = cut(far.selectExpr("*", "min(d) over (partition by frame_id) as least", "min(m) over (partition by frame_id) as true_cell_m").filter("d = least").select("frame_id", "cell_id", "true_cell_m"))
+    least = near.groupBy("frame_id").agg(F.min("true_cell_m").alias("true_cell_m"))
+    both = near.select("frame_id", "cell_id").join(c.select("cell_id", F.col("embedding").alias("ce")), "cell_id").join(f.select("frame_id", F.col("embedding").alias("fe")), "frame_id")
 
     def own(batches):
         for b in batches:
-            s = [float(_dots(np.array([x], float), np.array(y, float))[0]) for x, y in zip(b.column("ce").to_pylist(), b.column("fe").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("frame_id"), b.column("cell_id"), pa.array(s, pa.float64())], names=["frame_id", "cell_id", "s"])
+            fe, ce = (np.asarray(b.column(x).flatten()).astype(float).reshape(b.num_rows, -1) for x in ("fe", "ce"))
+            yield pa.RecordBatch.from_arrays([b.column("frame_id"), b.column("cell_id"), pa.array(_dots(ce, fe))], names=["frame_id", "cell_id", "s"])
 
-    best = near.select("frame_id", "cell_id", "ce", "fe").mapInArrow(own, "frame_id bigint, cell_id bigint, s double")
+    best = both.select("frame_id", "cell_id", "ce", "fe").mapInArrow(own, "frame_id bigint, cell_id bigint, s double")
     best = best.groupBy("frame_id").agg(F.max(F.struct("s", (-F.col("cell_id")).alias("m"))).alias("w")).select("frame_id", "w.s", (-F.col("w.m")).alias("cell_id"))
-    aimed = f.select("frame_id", "fe").join(best, "frame_id")
-    groups = max(1, -(-frames.count() // FRAME_BLOCK))
-    blocks = aimed.groupBy(F.pmod(F.xxhash64("frame_id"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("frame_id", "cell_id", "s", "fe")).alias("aims")).select("aims")
+    # an id as a number of two halves, as not every id is a double
+    halves = (F.shiftright("cell_id", 32).alias("high"), F.col("cell_id").bitwiseAND((1 << 32) - 1).alias("low"))
+    aimed = f.select("frame_id", "embedding").join(best.select("frame_id", "s", *halves), "frame_id")
 
     def above(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                ids = np.array(r["c_ids"], np.int64)
-                m = np.frombuffer(r["c_m"], "<f4").reshape(len(ids), -1).astype(float)
-                n = []
-                for x in r["aims"]:
-                    s = _dots(m, np.array(x["fe"], float))
-                    n.append(int(((s > x["s"]) | ((s == x["s"]) & (ids < x["cell_id"]))).sum()))
-                yield pa.RecordBatch.from_arrays([pa.array([x["frame_id"] for x in r["aims"]], pa.int64()), pa.array(n, pa.int64())], names=["frame_id", "n"])
-
-    ahead = _blocks(cells, "cell_id", CELL_BLOCK, "c").crossJoin(blocks).mapInArrow(above, "frame_id bigint, n bigint")
+        for f_ids, f_m, at, high, low, c_ids, c_m in _each(batches, "f_ids", "f_m", "f_s", "f_high", "f_low", "c_ids", "c_m"):
+            a, b = _matrix(f_m, f_ids), _matrix(c_m, c_ids)
+            s = a @ b.T
+            mine = (high.astype(np.int64) << 32) + low.astype(np.int64)
+            slack = 1e-15 * (a.shape[1] + 8) * np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1).max()
+            n = (s > (at + slack)[:, None]).sum(axis=1)
+            # whatever rounding of the product may hide is looked at exactly
+            i, j = np.nonzero(np.abs(s - at[:, None]) <= slack[:, None])
+            v = _pair_dots(a, b, i, j)
+            n += np.bincount(i[(v > at[i]) | ((v == at[i]) & (c_ids[j] < mine[i]))], minlength=len(n))
+            yield pa.RecordBatch.from_arrays([pa.array(f_ids), pa.array(n, pa.int64())], names=["frame_id", "n"])
+
+    ahead = _blocks(cells, "cell_id", CELL_BLOCK, "c").crossJoin(_aims(aimed, n_frames, ("s", "high", "low"))).mapInArrow(above, "frame_id bigint, n bigint")
     ranks = ahead.groupBy("frame_id").agg((F.sum("n") + 1).cast("bigint").alias("true_cell_rank"))
-    return ranks.join(least.select("frame_id", "true_cell_m"), "frame_id")
+    return ranks.join(least, "frame_id")
 
 
 def uniqueness(frames: DataFrame, cells: DataFrame, radius_m: float) -> DataFrame:
     """(frame_id, cell_id, similarity, uniqueness): the best cell's lead over the best of all cells farther than radius_m from it; 1 without any.
 
-    Blocks of frames meet blocks of cells, and each pair of blocks gives one rival a frame.
+    Blocks of frames meet blocks of cells, and each pair of blocks gives one rival a
+    frame; a task works on one pair at a time, so its memory doesn't grow with the tables.
     """
     top = topk_join(frames, cells, 1).select("frame_id", "cell_id", "similarity")
     at = top.join(cells.select("cell_id", F.col("lat").alias("top_lat"), F.col("lon").alias("top_lon")), "cell_id")
-    aimed = frames.select("frame_id", F.col("embedding").cast("array<float>").alias("fe")).join(at, "frame_id")
-    groups = max(1, -(-frames.count() // FRAME_BLOCK))
-    blocks = aimed.groupBy(F.pmod(F.xxhash64("frame_id"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("frame_id", "top_lat", "top_lon", "fe")).alias("aims")).select("aims")
-    placed = cells.select("cell_id", "embedding", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).filter("embedding is not null")
-
-    def pack(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, CELL_BLOCK):
-                part = batch.slice(start, CELL_BLOCK)
-                m = np.asarray(part.column(1).flatten()).astype("<f4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows]), pa.array([m], pa.binary()), *(pa.array([np.asarray(part.column(i)).astype("<f8").tobytes()], pa.binary()) for i in (2, 3))], names=["n", "m", "lat", "lon"])
+    aimed = frames.select("frame_id", "embedding").join(at, "frame_id")
 
     def rival(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                m = np.frombuffer(r["m"], "<f4").reshape(r["n"], -1).astype(float)
-                lat, lon = (np.radians(np.frombuffer(r[c])) for c in ("lat", "lon"))
-                a = np.array([x["fe"] for x in r["aims"]], float)
-                p, q = (np.radians([x[c] for x in r["aims"]])[:, None] for c in ("top_lat", "top_lon"))
-                h = np.sin((lat - p) / 2) ** 2 + np.cos(p) * np.cos(lat) * np.sin((lon - q) / 2) ** 2
-                far = 2 * R_MEAN * np.arcsin(np.sqrt(np.clip(h, 0, 1))) > radius_m
-                best = np.where(far, a @ m.T, -np.inf).max(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array([x["frame_id"] for x in r["aims"]], pa.int64()), pa.array(best, mask=~np.isfinite(best))], names=["frame_id", "rival"])
-
-    packed = placed.withColumn("embedding", F.col("embedding").cast("array<float>")).mapInArrow(pack, "n bigint, m binary, lat binary, lon binary")
-    rivals = packed.crossJoin(blocks).mapInArrow(rival, "frame_id bigint, rival double").groupBy("frame_id").agg(F.max("rival").alias("rival"))
+        for f_ids, f_m, p, q, c_ids, c_m, lat, lon in _each(batches, "f_ids", "f_m", "f_top_lat", "f_top_lon", "c_ids", "c_m", "c_lat", "c_lon"):
+            a, b = _matrix(f_m, f_ids), _matrix(c_m, c_ids)
+            far = _distance(np.radians(p)[:, None], np.radians(q)[:, None], np.radians(lat), np.radians(lon)) > radius_m
+            best = np.where(far, a @ b.T, -np.inf).max(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(f_ids), pa.array(best, mask=~np.isfinite(best))], names=["frame_id", "rival"])
+
+    pairs = _blocks(cells, "cell_id", CELL_BLOCK, "c", ("lat", "lon")).crossJoin(_aims(aimed, frames.count(), ("top_lat", "top_lon")))
+    rivals = pairs.mapInArrow(rival, "frame_id bigint, rival double").groupBy("frame_id").agg(F.max("rival").alias("rival"))
     return top.join(rivals, "frame_id", "left").select("frame_id", "cell_id", "similarity", F.coalesce(F.col("similarity") - F.col("rival"), F.lit(1.0)).alias("uniqueness"))
 
 

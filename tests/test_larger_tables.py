@@ -31,3 +31,37 @@ def test_a_window_that_happens_to_hold_all_points_gives_way_to_the_zoom_of_the_a
     # frame 3473 is turned by one degree, and its 60 points fit into the first window
     folder = tables(tmp_path / "t", embeddings=f"SELECT vec_id + 3470 AS vec_id, embedding, label FROM '{SF}/embeddings.parquet' WHERE vec_id < 4")
     assert same_as_sql(spark, "localize_pipeline", folder) == ""
+
+
+def test_blocks_are_read_row_by_row_and_give_k_rows_a_frame():
+    import pyarrow as pa
+
+    from skyanchor.operators import retrieval
+
+    x = np.arange(6, dtype="<f4")
+    batch = pa.RecordBatch.from_arrays([pa.array([np.arange(3).tobytes()] * 2, pa.binary()), pa.array([x.tobytes()] * 2, pa.binary())], names=["c_ids", "c_m"])
+    ids, m = next(retrieval._each([batch], "c_ids", "c_m"))
+    assert ids.tolist() == [0, 1, 2] and m.tolist() == x.tolist()
+    # two frames that find all of 1,000 cells alike
+    i, j = np.divmod(np.arange(2000), 1000)
+    some = retrieval._firsts(i, np.ones(2000), 999 - j, 3)
+    assert (i[some].tolist(), (999 - j[some]).tolist()) == ([0, 0, 0, 1, 1, 1], [0, 1, 2, 0, 1, 2])
+
+
+def test_the_cell_of_the_truth_is_not_looked_for_among_pairs_of_rows(spark):
+    from skyanchor.operators import retrieval
+
+    f = spark.createDataFrame([(1, 10.0, 20.0, [1.0, 0.0]), (2, -50.0, 179.9999, [0.6, 0.8])], "frame_id bigint, true_lat double, true_lon double, embedding array<float>")
+    rows = [(k, 10.0 + k * 1e-6, 20.0, [1.0, 0.0] if k % 2 else [0.0, 1.0]) for k in range(1, 9)] + [(2**60, -50.0, -179.9999, [0.6, 0.8]), (2**60 + 1, -50.0, -179.9999, [0.6, 0.8]), (50, None, 3.0, [1.0, 1.0])]
+    r = retrieval.true_cell_rank(f, spark.createDataFrame(rows, "cell_id bigint, lat double, lon double, embedding array<float>"))
+    got = {x.frame_id: (x.true_cell_rank, round(x.true_cell_m, 1)) for x in r.collect()}
+    assert got == {1: (2, 0.1), 2: (2, 14.3)}
+    assert "ASIN" not in r._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+def test_a_poor_guess_of_the_projections_gives_no_wrong_cell(spark, tmp_path, monkeypatch):
+    from skyanchor.operators import vectors
+
+    whole = vectors.lsh_topk
+    monkeypatch.setattr(vectors, "lsh_topk", lambda f, c, k: whole(f, c.filter("cell_id % 5 = 0"), k).filter("frame_id % 2 = 0"))
+    assert same_as_sql(spark, "retrieval_lsh_nearest", SF) == ""
