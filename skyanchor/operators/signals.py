@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.raster import canny, gaussian, sobel, stretched
 
 
+#: Pixels whose two-way histograms one task makes.
+TASK_PIXELS = 1 << 19
+
+
 def ncc(pixels: DataFrame, least: int = 16, empty: float = 0.0) -> DataFrame:
     """(pair_id, n, ncc): Pearson correlation; empty where either side is flat or fewer than least pixels are valid."""
     g = pixels.filter("a is not null and b is not null").groupBy("pair_id").agg(F.count("*").alias("n"), F.covar_pop("a", "b").alias("c"), F.var_pop("a").alias("va"), F.var_pop("b").alias("vb"))
@@ -24,17 +28,27 @@ def _bin(v: str, lo: str, hi: str, bins: int) -> Column:
 
 
 def nmi(pixels: DataFrame, bins: int = 32) -> DataFrame:
-    """(pair_id, nmi): marginal entropies over the joint one of the two-way histogram, in [1, 2]; 2 where the joint entropy is 0."""
+    """(pair_id, nmi): marginal entropies over the joint one of the two-way histogram, in [1, 2]; 2 where the joint entropy is 0.
+
+    Pairs are dealt to as many tasks as hold about TASK_PIXELS pixels each; a pair's counts
+    are all made in its task, so that a task's memory doesn't grow with the table.
+    """
+    parts = max(pixels.sparkSession.sparkContext.defaultParallelism, -(-pixels.count() // TASK_PIXELS))
+    pixels = pixels.select("pair_id", "a", "b").repartition(parts, "pair_id")
     ends = pixels.groupBy("pair_id").agg(*(f(c).alias(f"{n}{c}") for c in "ab" for n, f in (("lo", F.min), ("hi", F.max))))
     joint = pixels.join(ends, "pair_id").groupBy("pair_id", _bin("a", "loa", "hia", bins).alias("i"), _bin("b", "lob", "hib", bins).alias("j")).agg(F.count("*").alias("c"))
 
-    def entropy(df: DataFrame, name: str) -> DataFrame:
+    # the two-way histogram and both sides' own, in one pass
+    none = F.lit(None).cast("int")
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("of"), F.col("i").cast("int").alias("i") if "a" in n else none.alias("i"), F.col("j").cast("int").alias("j") if "b" in n else none.alias("j")) for n in ("ab", "a", "b"))))
+    counts = joint.select("pair_id", "c", each.alias("x")).groupBy("pair_id", "x.of", "x.i", "x.j").agg(F.sum("c").alias("c"))
+
+    def entropy(n: str) -> Column:
         # H = ln N - sum c ln c / N
-        return df.groupBy("pair_id").agg((F.log(F.sum("c")) - F.sum(F.col("c") * F.log("c")) / F.sum("c")).alias(name))
+        c = F.when(F.col("of") == n, F.col("c"))
+        return (F.log(F.sum(c)) - F.sum(c * F.log(c)) / F.sum(c)).alias(f"h{n}")
 
-    h = entropy(joint, "hab")
-    for k, name in (("i", "ha"), ("j", "hb")):
-        h = h.join(entropy(joint.groupBy("pair_id", k).agg(F.sum("c").alias("c")), name), "pair_id")
+    h = counts.groupBy("pair_id").agg(*(entropy(n) for n in ("ab", "a", "b")))
     return h.select("pair_id", F.when(F.col("hab") <= 1e-12, 2.0).otherwise((F.col("ha") + F.col("hb")) / F.col("hab")).alias("nmi"))
 
 
@@ -173,14 +187,17 @@ def aligned(pairs: DataFrame) -> DataFrame:
 
 
 def gradient_signals(pairs: DataFrame) -> DataFrame:
-    """(pair_id, one column a measure) of pairs (pair_id, height, width, a, b) of row-major array<double> rasters, in Arrow batches."""
+    """(pair_id, one column a measure) of pairs (pair_id, height, width, a, b) of row-major array<double> rasters, in Arrow batches.
+
+    Rasters are taken from a batch one pair at a time, so a worker holds a batch and a pair.
+    """
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
             got = {m: [] for m in MEASURES}
-            for r in rows:
-                a, b = (np.array(r[c], float).reshape(r["height"], r["width"]) for c in "ab")
+            for k in range(batch.num_rows):
+                size = [batch.column(c)[k].as_py() for c in ("height", "width")]
+                a, b = (batch.column(c)[k].values.to_numpy(zero_copy_only=False).reshape(size) for c in "ab")
                 for m, f in MEASURES.items():
                     got[m].append(f(a, b))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.float64()) for v in got.values())], names=["pair_id", *got])
