@@ -207,7 +207,9 @@ def metadata_exif_read(spark, sf_dir):
                 out.append(exif.write(1000 + k % 4000, 900, model="M", taken=taken, focal_35mm=20 + k % 80, packet="" if k % 7 == 0 else packet, order="<>"[k % 2], **at))
             yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in batch.column(0).to_pylist()]), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.binary())], names=["path", "length", "content"])
 
-    heads = read(spark, sf_dir, "customer").select("c_custkey").mapInArrow(files, "path string, length bigint, content binary")
+    # a small table is read by few tasks, and files are made and read where it is
+    keys = read(spark, sf_dir, "customer").select("c_custkey").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
+    heads = keys.mapInArrow(files, "path string, length bigint, content binary")
     s = metadata.shots(metadata.headers(heads))
     return s.select(
         F.col("path").cast("bigint").alias("k"), r6(F.col("lat"), 5).alias("lat"), r6(F.col("lon"), 5).alias("lon"), r6(F.col("fov_deg")).alias("fov_deg"), F.col("width").cast("bigint").alias("width"), "relative_m", "pitch_deg",
