@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +12,12 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..operators.sequence import FIELDS, STARTED, STATE, advance
 from ..sources.shared import make_folder, shared_folder
 
-def _steps(pdf: pd.DataFrame):
-    """The rows of a batch in order, as tuples of FIELDS with None for what is missing."""
-    plain = pdf.sort_values("i")[list(FIELDS)].astype(object)
-    return plain.where(plain.notna(), None).itertuples(index=False, name=None)
+def _steps(pdfs) -> list[tuple]:
+    """The rows of a user's frames in order, as tuples of FIELDS with None for what is missing; plain lists, as most users have few rows."""
+    rows = []
+    for pdf in pdfs:
+        rows += zip(*([None if x is pd.NA or x != x else x for x in pdf[c].tolist()] for c in FIELDS))
+    return sorted(rows, key=itemgetter(0))
 
 
 def filtered(steps: DataFrame, drift_m: float = 50.0, yaw_sigma_deg: float = 1.0) -> DataFrame:
@@ -24,7 +28,7 @@ def filtered(steps: DataFrame, drift_m: float = 50.0, yaw_sigma_deg: float = 1.0
 
     def run(key, pdfs, state):
         s = tuple(state.get) if state.exists else STARTED
-        for x in _steps(pd.concat(list(pdfs))):
+        for x in _steps(pdfs):
             if x[0] > s[0]:
                 s = advance(s, x, drift_m, yaw_sigma_deg)
         state.update(s)
